@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker's memory of encoded pre-tokens: entries, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Characters that are encoded at once in a task; one longer text is encoded alone.
+BATCH_CHARS = 1_000_000
 
 
 class RankQueue:
@@ -33,12 +35,9 @@ class RankQueue:
                 break
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def push(self, rank: int, positions: list[int]) -> None:
+        """Positions for a rank that has no bucket; for others, append to the bucket."""
+        self.buckets[rank] = positions
         at = rank
         for level in self.levels:
             word = level[at >> 6]
@@ -57,20 +56,18 @@ class RankQueue:
             at = at << 6 | (word & -word).bit_length() - 1
         return at
 
-    def pop(self, rank: int) -> int:
-        """The leftmost position in the bucket of rank."""
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = level[at >> 6] & ~(1 << (at & 63))
-                level[at >> 6] = word
-                if word:
-                    break
-                at >>= 6
-        return position
+    def pop(self, rank: int) -> list[int]:
+        """The bucket of rank, leftmost position first."""
+        at = rank
+        for level in self.levels:
+            word = level[at >> 6] & ~(1 << (at & 63))
+            level[at >> 6] = word
+            if word:
+                break
+            at >>= 6
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return bucket
 
 
 class ByteBPE:
@@ -82,66 +79,123 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.tokens: dict[int, bytes] = {v: k for k, v in self.ranks.items()}
-        self.queue = RankQueue(max(self.tokens, default=0) + 1)
+        self.size = max(self.ranks.values(), default=-1) + 1
+        # which two ids, joined, are a token
+        self.pairs: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if x is not None and y is not None:
+                    self.pairs[x * self.size + y] = rank
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        x, y = np.divmod(np.arange(1 << 16), 256)
+        self.byte_pairs = np.array([self.pairs.get(k, -1) for k in (self.byte_ids[x] * self.size + self.byte_ids[y]).tolist()], np.int64)
+        self.queue = RankQueue(max(self.size, 1))
         self.cache: dict[str, bytes] = {}
-        size = max(self.tokens, default=-1) + 1
-        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
-
-    def piece(self, data: bytes) -> list[int]:
-        """Ids of one pre-token: its own id, or merges in order of rank, leftmost first."""
-        ranks, queue = self.ranks, self.queue
-        if (whole := ranks.get(data)) is not None:
-            return [whole]
+        tokens = {v: k for k, v in self.ranks.items()}
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(self.size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(self.size)), np.uint8)
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens: a token's own id, or merges by rank, leftmost first.
+
+        All pre-tokens share one linked list, which no pair crosses from one to
+        the next, and one queue; what one does never touches another.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        merging = []
+        for p, data in enumerate(pieces):
+            whole = self.ranks.get(data)
+            if whole is None:
+                merging.append(p)
+            else:
+                out[p] = whole.to_bytes(4, "little")
+        if not merging:
+            return out
+        data = np.frombuffer(b"".join([pieces[p] for p in merging]), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(pieces[p]) for p in merging])
+        begins = np.concatenate([[0], ends[:-1]])
         n = len(data)
-        part = [data[i : i + 1] for i in range(n)]
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        merge = [-1] * n  # the rank of a position with its right neighbour; -1: none, or merged away
-        for i in range(n - 1):
-            if (r := ranks.get(data[i : i + 2])) is not None:
-                merge[i] = r
-                queue.push(r, i)
+        right_at, left_at, merge_at = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, np.int64)
+        merge_at[:-1] = self.byte_pairs[data[:-1] * 256 + data[1:]]
+        right_at[ends - 1] = left_at[begins] = merge_at[ends - 1] = -1
+        queue, pairs, size = self.queue, self.pairs, self.size
+        order = np.argsort(merge_at, kind="stable")
+        order = order[np.searchsorted(merge_at[order], 0) :]
+        if len(order):
+            for bucket in np.split(order, np.flatnonzero(np.diff(merge_at[order])) + 1):
+                queue.push(int(merge_at[bucket[0]]), bucket.tolist())
+        ids, right, left, merge = self.byte_ids[data].tolist(), right_at.tolist(), left_at.tolist(), merge_at.tolist()
+        buckets, push, find = queue.buckets, queue.push, pairs.get
         while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if merge[i] != rank:
-                continue  # stale
-            j = right[i]
-            part[i] += part[j]
-            merge[j] = -1
-            k = right[i] = right[j]
-            merge[i] = -1
-            if k < n:
-                left[k] = i
-                if (r := ranks.get(part[i] + part[k])) is not None:
-                    merge[i] = r
-                    queue.push(r, i)
-            if (h := left[i]) >= 0:
-                r = ranks.get(part[h] + part[i])
-                if r is None:
-                    merge[h] = -1
-                elif merge[h] != r:
+            bucket = queue.pop(rank)
+            for done, i in enumerate(bucket):
+                if merge[i] != rank:
+                    continue  # stale
+                j = right[i]
+                k = right[i] = right[j]
+                ids[i] = rank
+                merge[j] = -1
+                least = rank
+                r = -1
+                if k >= 0:
+                    left[k] = i
+                    if (r := find(rank * size + ids[k], -1)) >= 0:
+                        if (b := buckets.get(r)) is None:
+                            push(r, [i])
+                        else:
+                            b.append(i)
+                        if r < least:
+                            least = r
+                merge[i] = r
+                if (h := left[i]) >= 0:
+                    if (r := find(ids[h] * size + rank, -1)) >= 0:
+                        if (b := buckets.get(r)) is None:
+                            push(r, [h])
+                        else:
+                            b.append(h)
+                        if r < least:
+                            least = r
                     merge[h] = r
-                    queue.push(r, h)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[part[i]])
-            i = right[i]
+                if least < rank:  # it comes before the rest of this bucket
+                    if done + 1 < len(bucket):
+                        push(rank, bucket[done + 1 :])
+                    break
+        for p, i in zip(merging, begins.tolist(), strict=True):
+            own = []
+            while i >= 0:
+                own.append(ids[i])
+                i = right[i]
+            out[p] = array("I", own).tobytes()
         return out
 
-    def _missed(self, piece: str) -> bytes:
-        got = np.array(self.piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[piece] = got
-        return got
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        cache = self.cache
+        found = [self.split(t) for t in texts]
+        new = list({p for own in found for p in own if p not in cache})
+        if len(cache) + len(new) > CACHE_ENTRIES:
+            cache.clear()
+            new = list({p for own in found for p in own})
+        cache.update(zip(new, self.pieces([p.encode() for p in new]), strict=True))
+        out = [b"".join([cache[p] for p in own]) for own in found]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del cache[p]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        known, missed = self.cache.get, self._missed
-        return b"".join([known(p) or missed(p) for p in self.split(text)])
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """encode() in bounded parts; None counts as an empty text."""
+        part: list[str] = []
+        held = 0
+        for t in texts:
+            part.append(t or "")
+            held += len(part[-1])
+            if held > BATCH_CHARS:
+                yield from self.encode(part)
+                part, held = [], 0
+        yield from self.encode(part)
 
     def decode(self, ids: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4")
@@ -166,7 +220,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
 
     Encodes each match of pattern apart, without special tokens. A null text
     counts as empty and has no ids. Very long pre-tokens take time in
-    proportion to their length (times the cost of a heap in a bucket). Repeated
+    proportion to their length (but for sorting buckets). Repeated
     rows stay; a column already named like out is replaced.
     """
 
@@ -174,7 +228,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = loaded(path, pattern)
         for texts in batches:
-            yield pd.Series([np.frombuffer(codec.encode(x or ""), "<i4") for x in texts])
+            yield pd.Series([np.frombuffer(x, "<i4") for x in codec.encode_all(texts)])
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -199,7 +253,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
         codec = loaded(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for texts in batches:
-            ids = [codec.encode(x or "") for x in texts]
+            ids = list(codec.encode_all(texts))
             yield pd.DataFrame({
                 "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
                 "ids_sha256": [sha(x) for x in ids],
