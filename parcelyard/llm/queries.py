@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelyard.llm import byte_bpe, decontam, langid, quality, sharding, simhash, token_files, url_filter
+from parcelyard.llm import byte_bpe, decontam, langid, line_dedup, quality, sharding, simhash, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op6_simhash, op7_quality, op9_decontam, op10_langid)
+_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op6_simhash, op7_quality, op8_line_dedup, op9_decontam, op10_langid)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
