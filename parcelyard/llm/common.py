@@ -34,7 +34,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The files cut the lineage and outlive lost executors.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

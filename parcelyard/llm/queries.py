@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelyard.llm import byte_bpe, decontam, langid, line_dedup, quality, sharding, simhash, token_files, url_filter
+from parcelyard.llm import byte_bpe, decontam, hpy_lm, langid, line_dedup, quality, sharding, simhash, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op6_simhash, op7_quality, op8_line_dedup, op9_decontam, op10_langid)
+_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op5_lm_scoring, op6_simhash, op7_quality, op8_line_dedup, op9_decontam, op10_langid)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
