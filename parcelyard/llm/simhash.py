@@ -25,22 +25,25 @@ SMALL_BUCKET = 1024
 TILE = 4096
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """A bit is set if more than half of the shingles' XXH64 have it; 0 without words."""
+def _hashes(text: str | None, words: int, seed: int) -> list[int]:
+    """XXH64 of a text's runs of words, repeats included; fewer words are one run."""
     found = (text or "").encode().lower().split()
     n = len(found)
     if not n:
-        return 0
+        return []
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     if n <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]  # noqa: B905
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]  # noqa: B905
+
+
+def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
+    """A bit is set if more than half of the shingles' XXH64 have it; 0 without words."""
     counts = np.zeros(64, np.int64)
-    x = np.array(hashes, "<u8")
+    x = np.array(_hashes(text, words, seed), "<u8")
     for at in range(0, len(x), 1 << 18):
         bits = np.unpackbits(x[at : at + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -65,9 +68,9 @@ def _without_bit(half: Column, bit: Column) -> Column:
 def _signatures(fps: DataFrame) -> DataFrame:
     """64 rows for each fp: a half with one bit deleted. key packs the half's bits, bit the index."""
     low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    rows = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     half = F.when(F.col("bit") < 32, low).otherwise(high)
-    return rows.select("fp", "bit", _without_bit(half, F.col("bit") % 32).alias("key"))
+    return rows.select(*fps.columns, "bit", _without_bit(half, F.col("bit") % 32).alias("key"))
 
 
 def _refined(rows: DataFrame) -> DataFrame:
@@ -79,68 +82,99 @@ def _refined(rows: DataFrame) -> DataFrame:
     other = F.when(F.col("bit") < 32, high).otherwise(low)
     rows = rows.withColumn("other", other).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(31))))
     quarter = F.when(F.col("sub") < 16, F.col("other").bitwiseAND(0xFFFF)).otherwise(F.shiftrightunsigned("other", 16))
-    return rows.select("fp", "bit", "key", "sub", _without_bit(quarter, F.col("sub") % 16).alias("sub_key"))
+    return rows.select(*[c for c in rows.columns if c != "other"], _without_bit(quarter, F.col("sub") % 16).alias("sub_key"))
 
 
-def _forest(x: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of distinct fingerprints: each one that links on to others, and the least of its component here."""
-    x = np.sort(x.astype(np.int64))
-    bits = x.view(np.uint64)
-    if len(x) <= TILE:
+def _forest(bits: np.ndarray, shingled: np.ndarray | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Of a bucket's fingerprints: each that links to earlier ones, one that it links to, and its component's first.
 
-        def near(i: int, left: np.ndarray) -> np.ndarray:
-            return left[np.bitwise_count(bits[left] ^ bits[i]) <= MOST_BITS]
-    else:
-        varying = [b for b in range(64) if (bits[0] ^ np.bitwise_or.reduce(bits)) >> np.uint64(b) & np.uint64(1) or (bits[0] ^ np.bitwise_and.reduce(bits)) >> np.uint64(b) & np.uint64(1)]
+    By position. shingled: second fingerprints, which must be within NEAR_SHINGLES too.
+    """
+    n = len(bits)
+    if shingled is None and n > TILE:
+        order = np.argsort(bits)
+        known = bits[order]
+        differ = int(np.bitwise_or.reduce(bits ^ bits[0]))
+        varying = [b for b in range(64) if differ >> b & 1]
         flips = np.array([sum(1 << b for b in c) for k in range(1, MOST_BITS + 1) for c in combinations(varying, k)], np.uint64)
 
         def near(i: int, left: np.ndarray) -> np.ndarray:
-            want = (bits[i] ^ flips).view(np.int64)
-            at = np.searchsorted(x, want)
-            at[at == len(x)] = 0
-            got = at[x[at] == want]
+            want = bits[i] ^ flips
+            at = np.minimum(np.searchsorted(known, want), n - 1)
+            got = order[at[known[at] == want]]
             return got[free[got]]
+    else:
 
-    free = np.ones(len(x), bool)
-    child, root = [], []
-    for i in range(len(x)):
+        def near(i: int, left: np.ndarray) -> np.ndarray:
+            got = left[np.bitwise_count(bits[left] ^ bits[i]) <= MOST_BITS]
+            return got if shingled is None else got[np.bitwise_count(shingled[got] ^ shingled[i]) <= NEAR_SHINGLES]
+
+    free = np.ones(n, bool)
+    child: list[int] = []
+    parent: list[int] = []
+    root: list[int] = []
+    for i in range(n):
         if not free[i]:
             continue
         free[i] = False
         queue = [i]
-        left = np.flatnonzero(free) if len(x) <= TILE else np.zeros(0, np.int64)
+        left = np.flatnonzero(free)
         while queue:
-            got = near(queue.pop(), left)
+            at = queue.pop()
+            got = near(at, left)
             if len(got):
                 free[got] = False
                 left = left[free[left]]
                 queue += got.tolist()
-                child += x[got].tolist()
-                root += [int(x[i])] * len(got)
-    return child, root
+                child += got.tolist()
+                parent += [at] * len(got)
+                root += [i] * len(got)
+    return child, parent, root
+
+
+def _buckets(fps: DataFrame) -> DataFrame:
+    """Arrays `own` of the rows of fps that share a signature; every pair within 3 bits shares one."""
+    rows = _signatures(fps)
+    sizes = rows.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(sizes, ["key", "bit"])
+    own = F.collect_list(F.struct(*fps.columns) if len(fps.columns) > 1 else F.col("fp")).alias("own")
+    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(own).select("own")
+    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(own).where(F.size("own") > 1).select("own")
+    return small.unionByName(large)
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that join what is linked in each row's array of distinct fps."""
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (column fp) with the components of the graph of all pairs within 3 bits."""
 
     @F.pandas_udf("struct<a: array<long>, b: array<long>>")
     def forest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made = [_forest(np.asarray(x, np.int64)) for x in rows]
-            yield pd.DataFrame({"a": [m[0] for m in made], "b": [m[1] for m in made]})
+            out = []
+            for x in rows:
+                x = np.sort(np.asarray(x, np.int64))
+                child, _, root = _forest(x.view(np.uint64))
+                out.append((x[child], x[root]))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    pairs = sets.select(forest("fps").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
-    return pairs.select("e.a", "e.b")
+    pairs = _buckets(fps).select(forest("own").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
+    return pairs.select("e.a", "e.b").distinct()
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges over distinct fingerprints (column fp) with the components of the graph of all pairs within 3 bits."""
-    rows = _signatures(fps)
-    sizes = rows.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, ["key", "bit"])
-    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(F.collect_list("fp").alias("fps")).select("fps")
-    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return _links(small.unionByName(large)).distinct()
+def close_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs of ids (a > b) that connect all rows (id, fp, shingled) close in both fingerprints."""
+
+    @F.pandas_udf("struct<a: array<long>, b: array<long>>")
+    def forest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for own in rows:
+                x = np.array(sorted((r["id"], r["fp"], r["shingled"]) for r in own), np.int64)
+                child, parent, root = _forest(x[:, 1].copy().view(np.uint64), x[:, 2].copy().view(np.uint64))
+                out.append((x[child + child, 0], x[parent + root, 0]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    pairs = _buckets(prints).select(forest("own").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
+    return pairs.select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,3 +227,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     alone = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(alone, "fp").select(key, digits.alias("fingerprint"), "component_id")
+
+
+#: Seeds of the fingerprints of single words by which similar texts are sought.
+SEEDS = (42, 43, 44)
+#: Most differing bits of the fingerprints of shingles of similar texts: 13 are expected at a similarity of 0.8, 32 of unlike texts.
+NEAR_SHINGLES = 24
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """key and group_id (the least key of its group) of every row with a key.
+
+    Candidates are links of fingerprints of single words, which stay close when
+    a few words change, once for each seed, if those of shingles are close too;
+    two texts belong together if
+    the Jaccard similarity of their sets of shingles is at least `least`, or
+    if they are equal. Groups are what that reaches. Texts without words are
+    equal to each other. Where a key repeats, its rows are one node.
+    """
+
+    @F.pandas_udf("array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array([fingerprint(t, words), *(fingerprint(t, 1, s) for s in seeds)], np.uint64).view(np.int64) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last, own = None, frozenset()
+        for left, right in batches:
+            out = []
+            for a, b in zip(left, right, strict=True):
+                if a != last:
+                    last, own = a, frozenset(_hashes(a, words, SEED))
+                other = frozenset(_hashes(b, words, SEED))
+                both = len(own & other)
+                out.append(both >= least * (len(own) + len(other) - both))
+            yield pd.Series(out, dtype=bool)
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    hashed = saved(rows.select(key, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2")), "text-hashes")
+    copies = saved(hashed.groupBy("h", "h2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "text-copies")
+    first = rows.join(copies.select(F.col("rep").alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
+    made = saved(first.select(key, prints(F.col(text)).alias("f")), "prints")
+    edges = None
+    for s in range(len(seeds)):
+        got = close_pairs(made.select(F.col(key).alias("id"), F.col("f")[s + 1].alias("fp"), F.col("f")[0].alias("shingled")))
+        edges = got if edges is None else edges.unionByName(got)
+    edges = saved(edges.distinct(), "similar-candidates")
+    texts = first.select(key, text)
+    met = edges.join(texts.select(F.col(key).alias("b"), F.col(text).alias("tb")), "b").join(texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), "a")
+    verified = met.where(similar("tb", "ta")).select("a", "b")
+    roots = saved(components(verified), "similar-roots")
+    moved = copies.join(roots, F.col("rep") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "rep").alias("group_id"), "n")
+    # hashes with more than a thousandth of the rows: a thousand at most
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = moved.where(F.col("n") > max(1, total // 1000)).select("h", "h2", F.col("group_id").alias("hot"))
+    marked = hashed.join(F.broadcast(hot), ["h", "h2"], "left")
+    rest = marked.where("hot is null").select(key, "h", "h2").join(moved, ["h", "h2"]).select(key, "group_id")
+    return marked.where("hot is not null").select(key, F.col("hot").alias("group_id")).unionByName(rest)
