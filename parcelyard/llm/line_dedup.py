@@ -20,6 +20,10 @@ EDITS = 2
 FUZZY_FROM = 30
 #: Lines under one key that are paired there; above it the rest of the lines is cut again.
 LARGE = 200
+#: Hashes of lines (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Characters after which a pair that has no reading left is given up.
+FIRST = 16
 #: How often lines under one key are cut again at most.
 DEPTH = 5
 #: A line with more than this share of all lines is joined by broadcast (1 / HOT lines at most).
@@ -31,29 +35,46 @@ _BLANK = "[\\x20\\x09-\\x0D]+"
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_no, line (without white space at its ends), and two 64-bit hashes that tell lines apart."""
     rows = docs.select(F.col(key).alias(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", f"^{_BLANK}|{_BLANK}$", "")).where("line != ''")
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line != ''")
     return rows.select(key, "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _segments(rows: DataFrame, edits: int) -> DataFrame:
-    """A row for each segment that a line is indexed under or probed for: its start, size, key and whether it is indexed.
+def _places(rest: Column, edits: int) -> list[tuple[Column, int, Column, Column]]:
+    """Where a line's segments lie and where segments of lines up to `edits` shorter may: target length, number, start, size.
 
-    rows has h, gid and rest. A key holds the target length, the segment's
-    number and its text, so that lines of other lengths don't meet by chance.
+    The first edits + 1 are the line's own segments, under which it is indexed.
     """
-    n = F.length("rest")
-    parts = edits + 1
-    places = []
-    for shift in range(edits + 1):  # how much shorter the indexed line is
-        size = (n - shift).cast("int")
+    n, parts, own, other = F.length(rest), edits + 1, [], []
+    for shift in range(edits + 1):
+        size = n - shift
+        each, over = F.floor(size / parts).cast("int"), size % parts
         for i in range(parts):
-            length = (size / parts).cast("int") + F.when(size % parts >= parts - i, 1).otherwise(0)
-            start = (size / parts).cast("int") * i + F.greatest(size % parts - (parts - i), F.lit(0))
+            length = each + F.when(over >= parts - i, 1).otherwise(0)
+            start = each * i + F.greatest(over - (parts - i), F.lit(0))
             for move in range(max(-i, shift - (edits - i)), min(i, shift + (edits - i)) + 1):
-                places.append(F.struct(size.alias("size"), F.lit(i).alias("i"), (start + move + 1).alias("start"), length.alias("length"), F.lit(shift == 0 and move == 0).alias("own")))
-    at = rows.select("h", "gid", "rest", F.explode(F.array(*places)).alias("p")).where("p.size >= 0 and p.start >= 1 and p.length + p.start - 1 <= length(rest)")
-    key = F.xxhash64("gid", "p.size", "p.i", F.substring(F.col("rest"), F.col("p.start"), F.col("p.length")))
-    return at.select("h", "gid", "p.start", "p.length", key.alias("key"), "p.own")
+                (other if shift or move else own).append((size, i, start + move + 1, length))
+    return own + other
+
+
+def _key(rest: Column, place: tuple[Column, int, Column, Column]) -> Column:
+    size, i, start, length = place
+    fits = (size >= 0) & (start >= 1) & (start + length - 1 <= F.length(rest))
+    return F.when(fits, F.xxhash64("gid", size, F.lit(i), F.substring(rest, start, length)))
+
+
+def _keys(rows: DataFrame, edits: int) -> DataFrame:
+    """h, key and own (whether the line is indexed under the key) of every place of lines (h, gid, rest)."""
+    rest = F.col("rest")
+    keys = rows.select("h", F.posexplode(F.array(*[_key(rest, p) for p in _places(rest, edits)])).alias("i", "key"))
+    return keys.where("key is not null").select("h", "key", (F.col("i") <= edits).alias("own"))
+
+
+def _segments(rows: DataFrame, edits: int) -> DataFrame:
+    """_keys with gid and the start and size of each segment, to cut it out."""
+    rest = F.col("rest")
+    places = F.array(*[F.struct(_key(rest, p).alias("key"), p[2].alias("start"), p[3].alias("length")) for p in _places(rest, edits)])
+    keys = rows.select("h", "gid", F.posexplode(places).alias("i", "p")).where("p.key is not null")
+    return keys.select("h", "gid", "p.start", "p.length", "p.key", (F.col("i") <= edits).alias("own"))
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -67,7 +88,7 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs (a, b), a < b, of hashes h of lines (h, rest) that may be within the edits; none is missed."""
     rows, pairs = lines.select("h", F.lit(0).cast("long").alias("gid"), "rest"), None
     for depth in range(DEPTH + 1):
-        met = saved(_met(_segments(rows, edits).select("h", "key", "own") if depth == 0 else _segments(rows, edits)), f"met-{depth}")
+        met = saved(_met(_keys(rows, edits) if depth == 0 else _segments(rows, edits)), f"met-{depth}")
         few = met if depth == DEPTH else met.where(F.col("n") <= LARGE)
         own = few.where("own").select("key", F.col("h").alias("x"))
         got = few.select("key", F.col("h").alias("y")).join(own, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -98,12 +119,12 @@ def _characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
-def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Edit distance of two arrays of characters, or null above the edits.
+def _band(a: Column, b: Column, edits: int, steps: Column) -> Column:
+    """States of the diagonals about the main one after some characters of b, a number for each count of edits.
 
-    Level k has a bit for each of the 2 * edits + 1 diagonals about the main
-    one: set while some reading with at most k edits is there. One step of all
-    levels takes the next character of b.
+    Level k has a bit for each of the 2 * edits + 1 diagonals: set while some
+    reading with at most k edits is there. One step of all levels takes the
+    next character of b.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -127,19 +148,30 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
             now.append(x.bitwiseAND(full))
         return levels(now)
 
+    taken = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(taken, levels([F.lit(x) for x in first]), step)
+
+
+def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Edit distance of two arrays of characters, or null above the edits."""
     end = F.size(a) - F.size(b) + edits
-    steps = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(steps, levels([F.lit(x) for x in first]), step)
-    out = F.lit(None).cast("int")
-    for k in range(edits, -1, -1):
-        out = F.when(F.call_function("shiftright", last[f"r{k}"], end).bitwiseAND(1) == 1, k).otherwise(out)
-    return F.when(F.abs(F.size(a) - F.size(b)) <= edits, out)
+    last = _band(a, b, edits, F.size(b))
+    ends = [F.call_function("shiftright", last[f"r{k}"], end).bitwiseAND(1) for k in range(edits + 1)]
+    # each level holds the one below, so the distance is how many levels miss the end
+    missed = edits + 1 - sum(ends[1:], ends[0])
+    return F.when(F.abs(F.size(a) - F.size(b)) <= edits, F.nullif(missed, F.lit(edits + 1)))
+
+
+def _starts_alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether any reading of the first characters is within the edits; most pairs that aren't alike end here."""
+    return _band(a, b, edits, F.least(F.size(b), F.lit(FIRST)))[f"r{edits}"] != 0
 
 
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs (a, b) of hashes of distinct lines (h, rest) within the edits."""
     pairs = saved(candidates(lines, edits), "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidate-hashes")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     text = saved(lines.join(named, "h"), "candidate-lines")
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("rest").alias("ta")), "a").join(text.select(F.col("h").alias("b"), F.col("rest").alias("tb")), "b")
     both = both.where(F.abs(F.length("ta") - F.length("tb")) <= edits)
@@ -150,7 +182,8 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     head = lambda c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("s"))
     # written, so that the characters are read as columns rather than worked out again at every step
     both = saved(both.select("a", "b", _characters(head("ta")).alias("ta"), _characters(head("tb")).alias("tb")), "unequal-middles")
-    return both.where(banded_distance(F.col("ta"), F.col("tb"), edits).isNotNull()).select("a", "b")
+    ta, tb = F.col("ta"), F.col("tb")
+    return both.where(_starts_alike(ta, tb, edits) & banded_distance(ta, tb, edits).isNotNull()).select("a", "b")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
@@ -169,6 +202,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     at = F.struct(F.col(key), F.col("line_no"))
     info = saved(places.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-info")
     long = lines.where(F.length("line") >= fuzzy_from).groupBy("h", "h2").agg(F.min("line").alias("rest")).select("h", "rest")
+    long = saved(long, "long-lines")
     linked = saved(links(long, edits), "line-links")
     ends = linked.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(linked).select(F.col("node").alias("h"), "root")

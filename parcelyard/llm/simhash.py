@@ -42,8 +42,12 @@ def _hashes(text: str | None, words: int, seed: int) -> list[int]:
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if more than half of the shingles' XXH64 have it; 0 without words."""
+    return _majority(_hashes(text, words, seed))
+
+
+def _majority(hashes: list[int]) -> int:
     counts = np.zeros(64, np.int64)
-    x = np.array(_hashes(text, words, seed), "<u8")
+    x = np.array(hashes, "<u8")
     for at in range(0, len(x), 1 << 18):
         bits = np.unpackbits(x[at : at + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
@@ -85,10 +89,12 @@ def _refined(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "other"], _without_bit(quarter, F.col("sub") % 16).alias("sub_key"))
 
 
-def _forest(bits: np.ndarray, shingled: np.ndarray | None = None) -> tuple[list[int], list[int], list[int]]:
+def _forest(bits: np.ndarray, shingled: np.ndarray | None = None, size: np.ndarray | None = None, least: float = 0.0) -> tuple[list[int], list[int], list[int]]:
     """Of a bucket's fingerprints: each that links to earlier ones, one that it links to, and its component's first.
 
-    By position. shingled: second fingerprints, which must be within NEAR_SHINGLES too.
+    By position. shingled: second fingerprints, which must be within
+    NEAR_SHINGLES too; size: counts, of which the lesser must be at least
+    `least` of the greater.
     """
     n = len(bits)
     if shingled is None and n > TILE:
@@ -107,7 +113,10 @@ def _forest(bits: np.ndarray, shingled: np.ndarray | None = None) -> tuple[list[
 
         def near(i: int, left: np.ndarray) -> np.ndarray:
             got = left[np.bitwise_count(bits[left] ^ bits[i]) <= MOST_BITS]
-            return got if shingled is None else got[np.bitwise_count(shingled[got] ^ shingled[i]) <= NEAR_SHINGLES]
+            if shingled is None:
+                return got
+            got = got[np.bitwise_count(shingled[got] ^ shingled[i]) <= NEAR_SHINGLES]
+            return got[np.minimum(size[got], size[i]) >= least * np.maximum(size[got], size[i])]
 
     free = np.ones(n, bool)
     child: list[int] = []
@@ -133,13 +142,13 @@ def _forest(bits: np.ndarray, shingled: np.ndarray | None = None) -> tuple[list[
 
 
 def _buckets(fps: DataFrame) -> DataFrame:
-    """Arrays `own` of the rows of fps that share a signature; every pair within 3 bits shares one."""
+    """Arrays of the columns of fps, row by row, of rows that share a signature; every pair within 3 bits shares one."""
     rows = _signatures(fps)
     sizes = rows.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(sizes, ["key", "bit"])
-    own = F.collect_list(F.struct(*fps.columns) if len(fps.columns) > 1 else F.col("fp")).alias("own")
-    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(own).select("own")
-    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(own).where(F.size("own") > 1).select("own")
+    own = [F.collect_list(c).alias(c) for c in fps.columns]
+    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(*own).select(*fps.columns)
+    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(*own).where(F.size("fp") > 1).select(*fps.columns)
     return small.unionByName(large)
 
 
@@ -156,24 +165,25 @@ def links(fps: DataFrame) -> DataFrame:
                 out.append((x[child], x[root]))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    pairs = _buckets(fps).select(forest("own").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
+    pairs = _buckets(fps).select(forest("fp").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
     return pairs.select("e.a", "e.b").distinct()
 
 
-def close_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs of ids (a > b) that connect all rows (id, fp, shingled) close in both fingerprints."""
+def close_pairs(prints: DataFrame, least: float) -> DataFrame:
+    """Pairs of ids (a > b) that connect all rows (id, fp, shingled, size) close in both fingerprints and in size."""
 
     @F.pandas_udf("struct<a: array<long>, b: array<long>>")
-    def forest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def forest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
             out = []
-            for own in rows:
-                x = np.array(sorted((r["id"], r["fp"], r["shingled"]) for r in own), np.int64)
-                child, parent, root = _forest(x[:, 1].copy().view(np.uint64), x[:, 2].copy().view(np.uint64))
-                out.append((x[child + child, 0], x[parent + root, 0]))
+            for own in zip(*columns, strict=True):
+                ids, fp, shingled, size = (np.asarray(x, np.int64) for x in own)
+                order = np.lexsort((shingled, fp, ids))
+                child, parent, root = _forest(fp[order].view(np.uint64), shingled[order].view(np.uint64), size[order], least)
+                out.append((ids[order[child + child]], ids[order[parent + root]]))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    pairs = _buckets(prints).select(forest("own").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
+    pairs = _buckets(prints).select(forest("id", "fp", "shingled", "size").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
     return pairs.select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).distinct()
 
 
@@ -232,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 #: Seeds of the fingerprints of single words by which similar texts are sought.
 SEEDS = (42, 43, 44)
 #: Most differing bits of the fingerprints of shingles of similar texts: 13 are expected at a similarity of 0.8, 32 of unlike texts.
-NEAR_SHINGLES = 24
+NEAR_SHINGLES = 22
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
@@ -249,7 +259,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     @F.pandas_udf("array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.array([fingerprint(t, words), *(fingerprint(t, 1, s) for s in seeds)], np.uint64).view(np.int64) for t in texts])
+            out = []
+            for t in texts:
+                shingles = _hashes(t, words, SEED)
+                out.append(np.array([len(set(shingles)), _majority(shingles), *(fingerprint(t, 1, s) for s in seeds)], np.uint64).view(np.int64))
+            yield pd.Series(out)
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -271,7 +285,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     made = saved(first.select(key, prints(F.col(text)).alias("f")), "prints")
     edges = None
     for s in range(len(seeds)):
-        got = close_pairs(made.select(F.col(key).alias("id"), F.col("f")[s + 1].alias("fp"), F.col("f")[0].alias("shingled")))
+        got = close_pairs(made.select(F.col(key).alias("id"), F.col("f")[s + 2].alias("fp"), F.col("f")[1].alias("shingled"), F.col("f")[0].alias("size")), least)
         edges = got if edges is None else edges.unionByName(got)
     edges = saved(edges.distinct(), "similar-candidates")
     texts = first.select(key, text)

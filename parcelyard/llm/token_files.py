@@ -9,7 +9,9 @@ any block can be decoded alone.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +25,8 @@ from parcelyard.llm.common import saved, shuffle_parts
 
 #: Longest code in bits (or what the number of ids in use needs), ids in a block, ids in a chunk at which it is closed.
 LIMIT, BLOCK, CHUNK_IDS = 16, 256, 500_000
-CACHE_WORDS = 250_000
+#: Words that a worker keeps the ids of, and words that are encoded in one text.
+CACHE_WORDS, JOINED = 600_000, 100
 BATCH_CHARS = 1_000_000
 
 
@@ -113,7 +116,10 @@ class Code:
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokens never cross white space: words are encoded once and kept."""
+    """A tokenizers file that lower-cases and whose pre-tokens never cross white space, nor join letters or digits and marks.
+
+    Words are encoded once and kept.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,34 +127,66 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Words are encoded many to a text and told apart by their tokens' offsets."""
-        out: list[bytes] = []
-        for part in range(0, len(words), 2000):
-            own = [w.decode() for w in words[part : part + 2000]]
-            ends = np.cumsum([len(w) + 1 for w in own])
-            got = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
+        # the printable characters by which byte-level models write bytes
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A word of letters that the normalizer leaves alone is one pre-token and goes straight to the model.
+
+        Others are encoded many to a text and told apart by their tokens' offsets.
+        """
+        out: dict[bytes, bytes] = {}
+        rest: list[tuple[bytes, str]] = []
+        tokenize, written = self.model.tokenize, self.written
+        for w in words:
+            t = w.decode()
+            if t.isascii() and t.isalpha():
+                out[w] = array("I", [x.id for x in tokenize(t)]).tobytes()
+            elif t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
+                out[w] = array("I", [x.id for x in tokenize(w.decode("latin-1").translate(written))]).tobytes()
+            else:
+                rest.append((w, t))
+        for part in range(0, len(rest), JOINED):
+            own = rest[part : part + JOINED]
+            ends = np.cumsum([len(t) + 1 for _, t in own])
+            got = self.tokenizer.encode(" ".join([t for _, t in own]), add_special_tokens=False)
             firsts = np.array([a for a, _ in got.offsets], np.int64)
-            cuts = np.searchsorted(firsts, ends, "left")
-            data, at = ids.tobytes(), 0
-            for c in (4 * cuts).tolist():
-                out.append(data[at:c])
+            data, at = np.array(got.ids, "<u4").tobytes(), 0
+            for (w, _), c in zip(own, (4 * np.searchsorted(firsts, ends, "left")).tolist(), strict=True):
+                out[w] = data[at:c]
                 at = c
         return out
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def _learn(self, words: set[bytes]) -> None:
+        """Keep the ids of words that aren't kept yet.
+
+        A point or comma after an ASCII letter or digit is a pre-token of its
+        own, so the word without it is what needs encoding.
+        """
         cache = self.cache
-        found = [t.encode().split() for t in texts]
-        new = list({w for own in found for w in own if w not in cache})
+        new = [w for w in words if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list({w for own in found for w in own})
-        cache.update(zip(new, self._encode_words(new), strict=True))
-        tail = int(end).to_bytes(4, "little")
-        return [np.frombuffer(b"".join([cache[w] for w in own]) + tail, "<u4") for own in found]
+            new = list(words)
+        ending = [w for w in new if w[-1:] in b".," and w[-2:-1].isalnum()]
+        stems = {w[:-1] for w in ending}
+        stems.update(new, (b".", b","))
+        stems.difference_update(ending)
+        stems = [w for w in stems if w not in cache]
+        cache.update(self._encode_words(stems))
+        for w in ending:
+            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+
+    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        # the tokenizer lower-cases, so A-Z may be lower-cased before
+        found = [t.encode().lower().split() for t in texts]
+        self._learn(set().union(*found))
+        known, tail = self.cache.__getitem__, int(end).to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(known, own)) + tail, "<u4") for own in found]
 
     def encode_all(self, texts: Iterable[str | None], end: int) -> Iterator[list[np.ndarray]]:
         part: list[str] = []
@@ -162,9 +200,6 @@ class WordTokenizer:
         if part:
             yield self.encode(part, end)
 
-    def vocabulary(self) -> int:
-        return max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -175,21 +210,47 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end: int, text: str = "text") -> np.ndarray:
-    """How often each id occurs in all texts, ends included (at most a row for each id comes to the driver)."""
+def _planes(ids: np.ndarray) -> bytes:
+    """Ids byte by byte of all of them, which compresses better."""
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _ids(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """is_null, key and ids (of the whole text and the end) of every row, written to the shared folder."""
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _tokenizer(tokenizer)
-        total = np.zeros(max(words.vocabulary(), end + 1), np.int64)
         for batch in batches:
-            for ids in words.encode_all(batch[text], end):
-                total += np.bincount(np.concatenate(ids), minlength=len(total))
+            at = 0
+            for ids in words.encode_all(batch["text"], end):
+                own = batch.iloc[at : at + len(ids)]
+                at += len(ids)
+                yield pd.DataFrame({"is_null": own["is_null"], "key": own["key"], "ids": [_planes(x) for x in ids]})
+
+    rows = docs.select(F.col(key).isNull().alias("is_null"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text).alias("text"))
+    return saved(rows.mapInPandas(encoded, "is_null boolean, key long, ids binary"), "ids")
+
+
+def count_ids(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs (a row for each id of the vocabulary comes to the driver)."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch["ids"]:
+                n = np.bincount(_ids(ids), minlength=len(total))
+                n[: len(total)] += total
+                total = n
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    rows = docs.select(F.col(text).alias(text)).mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end, *(r.id for r in rows)]) + 1, np.int64)
-    for r in rows:
+    got = rows.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max([-1, *(r.id for r in got)]) + 1, np.int64)
+    for r in got:
         out[r.id] = r.n
     return out
 
@@ -202,26 +263,30 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", te
     order of their coded ids. An empty table writes no chunk.
     """
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, tokenizer, end, text))
+    ids = encode(docs, tokenizer, end, key, text)
+    lengths = code_lengths(count_ids(ids))
     book = saved(spark.createDataFrame([(BLOCK, end, bytearray(lengths.tobytes()))], "block int, end int, lengths binary"), "code-book")
     parts = shuffle_parts(spark)
-    bounds = docs.select(F.col(key).cast("long").alias(key)).approxQuantile(key, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
+    bounds = ids.approxQuantile("key", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
     edges = np.unique(np.array(bounds, np.int64))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, code = _tokenizer(tokenizer), Code(lengths)
+        code = Code(lengths)
         for batch in batches:
             at = 0
-            for ids in words.encode_all(batch[text], end):
-                own = batch.iloc[at : at + len(ids)]
-                at += len(ids)
-                data, marks = code.encode(ids)
-                part = np.searchsorted(edges, own["_k"].to_numpy(), "right")
-                yield pd.DataFrame({"part": part, "is_null": own["is_null"].to_numpy(), "key": own["_k"].to_numpy(), "n_tokens": [len(x) for x in ids], "data": data, "marks": marks})
-
-    lowest = -(2**63)
-    rows = docs.select(F.col(key).isNull().alias("is_null"), F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("_k"), F.col(text).alias(text))
-    rows = rows.mapInPandas(coded, "part int, is_null boolean, key long, n_tokens long, data binary, marks binary")
+            while at < len(batch):
+                upto, held = at, 0
+                while upto < len(batch) and held < CHUNK_IDS:
+                    held += len(batch["ids"].iat[upto]) // 4
+                    upto += 1
+                own = batch.iloc[at:upto]
+                at = upto
+                x = [_ids(i) for i in own["ids"]]
+                data, marks = code.encode(x)
+                part = np.searchsorted(edges, own["key"].to_numpy(), "right")
+                yield pd.DataFrame({"part": part, "is_null": own["is_null"].to_numpy(), "key": own["key"].to_numpy(), "n_tokens": [len(i) for i in x], "data": data, "marks": marks})
+
+    rows = ids.mapInPandas(coded, "part int, is_null boolean, key long, n_tokens long, data binary, marks binary")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("is_null"), "key", "data")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
