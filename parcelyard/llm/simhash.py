@@ -7,8 +7,9 @@ deleted, so such a pair meets under an equal key in at least one index.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -45,13 +46,18 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     return _majority(_hashes(text, words, seed))
 
 
-def _majority(hashes: list[int]) -> int:
+#: The bits of a byte, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have. Up to 255 are added in lanes of a byte."""
     counts = np.zeros(64, np.int64)
-    x = np.array(hashes, "<u8")
-    for at in range(0, len(x), 1 << 18):
-        bits = np.unpackbits(x[at : at + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(x)))
+    x = np.ascontiguousarray(hashes, "<u8")
+    for at in range(0, len(x), 255 << 10):
+        lanes = _LANES[x[at : at + (255 << 10)].view(np.uint8).reshape(-1, 8)]
+        counts += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(x), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
@@ -89,15 +95,10 @@ def _refined(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "other"], _without_bit(quarter, F.col("sub") % 16).alias("sub_key"))
 
 
-def _forest(bits: np.ndarray, shingled: np.ndarray | None = None, size: np.ndarray | None = None, least: float = 0.0) -> tuple[list[int], list[int], list[int]]:
-    """Of a bucket's fingerprints: each that links to earlier ones, one that it links to, and its component's first.
-
-    By position. shingled: second fingerprints, which must be within
-    NEAR_SHINGLES too; size: counts, of which the lesser must be at least
-    `least` of the greater.
-    """
+def _forest(bits: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a bucket's fingerprints: each that links to earlier ones, and its component's first, by position."""
     n = len(bits)
-    if shingled is None and n > TILE:
+    if n > TILE:
         order = np.argsort(bits)
         known = bits[order]
         differ = int(np.bitwise_or.reduce(bits ^ bits[0]))
@@ -112,15 +113,10 @@ def _forest(bits: np.ndarray, shingled: np.ndarray | None = None, size: np.ndarr
     else:
 
         def near(i: int, left: np.ndarray) -> np.ndarray:
-            got = left[np.bitwise_count(bits[left] ^ bits[i]) <= MOST_BITS]
-            if shingled is None:
-                return got
-            got = got[np.bitwise_count(shingled[got] ^ shingled[i]) <= NEAR_SHINGLES]
-            return got[np.minimum(size[got], size[i]) >= least * np.maximum(size[got], size[i])]
+            return left[np.bitwise_count(bits[left] ^ bits[i]) <= MOST_BITS]
 
     free = np.ones(n, bool)
     child: list[int] = []
-    parent: list[int] = []
     root: list[int] = []
     for i in range(n):
         if not free[i]:
@@ -136,19 +132,18 @@ def _forest(bits: np.ndarray, shingled: np.ndarray | None = None, size: np.ndarr
                 left = left[free[left]]
                 queue += got.tolist()
                 child += got.tolist()
-                parent += [at] * len(got)
                 root += [i] * len(got)
-    return child, parent, root
+    return child, root
 
 
 def _buckets(fps: DataFrame) -> DataFrame:
-    """Arrays of the columns of fps, row by row, of rows that share a signature; every pair within 3 bits shares one."""
+    """Arrays of fingerprints that share a signature; every pair within 3 bits shares one."""
     rows = _signatures(fps)
     sizes = rows.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(sizes, ["key", "bit"])
-    own = [F.collect_list(c).alias(c) for c in fps.columns]
-    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(*own).select(*fps.columns)
-    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(*own).where(F.size("fp") > 1).select(*fps.columns)
+    own = F.collect_list("fp").alias("fp")
+    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(own).select("fp")
+    large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(own).where(F.size("fp") > 1).select("fp")
     return small.unionByName(large)
 
 
@@ -161,7 +156,7 @@ def links(fps: DataFrame) -> DataFrame:
             out = []
             for x in rows:
                 x = np.sort(np.asarray(x, np.int64))
-                child, _, root = _forest(x.view(np.uint64))
+                child, root = _forest(x.view(np.uint64))
                 out.append((x[child], x[root]))
             yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -169,24 +164,6 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.select("e.a", "e.b").distinct()
 
 
-def close_pairs(prints: DataFrame, least: float) -> DataFrame:
-    """Pairs of ids (a > b) that connect all rows (id, fp, shingled, size) close in both fingerprints and in size."""
-
-    @F.pandas_udf("struct<a: array<long>, b: array<long>>")
-    def forest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            out = []
-            for own in zip(*columns, strict=True):
-                ids, fp, shingled, size = (np.asarray(x, np.int64) for x in own)
-                order = np.lexsort((shingled, fp, ids))
-                child, parent, root = _forest(fp[order].view(np.uint64), shingled[order].view(np.uint64), size[order], least)
-                out.append((ids[order[child + child]], ids[order[parent + root]]))
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    pairs = _buckets(prints).select(forest("id", "fp", "shingled", "size").alias("f")).select(F.explode(F.arrays_zip("f.a", "f.b")).alias("e"))
-    return pairs.select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of an undirected graph, as (a, b) with a > b or not.
 
@@ -239,63 +216,179 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(alone, "fp").select(key, digits.alias("fingerprint"), "component_id")
 
 
-#: Seeds of the fingerprints of single words by which similar texts are sought.
-SEEDS = (42, 43, 44)
-#: Most differing bits of the fingerprints of shingles of similar texts: 13 are expected at a similarity of 0.8, 32 of unlike texts.
-NEAR_SHINGLES = 22
-
-
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+#: Shingles sampled from each text, each by the least value of another hash.
+SAMPLES = 6
+#: Bits of a segment of the fingerprint of single words; each sample has one.
+SEGMENT = 16
+#: Most differing bits of the fingerprints of shingles of similar texts: 10 are expected at a similarity of 0.8, 32 of unlike texts.
+NEAR_SHINGLES = 24
+#: Texts under one key that are compared in one piece; more are dealt to chunks, and each two chunks are compared.
+CHUNK = 4096
+#: Nearest texts that each text of a group is verified against at first; eight times as many in the next round.
+NEAREST = 4
+#: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+_odd = lambda i: np.uint64(xxhash.xxh64_intdigest(str(i).encode(), SEED) | 1)
+_PLACE = [_odd(i) for i in range(64)]
+_SAMPLE = np.array([_odd(64 + i) for i in range(SAMPLES)], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
+
+
+def _shingles(batch: list[str | None], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: two hashes of each word, and one of each run of words (fewer are one run; none, no run)."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    texts = [np.array([number[w] for w in (t or "").encode().lower().split()], np.int64) for t in batch]
+    one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)
+    two = np.array([xxhash.xxh64_intdigest(w, SEED + 1) for w in number], np.uint64)
+    for ids in texts:
+        w, size = one[ids], min(words, len(ids))
+        runs = np.zeros(len(ids) - size + 1 if size else 0, np.uint64)
+        for k in range(size):
+            runs += w[k : k + len(runs)] * _PLACE[k % len(_PLACE)]
+        yield w, two[ids], _mixed(runs)
+
+
+def _nearest(shingled: np.ndarray, size: np.ndarray, label: np.ndarray, k: int, least: float) -> tuple[list[int], list[int], bool]:
+    """Of each text of a group the k nearest that may be similar and have another label; whether there are more."""
+    left: list[int] = []
+    right: list[int] = []
+    more = False
+    for at in range(0, len(label), 256):
+        own = slice(at, at + 256)
+        bits = np.bitwise_count(shingled[own, None] ^ shingled)
+        i, j = np.nonzero((bits <= NEAR_SHINGLES) & (label[own, None] != label))
+        fits = np.minimum(size[i + at], size[j]) >= least * np.maximum(size[i + at], size[j])
+        i, j = i[fits], j[fits]
+        order = np.lexsort((j, bits[i, j], i))
+        i, j = i[order], j[order]
+        near = np.arange(len(i)) - np.searchsorted(i, i) < k
+        more |= not near.all()
+        left += (i[near] + at).tolist()
+        right += j[near].tolist()
+    return left, right, more
+
+
+def _sampled(made: DataFrame) -> DataFrame:
+    """key and id of every text, for each sample and each bit that is deleted from its segment of the fingerprint."""
+    per = 64 // SEGMENT
+    rows = made.select("id", "fps", F.posexplode("samples").alias("i", "sample"))
+    part = F.call_function("shiftrightunsigned", F.element_at("fps", (F.col("i") / per).cast("int") + 1), F.col("i") % per * SEGMENT).bitwiseAND((1 << SEGMENT) - 1)
+    rows = rows.select("id", "i", "sample", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit"))
+    return rows.select(F.xxhash64("i", "bit", "sample", _without_bit(F.col("part"), F.col("bit"))).alias("key"), "id")
+
+
+def _met(made: DataFrame) -> DataFrame:
+    """key, chunks and id of texts that share a key with another; a group of over CHUNK has all pairs of its chunks."""
+    rows = _sampled(made)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(sizes, "key")
+    small = met.where(F.col("n") <= CHUNK).select("key", F.lit(0).cast("long").alias("chunks"), "id")
+    m = F.ceil(F.col("n") / CHUNK)
+    large = met.where(F.col("n") > CHUNK).withColumn("m", m).withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")))
+    large = large.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return small.unionByName(large.select("key", (F.least("c", "d") * F.col("m") + F.greatest("c", "d")).alias("chunks"), "id"))
+
+
+def _looked_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids, a written table; ids are broadcast if they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """key and group_id (the least key of its group) of every row with a key.
 
-    Candidates are links of fingerprints of single words, which stay close when
-    a few words change, once for each seed, if those of shingles are close too;
-    two texts belong together if
-    the Jaccard similarity of their sets of shingles is at least `least`, or
-    if they are equal. Groups are what that reaches. Texts without words are
-    equal to each other. Where a key repeats, its rows are one node.
+    Two texts belong together if they are equal, or if the Jaccard similarity
+    of their sets of shingles is at least `least`; groups are what that
+    reaches. Candidates share a sampled shingle and, but for one bit, its
+    segment of the fingerprint of single words, which stays close when a few
+    words change; fingerprints of shingles order them. Each text is verified
+    against its nearest candidates outside its group so far, then against more,
+    until none is left. Texts without words are equal to each other. Where a
+    key repeats, its rows are one node.
     """
+    kind = "size long, shingled long, fps array<long>, samples array<long>"
 
-    @F.pandas_udf("array<long>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
-            for t in texts:
-                shingles = _hashes(t, words, SEED)
-                out.append(np.array([len(set(shingles)), _majority(shingles), *(fingerprint(t, 1, s) for s in seeds)], np.uint64).view(np.int64))
-            yield pd.Series(out)
+            for one, two, runs in _shingles(list(texts), words):
+                own = np.unique(runs)
+                samples = [(own * m).min() for m in _SAMPLE] if len(own) else [0] * SAMPLES
+                out.append((len(own), int(signed([_majority(own)])[0]), signed([_majority(one), _majority(two)]), signed(samples)))
+            yield pd.DataFrame(out, columns=["size", "shingled", "fps", "samples"])
+
+    @F.pandas_udf("binary")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(runs).tobytes() for _, _, runs in _shingles(list(texts), words)], dtype=object)
 
     @F.pandas_udf("boolean")
-    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, own = None, frozenset()
-        for left, right in batches:
-            out = []
-            for a, b in zip(left, right, strict=True):
-                if a != last:
-                    last, own = a, frozenset(_hashes(a, words, SEED))
-                other = frozenset(_hashes(b, words, SEED))
-                both = len(own & other)
-                out.append(both >= least * (len(own) + len(other) - both))
-            yield pd.Series(out, dtype=bool)
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            out.append(shared >= least * (len(both) - shared))
+        return pd.Series(out, dtype=bool)
+
+    def nearest(k: int):
+        @F.pandas_udf("a array<long>, b array<long>, more boolean")
+        def pairs(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for columns in batches:
+                out = []
+                for own in zip(*columns, strict=True):
+                    ids, shingled, size, label = (np.asarray(x, np.int64) for x in own)
+                    order = np.lexsort((shingled, ids))
+                    ids = ids[order]
+                    i, j, more = _nearest(shingled[order].view(np.uint64), size[order], label[order], k, least)
+                    out.append((ids[i], ids[j], more))
+                yield pd.DataFrame(out, columns=["a", "b", "more"])
+
+        return pairs
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    hashed = saved(rows.select(key, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2")), "text-hashes")
-    copies = saved(hashed.groupBy("h", "h2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "text-copies")
-    first = rows.join(copies.select(F.col("rep").alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
-    made = saved(first.select(key, prints(F.col(text)).alias("f")), "prints")
-    edges = None
-    for s in range(len(seeds)):
-        got = close_pairs(made.select(F.col(key).alias("id"), F.col("f")[s + 2].alias("fp"), F.col("f")[1].alias("shingled"), F.col("f")[0].alias("size")), least)
-        edges = got if edges is None else edges.unionByName(got)
-    edges = saved(edges.distinct(), "similar-candidates")
-    texts = first.select(key, text)
-    met = edges.join(texts.select(F.col(key).alias("b"), F.col(text).alias("tb")), "b").join(texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), "a")
-    verified = met.where(similar("tb", "ta")).select("a", "b")
-    roots = saved(components(verified), "similar-roots")
-    moved = copies.join(roots, F.col("rep") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "rep").alias("group_id"), "n")
+    hashed = rows.select(key, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), prints(F.col(text)).alias("f"))
+    hashed = saved(hashed, "prints")
+    copies = saved(hashed.groupBy("h", "h2").agg(F.min(key).alias("id"), F.min_by("f", key).alias("f"), F.count(F.lit(1)).alias("n")), "text-copies")
+    made = copies.select("id", "f.*")
+    met = saved(_met(made), "met")
+    named = saved(met.select("id").distinct(), "met-ids")
+    known = saved(_looked_up(made.select("id", "size", "shingled"), named, "id"), "met-prints")
+    labels = named.select("id", F.col("id").alias("label"))
+    edges = tested = roots = None
+    k = NEAREST
+    while True:
+        marked = met.join(known, "id").join(labels, "id")
+        groups = marked.groupBy("key", "chunks").agg(*[F.collect_list(c).alias(c) for c in ("id", "shingled", "size", "label")])
+        found = saved(groups.select("key", "chunks", nearest(k)("id", "shingled", "size", "label").alias("f")).select("key", "chunks", "f.*"), "nearest")
+        pairs = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).where("a != b").distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        ids = saved(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "candidate-ids")
+        texts = saved(_looked_up(rows, ids, key).dropDuplicates().select(key, sets(F.col(text)).alias("s")), "candidate-sets")
+        both = pairs.join(texts.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+        good = saved(both.where(similar("sa", "sb")).select("a", "b"), "similar")
+        edges = good if edges is None else edges.unionByName(good)
+        roots = saved(components(edges), "similar-roots")
+        more = found.where("more").select("key", "chunks")
+        if more.isEmpty():
+            break
+        met = saved(met.join(more, ["key", "chunks"], "left_semi"), "met")
+        labels = named.join(roots, named.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("label"))
+        k *= 8
+    moved = copies.join(roots, F.col("id") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "id").alias("group_id"), "n")
     # hashes with more than a thousandth of the rows: a thousand at most
     total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = moved.where(F.col("n") > max(1, total // 1000)).select("h", "h2", F.col("group_id").alias("hot"))
-    marked = hashed.join(F.broadcast(hot), ["h", "h2"], "left")
+    marked = hashed.select(key, "h", "h2").join(F.broadcast(hot), ["h", "h2"], "left")
     rest = marked.where("hot is null").select(key, "h", "h2").join(moved, ["h", "h2"]).select(key, "group_id")
     return marked.where("hot is not null").select(key, F.col("hot").alias("group_id")).unionByName(rest)

@@ -197,7 +197,39 @@ def test_flip_lookup_equals_comparison(monkeypatch):
     x = np.array(sorted({rng.getrandbits(12) for _ in range(300)}), np.uint64)
     plain = simhash._forest(x)
     monkeypatch.setattr(simhash, "TILE", 1)
-    assert {*zip(plain[0], plain[2], strict=True)} == {*zip(*simhash._forest(x)[::2], strict=True)}
+    assert {*zip(*plain, strict=True)} == {*zip(*simhash._forest(x), strict=True)}
+
+
+def test_fingerprint_equals_counting():
+    import xxhash
+
+    for t in (*TEXTS[:20], "x y", "a b c d", "word " * 1000, sentence(300_000)):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        runs = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize(("nearest", "chunk"), [(4, 4096), (1, 3)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, nearest, chunk):
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    texts = [sentence(rng.randint(60, 200)) for _ in range(8)]
+    for base in texts[:8]:
+        for _ in range(8):
+            w = base.split()
+            for i in rng.sample(range(len(w)), rng.randint(1, max(1, len(w) // 60))):
+                w[i] = sentence(1)
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root
 
 
 def test_similar_groups_find_near_copies(spark):
