@@ -22,12 +22,14 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Least share of its own score at which an item is retrieved for a passage.
 RETRIEVE = 0.7
-#: Words in a shingle, and the share of an item's shingles that make a leak.
+#: Words in a shingle, and the share of shingles, of an item or of both its halves, that makes a leak.
 SHINGLE, OVERLAP = 5, 0.8
 #: Characters of items in one index; more items make more indexes, each run over all passages.
 INDEX_CHARS = 4_000_000
-#: Half a passage has at least so many words, or as many as the longest item.
+#: Half a passage has at least so many words, or PARTED more than the longest item.
 LEAST_STRIDE = 32
+#: Words between the halves of an item that a passage has room for, even of the longest.
+PARTED = 16
 BATCH_CHARS = 2_000_000
 CACHE_WORDS = 300_000
 
@@ -92,7 +94,7 @@ class Index:
         self.words = [[self.vocab.setdefault(w, len(self.vocab)) for w in words] for _, words, _ in self.items]
         split = [[[self.vocab.get(w, -1) for w in h] for h in halves(t)] for _, _, t in self.items]
         self.shingles = [(shingles(w), shingles(q), shingles(a)) for w, (q, a) in zip(self.words, split, strict=True)]
-        self.stride = max([LEAST_STRIDE, *map(len, self.words)])
+        self.stride = max(LEAST_STRIDE, PARTED + max(map(len, self.words), default=0))
         n = len(self.items)
         df = Counter(t for w in self.words for t in set(w))
         mean = sum(map(len, self.words)) / max(n, 1)
@@ -199,7 +201,7 @@ class Index:
                     sets = {k: {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {len(x) for s in self.shingles[item] for x in s}}
                     share = lambda s, sets=sets: sum(x in sets[len(x)] for x in s) / len(s) if s else 0.0
                     got = (share(whole), score, share(question), share(answer))
-                    if got[0] >= OVERLAP and got > best.get((d, item), (0.0,)):
+                    if (got[0] >= OVERLAP or min(got[2:]) >= OVERLAP) and got > best.get((d, item), (-1.0,)):
                         best[d, item] = got
         return [(d, self.ids[j], s, o, q, a) for (d, j), (o, s, q, a) in sorted(best.items())]
 
@@ -245,8 +247,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     An item leaks into a text if a passage (two strides of words, overlapping
     by one) reaches RETRIEVE of the item's own BM25 score and holds at least
-    OVERLAP of its 5-word shingles; score and overlaps are those of the best
-    passage. Rows with a null key or text, and items with a null id or no
+    OVERLAP of its 5-word shingles, or of those of its question and of its
+    answer each, which text between the two doesn't part; score and overlaps
+    are those of the best passage. Rows with a null key or text, and items with a null id or no
     word, have no part in it. Repeated rows each give their rows. An index
     holds at most INDEX_CHARS characters of items: more items are dealt to
     more indexes by a hash of their id.

@@ -343,3 +343,14 @@ def test_phrases_equal_brute_force():
                     k = 1
                 at, n = at + k, n + 1
             assert parser.phrases([np.array(s, np.uint16)])[0, j] == n
+
+
+def test_decontamination_of_parted_halves(spark):
+    ask, tell = [sentence(n) + "." for n in (7, 11, 16, 50)], [sentence(n) + "." for n in (6, 4, 1, 5)]
+    bench = spark.createDataFrame([(i, q + " " + a) for i, (q, a) in enumerate(zip(ask, tell, strict=True))], "item_id long, text string")
+    parted = [sentence(lead) + " " + q + " Well, so the Answer is: " + a + " " + sentence(90) for lead in (1, 37, 70) for q, a in zip(ask, tell, strict=True)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(table(spark, parted), bench).collect()}
+    assert got == {(i, i % 4) for i in range(12)}
+    # a question whose answer is another's is no leak unless it makes most of the item
+    other = [sentence(20) + " " + ask[0] + " " + tell[1] + " " + sentence(20)]
+    assert decontam.leaks(table(spark, other), bench).count() == 0
