@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.common import saved
+
 K1, B = 1.2, 0.75
 #: Items in a block with its own maximum for each term.
 BLOCK = 8
@@ -84,9 +87,13 @@ def halves(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings by term in order of item, with the maximum of each term and of each term's blocks."""
+    """Postings by term in order of item, with the maximum of each term and of each term's blocks.
+
+    df (items with a term), n (items), mean and longest (words of an item) are
+    those of all items, of which these may be a part.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, longest: int):
         # (items of like length share blocks: their impacts are alike)
         self.items = sorted(((i, w, t) for i, t in items if (w := terms(t))), key=lambda x: (len(x[1]), x[0], x[2]))
         self.ids = [i for i, _, _ in self.items]
@@ -94,19 +101,14 @@ class Index:
         self.words = [[self.vocab.setdefault(w, len(self.vocab)) for w in words] for _, words, _ in self.items]
         split = [[[self.vocab.get(w, -1) for w in h] for h in halves(t)] for _, _, t in self.items]
         self.shingles = [(shingles(w), shingles(q), shingles(a)) for w, (q, a) in zip(self.words, split, strict=True)]
-        self.stride = max(LEAST_STRIDE, PARTED + max(map(len, self.words), default=0))
-        n = len(self.items)
-        df = Counter(t for w in self.words for t in set(w))
-        mean = sum(map(len, self.words)) / max(n, 1)
+        self.stride = max(LEAST_STRIDE, PARTED + longest)
+        idf = [math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.vocab]
         self.postings: list[list[int]] = [[] for _ in self.vocab]
         self.impacts: list[list[float]] = [[] for _ in self.vocab]
-        self.block_max = np.zeros((len(self.vocab), -(-n // BLOCK)), np.float32)
+        self.block_max = np.zeros((len(self.vocab), -(-len(self.items) // BLOCK)), np.float32)
         for j, w in enumerate(self.words):
-            weights = {}
-            for t, f in Counter(w).items():
-                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                weights[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
-            own = sum(weights.values())
+            weights = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
+            own = math.fsum(weights.values())
             for t, x in weights.items():
                 self.postings[t].append(j)
                 self.impacts[t].append(x / own)
@@ -140,7 +142,7 @@ class Index:
                 break
             item = cursors[pivot][0]
             if cursors[0][0] == item:
-                score = sum(self.impacts[t][at] for d, at, t in cursors if d == item)
+                score = math.fsum(self.impacts[t][at] for d, at, t in cursors if d == item)  # the same in any order of terms
                 if score >= least:
                     out.append((item, score))
                 to = item + 1
@@ -206,26 +208,53 @@ class Index:
         return [(d, self.ids[j], s, o, q, a) for (d, j), (o, s, q, a) in sorted(best.items())]
 
 
-_indexes: dict[int, Index] = {}
+_indexes: dict[str, Index] = {}
 
 
-def _index(items: list[tuple[int, str]]) -> Index:
-    key = hash(tuple(items))
-    if key not in _indexes:
+def _index(name: str, row: dict) -> Index:
+    if name not in _indexes:
         _indexes.clear()
-        _indexes[key] = Index(items)
-    return _indexes[key]
+        df = {x["term"]: x["df"] for x in row["terms"]}
+        _indexes[name] = Index([(x["item_id"], x["text"]) for x in row["items"]], df, int(row["n"]), row["mean"], int(row["longest"]))
+    return _indexes[name]
+
+
+def _index_rows(items: DataFrame) -> tuple[DataFrame, int]:
+    """A written table with a row for each index, and the number of indexes.
+
+    A row has a part of the items by a hash of their id, the counts of its
+    terms among all items, and the number, mean and greatest length of all items.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(terms)
+
+    rows = saved(items.withColumn("words", words("text")).where(F.size("words") > 0), "items")
+    chars, n, mean, longest = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    parts = int(chars // INDEX_CHARS) + 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+    own = rows.select("part", F.explode(F.array_distinct("words")).alias("term")).groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = own.groupBy("term").agg(F.sum("df").alias("df"))
+    counted = own.select("part", "term").join(df, "term").groupBy("part").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    whole = rows.groupBy("part").agg(F.collect_list(F.struct("item_id", "text")).alias("items")).join(counted, "part")
+    stats = (F.lit(n).cast("long").alias("n"), F.lit(mean).cast("double").alias("mean"), F.lit(longest).cast("int").alias("longest"))
+    return saved(whole.select("part", F.struct("items", "terms", *stats).alias("index")), "indexes"), parts
+
 
+def _scan(docs: DataFrame, index: DataFrame, name: str, key: str, text: str) -> DataFrame:
+    """Leaks of the items of one index, a table of one row; each task reads it once, beside its first text."""
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) -> DataFrame:
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _index(items)
+        own: Index | None = None
 
         def leaks(keys: list[int], texts: list[str]) -> pd.DataFrame:
-            rows = [(keys[d], *rest) for d, *rest in index.search(texts)]
+            rows = [(keys[d], *rest) for d, *rest in own.search(texts)]
             return pd.DataFrame(rows, columns=[key, "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
         for batch in batches:
+            if own is None and len(batch):
+                own = _index(name, batch["index"].iloc[0])
             keys: list[int] = []
             texts: list[str] = []
             held = 0
@@ -236,10 +265,16 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) ->
                 if held > BATCH_CHARS:
                     yield leaks(keys, texts)
                     keys, texts, held = [], [], 0
-            yield leaks(keys, texts)
+            if keys:
+                yield leaks(keys, texts)
 
-    rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    return rows.mapInPandas(found, f"{key} long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    # the low 33 bits of the id count the rows of a task's partition
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias(text), first.alias("_first"))
+    # a product of partitions: the texts aren't shuffled, and tasks read the index, not the driver
+    both = rows.crossJoin(index.select("index").coalesce(1).hint("shuffle_replicate_nl"))
+    both = both.select(key, text, F.when(F.col("_first"), F.col("index")).alias("index"))
+    return both.mapInPandas(found, f"{key} long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,17 +284,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     by one) reaches RETRIEVE of the item's own BM25 score and holds at least
     OVERLAP of its 5-word shingles, or of those of its question and of its
     answer each, which text between the two doesn't part; score and overlaps
-    are those of the best passage. Rows with a null key or text, and items with a null id or no
-    word, have no part in it. Repeated rows each give their rows. An index
-    holds at most INDEX_CHARS characters of items: more items are dealt to
-    more indexes by a hash of their id.
+    are those of the best passage. Rows with a null key or text, and items with
+    a null id or no word, have no part in it. Repeated rows each give their
+    rows. An index holds about INDEX_CHARS characters of items: more items are
+    dealt to more indexes by a hash of their id, which changes no result, since
+    the counts that scores need are those of all items.
     """
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = int(total // INDEX_CHARS) + 1
+    table, parts = _index_rows(items)
+    name = uuid.uuid4().hex
     out = None
     for p in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        rows = _scan(docs, sorted((r[0], r[1]) for r in own.collect()), key, text)
+        rows = _scan(docs, table.where(F.col("part") == p), f"{name}-{p}", key, text)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -354,3 +354,15 @@ def test_decontamination_of_parted_halves(spark):
     # a question whose answer is another's is no leak unless it makes most of the item
     other = [sentence(20) + " " + ask[0] + " " + tell[1] + " " + sentence(20)]
     assert decontam.leaks(table(spark, other), bench).count() == 0
+
+
+def test_part_indexes_score_as_one(spark, monkeypatch):
+    # common words in some items only: counts and lengths of a part differ from those of all
+    items = [" ".join(["the"] * (i % 3) + [sentence(4 + i)] + ["on"] * (i % 2)) for i in range(24)]
+    bench = spark.createDataFrame([(2**62 + i, t) for i, t in enumerate(items)], "item_id long, text string")
+    cut = [" ".join(w for k, w in enumerate(t.split()) if k % 9 != 8) for t in items]
+    df = table(spark, [sentence(20) + " " + t + " " + sentence(20) for t in items + cut])
+    one = sorted(decontam.leaks(df, bench).collect())
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 200)
+    # rows equal in full, so the scores too
+    assert one == sorted(decontam.leaks(df, bench).collect()) and {r.item_id - 2**62 for r in one} == set(range(24))
