@@ -7,6 +7,7 @@ deleted, so such a pair meets under an equal key in at least one index.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations, count
@@ -216,12 +217,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(alone, "fp").select(key, digits.alias("fingerprint"), "component_id")
 
 
-#: Shingles sampled from each text, each by the least value of another hash.
-SAMPLES = 6
-#: Bits of a segment of the fingerprint of single words; each sample has one.
-SEGMENT = 16
+#: Documents sampled to find common shingles, those in how many of them are common, and how many are told at most.
+HOT_DOCS, HOT_FROM, HOT_MOST = 20_000, 8, 65_536
 #: Most differing bits of the fingerprints of shingles of similar texts: 10 are expected at a similarity of 0.8, 32 of unlike texts.
 NEAR_SHINGLES = 24
+#: Texts of fewer shingles are compared whatever their fingerprints: those of few shingles vary too much.
+FEW_SHINGLES = 64
 #: Texts under one key that are compared in one piece; more are dealt to chunks, and each two chunks are compared.
 CHUNK = 4096
 #: Nearest texts that each text of a group is verified against at first; eight times as many in the next round.
@@ -231,7 +232,6 @@ BROADCAST_ROWS = 1_000_000
 
 _odd = lambda i: np.uint64(xxhash.xxh64_intdigest(str(i).encode(), SEED) | 1)
 _PLACE = [_odd(i) for i in range(64)]
-_SAMPLE = np.array([_odd(64 + i) for i in range(SAMPLES)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -257,11 +257,14 @@ def _nearest(shingled: np.ndarray, size: np.ndarray, label: np.ndarray, k: int,
     """Of each text of a group the k nearest that may be similar and have another label; whether there are more."""
     left: list[int] = []
     right: list[int] = []
-    more = False
+    more, least_size = False, size.min()
     for at in range(0, len(label), 256):
         own = slice(at, at + 256)
         bits = np.bitwise_count(shingled[own, None] ^ shingled)
-        i, j = np.nonzero((bits <= NEAR_SHINGLES) & (label[own, None] != label))
+        near = bits <= NEAR_SHINGLES
+        if least_size < FEW_SHINGLES:
+            near |= np.minimum(size[own, None], size) < FEW_SHINGLES
+        i, j = np.nonzero(near & (label[own, None] != label))
         fits = np.minimum(size[i + at], size[j]) >= least * np.maximum(size[i + at], size[j])
         i, j = i[fits], j[fits]
         order = np.lexsort((j, bits[i, j], i))
@@ -273,18 +276,22 @@ def _nearest(shingled: np.ndarray, size: np.ndarray, label: np.ndarray, k: int,
     return left, right, more
 
 
-def _sampled(made: DataFrame) -> DataFrame:
-    """key and id of every text, for each sample and each bit that is deleted from its segment of the fingerprint."""
-    per = 64 // SEGMENT
-    rows = made.select("id", "fps", F.posexplode("samples").alias("i", "sample"))
-    part = F.call_function("shiftrightunsigned", F.element_at("fps", (F.col("i") / per).cast("int") + 1), F.col("i") % per * SEGMENT).bitwiseAND((1 << SEGMENT) - 1)
-    rows = rows.select("id", "i", "sample", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit"))
-    return rows.select(F.xxhash64("i", "bit", "sample", _without_bit(F.col("part"), F.col("bit"))).alias("key"), "id")
+def _prefix(own: np.ndarray, hot: np.ndarray, least: float) -> np.ndarray:
+    """So many of a text's distinct shingles, common ones last, that each similar text has one of them in its own.
+
+    A similar text shares at least ceil(least * n) of n. Any order will do that
+    is one for all texts: by hash, the hot after the others.
+    """
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    common = np.isin(own, hot)
+    n = len(own)
+    return np.concatenate([own[~common], own[common]])[: n - math.ceil(least * n - 1e-9) + 1]
 
 
 def _met(made: DataFrame) -> DataFrame:
     """key, chunks and id of texts that share a key with another; a group of over CHUNK has all pairs of its chunks."""
-    rows = _sampled(made)
+    rows = made.select(F.explode("prefix").alias("key"), "id")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(sizes, "key")
     small = met.where(F.col("n") <= CHUNK).select("key", F.lit(0).cast("long").alias("chunks"), "id")
@@ -294,6 +301,13 @@ def _met(made: DataFrame) -> DataFrame:
     return small.unionByName(large.select("key", (F.least("c", "d") * F.col("m") + F.greatest("c", "d")).alias("chunks"), "id"))
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """Of the groups that have the same texts one stays: similar texts meet under most of their keys."""
+    groups = met.groupBy("key", "chunks").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    kept = groups.groupBy("n", "x").agg(F.min(F.struct("key", "chunks")).alias("k")).select("k.*")
+    return saved(met.join(kept, ["key", "chunks"], "left_semi"), "met")
+
+
 def _looked_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among ids, a written table; ids are broadcast if they are few."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
@@ -304,25 +318,28 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     Two texts belong together if they are equal, or if the Jaccard similarity
     of their sets of shingles is at least `least`; groups are what that
-    reaches. Candidates share a sampled shingle and, but for one bit, its
-    segment of the fingerprint of single words, which stays close when a few
-    words change; fingerprints of shingles order them. Each text is verified
+    reaches. Candidates share a shingle of their prefixes, which all similar
+    texts do; fingerprints of shingles order them. Each text is verified
     against its nearest candidates outside its group so far, then against more,
     until none is left. Texts without words are equal to each other. Where a
     key repeats, its rows are one node.
     """
-    kind = "size long, shingled long, fps array<long>, samples array<long>"
+    kind = "size long, shingled long, prefix array<long>"
+
+    @F.pandas_udf("array<long>")
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(runs).view(np.int64) for _, _, runs in _shingles(list(texts), words)], dtype=object)
 
     @F.pandas_udf(kind)
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
-            for one, two, runs in _shingles(list(texts), words):
+            for _, _, runs in _shingles(list(texts), words):
                 own = np.unique(runs)
-                samples = [(own * m).min() for m in _SAMPLE] if len(own) else [0] * SAMPLES
-                out.append((len(own), int(signed([_majority(own)])[0]), signed([_majority(one), _majority(two)]), signed(samples)))
-            yield pd.DataFrame(out, columns=["size", "shingled", "fps", "samples"])
+                out.append((len(own), int(signed([_majority(own)])[0]), signed(_prefix(own, common, least))))
+            yield pd.DataFrame(out, columns=["size", "shingled", "prefix"])
 
     @F.pandas_udf("binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -356,11 +373,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         return pairs
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    some = rows.where(F.pmod(F.xxhash64(key), F.lit(max(1, rows.count() // HOT_DOCS))) == 0).select(F.explode(distinct(F.col(text))).alias("s"))
+    told = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "s").limit(HOT_MOST)
+    common = np.array([r[0] for r in told.collect()], np.int64).view(np.uint64)
     hashed = rows.select(key, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), prints(F.col(text)).alias("f"))
     hashed = saved(hashed, "prints")
     copies = saved(hashed.groupBy("h", "h2").agg(F.min(key).alias("id"), F.min_by("f", key).alias("f"), F.count(F.lit(1)).alias("n")), "text-copies")
     made = copies.select("id", "f.*")
-    met = saved(_met(made), "met")
+    met = _once(saved(_met(made), "all-met"))
     named = saved(met.select("id").distinct(), "met-ids")
     known = saved(_looked_up(made.select("id", "size", "shingled"), named, "id"), "met-prints")
     labels = named.select("id", F.col("id").alias("label"))

@@ -366,3 +366,19 @@ def test_part_indexes_score_as_one(spark, monkeypatch):
     monkeypatch.setattr(decontam, "INDEX_CHARS", 200)
     # rows equal in full, so the scores too
     assert one == sorted(decontam.leaks(df, bench).collect()) and {r.item_id - 2**62 for r in one} == set(range(24))
+
+
+def test_similar_groups_of_truncated_and_appended_copies(spark):
+    shingled = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    texts = []
+    for i in range(120):
+        n = 60 + 5 * i
+        words = [f"w{i}x{k}" for k in range(n)]
+        rest = [f"v{i}x{k}" for k in range(n)] if i % 2 else []
+        # as much cut or added as 0.8 bears
+        part = [" ".join(words[:k]) for k in range(n, 5, -1)] if not rest else [" ".join(words + rest[:k]) for k in range(n)]
+        whole = shingled(part[0])
+        similar = [t for t in part if len(whole & shingled(t)) >= 0.8 * len(whole | shingled(t))]
+        texts += [part[0], similar[-1]]
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
