@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that parts words: \x20 and \x09-\x0D, which is what bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers each (some 50 MB) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -16,12 +20,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A private temporary folder stands in only where the session names none,
-    as in tests on one machine.
+    A private temporary folder stands in only where the session names none and
+    runs in one process, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="parcelyard-")
@@ -35,8 +41,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._parcelyard_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `saved` wrote, once all that reads them is itself saved."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._parcelyard_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def looked_up(rows: DataFrame, wanted: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with a saved table of a few numbers a row, which is broadcast if its counted rows are few."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on, how)
+
+
+def once(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs in which of the rows with one key (null is one) and one text a single one stays."""
+    names = docs.columns
+    own = docs.withColumns({"_parcelyard_k": F.xxhash64(key, F.lit(0), text), "_parcelyard_h": F.xxhash64(text, F.lit(1), key)})
+    on = ["_parcelyard_k", "_parcelyard_h"]
+    repeats = saved(own.groupBy(on).agg(F.count(F.lit(1)).alias("_parcelyard_n")).where("_parcelyard_n > 1"), "repeats")
+    if repeats.isEmpty():
+        return docs
+    marked = looked_up(own, repeats, on, "left")
+    single = marked.where("_parcelyard_n is null").select(*names)
+    return single.unionByName(marked.where("_parcelyard_n is not null").dropDuplicates(on).select(*names))

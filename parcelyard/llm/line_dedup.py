@@ -9,102 +9,127 @@ keys of (length, segment number, segment) bring every such pair together.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import saved
+from parcelyard.llm.common import forget, looked_up, once, saved, shuffle_parts
 from parcelyard.llm.simhash import components
 
 EDITS = 2
-#: Code points from which a line may match with edits; shorter lines match only if equal.
-FUZZY_FROM = 30
-#: Lines under one key that are paired there; above it the rest of the lines is cut again.
-LARGE = 200
-#: Hashes of lines (8 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Code points from which the shorter of two lines may differ by one edit, and by EDITS; shorter lines match only if equal.
+ONE_FROM, FUZZY_FROM = 15, 30
+#: Lines under one key that are compared there; above it the rest of the lines is cut again.
+LARGE = 64
 #: Characters after which a pair that has no reading left is given up.
 FIRST = 16
-#: How often lines under one key are cut again at most.
-DEPTH = 5
+#: Repeated or linked lines (some 100 bytes each) that may be broadcast.
+KNOWN_ROWS = 100_000
 #: A line with more than this share of all lines is joined by broadcast (1 / HOT lines at most).
 HOT = 0.001
+#: Words that one edit takes away or adds at most (a space that goes makes one of two).
+WORDS_AN_EDIT = 3
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no, line (without white space at its ends), and two 64-bit hashes that tell lines apart."""
-    rows = docs.select(F.col(key).alias(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    """key, th (a hash of the text), line_no, line (without white space at its ends), and two 64-bit hashes that tell lines apart."""
+    rows = docs.select(F.col(key).alias(key), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line != ''")
-    return rows.select(key, "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.select(key, "th", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _places(rest: Column, edits: int) -> list[tuple[Column, int, Column, Column]]:
-    """Where a line's segments lie and where segments of lines up to `edits` shorter may: target length, number, start, size.
+def _keyed(rows: DataFrame, edits: int, cut: bool) -> DataFrame:
+    """h, key and own (whether the line is indexed under the key) of every place of rows (h, gid, most, rest).
 
-    The first edits + 1 are the line's own segments, under which it is indexed.
+    A line is indexed under its own segments. It is also looked for where
+    segments of lines up to `most` shorter, which is what the row's pairs may
+    differ by, may lie in it. cut: also gid, most, and the start and size of
+    each segment.
     """
-    n, parts, own, other = F.length(rest), edits + 1, [], []
-    for shift in range(edits + 1):
-        size = n - shift
-        each, over = F.floor(size / parts).cast("int"), size % parts
+    # four bytes a code point, so that any segment is found without reading what is before it
+    rows = rows.select("h", "gid", "most", F.encode("rest", "UTF-32").alias("units"))
+    rows = rows.withColumn("n", F.shiftright(F.octet_length("units"), 2))
+    shifts = [(most, shift) for most in range(1, edits + 1) for shift in range(most + 1)]
+    sizes = {f"{name}_{most}_{shift}": f for most, shift in shifts for name, f in (("each", F.expr(f"cast((n - {shift}) div {most + 1} as int)")), ("over", (F.col("n") - shift) % (most + 1)))}
+    rows = rows.withColumns(sizes)
+    found = []
+    for most, shift in shifts:
+        each, over, parts = F.col(f"each_{most}_{shift}"), F.col(f"over_{most}_{shift}"), most + 1
         for i in range(parts):
             length = each + F.when(over >= parts - i, 1).otherwise(0)
             start = each * i + F.greatest(over - (parts - i), F.lit(0))
-            for move in range(max(-i, shift - (edits - i)), min(i, shift + (edits - i)) + 1):
-                (other if shift or move else own).append((size, i, start + move + 1, length))
-    return own + other
-
-
-def _key(rest: Column, place: tuple[Column, int, Column, Column]) -> Column:
-    size, i, start, length = place
-    fits = (size >= 0) & (start >= 1) & (start + length - 1 <= F.length(rest))
-    return F.when(fits, F.xxhash64("gid", size, F.lit(i), F.substring(rest, start, length)))
-
-
-def _keys(rows: DataFrame, edits: int) -> DataFrame:
-    """h, key and own (whether the line is indexed under the key) of every place of lines (h, gid, rest)."""
-    rest = F.col("rest")
-    keys = rows.select("h", F.posexplode(F.array(*[_key(rest, p) for p in _places(rest, edits)])).alias("i", "key"))
-    return keys.where("key is not null").select("h", "key", (F.col("i") <= edits).alias("own"))
-
-
-def _segments(rows: DataFrame, edits: int) -> DataFrame:
-    """_keys with gid and the start and size of each segment, to cut it out."""
-    rest = F.col("rest")
-    places = F.array(*[F.struct(_key(rest, p).alias("key"), p[2].alias("start"), p[3].alias("length")) for p in _places(rest, edits)])
-    keys = rows.select("h", "gid", F.posexplode(places).alias("i", "p")).where("p.key is not null")
-    return keys.select("h", "gid", "p.start", "p.length", "p.key", (F.col("i") <= edits).alias("own"))
-
-
-def _met(keys: DataFrame) -> DataFrame:
-    """Rows whose key has at least two lines, one of them indexed; n: rows of the key."""
-    w = W.partitionBy("key")
-    rows = keys.select("*", F.min("h").over(w).alias("lo"), F.max("h").over(w).alias("hi"), F.max("own").over(w).alias("ix"), F.count(F.lit(1)).over(w).alias("n"))
-    return rows.where("lo != hi and ix").drop("lo", "hi", "ix")
-
-
-def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes h of lines (h, rest) that may be within the edits; none is missed."""
-    rows, pairs = lines.select("h", F.lit(0).cast("long").alias("gid"), "rest"), None
-    for depth in range(DEPTH + 1):
-        met = saved(_met(_keys(rows, edits) if depth == 0 else _segments(rows, edits)), f"met-{depth}")
-        few = met if depth == DEPTH else met.where(F.col("n") <= LARGE)
-        own = few.where("own").select("key", F.col("h").alias("x"))
-        got = few.select("key", F.col("h").alias("y")).join(own, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = got if pairs is None else pairs.unionByName(got)
-        many = met.where(F.col("n") > LARGE)
-        if depth == DEPTH or many.isEmpty():
+            for move in range(max(-i, shift - (most - i)), min(i, shift + (most - i)) + 1):
+                at = start + move
+                fits = (F.col("most") == most) & (F.col("n") >= shift) & (at >= 0) & (at + length <= F.col("n"))
+                key = F.when(fits, F.xxhash64("gid", F.lit(most * 256 + i), F.col("n") - shift, F.substring("units", at * 4 + 1, length * 4)))
+                found.append(F.struct(key.alias("key"), F.lit(shift == 0 and move == 0).alias("own"), *([(at + 1).alias("start"), length.alias("size")] if cut else [])))
+    keys = rows.select("h", *(["gid", "most"] if cut else []), F.explode(F.array(*found)).alias("p")).where("p.key is not null")
+    return keys.select("h", "p.key", "p.own", *(["gid", "most", "p.start", "p.size"] if cut else []))
+
+
+def _met(rows: DataFrame, edits: int, depth: int) -> DataFrame:
+    """_keyed rows, cut, of the keys that have at least two lines, one of them indexed; n: rows of the key.
+
+    Keys are first counted, with sums made before the shuffle, so that a line
+    or segment that is everywhere costs no more than others.
+    """
+    some = _keyed(rows, edits, False).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("ix"))
+    shared = saved(some.where("lo != hi and ix").select("key"), f"shared-{depth}")
+    met = saved(looked_up(_keyed(rows, edits, True), shared, "key").distinct(), f"met-{depth}")
+    forget(shared)
+    out = saved(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), f"met-sizes-{depth}")
+    forget(met)
+    return out
+
+
+def _words(line: Column) -> Column:
+    """64 parities of the words, each word at the bit that its hash tells."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(63).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
+
+
+def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of hashes h of lines (h, line) that may be within their edits, none missed; and the lines h, line that met others.
+
+    Lines may repeat. Under a key at most LARGE lines are compared with each of
+    its lines; those of more have what is left of them, without the segment
+    that has met, cut again, which must be within the edits too. Of the pairs
+    compared, those stay whose words differ no more than the edits allow.
+    """
+    n = F.length("line")
+    most = F.filter(F.array(*[F.when(n >= fuzzy_from, edits), *([F.when(n.between(one_from, fuzzy_from), 1)] if edits > 1 else [])]), lambda x: x.isNotNull())
+    rows = lines.select("h", F.lit(0).cast("long").alias("gid"), F.explode(most).alias("most"), F.col("line").alias("rest"))
+    depth, pairs, done, texts = 0, None, [], None
+    while True:
+        met = _met(rows, edits, depth)
+        if texts is None:
+            some = saved(met.select("h").distinct(), "met-lines")
+            texts = looked_up(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line"))
+            texts = saved(texts.withColumn("words", _words(F.col("line"))), "texts")
+            forget(some)
+        # a segment of no characters tells nothing more: what is left is no longer than the edits
+        few = (F.col("n") <= LARGE) | (F.col("size") == 0)
+        side = met.where(few).join(texts.select("h", "words"), "h").select("key", "h", "own", "most", "words")
+        x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("words").alias("wx")), side.select("key", "most", F.col("h").alias("y"), F.col("words").alias("wy"))
+        near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("wx").bitwiseXOR(F.col("wy"))) <= WORDS_AN_EDIT * F.col("most"))
+        met_here = x.join(y, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = met_here if pairs is None else pairs.unionByName(met_here)
+        done.append(met)
+        many = met.where(~few)
+        if many.isEmpty():
             break
-        # what is left of a line without the segment that has met must be within the edits too
-        if depth == 0:
-            hot = many.select("key").distinct()
-            again = _segments(rows.join(many.select("h").distinct(), "h"), edits).join(hot, "key")
+        if depth:
+            left = many.join(rows.select("h", "gid", "rest"), ["h", "gid"])
         else:
-            again = many
-        rest = F.concat(F.substring(F.col("rest"), F.lit(1), F.col("start") - 1), F.lit("\u0000"), F.substring(F.col("rest"), F.col("start") + F.col("length"), F.length("rest")))
-        rows = saved(rows.join(again.select("h", "gid", "key", "start", "length").distinct(), ["h", "gid"]).select("h", F.col("key").alias("gid"), rest.alias("rest")).distinct(), f"rest-{depth}")
-    return pairs.distinct()
+            left = many.join(texts.select("h", F.col("line").alias("rest")), "h")
+        after = F.col("start") + F.col("size")
+        rest = F.concat(F.substring("rest", F.lit(1), F.col("start") - 1), F.lit("\u0000"), F.substring(F.col("rest"), after, F.length("rest")))
+        rows = saved(left.select("h", F.col("key").alias("gid"), "most", rest.alias("rest")).distinct(), f"rest-{depth}")
+        done.append(rows)
+        depth += 1
+    out = saved(pairs.distinct(), "candidates")
+    forget(*done)
+    return out, texts
 
 
 def _common(a: Column, b: Column, end: bool) -> Column:
@@ -167,72 +192,99 @@ def _starts_alike(a: Column, b: Column, edits: int) -> Column:
     return _band(a, b, edits, F.least(F.size(b), F.lit(FIRST)))[f"r{edits}"] != 0
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of hashes of distinct lines (h, rest) within the edits."""
-    pairs = saved(candidates(lines, edits), "candidates")
-    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidate-hashes")
-    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    text = saved(lines.join(named, "h"), "candidate-lines")
-    both = pairs.join(text.select(F.col("h").alias("a"), F.col("rest").alias("ta")), "a").join(text.select(F.col("h").alias("b"), F.col("rest").alias("tb")), "b")
-    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= edits)
+def links(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of distinct lines (h, line) within the edits that the shorter one's length allows."""
+    pairs, text = candidates(lines, edits, one_from, fuzzy_from)
+    pairs = pairs.repartition(shuffle_parts(lines.sparkSession))
+    both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+    n = F.least(F.length("ta"), F.length("tb"))
+    both = both.withColumn("most", F.when(n >= fuzzy_from, edits).when(n >= one_from, F.least(F.lit(1), F.lit(edits))).otherwise(0))
+    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
     both = both.withColumn("p", _common(F.col("ta"), F.col("tb"), False))
     tail = lambda c: F.substring(F.col(c), F.col("p") + 1, F.length(c))
-    both = both.select("a", "b", tail("ta").alias("ta"), tail("tb").alias("tb"))
+    both = both.select("a", "b", "most", tail("ta").alias("ta"), tail("tb").alias("tb"))
     both = both.withColumn("s", _common(F.col("ta"), F.col("tb"), True))
     head = lambda c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("s"))
     # written, so that the characters are read as columns rather than worked out again at every step
-    both = saved(both.select("a", "b", _characters(head("ta")).alias("ta"), _characters(head("tb")).alias("tb")), "unequal-middles")
+    both = saved(both.select("a", "b", "most", _characters(head("ta")).alias("ta"), _characters(head("tb")).alias("tb")), "unequal-middles")
     ta, tb = F.col("ta"), F.col("tb")
-    return both.where(_starts_alike(ta, tb, edits) & banded_distance(ta, tb, edits).isNotNull()).select("a", "b")
+    return both.where(_starts_alike(ta, tb, edits) & (banded_distance(ta, tb, edits) <= F.col("most"))).select("a", "b")
 
 
-def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
-    """A row for each line with a character that isn't white space.
-
-    key, line_no (from 0), class_doc and class_line (where the line's class
-    occurs first), n_links (other distinct lines within the edits) and kept
-    (whether it is that first line). Equal lines, and lines of at least
-    fuzzy_from code points within the edits, are linked; classes are what links
-    reach. White space at a line's ends doesn't count. Null and empty texts
-    have no line; rows with one key count as one document; a null key comes
-    first. Lines are told apart by two 64-bit hashes.
-    """
-    lines = lines_of(docs, key, text)
-    places = saved(lines.select(key, "line_no", "h", "h2"), "lines")
-    at = F.struct(F.col(key), F.col("line_no"))
+def _classes(lines: DataFrame, key: str, edits: int, one_from: int, fuzzy_from: int) -> tuple[DataFrame, DataFrame]:
+    """The written places (key, th, line_no, h, h2) of lines, and what is to be said of lines that aren't alone: h, h2, class, n_links, n."""
+    places = saved(lines.select(key, "th", "line_no", "h", "h2"), "lines")
+    at = F.struct(F.col(key), F.col("line_no"), F.col("th"))
     info = saved(places.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-info")
-    long = lines.where(F.length("line") >= fuzzy_from).groupBy("h", "h2").agg(F.min("line").alias("rest")).select("h", "rest")
-    long = saved(long, "long-lines")
-    linked = saved(links(long, edits), "line-links")
+    linked = saved(links(lines, edits, one_from, fuzzy_from), "line-links")
     ends = linked.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(linked).select(F.col("node").alias("h"), "root")
     near = info.join(ends, "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     firsts = near.groupBy("root").agg(F.min("first").alias("class"))
     near = saved(near.join(firsts, "root").select("h", "h2", "class", "n_links"), "line-classes")
-    known = info.join(near, ["h", "h2"], "left").select("h", "h2", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n")
-    total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = known.where(F.col("n") > max(1, int(total * HOT))).select("h", "h2", F.col("class").alias("hot_class"), F.col("n_links").alias("hot_links"))
-    marked = places.join(F.broadcast(hot), ["h", "h2"], "left")
-    common = marked.where("hot_class is not null").select(key, "line_no", F.col("hot_class").alias("class"), F.col("hot_links").alias("n_links"))
-    other = marked.where("hot_class is null").select(key, "line_no", "h", "h2").join(known, ["h", "h2"]).select(key, "line_no", "class", "n_links")
-    out = common.unionByName(other)
-    return out.select(
-        key, F.col("line_no").cast("int").alias("line_no"), F.col("class")[key].alias("class_doc"), F.col("class.line_no").cast("int").alias("class_line"), "n_links",
-        (F.col("class")[key].eqNullSafe(F.col(key)) & (F.col("class.line_no") == F.col("line_no"))).alias("kept"),
+    known = info.join(near, ["h", "h2"], "left").where("n > 1 or n_links > 0")
+    known = saved(known.select("h", "h2", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n"), "line-known")
+    forget(info, linked, near)
+    return places, known
+
+
+def _told(places: DataFrame, known: DataFrame) -> DataFrame:
+    """places with the known columns, null for lines that are alone; lines that are everywhere are joined by broadcast."""
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if known.count() <= KNOWN_ROWS:
+        return places.join(F.broadcast(known), ["h", "h2"], "left")
+    hot = F.col("n") > max(1, int(total * HOT))
+    marked = places.join(F.broadcast(known.where(hot)), ["h", "h2"], "left")
+    other = marked.where("n is null").select(*places.columns).join(known.where(~hot), ["h", "h2"], "left")
+    return marked.where("n is not null").unionByName(other)
+
+
+def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+    """A row for each line with a character that isn't white space.
+
+    key, line_no (from 0), class_doc and class_line (where the line's class
+    occurs first), n_links (other distinct lines within the edits) and kept
+    (whether it is that first line). Equal lines are linked, and lines within
+    the edits: `edits` where the shorter has at least fuzzy_from code points,
+    one from one_from on, none below. Classes are what links reach. White space
+    at a line's ends doesn't count. Null and empty texts have no line. A null
+    key comes first. Rows with one key count as one document: of its places
+    with one number that of the text with the least hash comes first. Lines are told
+    apart by two 64-bit hashes.
+    """
+    places, known = _classes(lines_of(docs, key, text), key, edits, one_from, fuzzy_from)
+    alone = F.col("n").isNull()
+    class_doc, class_line = F.when(alone, F.col(key)).otherwise(F.col("class")[key]), F.when(alone, F.col("line_no")).otherwise(F.col("class.line_no"))
+    return _told(places, known).select(
+        key, F.col("line_no").cast("int").alias("line_no"), class_doc.alias("class_doc"), class_line.cast("int").alias("class_line"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), _is_first(key).alias("kept"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def _is_first(key: str) -> Column:
+    own = F.col("class")[key].eqNullSafe(F.col(key)) & (F.col("class.line_no") == F.col("line_no"))
+    return F.col("n").isNull() | (own & (F.col("class.th") == F.col("th")))
+
+
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """docs whose texts keep only lines that are the first of their class, and blank ones.
 
     A text that has lines but keeps none is dropped; a null or blank text stays.
+    Of rows with one key and one text a single one is kept. Rows with one key
+    (null is one) and different texts lose only lines that repeat elsewhere. Any
+    other columns are carried along.
     """
-    found = line_classes(docs, key, text, edits, fuzzy_from).where(~F.col("kept")).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
-    rows = docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_drop", i))
-    out = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn(text, out).where(F.col("_drop").isNull() | (F.regexp_replace(F.col(text), _BLANK, "") != ""))
-    return rows.select(*docs.columns)
+    rows = once(docs, key, text)
+    places, known = _classes(lines_of(rows, key, text), key, edits, one_from, fuzzy_from)
+    gone = _told(places, known).where(~_is_first(key))
+    gone = gone.groupBy("th", key).agg(F.collect_set("line_no").alias("gone"))
+    names, value = rows.columns, F.col("row")[text]
+    both = rows.select(F.struct(*names).alias("row"))
+    both = both.join(gone, (F.xxhash64(value) == F.col("th")) & F.col("row")[key].eqNullSafe(F.col(key)), "left")
+    kept = F.filter(F.split(value, "\n"), lambda line, i: ~F.array_contains("gone", i))
+    out = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(kept, "\n"))
+    both = both.select("row", out.alias("left"), "gone").where(F.col("gone").isNull() | (F.regexp_replace("left", _BLANK, "") != "") | (F.regexp_replace(value, _BLANK, "") == ""))
+    return both.select(*[F.col("left").alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 
 
 ORACLE = r"""
@@ -244,7 +296,7 @@ WITH RECURSIVE l AS (
   FROM l WHERE line <> '' GROUP BY line
 ), e AS MATERIALIZED (
   SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND x.id <> y.id
-  WHERE x.n >= 30 AND y.n >= 30 AND levenshtein(x.line, y.line) <= 2
+  WHERE x.n >= 15 AND y.n >= 15 AND levenshtein(x.line, y.line) <= CASE WHEN least(x.n, y.n) >= 30 THEN 2 ELSE 1 END
 ), r AS (
   SELECT id AS a, id AS b FROM t WHERE id IN (SELECT a FROM e)
   UNION

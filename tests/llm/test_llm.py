@@ -286,7 +286,7 @@ def test_line_links_equal_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(line_dedup, "LARGE", large)
     base = [sentence(8)[:60] for _ in range(8)]
     lines = sorted({b for b in base} | {edited(b, rng.randint(1, 3)) for b in base for _ in range(8)})
-    df = spark.createDataFrame(list(enumerate(lines)), "h long, rest string")
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
     got = {(r.a, r.b) for r in line_dedup.links(df).collect()}
     assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if levenshtein(lines[i], lines[j]) <= 2}
 
