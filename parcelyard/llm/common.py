@@ -37,11 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return the written table.
 
-    The files cut the lineage and outlive lost executors.
+    The files cut the lineage and outlive lost executors. Shuffle files of the
+    write go with its end, rather than when the driver collects its garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._parcelyard_path = path
     return out
 
@@ -64,9 +71,9 @@ def looked_up(rows: DataFrame, wanted: DataFrame, on: str | Sequence[str], how:
 
 
 def once(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs in which of the rows with one key (null is one) and one text a single one stays."""
-    names = docs.columns
-    own = docs.withColumns({"_parcelyard_k": F.xxhash64(key, F.lit(0), text), "_parcelyard_h": F.xxhash64(text, F.lit(1), key)})
+    """docs in which of the rows with one key (null is one) and one text (null counts as empty) a single one stays."""
+    names, value = docs.columns, F.coalesce(F.col(text), F.lit(""))
+    own = docs.withColumns({"_parcelyard_k": F.xxhash64(key, F.lit(0), value), "_parcelyard_h": F.xxhash64(value, F.lit(1), key)})
     on = ["_parcelyard_k", "_parcelyard_h"]
     repeats = saved(own.groupBy(on).agg(F.count(F.lit(1)).alias("_parcelyard_n")).where("_parcelyard_n > 1"), "repeats")
     if repeats.isEmpty():

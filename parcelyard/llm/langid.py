@@ -2,7 +2,8 @@
 
 A text is parsed, for each language, into the longest phrases that occur in
 that language's sample (Ziv and Merhav, 1993); a suffix automaton of the sample
-recognises them. The language that needs the fewest phrases for the text wins.
+recognises them. A phrase is worth the logarithm of its sample's size in bits;
+the language that needs the fewest bits for the text wins.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The labelled sample of a language: at most so many documents, characters of each, and characters in all.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 150, 400, 40_000
-#: A phrase ends at every PIECE symbols too, so that pieces of one text are parsed side by side.
+#: The labelled sample: at most so many languages (those with most rows), documents of each, and characters of each document.
+SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 100, 100, 400
+#: Every so many of a language's documents are held back to learn how many phrases its texts need.
+HELD_BACK = 5
+#: Texts are cut at every PIECE symbols to be parsed side by side; phrases over a cut are mended.
 PIECE = 1024
 #: Characters that are parsed at once in a task; one longer text is parsed alone.
 BATCH_CHARS = 2_000_000
@@ -65,31 +69,43 @@ class Parser:
     """The automata of all languages as one dense table.
 
     Symbols: 0 for runs of what isn't a letter, 1 for letters outside all
-    samples, then the samples' letters in lower case.
+    samples, then the samples' letters in lower case. samples: parts of texts
+    by language; every HELD_BACK-th tells only how many phrases a symbol takes.
     """
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        letters = sorted({x for s in samples.values() for c in s if (x := _lower_letters(ord(c)))})
+        # (a language of few samples learns from all and is told by all)
+        learned = {k: [x for i, x in enumerate(v) if i % HELD_BACK != HELD_BACK - 1] for k, v in samples.items()}
+        told = {k: v[HELD_BACK - 1 :: HELD_BACK] for k, v in samples.items()}
+        letters = sorted({x for v in learned.values() for c in set("".join(v)) if (x := _lower_letters(ord(c)))})
         number = {c: i + 2 for i, c in enumerate(letters)}
         self.lut = np.zeros(0x110000, np.uint16)
         for code in chain(range(0xD800), range(0xE000, 0x110000)):
             if (x := _lower_letters(code)) is not None:
                 self.lut[code] = number.get(x, _OTHER)
         self.width = len(letters) + 2
-        rows, roots, at = [np.zeros((1, self.width), np.int32)], [], 1
+        rows, roots, at, sizes = [np.zeros((1, self.width), np.int32)], [], 1, []
         for lang in self.langs:
-            automaton = SuffixAutomaton(self.symbols(samples[lang]).tolist())
+            symbols = self.symbols(" ".join(learned[lang]))
+            automaton = SuffixAutomaton(symbols.tolist())
             table = np.zeros((len(automaton.next), self.width), np.int32)
             for i, moves in enumerate(automaton.next):
                 for c, j in moves.items():
                     table[i, c] = j + at
             roots.append(table[0].copy())
             rows.append(table)
+            sizes.append(max(2, len(symbols)))
             at += len(table)
         self.table = np.concatenate(rows).ravel()  # state 0 has no moves: no phrase is open
         self.roots = np.array(roots).reshape(len(self.langs), self.width)
-        self.bits = np.log2(max([2, *(len(s) for s in samples.values())]))
+        self.bits = np.log2(np.array(sizes, np.float64))
+        self.usual = np.ones(len(self.langs))
+        for j, lang in enumerate(self.langs):
+            x = [self.symbols(t) for t in told[lang]]
+            n = sum(map(len, x))
+            if n:
+                self.usual[j] = max(1, self.phrases(x)[:, j].sum()) / n
 
     def symbols(self, text: str) -> np.ndarray:
         x = self.lut[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -97,33 +113,75 @@ class Parser:
         again[1:] = (x[1:] == _SPACE) & (x[:-1] == _SPACE)
         return x[~again]
 
+    def _parse(self, flat: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray, begun: np.ndarray) -> np.ndarray:
+        """States (language, piece) after pieces, in falling order of length, from given ones; begun marks where phrases begin."""
+        live_at = np.searchsorted(-length, -np.arange(length[0]), "left")  # pieces longer than k
+        for k, live in enumerate(live_at.tolist()):
+            at = first[:live] + k
+            c = flat[at]
+            move = self.table[state[:, :live] * self.width + c]
+            new = move == 0
+            begun[:, at] = new
+            state[:, :live] = np.where(new, self.roots[:, c], move)
+        return state
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """How many phrases each text (row) needs in each language (column)."""
+        """How many phrases each text (row) needs in each language (column).
+
+        Pieces of a text are parsed side by side as if a phrase began at each.
+        Then the phrase that is open where a piece begins is read on until both
+        readings begin a phrase at one place, from where they are the same. A
+        text with a piece in which they never do is read once more as a whole.
+        """
         sizes = np.array([len(x) for x in texts], np.int64)
-        owner = np.repeat(np.arange(len(texts)), -(-sizes // PIECE))
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not len(owner) or not self.langs:
+        if not sizes.sum() or not self.langs:
             return counts
+        owner = np.repeat(np.arange(len(texts)), -(-sizes // PIECE))
         flat = np.concatenate(texts).astype(np.int64)
-        first = np.concatenate([np.arange(s, s + n, PIECE) for s, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True)])
-        length = np.minimum(PIECE, np.cumsum(sizes)[owner] - first)
+        ends = np.cumsum(sizes)
+        first = np.concatenate([np.arange(e - n, e, PIECE) for e, n in zip(ends, sizes, strict=True)]).astype(np.int64)
+        length = np.minimum(PIECE, ends[owner] - first)
         order = np.argsort(-length, kind="stable")
-        first, length, owner = first[order], length[order], owner[order]
-        live_at = np.searchsorted(-length, -np.arange(length[0]), "left")  # pieces longer than k
-        state = np.zeros((len(self.langs), len(first)), np.int32)
-        begun = np.zeros(state.shape, np.int32)
-        for k, live in enumerate(live_at.tolist()):
-            c = flat[first[:live] + k]
-            move = self.table[state[:, :live] * self.width + c]
+        begun = np.zeros((len(self.langs), len(flat)), bool)
+        state = self._parse(flat, first[order], length[order], np.zeros((len(self.langs), len(first)), np.int32), begun)
+        last = np.empty_like(state)
+        last[:, order] = state
+        # (language, piece) that follow a piece of the same text
+        lang, piece = np.nonzero(np.broadcast_to(np.concatenate([[False], owner[1:] == owner[:-1]]), last.shape))
+        state = last[lang, piece - 1]
+        again = set()
+        for k in range(PIECE):
+            if not len(piece):
+                break
+            over = length[piece] <= k
+            if over.any():
+                again.update(owner[piece[over]].tolist())
+                lang, piece, state = lang[~over], piece[~over], state[~over]
+            at = first[piece] + k
+            c = flat[at]
+            move = self.table[state * self.width + c]
             new = move == 0
-            begun[:, :live] += new
-            state[:, :live] = np.where(new, self.roots[:, c], move)
+            met = new & begun[lang, at]
+            begun[lang, at] = new
+            state = np.where(new, self.roots[lang, c], move)
+            lang, piece, state = lang[~met], piece[~met], state[~met]
+        again.update(owner[piece].tolist())
+        if again:
+            whole = np.array(sorted(again, key=lambda i: -sizes[i]))
+            self._parse(flat, (ends - sizes)[whole], sizes[whole], np.zeros((len(self.langs), len(whole)), np.int32), begun)
+        full = np.flatnonzero(sizes)
         for j in range(len(self.langs)):
-            counts[:, j] = np.bincount(owner, begun[j], len(texts))
+            counts[full, j] = np.add.reduceat(begun[j].astype(np.int64), (ends - sizes)[full])
         return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The best language of each text, and its share under 2 ** -(bits for its phrases)."""
+        """The language of each text, and how its phrases a symbol compare with what is usual there.
+
+        The score is 1 where phrases are as long as in held-back texts of the
+        language, or longer, and falls with their mean length; the first phrase
+        doesn't count, so short texts score 1.
+        """
         x = [self.symbols(t or "") for t in texts]
         counts = self.phrases(x)
         langs, scores = [], []
@@ -132,18 +190,18 @@ class Parser:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            best = int(row.argmin())
+            best = int((row * self.bits).argmin())
             langs.append(self.langs[best])
-            scores.append(float(1 / np.exp2(-np.minimum((row - row[best]) * self.bits, 1000.0)).sum()))
+            scores.append(float(min(1.0, self.usual[best] * len(s) / max(row[best] - 1, 1e-9))))
         return langs, scores
 
 
 _parsers: dict[int, Parser] = {}
 
 
-def _parser(samples: dict[str, str]) -> Parser:
+def _parser(samples: dict[str, list[str]]) -> Parser:
     """Built once in a worker and kept from task to task."""
-    key = hash(tuple(sorted(samples.items())))
+    key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
     if key not in _parsers:
         _parsers.clear()
         _parsers[key] = Parser(samples)
@@ -155,32 +213,31 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
 
 
-def sample_languages(labelled: DataFrame, docs: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS, chars: int = SAMPLE_CHARS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Text of each language from a bounded, repeatable sample of labelled rows.
+def sample_languages(labelled: DataFrame, langs: int = SAMPLE_LANGS, docs: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Parts of texts by language from a bounded, repeatable sample of labelled rows.
 
-    Of each language the docs rows with the least hash of the key give
-    doc_chars characters from their middle, chars in all. Rows with a null
-    text or language are not used.
+    Of each of the langs labels with most rows (ties by name) the docs rows
+    with the least hash of key and text give doc_chars characters from their
+    middle. Rows with a null text or language are not used; of repeated rows
+    each counts.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = [r[0] for r in rows.select(lang).distinct().collect()]  # as many rows as there are languages
-    ids: set[int] = set()
-    for name in found:
-        least = rows.where(F.col(lang) == name).select(key).dropDuplicates().orderBy(F.xxhash64(key), key).limit(docs)
-        ids |= {r[0] for r in least.collect()}
+    found = [r[0] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(langs).collect()]
     middle = F.substring(F.col(text), (F.length(text) / 3).cast("int") + 1, F.lit(doc_chars))
-    picked = rows.where(F.col(key).isin(sorted(x for x in ids if x is not None))).select(key, lang, middle.alias("part"))
-    out: dict[str, str] = {}
-    for r in sorted(picked.limit(8 * docs * max(1, len(found))).collect(), key=lambda r: (r[1], r[0], r[2])):
-        out[r[1]] = (out.get(r[1], "") + " " + r[2])[:chars]
+    picked = rows.where(F.col(lang).isin(found)).select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), middle.alias("part"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))
+    out: dict[str, list[str]] = {}
+    for r in picked.withColumn("nth", nth).where(F.col("nth") <= docs).orderBy("lang", "nth").collect():
+        out.setdefault(r.lang, []).append(r.part)
     return out
 
 
-def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
-    """Every column of docs, and lang_pred and score.
+def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text") -> DataFrame:
+    """Every column of docs, and lang_pred and score, which replace columns of these names.
 
     `und` with score 0 where the text is null or has no letter, or no language
-    was learned. Ties go to the first language by name. Whole texts are parsed.
+    was learned. Ties go to the first language by name. Whole texts are parsed;
+    repeated rows are each judged; an empty table gives an empty result.
     """
 
     @F.pandas_udf("lang_pred string, score double")
@@ -201,7 +258,8 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
             n = len(texts)
             yield pd.DataFrame({"lang_pred": (langs + a)[:n], "score": (scores + b)[:n]})
 
-    return docs.withColumn("_p", predicted(F.col(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return docs.select(*[F.col(f"`{c}`") for c in own], predicted(F.col(text)).alias("_parcelyard_p")).select(*[F.col(f"`{c}`") for c in own], "_parcelyard_p.lang_pred", "_parcelyard_p.score")
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:

@@ -25,67 +25,81 @@ FIRST = 16
 KNOWN_ROWS = 100_000
 #: A line with more than this share of all lines is joined by broadcast (1 / HOT lines at most).
 HOT = 0.001
-#: Words that one edit takes away or adds at most (a space that goes makes one of two).
-WORDS_AN_EDIT = 3
+#: Words, and characters, that one edit takes away or adds at most (a space that goes makes one word of two).
+WORDS_AN_EDIT, LETTERS_AN_EDIT = 3, 2
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
 
+def _trimmed(line: Column) -> Column:
+    """A line without white space at its ends; bytes tell quickly that most have none."""
+    octets = line.cast("binary")
+    edge = F.expr("array(x'20', x'09', x'0a', x'0b', x'0c', x'0d')")
+    blank = F.array_contains(edge, F.substring(octets, 1, 1)) | F.array_contains(edge, F.substring(octets, -1, 1))
+    return F.when(blank, F.btrim(line, F.lit(" \t\n\x0b\f\r"))).otherwise(line)
+
+
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, th (a hash of the text), line_no, line (without white space at its ends), and two 64-bit hashes that tell lines apart."""
     rows = docs.select(F.col(key).alias(key), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line != ''")
+    rows = rows.withColumn("line", _trimmed(F.col("line"))).where("line != ''")
     return rows.select(key, "th", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _keyed(rows: DataFrame, edits: int, cut: bool) -> DataFrame:
+def _places(edits: int) -> Column:
+    """Where a line's segments lie and where segments of lines shorter by up to `edits` may: an array of most, shift, i and move."""
+    found = []
+    for most in range(1, edits + 1):
+        for shift in range(most + 1):
+            for i in range(most + 1):
+                for move in range(max(-i, shift - (most - i)), min(i, shift + (most - i)) + 1):
+                    found.append(f"named_struct('most', {most}, 'shift', {shift}, 'i', {i}, 'move', {move})")
+    return F.expr(f"array({', '.join(found)})")
+
+
+def _keyed(rows: DataFrame, edits: int, one_from: int, fuzzy_from: int, cut: bool) -> DataFrame:
     """h, key and own (whether the line is indexed under the key) of every place of rows (h, gid, most, rest).
 
     A line is indexed under its own segments. It is also looked for where
     segments of lines up to `most` shorter, which is what the row's pairs may
-    differ by, may lie in it. cut: also gid, most, and the start and size of
-    each segment.
+    differ by, may lie in it; a null `most` follows from the length, and is 1
+    and edits at fuzzy_from code points. cut: also gid, most, and the start and
+    size of each segment.
     """
-    # four bytes a code point, so that any segment is found without reading what is before it
+    # four bytes a code point, so that any segment is found without reading what is before it;
+    # a row for each place first, so that the generated code has one key to make and stays small enough to be compiled
     rows = rows.select("h", "gid", "most", F.encode("rest", "UTF-32").alias("units"))
-    rows = rows.withColumn("n", F.shiftright(F.octet_length("units"), 2))
-    shifts = [(most, shift) for most in range(1, edits + 1) for shift in range(most + 1)]
-    sizes = {f"{name}_{most}_{shift}": f for most, shift in shifts for name, f in (("each", F.expr(f"cast((n - {shift}) div {most + 1} as int)")), ("over", (F.col("n") - shift) % (most + 1)))}
-    rows = rows.withColumns(sizes)
-    found = []
-    for most, shift in shifts:
-        each, over, parts = F.col(f"each_{most}_{shift}"), F.col(f"over_{most}_{shift}"), most + 1
-        for i in range(parts):
-            length = each + F.when(over >= parts - i, 1).otherwise(0)
-            start = each * i + F.greatest(over - (parts - i), F.lit(0))
-            for move in range(max(-i, shift - (most - i)), min(i, shift + (most - i)) + 1):
-                at = start + move
-                fits = (F.col("most") == most) & (F.col("n") >= shift) & (at >= 0) & (at + length <= F.col("n"))
-                key = F.when(fits, F.xxhash64("gid", F.lit(most * 256 + i), F.col("n") - shift, F.substring("units", at * 4 + 1, length * 4)))
-                found.append(F.struct(key.alias("key"), F.lit(shift == 0 and move == 0).alias("own"), *([(at + 1).alias("start"), length.alias("size")] if cut else [])))
-    keys = rows.select("h", *(["gid", "most"] if cut else []), F.explode(F.array(*found)).alias("p")).where("p.key is not null")
-    return keys.select("h", "p.key", "p.own", *(["gid", "most", "p.start", "p.size"] if cut else []))
-
-
-def _met(rows: DataFrame, edits: int, depth: int) -> DataFrame:
+    rows = rows.select("h", "gid", "most", "units", F.shiftright(F.octet_length("units"), 2).alias("n"), F.explode(_places(edits)).alias("p"))
+    sure = lambda x: F.coalesce(F.expr(x), F.lit(False))  # noqa: E731  (not pushed down as a null check that works out the units again)
+    by_length = f"if(p.most = {edits}, n >= {fuzzy_from if edits > 1 else one_from}, p.most = 1 and n between {one_from} and {fuzzy_from})"
+    rows = rows.where(sure(f"if(most is null, {by_length}, p.most = most) and n >= p.shift"))
+    rows = rows.select("h", "gid", "units", "n", "p", F.expr("cast((n - p.shift) div (p.most + 1) as int)").alias("each"), F.expr("(n - p.shift) % (p.most + 1) - (p.most + 1 - p.i)").alias("over"))
+    rows = rows.select("h", "gid", "units", "n", "p", F.expr("each + if(over >= 0, 1, 0)").alias("size"), F.expr("each * p.i + greatest(over, 0) + p.move").alias("at"))
+    rows = rows.where(sure("at >= 0 and at + size <= n"))
+    key = F.xxhash64("gid", F.col("p.most") * 256 + F.col("p.i"), F.col("n") - F.col("p.shift"), F.substring("units", F.col("at") * 4 + 1, F.col("size") * 4))
+    own = F.expr("p.shift = 0 and p.move = 0").alias("own")
+    return rows.select("h", key.alias("key"), own, *(["gid", "p.most", (F.col("at") + 1).alias("start"), "size"] if cut else []))
+
+
+def _met(rows: DataFrame, lengths: tuple[int, int, int], depth: int) -> DataFrame:
     """_keyed rows, cut, of the keys that have at least two lines, one of them indexed; n: rows of the key.
 
     Keys are first counted, with sums made before the shuffle, so that a line
     or segment that is everywhere costs no more than others.
     """
-    some = _keyed(rows, edits, False).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("ix"))
+    some = _keyed(rows, *lengths, False).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("ix"))
     shared = saved(some.where("lo != hi and ix").select("key"), f"shared-{depth}")
-    met = saved(looked_up(_keyed(rows, edits, True), shared, "key").distinct(), f"met-{depth}")
+    met = saved(looked_up(_keyed(rows, *lengths, True), shared, "key").distinct(), f"met-{depth}")
     forget(shared)
     out = saved(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), f"met-sizes-{depth}")
     forget(met)
     return out
 
 
-def _words(line: Column) -> Column:
-    """64 parities of the words, each word at the bit that its hash tells."""
+def _parities(parts: Column) -> Column:
+    """64 parities of the parts of a line, each part at the bit that its hash tells."""
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(63).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> tuple[DataFrame, DataFrame]:
@@ -94,24 +108,26 @@ def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, f
     Lines may repeat. Under a key at most LARGE lines are compared with each of
     its lines; those of more have what is left of them, without the segment
     that has met, cut again, which must be within the edits too. Of the pairs
-    compared, those stay whose words differ no more than the edits allow.
+    compared, those stay whose words and characters differ no more than the edits
+    allow.
     """
-    n = F.length("line")
-    most = F.filter(F.array(*[F.when(n >= fuzzy_from, edits), *([F.when(n.between(one_from, fuzzy_from), 1)] if edits > 1 else [])]), lambda x: x.isNotNull())
-    rows = lines.select("h", F.lit(0).cast("long").alias("gid"), F.explode(most).alias("most"), F.col("line").alias("rest"))
+    rows = lines.select("h", F.lit(0).cast("long").alias("gid"), F.lit(None).cast("int").alias("most"), F.col("line").alias("rest"))
     depth, pairs, done, texts = 0, None, [], None
     while True:
-        met = _met(rows, edits, depth)
+        met = _met(rows, (edits, one_from, fuzzy_from), depth)
         if texts is None:
             some = saved(met.select("h").distinct(), "met-lines")
             texts = looked_up(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line"))
-            texts = saved(texts.withColumn("words", _words(F.col("line"))), "texts")
+            parities = F.array(_parities(F.split("line", " ")), _parities(F.split("line", "")))
+            texts = saved(texts.withColumn("marks", parities), "texts")
             forget(some)
         # a segment of no characters tells nothing more: what is left is no longer than the edits
         few = (F.col("n") <= LARGE) | (F.col("size") == 0)
-        side = met.where(few).join(texts.select("h", "words"), "h").select("key", "h", "own", "most", "words")
-        x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("words").alias("wx")), side.select("key", "most", F.col("h").alias("y"), F.col("words").alias("wy"))
-        near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("wx").bitwiseXOR(F.col("wy"))) <= WORDS_AN_EDIT * F.col("most"))
+        side = met.where(few).join(texts.select("h", "marks"), "h").select("key", "h", "own", "most", "marks")
+        x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("marks").alias("mx")), side.select("key", "most", F.col("h").alias("y"), F.col("marks").alias("my"))
+        near = F.col("x") != F.col("y")
+        for k, each in enumerate((WORDS_AN_EDIT, LETTERS_AN_EDIT)):
+            near &= F.bit_count(F.col("mx")[k].bitwiseXOR(F.col("my")[k])) <= each * F.col("most")
         met_here = x.join(y, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = met_here if pairs is None else pairs.unionByName(met_here)
         done.append(met)
@@ -215,8 +231,10 @@ def _classes(lines: DataFrame, key: str, edits: int, one_from: int, fuzzy_from:
     """The written places (key, th, line_no, h, h2) of lines, and what is to be said of lines that aren't alone: h, h2, class, n_links, n."""
     places = saved(lines.select(key, "th", "line_no", "h", "h2"), "lines")
     at = F.struct(F.col(key), F.col("line_no"), F.col("th"))
-    info = saved(places.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-info")
+    repeated = places.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     linked = saved(links(lines, edits, one_from, fuzzy_from), "line-links")
+    wanted = saved(repeated.unionByName(linked.select(F.explode(F.array("a", "b")).alias("h"))).distinct(), "lines-wanted")
+    info = saved(looked_up(places, wanted, "h").groupBy("h", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-info")
     ends = linked.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(linked).select(F.col("node").alias("h"), "root")
     near = info.join(ends, "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -224,7 +242,7 @@ def _classes(lines: DataFrame, key: str, edits: int, one_from: int, fuzzy_from:
     near = saved(near.join(firsts, "root").select("h", "h2", "class", "n_links"), "line-classes")
     known = info.join(near, ["h", "h2"], "left").where("n > 1 or n_links > 0")
     known = saved(known.select("h", "h2", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n"), "line-known")
-    forget(info, linked, near)
+    forget(wanted, info, linked, near)
     return places, known
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import saved
+from parcelyard.llm.common import BROADCAST_ROWS, forget, looked_up, once, saved
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints under one key that are compared there; above it the key is refined by the other half.
@@ -176,8 +176,10 @@ def components(edges: DataFrame) -> DataFrame:
     def signed(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 
+    summed = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     now = saved(signed(edges), "edges")
-    while True:
+    before = summed(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large-star: neighbours above a node go to the least of its neighbourhood
@@ -187,11 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = saved(signed(small.select("e.a", "e.b")), "small-star")
-        same = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if same(new) == same(now):
+        forget(now, large)
+        now, last = new, before
+        before = summed(now)
+        if before == last:
             break
-        now = new
-    if now.isEmpty():
+    if not before[0]:
         return spark.createDataFrame([], "node long, root long")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -219,16 +222,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 #: Documents sampled to find common shingles, those in how many of them are common, and how many are told at most.
 HOT_DOCS, HOT_FROM, HOT_MOST = 20_000, 8, 65_536
-#: Most differing bits of the fingerprints of shingles of similar texts: 10 are expected at a similarity of 0.8, 32 of unlike texts.
-NEAR_SHINGLES = 24
-#: Texts of fewer shingles are compared whatever their fingerprints: those of few shingles vary too much.
-FEW_SHINGLES = 64
 #: Texts under one key that are compared in one piece; more are dealt to chunks, and each two chunks are compared.
 CHUNK = 4096
-#: Nearest texts that each text of a group is verified against at first; eight times as many in the next round.
-NEAREST = 4
-#: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rounds in which the texts under a key are verified against one of them, another in each round.
+LEADERS = 2
+#: Slots of a sketch, one byte each; deviations by which a pair's sketches may fall short of the similarity (one pair in three million does by more).
+SLOTS, SHORT = 256, 5.0
 
 _odd = lambda i: np.uint64(xxhash.xxh64_intdigest(str(i).encode(), SEED) | 1)
 _PLACE = [_odd(i) for i in range(64)]
@@ -239,41 +238,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _shingles(batch: list[str | None], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: two hashes of each word, and one of each run of words (fewer are one run; none, no run)."""
+def _shingle_sets(batch: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted hashes of its distinct runs of words (fewer are one run; none, no run)."""
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     texts = [np.array([number[w] for w in (t or "").encode().lower().split()], np.int64) for t in batch]
-    one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)
-    two = np.array([xxhash.xxh64_intdigest(w, SEED + 1) for w in number], np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)
     for ids in texts:
-        w, size = one[ids], min(words, len(ids))
+        w, size = hashes[ids], min(words, len(ids))
         runs = np.zeros(len(ids) - size + 1 if size else 0, np.uint64)
         for k in range(size):
             runs += w[k : k + len(runs)] * _PLACE[k % len(_PLACE)]
-        yield w, two[ids], _mixed(runs)
-
-
-def _nearest(shingled: np.ndarray, size: np.ndarray, label: np.ndarray, k: int, least: float) -> tuple[list[int], list[int], bool]:
-    """Of each text of a group the k nearest that may be similar and have another label; whether there are more."""
-    left: list[int] = []
-    right: list[int] = []
-    more, least_size = False, size.min()
-    for at in range(0, len(label), 256):
-        own = slice(at, at + 256)
-        bits = np.bitwise_count(shingled[own, None] ^ shingled)
-        near = bits <= NEAR_SHINGLES
-        if least_size < FEW_SHINGLES:
-            near |= np.minimum(size[own, None], size) < FEW_SHINGLES
-        i, j = np.nonzero(near & (label[own, None] != label))
-        fits = np.minimum(size[i + at], size[j]) >= least * np.maximum(size[i + at], size[j])
-        i, j = i[fits], j[fits]
-        order = np.lexsort((j, bits[i, j], i))
-        i, j = i[order], j[order]
-        near = np.arange(len(i)) - np.searchsorted(i, i) < k
-        more |= not near.all()
-        left += (i[near] + at).tolist()
-        right += j[near].tolist()
-    return left, right, more
+        yield np.unique(_mixed(runs))
 
 
 def _prefix(own: np.ndarray, hot: np.ndarray, least: float) -> np.ndarray:
@@ -289,62 +264,115 @@ def _prefix(own: np.ndarray, hot: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate([own[~common], own[common]])[: n - math.ceil(least * n - 1e-9) + 1]
 
 
-def _met(made: DataFrame) -> DataFrame:
-    """key, chunks and id of texts that share a key with another; a group of over CHUNK has all pairs of its chunks."""
-    rows = made.select(F.explode("prefix").alias("key"), "id")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, "key")
-    small = met.where(F.col("n") <= CHUNK).select("key", F.lit(0).cast("long").alias("chunks"), "id")
-    m = F.ceil(F.col("n") / CHUNK)
-    large = met.where(F.col("n") > CHUNK).withColumn("m", m).withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")))
-    large = large.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return small.unionByName(large.select("key", (F.least("c", "d") * F.col("m") + F.greatest("c", "d")).alias("chunks"), "id"))
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """A byte of the least of the sorted hashes in each of SLOTS equal ranges of hashes, 0 where there is none."""
+    slot = (own >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(own) else np.zeros(0, np.int64)
+    out = np.zeros(SLOTS, np.uint8)
+    out[slot[first]] = own[first] % np.uint64(255) + np.uint64(1)
+    return out
 
 
-def _once(met: DataFrame) -> DataFrame:
-    """Of the groups that have the same texts one stays: similar texts meet under most of their keys."""
-    groups = met.groupBy("key", "chunks").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    kept = groups.groupBy("n", "x").agg(F.min(F.struct("key", "chunks")).alias("k")).select("k.*")
-    return saved(met.join(kept, ["key", "chunks"], "left_semi"), "met")
+def _may_be_similar(ids: np.ndarray, label: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray | None, least: float) -> list[tuple[int, np.ndarray]]:
+    """Of texts under one key, each with those of other labels that it may be similar to; a pair is told once.
 
+    side: which of two chunks a text is in; only pairs between the two count.
+    """
+    names, at = np.unique(label, return_inverse=True)
+    rest = np.flatnonzero(at != np.bincount(at, minlength=len(names)).argmax())
+    small = np.zeros(len(ids), bool)
+    small[rest] = True
+    found = []
+    step = max(1, (1 << 24) // (SLOTS * len(ids)))
+    for part in range(0, len(rest), step):
+        i = rest[part : part + step]
+        # texts outside the largest label take partners there, and earlier ones outside it
+        want = (label[i, None] != label) & (~small | (ids < ids[i, None]))
+        want &= np.minimum(size[i, None], size) >= least * np.maximum(size[i, None], size)
+        if side is not None:
+            want &= side[i, None] != side
+        j = np.flatnonzero(want.any(axis=0))
+        if not len(j):
+            continue
+        x, y = sketch[i, None], sketch[None, j]
+        used = ((x | y) != 0).sum(axis=2)
+        near = ((x == y) & (x != 0)).sum(axis=2) >= least * used - SHORT * np.sqrt(least * (1 - least) * used)
+        for row, ok in zip(i, near & want[:, j], strict=True):
+            if ok.any():
+                found.append((int(ids[row]), ids[j[ok]]))
+    return found
 
-def _looked_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ids, a written table; ids are broadcast if they are few."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
 
+def _keys(made: DataFrame) -> DataFrame:
+    """key and id of texts that share a key with another; of keys with the same texts one stays: similar texts meet under most of theirs."""
+    rows = made.select(F.explode("prefix").alias("key"), "id")
+    shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    met = saved(looked_up(rows, shared, "key"), "all-met")
+    groups = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("one"))
+    kept = saved(groups.groupBy("n", "x", "one").agg(F.min("key").alias("key")).select("key"), "keys")
+    out = saved(looked_up(met, kept, "key"), "met")
+    forget(shared, met, kept)
+    return out
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """key and group_id (the least key of its group) of every row with a key.
 
-    Two texts belong together if they are equal, or if the Jaccard similarity
-    of their sets of shingles is at least `least`; groups are what that
-    reaches. Candidates share a shingle of their prefixes, which all similar
-    texts do; fingerprints of shingles order them. Each text is verified
-    against its nearest candidates outside its group so far, then against more,
-    until none is left. Texts without words are equal to each other. Where a
-    key repeats, its rows are one node.
-    """
-    kind = "size long, shingled long, prefix array<long>"
+def _chunks(met: DataFrame) -> DataFrame:
+    """Rows of met with chunks and side; under a key of over CHUNK texts each two chunks meet."""
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = met.join(sizes, "key").withColumn("m", F.ceil(F.col("n") / CHUNK)).withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")))
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    chunks = F.least("c", "d") * F.col("m") + F.greatest("c", "d")
+    return rows.select(*met.columns, chunks.alias("chunks"), F.when(F.col("c") > F.col("d"), 1).when(F.col("c") < F.col("d"), 0).otherwise(-1).alias("side"))
+
+
+def _made(rows: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """A saved row for each distinct text: id, h and h2 (its hashes), first (its least key), n (its rows), fp, size, sketch and prefix."""
 
     @F.pandas_udf("array<long>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(runs).view(np.int64) for _, _, runs in _shingles(list(texts), words)], dtype=object)
+            yield pd.Series([x.view(np.int64) for x in _shingle_sets(list(texts), words)], dtype=object)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("fp long, size long, sketch binary, prefix array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
-            for _, _, runs in _shingles(list(texts), words):
-                own = np.unique(runs)
-                out.append((len(own), int(signed([_majority(own)])[0]), signed(_prefix(own, common, least))))
-            yield pd.DataFrame(out, columns=["size", "shingled", "prefix"])
+            for own in _shingle_sets(list(texts), words):
+                out.append((int(signed([_majority(own)])[0]), len(own), _sketch(own).tobytes(), signed(_prefix(own, common, least))))
+            yield pd.DataFrame(out, columns=["fp", "size", "sketch", "prefix"])
+
+    part = F.pmod(F.xxhash64(key, text), F.lit(max(1, rows.count() // HOT_DOCS))) == 0
+    some = rows.where(part).select(F.explode(distinct(F.col(text))).alias("s"))
+    told = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "s").limit(HOT_MOST)
+    common = np.array([r[0] for r in told.collect()], np.int64).view(np.uint64)
+    copies = rows.groupBy("h", "h2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = saved(copies.where("n > 1"), "text-copies")
+    marked = looked_up(rows, copies, ["h", "h2"], "left")
+    one = marked.where(F.col("n").isNull() | F.col(key).eqNullSafe(F.col("first"))).select("h", "h2", F.col(key).alias("first"), F.coalesce("n", F.lit(1)).alias("n"), F.col(text).alias("text"))
+    return saved(one.select(F.monotonically_increasing_id().alias("id"), "h", "h2", "first", "n", prints("text").alias("f")).select("id", "h", "h2", "first", "n", "f.*"), "prints")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """key, h and h2 (hashes of the text), group_id (the least key of the row's group) and kept (whether the row is the one of its group that stays).
+
+    Two texts belong together if they are equal, or if the Jaccard similarity
+    of their sets of shingles is at least `least`; groups are what that reaches.
+
+    Texts whose fingerprints (of shingles) are within 3 bits are found by their
+    deletion-variant signatures. All similar texts share a shingle of their
+    prefixes, so an equality join of prefixes makes the candidates complete.
+    What is found is verified by the sets: first the texts under a key against
+    one of them, in LEADERS rounds; then those under a key that are still in
+    different groups and whose sketches don't rule it out. Texts without words
+    are equal to each other. Null texts count as empty. Null keys come after
+    others; of rows with one key and one text each counts, but a single one
+    (any) is to stay, which `once` sees to before.
+    """
 
     @F.pandas_udf("binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(runs).tobytes() for _, _, runs in _shingles(list(texts), words)], dtype=object)
+            yield pd.Series([x.tobytes() for x in _shingle_sets(list(texts), words)], dtype=object)
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -357,58 +385,121 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
             out.append(shared >= least * (len(both) - shared))
         return pd.Series(out, dtype=bool)
 
-    def nearest(k: int):
-        @F.pandas_udf("a array<long>, b array<long>, more boolean")
-        def pairs(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            for columns in batches:
-                out = []
-                for own in zip(*columns, strict=True):
-                    ids, shingled, size, label = (np.asarray(x, np.int64) for x in own)
-                    order = np.lexsort((shingled, ids))
-                    ids = ids[order]
-                    i, j, more = _nearest(shingled[order].view(np.uint64), size[order], label[order], k, least)
-                    out.append((ids[i], ids[j], more))
-                yield pd.DataFrame(out, columns=["a", "b", "more"])
-
-        return pairs
-
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    some = rows.where(F.pmod(F.xxhash64(key), F.lit(max(1, rows.count() // HOT_DOCS))) == 0).select(F.explode(distinct(F.col(text))).alias("s"))
-    told = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "s").limit(HOT_MOST)
-    common = np.array([r[0] for r in told.collect()], np.int64).view(np.uint64)
-    hashed = rows.select(key, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), prints(F.col(text)).alias("f"))
-    hashed = saved(hashed, "prints")
-    copies = saved(hashed.groupBy("h", "h2").agg(F.min(key).alias("id"), F.min_by("f", key).alias("f"), F.count(F.lit(1)).alias("n")), "text-copies")
-    made = copies.select("id", "f.*")
-    met = _once(saved(_met(made), "all-met"))
-    named = saved(met.select("id").distinct(), "met-ids")
-    known = saved(_looked_up(made.select("id", "size", "shingled"), named, "id"), "met-prints")
-    labels = named.select("id", F.col("id").alias("label"))
-    edges = tested = roots = None
-    k = NEAREST
-    while True:
-        marked = met.join(known, "id").join(labels, "id")
-        groups = marked.groupBy("key", "chunks").agg(*[F.collect_list(c).alias(c) for c in ("id", "shingled", "size", "label")])
-        found = saved(groups.select("key", "chunks", nearest(k)("id", "shingled", "size", "label").alias("f")).select("key", "chunks", "f.*"), "nearest")
-        pairs = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).where("a != b").distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        ids = saved(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "candidate-ids")
-        texts = saved(_looked_up(rows, ids, key).dropDuplicates().select(key, sets(F.col(text)).alias("s")), "candidate-sets")
-        both = pairs.join(texts.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
-        good = saved(both.where(similar("sa", "sb")).select("a", "b"), "similar")
-        edges = good if edges is None else edges.unionByName(good)
-        roots = saved(components(edges), "similar-roots")
-        more = found.where("more").select("key", "chunks")
-        if more.isEmpty():
-            break
-        met = saved(met.join(more, ["key", "chunks"], "left_semi"), "met")
-        labels = named.join(roots, named.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("label"))
-        k *= 8
-    moved = copies.join(roots, F.col("id") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "id").alias("group_id"), "n")
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows by key and chunks; a group is at most two chunks."""
+        columns = ["id", "label", "size", "sketch", "side"]
+        name, parts = None, []
+
+        def pairs() -> pd.DataFrame:
+            ids, label, size, sketch, side = map(np.concatenate, zip(*parts, strict=True))
+            found = _may_be_similar(ids, label, size, np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SLOTS), side if side[0] >= 0 else None, least)
+            return pd.DataFrame({"a": np.array([i for i, _ in found], np.int64), "b": pd.Series([j for _, j in found], dtype=object)})
+
+        for batch in batches:
+            where = batch["key"].to_numpy(), batch["chunks"].to_numpy()
+            values = [batch[c].to_numpy() for c in columns]
+            heads = np.flatnonzero((where[0][1:] != where[0][:-1]) | (where[1][1:] != where[1][:-1])) + 1
+            for h, e in zip([0, *heads], [*heads, len(batch)], strict=True):
+                own = (where[0][h], where[1][h])
+                if own != name and parts:
+                    yield pairs()
+                    parts = []
+                name = own
+                parts.append([x[h:e] for x in values])
+        if parts:
+            yield pairs()
+
+    hashed = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumns({"h": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
+    scratch: list[DataFrame] = []
+
+    def kept_for_now(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(saved(df, name))
+        return scratch[-1]
+
+    made = _made(hashed, key, text, words, least)
+    met = _keys(made)
+    edges: list[DataFrame] = []
+
+    # texts that may be similar by their fingerprints, with the first of those that have the same
+    fps = kept_for_now(made.groupBy("fp").agg(F.min("id").alias("one")), "fps")
+    twins = made.join(fps, "fp").where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b"))
+    near_fps = links(fps.select("fp"))
+    near_fps = near_fps.join(fps.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    first = kept_for_now(twins.unionByName(near_fps.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct(), "signature-pairs")
+
+    named = kept_for_now(met.select("id").union(first.select(F.explode(F.array("a", "b")))).distinct(), "met-ids")
+    known = kept_for_now(looked_up(made.select("id", "h", "h2", "first", "size", "sketch"), named, "id"), "met-prints")
+    wanted = known.select("id", "h", "h2", "first")
+    of_text = looked_up(hashed, wanted, ["h", "h2"]).where(F.col(key).eqNullSafe(F.col("first")))
+    shingled = kept_for_now(of_text.select("id", sets(F.col(text)).alias("s")), "shingle-sets")
+
+    def verified(pairs: DataFrame) -> None:
+        both = pairs.join(shingled.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        edges.append(kept_for_now(both.where(similar("sa", "sb")).select("a", "b"), "similar"))
+
+    def roots() -> DataFrame:
+        found = edges[0]
+        for more in edges[1:]:
+            found = found.unionByName(more)
+        return kept_for_now(components(found), "similar-roots")
+
+    def unlike(nth: int, least_texts: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of keys whose texts aren't all in one group yet, with labels, and the keys."""
+        rows = met.join(group, met.id == group.node, "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+        leader = F.min(F.struct(F.xxhash64("id", "key", F.lit(nth)).alias("o"), F.col("id").alias("one"), F.col("label").alias("one_label")))
+        keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), leader.alias("leader"))
+        return rows, keys.where((F.col("lo") != F.col("hi")) & (F.col("n") >= least_texts))
+
+    verified(first)
+    group, tested = roots(), first
+    for nth in range(LEADERS):
+        rows, keys = unlike(nth, 2)
+        pairs = rows.join(keys.select("key", "leader.one", "leader.one_label"), "key").where(F.col("label") != F.col("one_label"))
+        pairs = pairs.select(F.greatest("id", "one").alias("a"), F.least("id", "one").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = kept_for_now(pairs, "leader-pairs")
+        verified(pairs)
+        tested = tested.unionByName(pairs)
+        group = roots()
+    # of two texts under a key one was the leader, so that they have been compared
+    rows, keys = unlike(LEADERS, 3 if LEADERS else 2)
+    rest = _chunks(kept_for_now(rows.join(keys.select("key"), "key"), "unlike")).join(known.select("id", "size", "sketch"), "id")
+    rest = rest.repartition("key", "chunks").sortWithinPartitions("key", "chunks")
+    found = rest.select("key", "chunks", "id", "label", "size", "sketch", "side").mapInPandas(near, "a long, b array<long>")
+    found = kept_for_now(found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "near")
+    pairs = found.select("a", F.explode("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    verified(kept_for_now(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs"))
+    group = roots()
+
+    member = made.join(group, made.id == group.node, "left").select("h", "h2", "first", "n", F.coalesce("root", "id").alias("root"))
+    order = F.struct(F.col("first").isNull(), F.col("first"), F.col("h"), F.col("h2"))
+    linked = group.select("root").distinct()
+    heads = looked_up(member, kept_for_now(linked, "group-roots"), "root").groupBy("root").agg(F.min(order).alias("head"))
+    told = member.join(kept_for_now(heads, "group-heads"), "root", "left").where("head is not null or n > 1")
+    told = told.select("h", "h2", "n", F.coalesce("head", order).alias("head")).select("h", "h2", "n", F.col("head.first").alias("group_id"), F.col("head.h").alias("head_h"), F.col("head.h2").alias("head_h2"))
+    told = saved(told, "groups-of-texts")
     # hashes with more than a thousandth of the rows: a thousand at most
-    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = moved.where(F.col("n") > max(1, total // 1000)).select("h", "h2", F.col("group_id").alias("hot"))
-    marked = hashed.select(key, "h", "h2").join(F.broadcast(hot), ["h", "h2"], "left")
-    rest = marked.where("hot is null").select(key, "h", "h2").join(moved, ["h", "h2"]).select(key, "group_id")
-    return marked.where("hot is not null").select(key, F.col("hot").alias("group_id")).unionByName(rest)
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(1, total // 1000)
+    rows = hashed.select(key, "h", "h2")
+    marked = rows.join(F.broadcast(told.where(hot)), ["h", "h2"], "left")
+    other = marked.where("n is null").select(key, "h", "h2").join(told.where(~hot), ["h", "h2"], "left")
+    out = marked.where("n is not null").unionByName(other)
+    alone = F.col("n").isNull()
+    kept = alone | ((F.col("h") == F.col("head_h")) & (F.col("h2") == F.col("head_h2")) & F.col(key).eqNullSafe(F.col("group_id")))
+    out = out.select(key, "h", "h2", F.when(alone, F.col(key)).otherwise(F.col("group_id")).alias("group_id"), kept.alias("kept"))
+    forget(made, met, *scratch)
+    return out
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs in which a single row of each of the similar_groups stays: that with the least key, a null key last.
+
+    Any other columns are carried along.
+    """
+    rows = once(docs, key, text)
+    gone = saved(similar_groups(rows, key, text, words, least).where("not kept").select(F.col(key).alias("key"), "h", "h2"), "copies-gone")
+    own, value = F.col("row"), F.coalesce(F.col("row")[text], F.lit(""))
+    marked = rows.select(F.struct(*rows.columns).alias("row"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    same = (F.xxhash64(value) == F.col("h")) & (F.xxhash64(F.lit(1), value) == F.col("h2")) & own[key].eqNullSafe(F.col("key"))
+    return marked.join(gone, same, "left_anti").select("row.*")

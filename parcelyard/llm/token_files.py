@@ -118,7 +118,8 @@ class Code:
 class WordTokenizer:
     """A tokenizers file that lower-cases and whose pre-tokens never cross white space, nor join letters or digits and marks.
 
-    Words are encoded once and kept.
+    Words are encoded once and kept. Texts that hold one of the file's added
+    tokens are encoded whole, since those may be parted or joined in any way.
     """
 
     def __init__(self, path: str):
@@ -126,7 +127,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # (compared in lower case, which finds more of them than there are)
+        self.added = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
         # the printable characters by which byte-level models write bytes
@@ -183,10 +185,15 @@ class WordTokenizer:
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         # the tokenizer lower-cases, so A-Z may be lower-cased before
-        found = [t.encode().lower().split() for t in texts]
+        low = [t.encode().lower() for t in texts]
+        whole = {i: t for i, (t, b) in enumerate(zip(texts, low, strict=True)) if any(x in b for x in self.added)}
+        found = [[] if i in whole else b.split() for i, b in enumerate(low)]
         self._learn(set().union(*found))
         known, tail = self.cache.__getitem__, int(end).to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(known, own)) + tail, "<u4") for own in found]
+        out = [np.frombuffer(b"".join(map(known, own)) + tail, "<u4") for own in found]
+        for i, t in whole.items():
+            out[i] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4")
+        return out
 
     def encode_all(self, texts: Iterable[str | None], end: int) -> Iterator[list[np.ndarray]]:
         part: list[str] = []
@@ -341,4 +348,10 @@ def read_ids(chunks: DataFrame, book: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """write_ids, then read_ids: doc_id, start, n_tokens and ids_crc32 of every document, as read from the files.
+
+    Null texts are the end alone; null keys come first and keep their rows, as
+    repeated keys do; an empty table gives an empty result; other columns,
+    whatever their names, are ignored.
+    """
     return read_ids(*write_ids(docs, tokenizer, end))
