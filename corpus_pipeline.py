@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyard.llm import byte_bpe, decontam, langid, line_dedup, simhash
-from parcelyard.llm.common import saved
+from parcelyard.llm.common import looked_up, saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text goes if no language is told, or the best has less than this share.
-LEAST_SCORE = 0.4
+#: A text goes if no language is told, or its phrases are less than this share as long as is usual in its language.
+LEAST_SCORE = 0.5
 #: Words in a shingle of the near-duplicate stage, and the least similarity of two texts that belong together.
 SHINGLE, SIMILAR = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language stay; lang stays as it was given."""
+    """Texts in a learned language stay; lang stays as it was given. Null texts and those without a letter go."""
     rows = docs.select(*COLUMNS)
     train = rows.where(langid.remainder(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
     told = langid.identify(rows, langid.sample_languages(train))
@@ -30,28 +30,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the lines that repeat, within two edits, the first stays; texts left without a line go."""
+    """Of the lines that repeat, within the edits, the first stays; texts left without a line go.
+
+    Null and blank texts stay. Of rows with one doc_id (null is one) and one
+    text a single one stays; rows with one doc_id and different texts are
+    documents of their own.
+    """
     rows = line_dedup.without_repeated_lines(docs.select(*COLUMNS))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id; a null doc_id goes."""
-    rows = docs.select(*COLUMNS)
-    groups = saved(simhash.similar_groups(rows, words=SHINGLE, least=SIMILAR), "groups")
-    gone = groups.where("doc_id != group_id").select("doc_id").distinct()
-    return rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates stays, the one with the least doc_id, a null one last.
+
+    Null and empty texts are equal to each other. Rows of one doc_id are
+    documents of their own if their texts differ, and one document if not.
+    """
+    return simhash.one_of_each(docs.select(*COLUMNS), words=SHINGLE, least=SIMILAR).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
-    rows = docs.select(*COLUMNS)
-    leaked = saved(decontam.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaked")
-    return rows.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item stay; each row is judged by itself, whatever its doc_id."""
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", F.lit(0), "text").alias("row"))
+    leaked = decontam.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").select("row").distinct()
+    return looked_up(rows, saved(leaked, "leaked"), "row", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents and ids, the byte-level BPE ids of the text."""
+    """The columns of documents and ids, the byte-level BPE ids of the text; a null text has none."""
     return byte_bpe.encode_texts(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
