@@ -27,15 +27,14 @@ BLOCK = 8
 RETRIEVE = 0.7
 #: Words in a shingle, and the share of shingles, of an item or of both its halves, that makes a leak.
 SHINGLE, OVERLAP = 5, 0.8
-#: Characters of items in one index; more items make more indexes, each run over all passages.
-INDEX_CHARS = 4_000_000
+#: Characters of items in one index; more items make more indexes, each run over all passages. The blocks' maxima of one
+#: (terms x blocks) take some 30 MB; kept as lists of the blocks that have a term they took five times the CPU seconds.
+INDEX_CHARS = 500_000
 #: Half a passage has at least so many words, or PARTED more than the longest item.
 LEAST_STRIDE = 32
 #: Words between the halves of an item that a passage has room for, even of the longest.
 PARTED = 16
 BATCH_CHARS = 2_000_000
-#: Bounds of blocks that are summed at once.
-MOST_BOUNDS = 2_000_000
 CACHE_WORDS = 300_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -107,20 +106,15 @@ class Index:
         idf = [math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.vocab]
         self.postings: list[list[int]] = [[] for _ in self.vocab]
         self.impacts: list[list[float]] = [[] for _ in self.vocab]
-        self.blocks: list[dict[int, float]] = [{} for _ in self.vocab]  # the greatest impact in each block that has the term
+        self.block_max = np.zeros((len(self.vocab), -(-len(self.items) // BLOCK)), np.float32)
         for j, w in enumerate(self.words):
             weights = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
             own = math.fsum(weights.values())
             for t, x in weights.items():
                 self.postings[t].append(j)
                 self.impacts[t].append(x / own)
-                self.blocks[t][j // BLOCK] = max(self.blocks[t].get(j // BLOCK, 0.0), x / own * (1 + 1e-6))
-        self.n_blocks = -(-len(self.items) // BLOCK)
-        self.most = np.array([max(x.values()) for x in self.blocks])
-        # the same, term after term
-        self.block_heads = np.cumsum([0, *map(len, self.blocks)])
-        self.block_of = np.fromiter((b for x in self.blocks for b in x), np.int64, self.block_heads[-1])
-        self.block_most = np.fromiter((m for x in self.blocks for m in x.values()), np.float64, self.block_heads[-1])
+                self.block_max[t, j // BLOCK] = max(self.block_max[t, j // BLOCK], np.float32(x / own) * np.float32(1 + 1e-6))
+        self.most = self.block_max.max(axis=1, initial=0)
         self.known = _Numbers(self.vocab)
 
     def numbers(self, text: str) -> np.ndarray:
@@ -141,7 +135,7 @@ class Index:
             cursors.sort()
             bound, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursors):
-                bound += self.blocks[t][block]
+                bound += float(self.block_max[t, block])
                 if bound >= least:
                     pivot = k
                     break
@@ -166,28 +160,6 @@ class Index:
             cursors = moved
         return out
 
-    def _open_blocks(self, term: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Passages (of so many terms each) and blocks in which the terms' greatest impacts suffice.
-
-        A passage's weakest terms, which by themselves never suffice, open no
-        block; where others do, they count with their bounds.
-        """
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((self.most[term], at))
-        term = term[order]
-        sums = np.cumsum(self.most[term])
-        heads = np.cumsum(sizes) - sizes
-        sums -= np.repeat(sums[heads] - self.most[term[heads]], sizes)
-        weak = sums < RETRIEVE * (1 - 1e-9)
-        rest = np.bincount(at, self.most[term] * weak, len(sizes))
-        strong = ~weak
-        t, at = term[strong], at[strong]
-        n = self.block_heads[t + 1] - self.block_heads[t]
-        own = np.repeat(self.block_heads[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key, inverse = np.unique(np.repeat(at, n) * self.n_blocks + self.block_of[own], return_inverse=True)
-        enough = np.bincount(inverse, self.block_most[own], len(key)) + rest[key // self.n_blocks] >= RETRIEVE * (1 - 1e-9)
-        return key[enough] // self.n_blocks, key[enough] % self.n_blocks
-
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
         """Leaks as (text, item, score, overlap, question overlap, answer overlap)."""
         if not self.ids or not texts:
@@ -216,10 +188,10 @@ class Index:
         heads = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         tails = np.append(heads[1:], len(window))
-        cost = np.cumsum(np.add.reduceat(self.block_heads[term + 1] - self.block_heads[term], heads)) // MOST_BOUNDS
-        for part in np.split(np.arange(len(heads)), np.flatnonzero(cost[1:] != cost[:-1]) + 1):
-            h, e = heads[part], tails[part]
-            for w, block in zip(*self._open_blocks(term[h[0] : e[-1]], e - h), strict=True):
+        for part in range(0, len(heads), 4096):
+            h, e = heads[part : part + 4096], tails[part : part + 4096]
+            sums = np.add.reduceat(self.block_max[term[h[0] : e[-1]]], h - h[0], axis=0)
+            for w, block in zip(*np.nonzero(sums >= RETRIEVE), strict=True):
                 number = int(window[h[w]])
                 found = self.wand(term[h[w] : e[w]].tolist(), int(block), RETRIEVE)
                 if not found:

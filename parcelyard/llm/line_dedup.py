@@ -18,15 +18,15 @@ EDITS = 2
 #: Code points from which the shorter of two lines may differ by one edit, and by EDITS; shorter lines match only if equal.
 ONE_FROM, FUZZY_FROM = 15, 30
 #: Lines under one key that are compared there; above it the rest of the lines is cut again.
-LARGE = 64
+LARGE = 1024
 #: Characters after which a pair that has no reading left is given up.
 FIRST = 16
 #: Repeated or linked lines (some 100 bytes each) that may be broadcast.
 KNOWN_ROWS = 100_000
 #: A line with more than this share of all lines is joined by broadcast (1 / HOT lines at most).
 HOT = 0.001
-#: Words, and characters, that one edit takes away or adds at most (a space that goes makes one word of two).
-WORDS_AN_EDIT, LETTERS_AN_EDIT = 3, 2
+#: Words, characters and pairs of these that one edit takes away or adds at most (a space that goes makes one word of two).
+PARTS_AN_EDIT = (3, 2, 4)
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -118,16 +118,23 @@ def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, f
         if texts is None:
             some = saved(met.select("h").distinct(), "met-lines")
             texts = looked_up(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line"))
-            parities = F.array(_parities(F.split("line", " ")), _parities(F.split("line", "")))
+            letters = F.split("line", "")
+            parities = F.array(_parities(F.split("line", " ")), _parities(letters), _parities(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters), F.lit(1))), lambda x, y: F.concat(x, y))))
             texts = saved(texts.withColumn("marks", parities), "texts")
             forget(some)
         # a segment of no characters tells nothing more: what is left is no longer than the edits
         few = (F.col("n") <= LARGE) | (F.col("size") == 0)
-        side = met.where(few).join(texts.select("h", "marks"), "h").select("key", "h", "own", "most", "marks")
-        x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("marks").alias("mx")), side.select("key", "most", F.col("h").alias("y"), F.col("marks").alias("my"))
-        near = F.col("x") != F.col("y")
-        for k, each in enumerate((WORDS_AN_EDIT, LETTERS_AN_EDIT)):
-            near &= F.bit_count(F.col("mx")[k].bitwiseXOR(F.col("my")[k])) <= each * F.col("most")
+        side = met.where(few)
+        # a pair counts under the least of the keys that it shares, and one of the two is indexed under
+        keys = side.groupBy("h", "gid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owned"))
+        side = side.join(texts.select("h", "marks"), "h").join(keys, ["h", "gid"]).select("key", "h", "own", "most", "marks", "keys", "owned")
+        each = lambda z: [F.col(c).alias(f"{c}_{z}") for c in ("h", "own", "marks", "keys", "owned")]
+        x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("marks").alias("mx"), *each("x")), side.select("key", "most", F.col("h").alias("y"), F.col("marks").alias("my"), *each("y"))
+        near = (F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("own_y"))
+        for k, at_most in enumerate(PARTS_AN_EDIT):
+            near &= F.bit_count(F.col("mx")[k].bitwiseXOR(F.col("my")[k])) <= at_most * F.col("most")
+        shared = lambda a, b: F.array_min(F.array_intersect(f"owned_{a}", f"keys_{b}"))
+        near &= F.least(shared("x", "y"), shared("y", "x")) == F.col("key")
         met_here = x.join(y, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = met_here if pairs is None else pairs.unionByName(met_here)
         done.append(met)

@@ -226,6 +226,9 @@ HOT_DOCS, HOT_FROM, HOT_MOST = 20_000, 8, 65_536
 CHUNK = 4096
 #: Rounds in which the texts under a key are verified against one of them, another in each round.
 LEADERS = 2
+#: Shingles up to which a text has the keys of its prefix; more have BANDS keys of BAND least hashes each, of which two texts
+#: similar by 0.8 share none once in 70,000 times (by 0.85 once in ten million). Texts about this size have both.
+EXACT, BANDS, BAND = 100, 28, 5
 #: Slots of a sketch, one byte each; deviations by which a pair's sketches may fall short of the similarity (one pair in three million does by more).
 SLOTS, SHORT = 256, 5.0
 
@@ -251,19 +254,40 @@ def _shingle_sets(batch: list[str | None], words: int) -> Iterator[np.ndarray]:
         yield np.unique(_mixed(runs))
 
 
+_MULTIPLIERS = np.array([_odd(1000 + i) for i in range(BANDS * BAND)], np.uint64)
+_BAND_PLACES = np.array([_odd(2000 + i) for i in range(BAND)], np.uint64)
+_BAND_NUMBERS = np.array([_odd(3000 + i) for i in range(BANDS)], np.uint64)
+
+
 def _prefix(own: np.ndarray, hot: np.ndarray, least: float) -> np.ndarray:
-    """So many of a text's distinct shingles, common ones last, that each similar text has one of them in its own.
+    """So many of a text's distinct shingles, common ones (hot, sorted) last, that each similar text has one of them in its own.
 
     A similar text shares at least ceil(least * n) of n. Any order will do that
     is one for all texts: by hash, the hot after the others.
     """
-    if not len(own):
-        return np.zeros(1, np.uint64)
-    common = np.isin(own, hot)
     n = len(own)
+    common = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(n, bool)
     return np.concatenate([own[~common], own[common]])[: n - math.ceil(least * n - 1e-9) + 1]
 
 
+def _bands(own: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of the least values of BAND hashes over the shingles: equal with chance similarity ** BAND."""
+    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(own), 4096):
+        low = np.minimum(low, (own[part : part + 4096, None] * _MULTIPLIERS).min(axis=0))
+    return _mixed((_mixed(low).reshape(BANDS, BAND) * _BAND_PLACES).sum(axis=1, dtype=np.uint64) + _BAND_NUMBERS)
+
+
+def _meeting_keys(own: np.ndarray, hot: np.ndarray, least: float) -> np.ndarray:
+    """Keys of which similar texts share one; none, or one for all, of texts without words."""
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    keys = [_prefix(own, hot, least)] if len(own) <= EXACT else []
+    if len(own) >= least * EXACT:
+        keys.append(_bands(own))
+    return np.concatenate(keys)
+
+
 def _sketch(own: np.ndarray) -> np.ndarray:
     """A byte of the least of the sorted hashes in each of SLOTS equal ranges of hashes, 0 where there is none."""
     slot = (own >> np.uint64(56)).astype(np.int64)
@@ -305,7 +329,7 @@ def _may_be_similar(ids: np.ndarray, label: np.ndarray, size: np.ndarray, sketch
 
 def _keys(made: DataFrame) -> DataFrame:
     """key and id of texts that share a key with another; of keys with the same texts one stays: similar texts meet under most of theirs."""
-    rows = made.select(F.explode("prefix").alias("key"), "id")
+    rows = made.select(F.explode("keys").alias("key"), "id")
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     met = saved(looked_up(rows, shared, "key"), "all-met")
     groups = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("one"))
@@ -325,26 +349,26 @@ def _chunks(met: DataFrame) -> DataFrame:
 
 
 def _made(rows: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
-    """A saved row for each distinct text: id, h and h2 (its hashes), first (its least key), n (its rows), fp, size, sketch and prefix."""
+    """A saved row for each distinct text: id, h and h2 (its hashes), first (its least key), n (its rows), fp, size, sketch and keys."""
 
     @F.pandas_udf("array<long>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([x.view(np.int64) for x in _shingle_sets(list(texts), words)], dtype=object)
 
-    @F.pandas_udf("fp long, size long, sketch binary, prefix array<long>")
+    @F.pandas_udf("fp long, size long, sketch binary, keys array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
             for own in _shingle_sets(list(texts), words):
-                out.append((int(signed([_majority(own)])[0]), len(own), _sketch(own).tobytes(), signed(_prefix(own, common, least))))
-            yield pd.DataFrame(out, columns=["fp", "size", "sketch", "prefix"])
+                out.append((int(signed([_majority(own)])[0]), len(own), _sketch(own).tobytes(), signed(_meeting_keys(own, common, least))))
+            yield pd.DataFrame(out, columns=["fp", "size", "sketch", "keys"])
 
     part = F.pmod(F.xxhash64(key, text), F.lit(max(1, rows.count() // HOT_DOCS))) == 0
     some = rows.where(part).select(F.explode(distinct(F.col(text))).alias("s"))
     told = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "s").limit(HOT_MOST)
-    common = np.array([r[0] for r in told.collect()], np.int64).view(np.uint64)
+    common = np.sort(np.array([r[0] for r in told.collect()], np.int64).view(np.uint64))
     copies = rows.groupBy("h", "h2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
     copies = saved(copies.where("n > 1"), "text-copies")
     marked = looked_up(rows, copies, ["h", "h2"], "left")
@@ -359,9 +383,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     of their sets of shingles is at least `least`; groups are what that reaches.
 
     Texts whose fingerprints (of shingles) are within 3 bits are found by their
-    deletion-variant signatures. All similar texts share a shingle of their
-    prefixes, so an equality join of prefixes makes the candidates complete.
-    What is found is verified by the sets: first the texts under a key against
+    deletion-variant signatures. An equality join of keys makes the candidates
+    complete: of texts of up to EXACT shingles the prefixes of their sets, of
+    which all similar texts share one; of longer ones bands of least hashes, of
+    which nearly all do (BANDS). What is found is verified by the sets: first the texts under a key against
     one of them, in LEADERS rounds; then those under a key that are still in
     different groups and whose sketches don't rule it out. Texts without words
     are equal to each other. Null texts count as empty. Null keys come after
