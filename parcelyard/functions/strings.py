@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spaces that don't break, as characters and as they come escaped; words that name no area.
-NBSP = (" ", " ", " ", "⁠")
-NBSP_ESCAPED = ("&nbsp;", "&#160;", "\\xa0", "\\u00a0")
-GENERIC = ("lägenhet", "villa", "radhus", "bostadsrätt", "stockholm", "stockholms län", "stockholms kommun", "sverige", "län", "kommun", "stad")
+# Fixed values, all lists down to MONTHS: spaces that don't break, as characters and as they come escaped; words that name no area; phrases of descriptions.
+NBSP = ("\u00a0", "\u202f", "\u2009", "\ufeff")
+NBSP_ESCAPED = ("\\xa0", "\\u202f", "\\u00a0", "&nbsp;")
+GENERIC = ("stockholm", "stockholms län", "stockholms kommun", "stockholms stad", "län", "kommun", "stad", "lägenhet", "villa", "radhus", "bostadsrätt")
 CONSOLIDATED = {"Solna kommun": "Solna", "Frösunda": "Solna", "Sundbyberg/Duvbo": "Sundbyberg", "Sundbybergs kommun": "Sundbyberg", "Rissne/Ursvik": "Sundbyberg", "Kristineberg": "Kungsholmen"}
 SPELLING = {"Vasasatan": "Vasastan", "Kungholmen": "Kungsholmen", "Östemalm": "Östermalm", "Strockholm": "Stockholm", "Hagastan": "Hagastaden"}
 DISTRICTS = ("Vasastan", "Kungsholmen", "Södermalm", "Östermalm", "Norrmalm")
@@ -61,8 +61,12 @@ def clean_area(x: Column) -> Column:
     return F.when(out.contains("/"), F.coalesce(slashed, out)).otherwise(out)
 
 
-def display_name(slug: Column) -> Column:
-    return F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))
+def display_name(slug: Column, known: dict[str, str] | None = None) -> Column:
+    """A slug's name from a dictionary, else its words with capitals."""
+    out = F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))
+    for k, v in (known or {}).items():
+        out = F.when(slug == k, v).otherwise(out)
+    return out
 
 
 def street_ml(address: Column) -> Column:
@@ -133,8 +137,14 @@ def swedish_month(x: Column) -> Column:
     return F.when((month > 0) & (year != ""), F.make_date(F.lit(2000) + year.try_cast("int"), month, F.lit(1)))
 
 
-def listing_id_of(url: Column) -> Column:
-    """The last number in a url's path or its `id` parameter."""
+def listing_id_of(url: Column, hosts: tuple[str, ...] = ()) -> Column:
+    """The last number in a url's path or its `id` parameter; null at other hosts than the given ones and their subdomains, if any."""
+    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
+    if hosts:
+        ok = F.lit(False)
+        for h in hosts:
+            ok = ok | (host == h) | host.endswith(f".{h}")
+        url = F.when(ok, url)
     path = F.regexp_extract(url, r"/(\d+)/?(?:[?#].*)?$", 1)
     query = F.regexp_extract(url, r"[?&]id=(\d+)", 1)
     return F.when(path != "", path).when(query != "", query)

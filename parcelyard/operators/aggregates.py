@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -18,12 +19,38 @@ def quad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return q.select(*keys, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p75"), F.col("q")[2].alias("p90"), "n")
 
 
+#: Ranges of values among which a quantile of all rows is looked for.
+RANGES = 256
+
+
+def overall_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
+    """One row with q, the exact quantiles of a column over all rows, no task of which holds all values.
+
+    Values are counted; counts of ranges between approximate quantiles tell
+    which ranges hold the wanted ranks, and only there counts are run up.
+    """
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.agg(F.coalesce(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("e"))
+    cut = counts.crossJoin(F.broadcast(edges)).select("v", "n", F.size(F.filter("e", lambda e: e < F.col("v"))).alias("r"))
+    w = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # (RANGES rows)
+    sums = cut.groupBy("r").agg(F.sum("n").alias("m")).select("r", "m", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("base"), F.sum("m").over(W.partitionBy()).alias("total"))
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    ends = F.array(*[x for a in at for x in (F.floor(a + 1e-12), F.ceil(a - 1e-12))])
+    wanted = sums.select("r", "base", "total", F.posexplode(ends).alias("i", "rank")).where("rank >= base and rank < base + m")
+    run = W.partitionBy("r").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    near = cut.join(F.broadcast(wanted.select("r").distinct()), "r", "left_semi").withColumn("upto", F.sum("n").over(run))
+    got = near.join(F.broadcast(wanted), "r").where((F.col("rank") < F.col("base") + F.col("upto")) & (F.col("rank") >= F.col("base") + F.col("upto") - F.col("n")))
+    found = got.agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"x{i}") for i in range(2 * len(qs))], F.max("total").alias("total"))
+    part = lambda q: F.greatest(F.lit(0.0), F.lit(float(q)) * (F.col("total") - 1) - F.floor(F.lit(float(q)) * (F.col("total") - 1) + 1e-12))
+    return found.select(F.array(*[F.col(f"x{2 * i}") + (F.col(f"x{2 * i + 1}") - F.col(f"x{2 * i}")) * part(q) for i, q in enumerate(qs)]).alias("q"))
+
+
 def histogram(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Equal bins between two quantiles of all values: bin, left edge, count; the last bin holds its right edge.
 
     Values beyond the quantiles aren't counted; empty bins have count 0.
     """
-    ends = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    ends = overall_quantiles(df, value, [low, high]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     rows = df.select(value).crossJoin(F.broadcast(ends)).where(F.col(value).between(F.col("lo"), F.col("hi")))
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1)).cast("int")

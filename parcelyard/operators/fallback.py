@@ -18,7 +18,3 @@ def tiered(levels: Sequence[tuple[str, Column, Column, int]], values: Sequence[s
         pick["count"] = F.when(ok, n).otherwise(pick["count"])
         pick["scope"] = F.when(ok, F.lit(name)).otherwise(pick["scope"])
     return pick
-
-
-def first_known(*columns: Column) -> Column:
-    return F.coalesce(*columns)

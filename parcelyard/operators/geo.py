@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelyard.functions.math import haversine
-from parcelyard.operators.temporal import native_prior_quantiles
+from parcelyard.operators.quantiles import window_quantiles
 
 #: Points of interest are a curated list; more than this aren't taken into one expression.
 MOST_POIS = 2000
@@ -32,22 +31,18 @@ def cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
     return F.floor(lat / step).cast("int"), F.floor(lon / step).cast("int")
 
 
-def neighbor_stats(df: DataFrame, day: str, value: str, step: float) -> DataFrame:
+def neighbor_stats(df: DataFrame, day: str, value: str, step: float, key: str = "listing_key") -> DataFrame:
     """Count-weighted mean of the prior medians of the 8 adjacent cells: columns neighbor_p50 and neighbor_n.
 
-    Daily running statistics of each cell meet each row's neighbours by an
-    as-of lookup: per (row, neighbour cell), the last day before the row's.
+    A cell's table has a row for each day on which it or a neighbour has a row;
+    rows meet it by equal cell and day.
     """
     x, y = cell(F.col("lat"), F.col("lon"), step)
     rows = df.withColumn("_cx", x).withColumn("_cy", y)
-    wanted = rows.select("listing_key", day, "_cx", "_cy").withColumn("_o", F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])))
-    wanted = wanted.select("listing_key", day, (F.col("_cx") + F.col("_o.x")).alias("cx"), (F.col("_cy") + F.col("_o.y")).alias("cy"), F.lit(None).cast("double").alias(value))
-    facts = rows.select(F.lit(None).cast("long").alias("listing_key"), day, F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), value)
-    got = native_prior_quantiles(wanted.unionByName(facts), ["cx", "cy"], day, value).where("listing_key is not null and n > 0")
-    stats = got.groupBy("listing_key").agg((F.sum(F.col("p50") * F.col("n")) / F.sum("n")).alias("neighbor_p50"), F.sum("n").alias("neighbor_n"))
-    return df.join(stats, "listing_key", "left").withColumn("neighbor_n", F.coalesce("neighbor_n", F.lit(0)))
-
-
-def last_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
+    asked = rows.select("_cx", "_cy", day).distinct().withColumn("_o", around).select((F.col("_cx") + F.col("_o.x")).alias("cx"), (F.col("_cy") + F.col("_o.y")).alias("cy"), day, F.lit(None).cast("double").alias(value))
+    facts = rows.select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), day, F.col(value).cast("double").alias(value))
+    got = window_quantiles(facts.unionByName(asked.distinct()), ["cx", "cy"], day, value, {"p": None}, [0.5]).where("p_n > 0")
+    shares = rows.select("_cx", "_cy", day).distinct().withColumn("_o", around).select("_cx", "_cy", day, (F.col("_cx") + F.col("_o.x")).alias("cx"), (F.col("_cy") + F.col("_o.y")).alias("cy"))
+    stats = shares.join(got, ["cx", "cy", day]).groupBy("_cx", "_cy", day).agg((F.sum(F.col("p_q0") * F.col("p_n")) / F.sum("p_n")).alias("neighbor_p50"), F.sum("p_n").alias("neighbor_n"))
+    return rows.join(stats, ["_cx", "_cy", day], "left").withColumn("neighbor_n", F.coalesce("neighbor_n", F.lit(0))).select(*df.columns, "neighbor_p50", "neighbor_n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +56,27 @@ def range_factors(df: DataFrame, day: str, actual: str, predicted: str, edges: S
     return spine.join(own, "bucket", "left").select("bucket", pick(0).alias("lower"), pick(1).alias("upper"), F.coalesce("n", F.lit(0)).alias("sample_size"), thin.alias("fallback"))
 
 
+def estimate_range(df: DataFrame, predicted: str, factors: DataFrame, edges: Sequence[float], step: float) -> DataFrame:
+    """center (to the nearest step), low and high: the prediction times its bucket's factors, rounded outward to whole steps."""
+    p = F.col(predicted)
+    bucket = sum((F.when(p >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = df.withColumn("_bucket", bucket).join(F.broadcast(factors.select(F.col("bucket").alias("_bucket"), F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))), "_bucket", "left")
+    whole = lambda x: x.cast("double") * step
+    return rows.withColumns({"center": whole(F.floor(p / step + 0.5)), "low": whole(F.floor(p * F.col("_lower") / step)), "high": whole(F.ceil(p * F.col("_upper") / step))}).drop("_bucket", "_lower", "_upper")
+
+
+def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name and vif: the diagonal of the inverse of the correlation matrix, which is one row of numbers."""
+    known = df.dropna(subset=list(columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+    r = known.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    m = np.eye(len(columns))
+    for a, b in pairs:
+        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = r[f"{a}|{b}"] if r[f"{a}|{b}"] is not None else 0.0
+    vif = np.diag(np.linalg.pinv(m))
+    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, vif, strict=True)], "column_name string, vif double")
+
+
 def value_metrics(df: DataFrame, predicted: str, sold: str, key: str) -> DataFrame:
     """delta, delta_pct, is_undervalued and score: 50 + 15 * the normal quantile of the average rank / (n + 1).
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelyard.operators.aggregates import overall_quantiles
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _COMPARE = {"=": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v}
 
@@ -63,8 +65,9 @@ def valid_listings(df: DataFrame, least: float, require_listing: bool = False, k
 
 def within_quantiles(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose every column is null or within its own quantiles over all rows."""
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_b_{c}") for c in columns])
-    rows = df.crossJoin(F.broadcast(bounds))
+    rows = df
+    for c in columns:
+        rows = rows.crossJoin(F.broadcast(overall_quantiles(df, c, [low, high]).select(F.col("q").alias(f"_b_{c}"))))
     for c in columns:
         rows = rows.where(F.col(c).isNull() | F.col(c).between(F.col(f"_b_{c}")[0], F.col(f"_b_{c}")[1]))
     return rows.select(*df.columns)
@@ -77,9 +80,11 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def merge_newer(old: DataFrame, new: DataFrame, key: str, value: str, at: str) -> DataFrame:
-    """Of rows of a key: one with a known value wins, then the newer, then the old one."""
+    """Of rows of a key: one with a known value wins over one without, then the newer; the old one if a date is unknown or both are equal."""
     both = old.withColumn("_old", F.lit(1)).unionByName(new.withColumn("_old", F.lit(0)))
-    return latest(both, [key], [F.col(value).isNotNull().desc(), F.col(at).desc_nulls_last(), F.col("_old").desc()]).drop("_old")
+    undated = F.max(F.col(at).isNull()).over(W.partitionBy(key))
+    both = both.withColumn("_keep", F.when(undated, F.col("_old")).otherwise(0))
+    return latest(both, [key], [F.col(value).isNotNull().desc(), F.desc("_keep"), F.col(at).desc_nulls_last(), F.col("_old").desc()]).drop("_old", "_keep")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, insert_only: bool = False) -> DataFrame:
@@ -89,6 +94,15 @@ def upsert(target: DataFrame, source: DataFrame, key: str, insert_only: bool = F
     return source.unionByName(target.join(source.select(key), key, "left_anti"))
 
 
+def upsert_counts(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """inserted, updated, kept and repeated (rows of source keys that occur there more than once, which a merge refuses)."""
+    t = target.groupBy(key).agg(F.count(F.lit(1)).alias("t"))
+    s = source.groupBy(key).agg(F.count(F.lit(1)).alias("s"))
+    both = t.join(s, key, "full").select(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("s", F.lit(0)).alias("s"))
+    total = lambda rows, ok: F.coalesce(F.sum(F.when(ok, F.col(rows))), F.lit(0)).cast("long")
+    return both.agg(total("s", F.col("t") == 0).alias("inserted"), total("t", F.col("s") > 0).alias("updated"), total("t", F.col("s") == 0).alias("kept"), total("s", F.col("s") > 1).alias("repeated"))
+
+
 def append_unseen(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
@@ -123,3 +137,34 @@ def evolve(df: DataFrame, schema) -> DataFrame:
     if lost:
         raise ValueError(f"required columns are missing: {lost}")
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in have})
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, Any]) -> DataFrame:
+    """df with a constant column for each that is missing."""
+    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
+
+
+def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    """Columns that both have, in a's order."""
+    return [c for c in a.columns if c in set(b.columns)]
+
+
+def equal_summary(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of both tables, keys in only one of them, and whether both summaries are the same."""
+    x, y = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")), b.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
+    both = x.join(y, list(keys), "full").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = both.agg(zero(F.sum("a")).alias("rows_a"), zero(F.sum("b")).alias("rows_b"), F.count(F.when(F.col("b") == 0, 1)).alias("only_a"), F.count(F.when(F.col("a") == 0, 1)).alias("only_b"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("unequal"))
+    return out.select("rows_a", "rows_b", "only_a", "only_b", (F.col("unequal") == 0).alias("same"))
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, the same at every run: those with the least hash of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), key).limit(n)
+
+
+def ranked_if_enough(df: DataFrame, count: str, least: int, order: Column) -> DataFrame:
+    """Rows with at least so many behind them, in order, with their rank; all rows if none has (for tables of groups, not of rows)."""
+    some = df.agg(F.coalesce(F.max(F.col(count) >= least), F.lit(False)).alias("_any"))
+    rows = df.crossJoin(F.broadcast(some)).where(~F.col("_any") | (F.col(count) >= least)).drop("_any")
+    return rows.withColumn("rank", F.row_number().over(W.orderBy(order)))

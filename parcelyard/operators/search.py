@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -63,12 +64,21 @@ def facets(df: DataFrame, sets: Sequence[str], ranges: Sequence[str]) -> DataFra
 def similar(areas: DataFrame, key: str, tier: str, price: str, k: int = 3) -> DataFrame:
     """The k most similar other areas: 3 for the tier, 2 or 1 for a price within 10 or 20 per cent; then by key.
 
-    areas is a row for each area; candidates meet through a shared tier or
-    price step rather than all with all, and areas with no point fill up by key.
+    areas is a row for each area. A score above 0 needs a shared tier or a
+    price step that is equal or next (steps of 20 per cent), so candidates meet
+    there; areas with fewer than k of them are filled up with the first keys,
+    of which k + 1 are enough.
     """
-    a, b = areas.select(*[F.col(c).alias(f"a_{c}") for c in (key, tier, price)]), areas.select(*[F.col(c).alias(f"b_{c}") for c in (key, tier, price)])
+    cols = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (key, tier, price)]
+    step = F.floor(F.log(F.nullif(F.abs(F.col(price)), F.lit(0.0))) / math.log(1.25)).cast("int")
+    # within 20 per cent of a, b is at most one step below or above
+    marks = areas.withColumn("_m", F.array(F.concat(F.lit("t"), F.coalesce(F.col(tier).cast("string"), F.lit(""))), F.concat(F.lit("p"), step.cast("string"))))
+    a = marks.select(*cols("a"), F.explode(F.array_compact(F.concat("_m", F.array(F.concat(F.lit("p"), (step - 1).cast("string")), F.concat(F.lit("p"), (step + 1).cast("string")))))).alias("m"))
+    b = marks.select(*cols("b"), F.explode(F.array_compact("_m")).alias("m"))
+    near = a.join(b, "m").drop("m").distinct()
+    first = areas.orderBy(key).limit(k + 1).select(*cols("b"))
+    both = near.unionByName(areas.select(*cols("a")).crossJoin(F.broadcast(first))).distinct().where(F.col(f"a_{key}") != F.col(f"b_{key}"))
     gap = F.try_divide(F.abs(F.col(f"b_{price}") - F.col(f"a_{price}")), F.nullif(f"a_{price}", F.lit(0.0)))
     score = F.when(F.col(f"a_{tier}") == F.col(f"b_{tier}"), 3).otherwise(0) + F.when(gap < 0.1, 2).when(gap < 0.2, 1).otherwise(0)
-    met = a.join(b, F.col(f"a_{key}") != F.col(f"b_{key}")).withColumn("score", score)
     w = W.partitionBy(f"a_{key}").orderBy(F.desc("score"), f"b_{key}")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col(f"a_{key}").alias(key), F.col(f"b_{key}").alias("other"), "score", "rank")
+    return both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col(f"a_{key}").alias(key), F.col(f"b_{key}").alias("other"), "score", "rank")

@@ -4,74 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from parcelyard.operators.quantiles import window_quantiles
+
 
 def prior(keys: Sequence[str], day: str, days: int | None = None) -> WindowSpec:
     """Rows of the key dated before the row's day, at most `days` before."""
     return W.partitionBy(*keys).orderBy(F.unix_date(F.col(day))).rangeBetween(W.unboundedPreceding if days is None else -days, -1)
 
 
-def seen(value: str, w: WindowSpec) -> Column:
-    """Values counted in a frame; null, not 0, if the frame has no row at all."""
-    return F.when(F.count(F.lit(1)).over(w) > 0, F.count(value).over(w))
+def _seen(name: str) -> Column:
+    """Values counted before a day; null, not 0, if there is no row at all."""
+    return F.when(F.col(f"{name}_rows") > 0, F.col(f"{name}_n"))
 
 
 def trailing(df: DataFrame, key: str, day: str, value: str, windows: Sequence[int]) -> DataFrame:
     """Median and count of value over the trailing days, the row's own day excluded."""
-    out = {}
-    for n in windows:
-        w = prior([key], day, n)
-        out[f"median_{n}"], out[f"count_{n}"] = F.percentile(value, F.lit(0.5)).over(w), seen(value, w)
-    return df.withColumns(out)
+    t = window_quantiles(df, [key], day, value, {f"w{n}": n for n in windows}, [0.5])
+    return df.join(t.select(key, day, *[c for n in windows for c in (F.col(f"w{n}_q0").alias(f"median_{n}"), _seen(f"w{n}").alias(f"count_{n}"))]), [key, day], "left")
 
 
-def prior_market(df: DataFrame, key: str, day: str, price: str, dom: str) -> DataFrame:
-    """Count, mean, deviation of price and mean days on market before the row's day.
+def prior_market(df: DataFrame, key: str, day: str, price: str, dom: str, change: str) -> DataFrame:
+    """What the days before tell of a key: inventory (prices), median and deviation of price, median days on market, mean and count of price changes.
 
     Sums are taken by day first, so that a large key has a row a day in its window.
     """
-    x, y = F.col(price), F.col(dom)
-    by_day = df.groupBy(key, day).agg(F.count(price).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(dom).alias("dn"), F.sum(y).alias("ds"))
+    x, y = F.col(price), F.col(change)
+    by_day = df.groupBy(key, day).agg(F.count(price).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(change).alias("cn"), F.sum(y).alias("cs"))
     w = prior([key], day)
-    sums = {c: F.sum(c).over(w) for c in ("n", "s", "q", "dn", "ds")}
-    t = by_day.select(key, day, *[v.alias(k) for k, v in sums.items()])
+    t = by_day.select(key, day, *[F.sum(c).over(w).alias(c) for c in ("n", "s", "q", "cn", "cs")])
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     var = F.when(n > 1, (q - s * s / n) / (n - 1))
-    t = t.select(key, day, n.alias("prior_count"), F.when(n > 0, s / n).alias("prior_mean"), F.sqrt(F.when(var < 0, 0.0).otherwise(var)).alias("prior_std"), F.when(F.col("dn") > 0, F.col("ds") / F.col("dn")).alias("prior_dom"))
-    return df.join(t, [key, day], "left")
-
-
-def prior_quantiles(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """Exact p50, p75, p90 and count of value before each day of each key: key, day, p50, p75, p90, n.
-
-    Values alone go to the grouped map, sorted and expanded there once; a
-    window of percentiles sorts every prefix anew. A task holds 16 bytes for
-    each row of a key; native_prior_quantiles spills instead.
-    """
+    t = t.select(key, day, F.sqrt(F.when(var < 0, 0.0).otherwise(var)).alias("price_volatility"), F.when(F.col("cn") > 0, F.col("cs") / F.col("cn")).alias("price_change_mean"), F.col("cn").alias("price_change_count"))
+    medians = window_quantiles(df, [key], day, price, {"p": None}, [0.5]).select(key, day, _seen("p").alias("inventory"), F.col("p_q0").alias("price_median"))
+    doms = window_quantiles(df, [key], day, dom, {"d": None}, [0.5]).select(key, day, F.col("d_q0").alias("dom_median"))
+    return df.join(medians, [key, day], "left").join(t, [key, day], "left").join(doms, [key, day], "left")
 
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, kind="stable")
-        e = pdf[value].expanding()
-        out = pd.DataFrame({key: pdf[key], day: pdf[day], "p50": e.quantile(0.5), "p75": e.quantile(0.75), "p90": e.quantile(0.9), "n": e.count()}).groupby(day, sort=True).last().reset_index()
-        stats = ["p50", "p75", "p90", "n"]
-        out[stats] = out[stats].shift(1)
-        out["n"] = out["n"].astype("Int64")
-        return out[[key, day, *stats]]
 
-    types = dict(df.dtypes)
-    return df.select(key, day, value).groupBy(key).applyInPandas(expand, f"{key} {types[key]}, {day} {types[day]}, p50 double, p75 double, p90 double, n long")
+def prior_quantiles(df: DataFrame, keys: str | Sequence[str], day: str, value: str) -> DataFrame:
+    """Exact p50, p75, p90 and count of value before each day of each key: keys, day, p50, p75, p90, n (null if no row is dated before)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    t = window_quantiles(df, keys, day, value, {"p": None}, [0.5, 0.75, 0.9])
+    return t.select(*keys, day, F.col("p_q0").alias("p50"), F.col("p_q1").alias("p75"), F.col("p_q2").alias("p90"), _seen("p").alias("n"))
 
 
 def native_prior_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
-    """The same by a window: for small keys, and as the check of the other."""
+    """df with p50, p75, p90 and n by a window that sorts every prefix anew: for keys of few rows, and to check the other by."""
     w = prior(keys, day)
     q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).over(w)
-    return df.withColumn("_q", q).withColumn("n", seen(value, w)).select(*df.columns, F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p75"), F.col("_q")[2].alias("p90"), "n")
+    n = F.when(F.count(F.lit(1)).over(w) > 0, F.count(value).over(w))
+    return df.withColumn("_q", q).withColumn("n", n).select(*df.columns, F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p75"), F.col("_q")[2].alias("p90"), "n")
 
 
 def target_mean(df: DataFrame, key: str, day: str, target: str, smoothing: float = 10.0) -> DataFrame:
@@ -90,9 +76,9 @@ def month_spine(df: DataFrame, day: str) -> DataFrame:
     return ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
 
 
-def fill_forward(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
-    """Last known value so far. For series of a row a month, so one window without keys is small."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def fill_forward(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Last known value so far, by keys. For series of a row a month, so one window without keys is small."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 

@@ -59,7 +59,8 @@ def prior_area_quad(l: DataFrame) -> DataFrame:
 @query("""SELECT listing_id, round(quantile_cont(ppsqm, 0.5) OVER w + 1e-7, 4) AS p50, CASE WHEN count(*) OVER w > 0 THEN count(ppsqm) OVER w END AS n
   FROM l WINDOW w AS (PARTITION BY area, address ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
 def prior_address_native(l: DataFrame) -> DataFrame:
-    return T.native_prior_quantiles(l.select("listing_id", "area", "address", "sold_date", "ppsqm"), ["area", "address"], "sold_date", "ppsqm").select("listing_id", up4("p50"), "n")
+    t = T.prior_quantiles(l, ["area", "address"], "sold_date", "ppsqm")
+    return l.select("listing_id", "area", "address", "sold_date").join(t, ["area", "address", "sold_date"], "left").select("listing_id", up4("p50"), "n")
 
 
 _WINDOWS = (30, 90, 180, 365)
@@ -72,11 +73,14 @@ def trailing_30_90_180_365(l: DataFrame) -> DataFrame:
     return t.select("listing_id", *[c for n in _WINDOWS for c in (r4(f"median_{n}").alias(f"median_{n}"), F.col(f"count_{n}"))])
 
 
-@query("""SELECT listing_id, count(sold_price) OVER w AS prior_count, round(avg(sold_price) OVER w + 1e-5, 2) AS prior_mean, round(stddev_samp(sold_price) OVER w + 1e-5, 2) AS prior_std, round(avg(days_on_market) OVER w + 1e-7, 4) AS prior_dom
-  FROM l WINDOW w AS (PARTITION BY area ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
+@query("""SELECT listing_id, count(listing_price) OVER w AS inventory, round(median(listing_price) OVER w + 1e-7, 4) AS price_median, round(stddev_samp(listing_price) OVER w + 1e-5, 2) AS price_volatility, round(median(days_on_market) OVER w + 1e-7, 4) AS dom_median,
+  round(avg(sold_price - listing_price) OVER w + 1e-5, 2) AS price_change_mean, count(sold_price - listing_price) OVER w AS price_change_count FROM l WINDOW w AS (PARTITION BY area ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
 def area_market_prior(l: DataFrame) -> DataFrame:
-    t = T.prior_market(l.select("listing_id", "area", "sold_date", "sold_price", "days_on_market"), "area", "sold_date", "sold_price", "days_on_market")
-    return t.select("listing_id", F.coalesce("prior_count", F.lit(0)).alias("prior_count"), F.round(F.col("prior_mean") + 1e-5, 2).alias("prior_mean"), F.round(F.col("prior_std") + 1e-5, 2).alias("prior_std"), r4("prior_dom").alias("prior_dom"))
+    rows = l.select("listing_id", "area", "sold_date", "listing_price", "days_on_market", (F.col("sold_price") - F.col("listing_price")).alias("change"))
+    t = T.prior_market(rows, "area", "sold_date", "listing_price", "days_on_market", "change")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    cents = lambda c: F.round(F.col(c) + 1e-5, 2).alias(c)
+    return t.select("listing_id", zero("inventory"), up4("price_median"), cents("price_volatility"), up4("dom_median"), cents("price_change_mean"), zero("price_change_count"))
 
 
 @query("""SELECT listing_id, round((coalesce(sum(sold_price) OVER w, 0) + 10 * (SELECT avg(sold_price) FROM l)) / (count(sold_price) OVER w + 10), 3) AS encoded
@@ -85,25 +89,28 @@ def target_mean_smoothed(l: DataFrame) -> DataFrame:
     return T.target_mean(l.select("listing_id", "area", "sold_date", "sold_price"), "area", "sold_date", "sold_price").select("listing_id", F.round("encoded", 3).alias("encoded"))
 
 
-@query("""SELECT listing_id, count(*) OVER a - 1 AS area_rows, round(stddev_samp(sold_price) OVER a, 3) AS area_std, round(avg(sold_price) OVER a, 3) AS area_mean FROM l WINDOW a AS (PARTITION BY area)""")
+@query("""SELECT listing_id, count(*) OVER a - 1 AS area_rows, round(stddev_samp(sold_price) OVER a, 3) AS area_std, round(avg(sold_price) OVER a, 3) AS area_mean, round(median(sold_price) OVER a + 1e-7, 4) AS area_median FROM l WINDOW a AS (PARTITION BY area)""")
 def group_transform(l: DataFrame) -> DataFrame:
-    t = l.groupBy("area").agg((count() - 1).alias("area_rows"), F.round(F.stddev_samp("sold_price"), 3).alias("area_std"), F.round(F.avg("sold_price"), 3).alias("area_mean"))
+    t = l.groupBy("area").agg((count() - 1).alias("area_rows"), F.round(F.stddev_samp("sold_price"), 3).alias("area_std"), F.round(F.avg("sold_price"), 3).alias("area_mean"), r4(A.median("sold_price")).alias("area_median"))
     return l.select("listing_id", "area").join(F.broadcast(t), "area").drop("area")
 
 
 _BAND = "CASE WHEN living_area <= 0 OR living_area IS NULL THEN 'unknown' WHEN living_area <= 35 THEN '0_35' WHEN living_area <= 50 THEN '35_50' WHEN living_area <= 70 THEN '50_70' WHEN living_area <= 90 THEN '70_90' WHEN living_area <= 120 THEN '90_120' ELSE '120_plus' END"
 
 
+_ALL_BEFORE = "ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING"
+
+
 @query(f""", b AS (SELECT *, {_BAND} AS band FROM l),
   x AS (SELECT listing_id, band, median(ppsqm) OVER s AS sm, count(ppsqm) OVER s AS sn, median(ppsqm) OVER a AS am, count(ppsqm) OVER a AS an, median(ppsqm) OVER g AS gm, count(ppsqm) OVER g AS gn FROM b
-  WINDOW s AS (PARTITION BY address, band ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), a AS (PARTITION BY area, band ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), g AS (PARTITION BY band ORDER BY sold_date RANGE BETWEEN INTERVAL 60 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+  WINDOW s AS (PARTITION BY address, band {_ALL_BEFORE}), a AS (PARTITION BY area, band {_ALL_BEFORE}), g AS (PARTITION BY band {_ALL_BEFORE}))
   SELECT listing_id, band, round(CASE WHEN sn >= 3 THEN sm WHEN an >= 5 THEN am WHEN gn >= 1 THEN gm END + 1e-7, 4) AS p50, CASE WHEN sn >= 3 THEN sn WHEN an >= 5 THEN an WHEN gn >= 1 THEN gn END AS n, CASE WHEN sn >= 3 THEN 'address_size' WHEN an >= 5 THEN 'area_size' WHEN gn >= 1 THEN 'size' END AS scope FROM x""")
 def prior_area_size_fallback(l: DataFrame) -> DataFrame:
-    b = l.select("listing_id", "address", "area", "sold_date", "ppsqm", C.size_band(F.col("living_area")).alias("band"))
+    facts = b = l.select("listing_id", "address", "area", "sold_date", "ppsqm", C.size_band(F.col("living_area")).alias("band"))
     levels = []
-    for name, keys, days, least in (("address_size", ["address", "band"], None, 3), ("area_size", ["area", "band"], None, 5), ("size", ["band"], 60, 1)):
-        w = T.prior(keys, "sold_date", days)
-        b = b.withColumn(f"_{name}", F.struct(A.median("ppsqm").over(w).alias("p50"))).withColumn(f"_{name}_n", F.count("ppsqm").over(w))
+    for name, keys, least in (("address_size", ["address", "band"], 3), ("area_size", ["area", "band"], 5), ("size", ["band"], 1)):
+        t = T.prior_quantiles(facts.select(*keys, "sold_date", "ppsqm"), keys, "sold_date", "ppsqm")
+        b = b.join(t.select(*keys, "sold_date", F.struct("p50").alias(f"_{name}"), F.col("n").alias(f"_{name}_n")), [*keys, "sold_date"], "left")
         levels.append((name, F.col(f"_{name}"), F.col(f"_{name}_n"), least))
     got = tiered(levels, ["p50"])
     return b.select("listing_id", "band", F.round(got["p50"] + 1e-7, 4).alias("p50"), got["count"].alias("n"), got["scope"].alias("scope"))
@@ -116,15 +123,17 @@ def asof_event_previous(spark: SparkSession, d: str) -> DataFrame:
     return T.asof(e.select("user_id", "ts", "event_id"), right, ["user_id"], "ts", "ts", ["previous_id", "previous_value"]).select("event_id", "previous_id", "previous_value")
 
 
-@query(""", m AS (SELECT unnest(generate_series(date_trunc('month', min(sold_date))::TIMESTAMP, date_trunc('month', max(sold_date))::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM l),
-  s AS (SELECT date_trunc('month', sold_date)::DATE AS month, median(sold_price) AS p FROM l WHERE area = 'NATION_3' AND month(sold_date) % 3 <> 0 GROUP BY 1),
-  f AS (SELECT m.month, last_value(s.p IGNORE NULLS) OVER (ORDER BY m.month ROWS UNBOUNDED PRECEDING) AS price FROM m LEFT JOIN s USING (month))
-  SELECT month, price, price - lag(price, 3) OVER (ORDER BY month) AS change_3, round(price / lag(price, 3) OVER (ORDER BY month) - 1, 6) AS ratio_3 FROM f""")
+@query(""", m AS (SELECT unnest(generate_series(date_trunc('month', min(sold_date))::TIMESTAMP, date_trunc('month', max(sold_date))::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM l), k AS (SELECT DISTINCT area FROM l),
+  s AS (SELECT area, date_trunc('month', sold_date)::DATE AS month, median(sold_price) AS p FROM l WHERE month(sold_date) % 3 <> 0 GROUP BY 1, 2),
+  f AS (SELECT k.area, m.month, last_value(s.p IGNORE NULLS) OVER (PARTITION BY k.area ORDER BY m.month ROWS UNBOUNDED PRECEDING) AS price FROM m CROSS JOIN k LEFT JOIN s ON s.month = m.month AND s.area = k.area)
+  SELECT area, month, price, price - lag(price, 3) OVER w AS change_3, round(price / lag(price, 3) OVER w - 1, 6) AS ratio_3 FROM f WINDOW w AS (PARTITION BY area ORDER BY month)""")
 def month_spine_ffill_lag3(l: DataFrame) -> DataFrame:
-    s = l.where((F.col("area") == "NATION_3") & (F.month("sold_date") % 3 != 0)).groupBy(F.trunc("sold_date", "MM").alias("month")).agg(A.median("sold_price").alias("price"))
-    f = T.fill_forward(T.month_spine(l, "sold_date").join(s, "month", "left"), "month", ["price"])
-    before = F.lag("price", 3).over(W.orderBy("month"))
-    return f.select("month", "price", (F.col("price") - before).alias("change_3"), F.round(F.col("price") / before - 1, 6).alias("ratio_3"))
+    """A row a month and area, so a key's window has a row a month."""
+    s = l.where(F.month("sold_date") % 3 != 0).groupBy("area", F.trunc("sold_date", "MM").alias("month")).agg(A.median("sold_price").alias("price"))
+    spine = l.select("area").distinct().crossJoin(F.broadcast(T.month_spine(l, "sold_date")))
+    f = T.fill_forward(spine.join(s, ["area", "month"], "left"), "month", ["price"], ["area"])
+    before = F.lag("price", 3).over(W.partitionBy("area").orderBy("month"))
+    return f.select("area", "month", "price", (F.col("price") - before).alias("change_3"), F.round(F.col("price") / before - 1, 6).alias("ratio_3"))
 
 
 @query("""SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) IS NOT NULL AS has_f, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS F, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS O, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS P FROM orders GROUP BY 1""", on_listings=False)
@@ -176,12 +185,13 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
     return R.latest(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], [F.col("ts").desc_nulls_first(), F.desc("event_id")]).select("user_id", "event_type", "event_id")
 
 
-@query(""", o AS (SELECT listing_id, CASE WHEN listing_key % 3 > 0 THEN sold_price END AS p, scraped_at AS t, 1 AS old FROM l), n AS (SELECT listing_id, CASE WHEN listing_key % 2 > 0 THEN sold_price + 1 END AS p, scraped_at + CAST(listing_key % 5 - 2 AS INTEGER) AS t, 0 AS old FROM l WHERE listing_key % 4 < 3)
-  SELECT listing_id, p AS price, old = 1 AS was_old FROM (FROM o UNION ALL FROM n) QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY p IS NOT NULL DESC, t DESC, old DESC) = 1""")
+@query(""", o AS (SELECT listing_id, CASE WHEN listing_key % 3 > 0 THEN sold_price END AS p, CASE WHEN listing_key % 11 > 0 THEN scraped_at END AS t, 1 AS old FROM l), n AS (SELECT listing_id, CASE WHEN listing_key % 2 > 0 THEN sold_price + 1 END AS p, CASE WHEN listing_key % 7 > 0 THEN scraped_at + CAST(listing_key % 5 - 2 AS INTEGER) END AS t, 0 AS old FROM l WHERE listing_key % 4 < 3),
+  x AS (SELECT o.listing_id, CASE WHEN n.listing_id IS NULL OR (o.p IS NOT NULL AND n.p IS NULL) THEN TRUE WHEN n.p IS NOT NULL AND o.p IS NULL THEN FALSE WHEN o.t IS NULL OR n.t IS NULL THEN TRUE ELSE o.t >= n.t END AS was_old, o.p AS op, n.p AS np FROM o LEFT JOIN n USING (listing_id))
+  SELECT listing_id, CASE WHEN was_old THEN op ELSE np END AS price, was_old FROM x""")
 def merge_newer(l: DataFrame) -> DataFrame:
     key = F.col("listing_key")
-    old = l.select("listing_id", F.when(key % 3 > 0, F.col("sold_price")).alias("price"), F.col("scraped_at").alias("t"), F.lit(True).alias("was_old"))
-    new = l.where(key % 4 < 3).select("listing_id", F.when(key % 2 > 0, F.col("sold_price") + 1).alias("price"), F.date_add("scraped_at", (key % 5 - 2).cast("int")).alias("t"), F.lit(False).alias("was_old"))
+    old = l.select("listing_id", F.when(key % 3 > 0, F.col("sold_price")).alias("price"), F.when(key % 11 > 0, F.col("scraped_at")).alias("t"), F.lit(True).alias("was_old"))
+    new = l.where(key % 4 < 3).select("listing_id", F.when(key % 2 > 0, F.col("sold_price") + 1).alias("price"), F.when(key % 7 > 0, F.date_add("scraped_at", (key % 5 - 2).cast("int"))).alias("t"), F.lit(False).alias("was_old"))
     return R.merge_newer(old, new, "listing_id", "price", "t").select("listing_id", "price", "was_old")
 
 
@@ -288,11 +298,11 @@ def seasonality(l: DataFrame) -> DataFrame:
     return l.groupBy(moy).agg(r4(A.median("sold_price")).alias("median_price")).join(counts, "moy").select("moy", "median_price", "mean_count")
 
 
-@query(", e AS (SELECT date_trunc('month', max(sold_date))::DATE AS last FROM l), s AS (SELECT CAST(i AS INTEGER) AS months_back, (last - to_months(CAST(i AS INTEGER)))::DATE AS month FROM e, range(1, 13) r(i)) SELECT months_back, s.month, round(median(l.sold_price) + 1e-7, 4) AS median_price FROM s LEFT JOIN l ON date_trunc('month', l.sold_date)::DATE = s.month AND l.area = 'NATION_5' GROUP BY 1, 2")
+@query(", e AS (SELECT date_trunc('month', max(sold_date))::DATE AS last FROM l), s AS (SELECT area, CAST(i AS INTEGER) AS months_back, (last - to_months(CAST(i AS INTEGER)))::DATE AS month FROM e, range(1, 13) r(i), (SELECT DISTINCT area FROM l)) SELECT s.area, months_back, s.month, round(median(l.sold_price) + 1e-7, 4) AS median_price FROM s LEFT JOIN l ON date_trunc('month', l.sold_date)::DATE = s.month AND l.area = s.area GROUP BY ALL")
 def last_12_months(l: DataFrame) -> DataFrame:
     s = l.agg(F.trunc(F.max("sold_date"), "MM").alias("last")).select("last", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("months_back")).select("months_back", F.add_months("last", -F.col("months_back")).alias("month"))
-    m = l.where("area = 'NATION_5'").groupBy(F.trunc("sold_date", "MM").alias("month")).agg(r4(A.median("sold_price")).alias("median_price"))
-    return s.join(m, "month", "left").select("months_back", "month", "median_price")
+    m = l.groupBy("area", F.trunc("sold_date", "MM").alias("month")).agg(r4(A.median("sold_price")).alias("median_price"))
+    return l.select("area").distinct().crossJoin(F.broadcast(s)).join(m, ["area", "month"], "left").select("area", "months_back", "month", "median_price")
 
 
 _PREM = "CASE WHEN listing_price <> 0 THEN (sold_price - listing_price) * 100 / listing_price END"
@@ -382,9 +392,17 @@ def amenity_effect(l: DataFrame) -> DataFrame:
     return out.withColumn("diff_pct", r4(F.try_divide((F.col("median_with") - F.col("median_without")) * 100, F.nullif("median_without", F.lit(0.0)))))
 
 
-@query(", a AS (SELECT area, " + _ARMS.format(f="elevator").replace("round(", "(").replace(" + 1e-7, 4)", ")") + " FROM l GROUP BY 1) SELECT round(median((median_with - median_without) * 100 / median_without) + 1e-7, 4) AS median_diff, count(*) AS n_areas FROM a WHERE n_with >= 5 AND n_without >= 5")
+_WITHIN = "SELECT '{f}' AS amenity, median((median_with - median_without) * 100 / median_without) AS d, count(*) AS n_areas FROM (SELECT area, " + _ARMS.replace("round(", "(").replace(" + 1e-7, 4)", ")") + " FROM l GROUP BY 1) WHERE n_with >= 20 AND n_without >= 20"
+
+
+@query("SELECT amenity, round(d + 1e-7, 4) AS median_diff, n_areas FROM (" + " UNION ALL ".join(_WITHIN.format(f=f) for f in ("elevator", "balcony")) + ")")
 def within_area_effect(l: DataFrame) -> DataFrame:
-    return A.with_and_without(l, "elevator", "ppsqm", ["area"]).where("n_with >= 5 and n_without >= 5").agg(r4(A.median("diff_pct")).alias("median_diff"), count().alias("n_areas"))
+    """The median over areas with at least 20 in each arm; one area weighs as much as another."""
+    out = None
+    for name in ("elevator", "balcony"):
+        t = A.with_and_without(l, name, "ppsqm", ["area"]).where("n_with >= 20 and n_without >= 20").agg(F.lit(name).alias("amenity"), r4(A.median("diff_pct")).alias("median_diff"), count().alias("n_areas"))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query(_bucket_sql("CASE WHEN floor >= 6 THEN '6+' WHEN floor BETWEEN 0 AND 5 THEN CAST(floor AS VARCHAR) END", "ppsqm", 30))

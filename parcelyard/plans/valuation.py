@@ -72,16 +72,21 @@ _EDGES = (50_000.0, 100_000.0, 150_000.0, 200_000.0, 300_000.0)
 _BUCKET = " + ".join(f"CASE WHEN predicted >= {e} THEN 1 ELSE 0 END" for e in _EDGES)
 
 
-@query(_PRED_SQL + f", r AS (SELECT {_BUCKET} AS bucket, sold_price / predicted AS r FROM v WHERE predicted > 0 AND sold_date >= (SELECT max(sold_date) - INTERVAL 3 MONTHS FROM v)), p AS (SELECT quantile_cont(r, 0.35) AS a, quantile_cont(r, 0.65) AS b FROM r), o AS (SELECT bucket, quantile_cont(r, 0.35) AS a, quantile_cont(r, 0.65) AS b, count(*) AS n FROM r GROUP BY 1)"
-  " SELECT CAST(i AS INTEGER) AS bucket, round_even(CASE WHEN coalesce(n, 0) < 100 THEN p.a ELSE o.a END, 4) AS lower, round_even(CASE WHEN coalesce(n, 0) < 100 THEN p.b ELSE o.b END, 4) AS upper, coalesce(n, 0) AS sample_size, coalesce(n, 0) < 100 AS fallback FROM range(6) x(i), p LEFT JOIN o ON o.bucket = i")
+_FACTORS_SQL = (f", r AS (SELECT {_BUCKET} AS bucket, sold_price / predicted AS r FROM v WHERE predicted > 0 AND sold_date >= (SELECT max(sold_date) - INTERVAL 3 MONTHS FROM v)), p AS (SELECT quantile_cont(r, 0.35) AS a, quantile_cont(r, 0.65) AS b FROM r), o AS (SELECT bucket, quantile_cont(r, 0.35) AS a, quantile_cont(r, 0.65) AS b, count(*) AS n FROM r GROUP BY 1),"
+  " f AS (SELECT CAST(i AS INTEGER) AS bucket, round_even(CASE WHEN coalesce(n, 0) < 100 THEN p.a ELSE o.a END, 4) AS lower, round_even(CASE WHEN coalesce(n, 0) < 100 THEN p.b ELSE o.b END, 4) AS upper, coalesce(n, 0) AS sample_size, coalesce(n, 0) < 100 AS fallback FROM range(6) x(i), p LEFT JOIN o ON o.bucket = i)")
+
+
+@query(_PRED_SQL + _FACTORS_SQL + " SELECT * FROM f")
 def range_factors(l: DataFrame) -> DataFrame:
     return P.range_factors(predicted(l), "sold_date", "sold_price", "predicted", _EDGES)
 
 
-@query(_PRED_SQL + " SELECT listing_id, floor(predicted * 0.95 / 100) * 100 AS low, ceil(predicted * 1.05 / 100) * 100 AS high, round(predicted + 1e-7, 0) AS center FROM v")
+@query(_PRED_SQL + _FACTORS_SQL + f" SELECT listing_id, floor(predicted / 1000 + 0.5) * 1000 AS center, floor(predicted * f.lower / 1000) * 1000 AS low, ceil(predicted * f.upper / 1000) * 1000 AS high FROM v JOIN f ON f.bucket = {_BUCKET}")
 def estimate_range(l: DataFrame) -> DataFrame:
-    p = F.col("predicted")
-    return predicted(l).select("listing_id", (F.floor(p * 0.95 / 100) * 100).cast("double").alias("low"), (F.ceil(p * 1.05 / 100) * 100).cast("double").alias("high"), F.round(p + 1e-7, 0).alias("center"))
+    """The prediction as a window of whole thousands by the factors of its bucket."""
+    v = predicted(l)
+    factors = P.range_factors(v, "sold_date", "sold_price", "predicted", _EDGES)
+    return P.estimate_range(v, "predicted", factors, _EDGES, 1000.0).select("listing_id", "center", "low", "high")
 
 
 _METRICS = "count(*) AS n, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(a), 6) AS mape, round(median(a), 6) AS median_ape, round(avg(e), 3) AS bias, round(avg(CASE WHEN a <= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS within_10, round(avg(CASE WHEN a <= 0.2 THEN 1.0 ELSE 0.0 END), 6) AS within_20"
@@ -134,7 +139,7 @@ def market_normalized(l: DataFrame) -> DataFrame:
 @query(_PRED_SQL + ", q AS (SELECT quantile_cont(am, 0.25) AS a, quantile_cont(am, 0.5) AS b, quantile_cont(am, 0.75) AS c FROM v) SELECT listing_id, CASE WHEN am <= a THEN 'budget' WHEN am <= b THEN 'mid' WHEN am <= c THEN 'premium' ELSE 'luxury' END AS tier FROM v, q")
 def qcut_tiers(l: DataFrame) -> DataFrame:
     v = predicted(l).select("listing_id", "am")
-    q = v.agg(F.percentile("am", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = A.overall_quantiles(v, "am", [0.25, 0.5, 0.75])
     x, e = F.col("am"), F.col("q")
     return v.crossJoin(F.broadcast(q)).select("listing_id", F.when(x <= e[0], "budget").when(x <= e[1], "mid").when(x <= e[2], "premium").otherwise("luxury").alias("tier"))
 
@@ -166,9 +171,12 @@ def poi_nearest_within(l: DataFrame) -> DataFrame:
 # ---- text, casts, dates, classes --------------------------------------------------------------------------------------------
 
 
-@query("""SELECT listing_id, lower(regexp_replace(replace(regexp_replace(lower('Lägenhet · ' || area || ' Östra · Stockholm'), '^lägenhet · | · stockholm$', '', 'g'), 'ö', 'o'), '[^a-z0-9_]+', '_', 'g')) AS slug, regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '') AS street, replace(address, ' ', '') <> address AS spaced FROM l""")
+@query("""SELECT listing_id, lower(regexp_replace(replace(lower(area || ' Östra'), 'ö', 'o'), '[^a-z0-9_]+', '_', 'g')) AS slug, regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '') AS street, replace(address, ' ', '') <> address AS spaced FROM l""")
 def area_slug_street(l: DataFrame) -> DataFrame:
-    full = F.concat(F.lit("Lägenhet · "), F.col("area"), F.lit(" Östra · Stockholm"))
+    # every space that doesn't break, as it is and escaped, and every kind of last part that names no area
+    spaces, ends = [*S.NBSP, *S.NBSP_ESCAPED, " "], ["Stockholm", "Stockholms stad", "Stockholms kommun", "Stockholms län"]
+    one = lambda given, step: F.get(F.array(*map(F.lit, given)), (F.floor(F.col("listing_key") / step) % len(given)).cast("int"))
+    full = F.concat(F.lit("Lägenhet ·"), one(spaces, 1), F.col("area"), one(spaces, 9), F.lit("Östra · "), one(ends, 3))
     return l.select("listing_id", S.area_slug(full).alias("slug"), S.street_ml(F.col("address")).alias("street"), F.col("address").contains(" ").alias("spaced"))
 
 
