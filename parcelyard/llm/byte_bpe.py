@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.common import kept_in_worker
+
 #: A worker's memory of encoded pre-tokens: entries, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Characters that are encoded at once in a task; one longer text is encoded alone.
@@ -205,14 +207,9 @@ class ByteBPE:
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
     """The worker's own codec, kept from task to task."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE(path, pattern)
-    return _loaded[path, pattern]
+    return kept_in_worker(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -246,7 +243,12 @@ def decode_ids(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out:
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them, in one pass."""
+    """keep, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them, in one pass.
+
+    A null text counts as empty. Every row is judged by itself, repeated rows
+    too; texts of any length are encoded whole; an empty table gives an empty
+    result; other columns are ignored.
+    """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few numbers each (some 50 MB) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+T = TypeVar("T")
 _own_dirs: dict[str, str] = {}
 
 
@@ -61,6 +63,31 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_in_worker(name: tuple, make: Callable[[], T]) -> T:
+    """What `make` gives, kept from task to task of a Python worker; one thing at a time, so that stages in a row don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def by_chars(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Lists of successive texts, each closed at so many characters; none of them if there is no text."""
+    part: list[str | None] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held > most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import saved
+from parcelyard.llm.common import kept_in_worker, saved
 
 K1, B = 1.2, 0.75
 #: Items in a block with its own maximum for each term.
@@ -209,15 +209,9 @@ class Index:
         return [(d, self.ids[j], s, o, q, a) for (d, j), (o, s, q, a) in sorted(best.items())]
 
 
-_indexes: dict[str, Index] = {}
-
-
 def _index(name: str, row: dict) -> Index:
-    if name not in _indexes:
-        _indexes.clear()
-        df = {x["term"]: x["df"] for x in row["terms"]}
-        _indexes[name] = Index([(x["item_id"], x["text"]) for x in row["items"]], df, int(row["n"]), row["mean"], int(row["longest"]))
-    return _indexes[name]
+    df = lambda: {x["term"]: x["df"] for x in row["terms"]}
+    return kept_in_worker(("index", name), lambda: Index([(x["item_id"], x["text"]) for x in row["items"]], df(), int(row["n"]), row["mean"], int(row["longest"])))
 
 
 def _index_rows(items: DataFrame) -> tuple[DataFrame, int]:

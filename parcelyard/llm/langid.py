@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelyard.llm.common import kept_in_worker
+
 #: The labelled sample: at most so many languages (those with most rows), documents of each, and characters of each document.
 SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 100, 100, 400
 #: Every so many of a language's documents are held back to learn how many phrases its texts need.
@@ -196,16 +198,9 @@ class Parser:
         return langs, scores
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def _parser(samples: dict[str, list[str]]) -> Parser:
     """Built once in a worker and kept from task to task."""
-    key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return kept_in_worker(("parser", hash(tuple((k, *v) for k, v in sorted(samples.items())))), lambda: Parser(samples))
 
 
 def remainder(key: Column, by: int) -> Column:

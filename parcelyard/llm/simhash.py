@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, count
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import BROADCAST_ROWS, forget, looked_up, once, saved
+from parcelyard.llm.common import BROADCAST_ROWS, by_chars, forget, looked_up, once, saved
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints under one key that are compared there; above it the key is refined by the other half.
@@ -241,8 +241,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _shingle_sets(batch: list[str | None], words: int) -> Iterator[np.ndarray]:
+def _shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its distinct runs of words (fewer are one run; none, no run)."""
+    for part in by_chars(texts):
+        yield from _sets_of_part(part, words)
+
+
+def _sets_of_part(batch: list[str | None], words: int) -> Iterator[np.ndarray]:
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     texts = [np.array([number[w] for w in (t or "").encode().lower().split()], np.int64) for t in batch]
     hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)
@@ -354,14 +359,14 @@ def _made(rows: DataFrame, key: str, text: str, words: int, least: float) -> Dat
     @F.pandas_udf("array<long>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([x.view(np.int64) for x in _shingle_sets(list(texts), words)], dtype=object)
+            yield pd.Series([x.view(np.int64) for x in _shingle_sets(texts, words)], dtype=object)
 
     @F.pandas_udf("fp long, size long, sketch binary, keys array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
-            for own in _shingle_sets(list(texts), words):
+            for own in _shingle_sets(texts, words):
                 out.append((int(signed([_majority(own)])[0]), len(own), _sketch(own).tobytes(), signed(_meeting_keys(own, common, least))))
             yield pd.DataFrame(out, columns=["fp", "size", "sketch", "keys"])
 
@@ -397,7 +402,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     @F.pandas_udf("binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([x.tobytes() for x in _shingle_sets(list(texts), words)], dtype=object)
+            yield pd.Series([x.tobytes() for x in _shingle_sets(texts, words)], dtype=object)
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:

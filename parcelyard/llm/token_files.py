@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import saved, shuffle_parts
+from parcelyard.llm.common import kept_in_worker, saved, shuffle_parts
 
 #: Longest code in bits (or what the number of ids in use needs), ids in a block, ids in a chunk at which it is closed.
 LIMIT, BLOCK, CHUNK_IDS = 16, 256, 500_000
@@ -208,13 +208,8 @@ class WordTokenizer:
             yield self.encode(part, end)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return kept_in_worker(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def _planes(ids: np.ndarray) -> bytes:
