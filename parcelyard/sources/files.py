@@ -8,8 +8,10 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
+from parcelyard.functions import strings as S
 from parcelyard.operators.relational import Filter, latest, where_all
 
 
@@ -50,20 +52,40 @@ def json_array_or_lines(spark: SparkSession, path: str, schema: T.StructType) ->
 
 
 def csv_reference(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
-    """A CSV with a header; values that aren't of the type are null."""
-    raw = spark.read.option("header", True).csv(path)
+    """A CSV with a header; values that aren't of the type are null; a file that is missing or empty gives no row."""
+    empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in types.items()))
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return empty
     return raw.select(*[F.col(c).try_cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
 
 
+def json_flat_or_deep(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
+    """json_concatenated of a folder's own files, or, where it has none, of all folders below; a missing folder is an error."""
+    try:
+        flat = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").take(1)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
+    return json_concatenated(spark, path, glob, recursive=not flat)
+
+
 def table_filtered(spark: SparkSession, path: str, filters: Sequence[Filter]) -> DataFrame:
     """A Parquet scan whose filters reach the reader."""
     return where_all(spark.read.parquet(path), filters)
 
 
-def recent_or_more(df: DataFrame, at: str, as_of: Column, days: int = 7, least: int = 10, most: int = 500) -> DataFrame:
-    """Rows of the last days; if there are too few, the latest ones."""
-    recent = df.where(F.col(at) >= F.date_sub(as_of, days))
-    return recent if len(recent.select(F.lit(1)).take(least)) >= least else df.orderBy(F.col(at).desc_nulls_last()).limit(most)
+def recent_or_more(df: DataFrame, at: str, as_of: Column, days: int = 7, least: int = 10, most: int = 500, or_at: str | None = None) -> DataFrame:
+    """Rows of the last days by `at`; if there are too few, those by `or_at`, if given; then the latest ones."""
+    for c in [at, *([or_at] if or_at else [])]:
+        recent = df.where(F.col(c) >= F.date_sub(as_of, days))
+        if len(recent.select(F.lit(1)).take(least)) >= least:
+            return recent
+    return df.orderBy(F.col(at).desc_nulls_last()).limit(most)
 
 
 def normalized(df: DataFrame, key: str = "listing_id", at: str = "scraped_at") -> DataFrame:
@@ -79,15 +101,38 @@ def normalized(df: DataFrame, key: str = "listing_id", at: str = "scraped_at") -
     return latest(df, [key], [F.col(at).desc_nulls_first()]) if at in df.columns else df.dropDuplicates([key])
 
 
-def map_record(df: DataFrame) -> DataFrame:
-    """Source records (a JSON text in value) to flat listings: the first known of alternative keys, and what follows from them."""
-    first = lambda *paths: F.coalesce(*[F.get_json_object("value", p) for p in paths])
+def _value(*keys: str) -> Column:
+    """The first of alternative fields that is neither null nor empty; of an object its raw or plain value."""
+    found = []
+    for key in keys:
+        own = F.get_json_object("value", f"$.{key}")
+        inner = [F.get_json_object("value", f"$.{key}.{name}") for name in ("raw", "value", "name", "formatted")]
+        plain = F.when(~own.startswith("{") & ~own.startswith("["), own)
+        found.append(F.nullif(F.coalesce(*inner, plain), F.lit("")))
+    return F.coalesce(*found)
+
+
+def map_record(df: DataFrame, source: str | None = None, site: str = "") -> DataFrame:
+    """Source records (a JSON text in value) to the raw listing's columns: the first known of alternative fields, and what follows from them.
+
+    site goes before urls that begin with a slash. Records without an id go.
+    """
+    text = lambda *keys: F.nullif(F.trim(_value(*keys)), F.lit(""))
+    whole, number = (lambda *keys: S.to_int(_value(*keys))), (lambda *keys: S.to_float(_value(*keys)))
+    listed = [f"location.{k}[0]{x}" for k in ("namedAreas", "areas", "addressAreas") for x in (".name", "")]
+    area = F.coalesce(text(*listed), text("location.areaName", "location.cityName", "location.district", "area"))
+    null = lambda kind: F.lit(None).cast(kind)
+    url = text("url", "soldUrl", "listingUrl")
+    # fixed values: the fields' alternatives
     out = df.select(
-        first("$.booliId", "$.id", "$.listing_id").alias("listing_id"), first("$.soldPrice.raw", "$.soldPrice", "$.sold_price").try_cast("double").alias("sold_price"),
-        first("$.listPrice.raw", "$.listPrice", "$.listing_price").try_cast("double").alias("listing_price"), first("$.livingArea.raw", "$.livingArea", "$.living_area").try_cast("double").alias("living_area"),
-        first("$.rooms.raw", "$.rooms").try_cast("double").alias("rooms"), first("$.location.address.streetAddress", "$.streetAddress", "$.address").alias("address"),
-        first("$.location.namedAreas[0]", "$.area").alias("area"), first("$.soldDate", "$.sold_date").try_cast("date").alias("sold_date"),
+        text("booliId", "id", "listingId", "residenceId").alias("listing_id"), F.when(url.startswith("/"), F.concat(F.lit(site), url)).otherwise(url).alias("url"), F.current_timestamp().alias("scraped_at"),
+        whole("listPrice", "listingPrice", "price").cast("double").alias("listing_price"), whole("soldPrice", "sold.price").cast("double").alias("sold_price"), text("location.streetAddress", "address", "streetAddress").alias("address"), area.alias("area"),
+        text("location.region.municipalityName", "location.municipalityName", "municipality").alias("municipality"), number("livingArea", "size", "soldSize").alias("living_area"), whole("rooms", "roomCount").alias("rooms"), text("objectType", "propertyType", "type").alias("property_type"),
+        whole("constructionYear", "buildYear", "yearBuilt").alias("construction_year"), whole("rent", "monthlyFee", "fee").alias("monthly_fee"), whole("soldSqmPrice", "sqmPrice", "pricePerSqm").alias("given_sqm"), whole("floor").alias("floor"),
+        null("boolean").alias("elevator"), null("boolean").alias("balcony"), text("soldDate", "sold.date").alias("sold_date"), whole("daysActive", "daysOnMarket").alias("days_on_market"), text("description").alias("description"),
+        F.array().cast("array<string>").alias("images"), F.lit(source).cast("string").alias("source_page"),
     )
-    return out.where("listing_id is not null and lower(trim(listing_id)) not in ('', 'none')").withColumns({
-        "price_per_sqm": F.try_divide("sold_price", F.nullif("living_area", F.lit(0.0))), "price_change": F.col("sold_price") - F.col("listing_price")
-    })
+    out = out.where("listing_id is not null and lower(listing_id) != 'none'").withColumns({
+        "price_per_sqm": F.coalesce("given_sqm", F.bround(F.try_divide("sold_price", F.nullif("living_area", F.lit(0.0))), 0).cast("long")), "price_change": F.col("sold_price") - F.col("listing_price")
+    })
+    return out.drop("given_sqm")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +17,26 @@ from parcelyard.operators.relational import evolve
 
 
 def staged_swap(df: DataFrame, table: str, expected: int | None = None) -> int:
-    """Write to a staging table, verify its rows, then replace the table; the staging table always goes."""
-    spark = df.sparkSession
-    staging = f"{table}_staging_{uuid.uuid4().hex[:8]}"
+    """Write to a staging table, verify its rows, then take the table's name for it.
+
+    The old table keeps its name until the new one is whole, then a second name
+    until the new one has the first; both names go at the end. A reader between
+    the two renames finds no table, never half of one.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    staging, old = f"{table}_staging_{mark}", f"{table}_old_{mark}"
     try:
         df.write.saveAsTable(staging)
         n = spark.table(staging).count()
         if expected is not None and n != expected:
             raise ValueError(f"{n} rows staged, {expected} expected")
-        spark.table(staging).write.mode("overwrite").saveAsTable(table)
+        if spark.catalog.tableExists(table):
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
         return n
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        for name in (staging, old):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def feature_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -50,10 +60,32 @@ def listings_table(df: DataFrame, path: str) -> None:
     df.repartition("scraped_at_date").sortWithinPartitions("area", "rooms").write.mode("overwrite").partitionBy("scraped_at_date").parquet(path)
 
 
-def json_lines(df: DataFrame, path: str, order: str) -> int:
-    """JSON lines in descending order of a column, in parts; returns the rows written."""
+def json_lines(df: DataFrame, path: str, order: str, backup: bool = False) -> int:
+    """JSON lines in descending order of a column, in parts; returns the rows written. backup: what was there stays as <path>.bak."""
+    spark = df.sparkSession
+    if backup and Path(path).exists():
+        spark.read.text(path).write.mode("overwrite").text(f"{path}.bak")
     df.orderBy(F.col(order).desc_nulls_last()).write.mode("overwrite").json(path)
-    return df.sparkSession.read.schema(df.schema).json(path).count()
+    return spark.read.schema(df.schema).json(path).count()
+
+
+def report_json(df: DataFrame, path: str, most: int = 10_000) -> int:
+    """A small report (a row for each area or bucket) as one indented JSON array; more rows than `most` are an error."""
+    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    Path(path).write_text(json.dumps(rows, indent=2, ensure_ascii=False))
+    return len(rows)
+
+
+def merged_lines(spark: SparkSession, path: str, schema: str, key: str, day: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JSON lines of all files, the first of each key in order of file and place; and how many stay by file and by month."""
+    kind = T.StructType.fromDDL(schema)
+    rows = spark.read.schema(kind).json(path).select("*", F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("source", "_block", "_at"))).where((F.col("_r") == 1) & F.col(key).isNotNull())
+    by_source = first.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    by_month = first.groupBy(F.substring(day, 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return first.select(*kind.names), by_source, by_month
 
 
 def write_sha256(path: str) -> str:
