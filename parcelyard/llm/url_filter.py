@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.common import kept_in_worker
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -136,7 +138,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, globs: Sequence
 
     @F.pandas_udf("rule string, verdict string")
     def judged(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        found = Automaton(patterns).match(list(host + path))
+        automaton = kept_in_worker(("globs", *patterns), lambda: Automaton(patterns))
+        found = automaton.match(list(host + path))
         by_rule = found[:, : 2 * len(rules)].reshape(-1, len(rules), 2).any(axis=2)
         by_glob = found[:, 2 * len(rules) :]
         fits, best = by_rule.any(axis=1), by_rule.argmax(axis=1)

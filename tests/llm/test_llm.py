@@ -449,3 +449,39 @@ def test_short_lines_may_differ_by_one(spark):
     got = {(r.a, r.b) for r in line_dedup.links(spark.createDataFrame(list(enumerate(lines)), "h long, line string")).collect()}
     most = lambda a, b: 2 if min(len(a), len(b)) >= 30 else 1 if min(len(a), len(b)) >= 15 else 0
     assert got == {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and levenshtein(a, b) <= most(a, b)} and got
+
+
+def test_jump_hash_equals_the_published_loop():
+    for key in [0, 1, 7, 2**63, 2**64 - 1, *(rng.getrandbits(64) for _ in range(200))]:
+        for shards in (1, 2, 16, 17, 1000):
+            k, b, j = key, -1, 0
+            while j < shards:
+                b = j
+                k = (k * 2862933555777941757 + 1) % 2**64
+                j = int((b + 1) * (float(1 << 31) / float((k >> 33) + 1)))
+            assert sharding.jump_hash(np.array([key], np.uint64), shards)[0] == b
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    texts = [t for t in TEXTS if t is not None and len(t) < 5000] + ["\n".join([sentence(6)] * 3 + [sentence(9) for _ in range(8)]), sentence(40) + " " + " ".join(["##"] * 9), " ".join(rng.choices([sentence(4) for _ in range(6)], k=12))]
+    for r in quality.rate(table(spark, texts)).collect():
+        w = FIND.findall(texts[r.doc_id])
+        total = max(1, sum(map(len, w)))
+        bad = r.base_failed
+        for k, most in quality.MOST_REPEATED.items():
+            seen, inside = set(), set()
+            for i in range(len(w) - k + 1):
+                run = tuple(w[i : i + k])
+                if run in seen:
+                    inside.update(range(i, i + k))
+                seen.add(run)
+            share = sum(len(w[i]) for i in inside) / total
+            assert r[f"repeat_{k}"] == pytest.approx(share)
+            bad |= share > most
+        lines, again = set(), 0
+        for x in texts[r.doc_id].split("\n"):
+            if FIND.search(x):
+                again += sum(map(len, FIND.findall(x))) if x in lines else 0
+                lines.add(x)
+        bad |= again > quality.MOST_LINE_CHARS * sum(map(len, w)) or len(re.findall(r"[#*$%&|<>]", texts[r.doc_id])) > quality.MOST_SYMBOLS * len(w)
+        assert r.kept == (not bad)
