@@ -145,7 +145,6 @@ def retrain_trigger(l: DataFrame) -> DataFrame:
     return retrain_wanted(False, d)
 
 
-@query(on_listings=False)
 def ml_tiered_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Rows only: errors of the tiered model on the later fifth, and whether it is accepted."""
     df = T.temporal_split(features(listings(spark, d)).where("living_area > 0"), "sold_date").persist()  # (each model reads it)
