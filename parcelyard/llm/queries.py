@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelyard.llm import byte_bpe, decontam, delta_lloyd, divergence, hpy_lm, langid, line_dedup, quality, sharding, simhash, token_files, url_filter
+from parcelyard.llm import byte_bpe, decontam, delta_lloyd, divergence, hpy_lm, langid, line_dedup, pii, quality, sharding, simhash, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op5_lm_scoring, op6_simhash, op7_quality, op8_line_dedup, op9_decontam, op10_langid, op12_divergence, op13_delta_lloyd)
+_ALL = (op1_sharding, op2_byte_bpe, op3_url_filter, op4_token_files, op5_lm_scoring, op6_simhash, op7_quality, op8_line_dedup, op9_decontam, op10_langid, op11_pii, op12_divergence, op13_delta_lloyd)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_divergence": divergence.ORACLE, "op13_delta_lloyd": delta_lloyd.ORACLE}
