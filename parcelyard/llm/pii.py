@@ -314,9 +314,11 @@ def _threshold(p: np.ndarray, right: np.ndarray) -> float:
 
 def sample_texts(docs: DataFrame, text: str = "text", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list[str]:
     """At most `texts` windows of `chars` characters, of the texts with the least hashes; the sample is the same however the rows are dealt."""
+    rows = docs.where(F.length(text) > 0).withColumn("h", F.xxhash64(text))
+    least = rows.select("h").distinct().orderBy("h").limit(texts)  # hashes first: copies count once, and texts stay where they are
     at = F.pmod(F.xxhash64(F.lit(1), text), F.greatest(F.length(text) - chars, F.lit(1))).cast("int")
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.substring(F.col(text), at + 1, F.lit(chars)).alias("t"))
-    return [r.t for r in rows.orderBy("h", "t").limit(texts).collect()]
+    window = F.substring(F.col(text), at + 1, F.lit(chars))
+    return [r.t for r in rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min(window).alias("t")).orderBy("h").collect()]
 
 
 def _added(model: Model, texts: Sequence[str], bases: Sequence[list[Span]]) -> list[list[tuple[Span, float]]]:
