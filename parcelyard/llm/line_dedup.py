@@ -58,27 +58,27 @@ def _places(edits: int) -> Column:
 
 
 def _keyed(rows: DataFrame, edits: int, one_from: int, fuzzy_from: int, cut: bool) -> DataFrame:
-    """h, key and own (whether the line is indexed under the key) of every place of rows (h, gid, most, rest).
+    """h, key and own (whether the line is indexed under the key) of every place of rows (rid, h, gid, most, rest).
 
     A line is indexed under its own segments. It is also looked for where
     segments of lines up to `most` shorter, which is what the row's pairs may
     differ by, may lie in it; a null `most` follows from the length, and is 1
-    and edits at fuzzy_from code points. cut: also gid, most, and the start and
-    size of each segment.
+    and edits at fuzzy_from code points. cut: also rid, gid, most, and the
+    start and size of each segment.
     """
     # four bytes a code point, so that any segment is found without reading what is before it;
     # a row for each place first, so that the generated code has one key to make and stays small enough to be compiled
-    rows = rows.select("h", "gid", "most", F.encode("rest", "UTF-32").alias("units"))
-    rows = rows.select("h", "gid", "most", "units", F.shiftright(F.octet_length("units"), 2).alias("n"), F.explode(_places(edits)).alias("p"))
+    rows = rows.select("rid", "h", "gid", "most", F.encode("rest", "UTF-32").alias("units"))
+    rows = rows.select("rid", "h", "gid", "most", "units", F.shiftright(F.octet_length("units"), 2).alias("n"), F.explode(_places(edits)).alias("p"))
     sure = lambda x: F.coalesce(F.expr(x), F.lit(False))  # noqa: E731  (not pushed down as a null check that works out the units again)
     by_length = f"if(p.most = {edits}, n >= {fuzzy_from if edits > 1 else one_from}, p.most = 1 and n between {one_from} and {fuzzy_from})"
     rows = rows.where(sure(f"if(most is null, {by_length}, p.most = most) and n >= p.shift"))
-    rows = rows.select("h", "gid", "units", "n", "p", F.expr("cast((n - p.shift) div (p.most + 1) as int)").alias("each"), F.expr("(n - p.shift) % (p.most + 1) - (p.most + 1 - p.i)").alias("over"))
-    rows = rows.select("h", "gid", "units", "n", "p", F.expr("each + if(over >= 0, 1, 0)").alias("size"), F.expr("each * p.i + greatest(over, 0) + p.move").alias("at"))
+    rows = rows.select("rid", "h", "gid", "units", "n", "p", F.expr("cast((n - p.shift) div (p.most + 1) as int)").alias("each"), F.expr("(n - p.shift) % (p.most + 1) - (p.most + 1 - p.i)").alias("over"))
+    rows = rows.select("rid", "h", "gid", "units", "n", "p", F.expr("each + if(over >= 0, 1, 0)").alias("size"), F.expr("each * p.i + greatest(over, 0) + p.move").alias("at"))
     rows = rows.where(sure("at >= 0 and at + size <= n"))
     key = F.xxhash64("gid", F.col("p.most") * 256 + F.col("p.i"), F.col("n") - F.col("p.shift"), F.substring("units", F.col("at") * 4 + 1, F.col("size") * 4))
     own = F.expr("p.shift = 0 and p.move = 0").alias("own")
-    return rows.select("h", key.alias("key"), own, *(["gid", "p.most", (F.col("at") + 1).alias("start"), "size"] if cut else []))
+    return rows.select("h", key.alias("key"), own, *(["rid", "gid", "p.most", (F.col("at") + 1).alias("start"), "size"] if cut else []))
 
 
 def _met(rows: DataFrame, lengths: tuple[int, int, int], depth: int) -> DataFrame:
@@ -102,16 +102,27 @@ def _parities(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
 
 
+def _not_followed_elsewhere(rows: DataFrame) -> DataFrame:
+    """rows (h, gid, barred) without the groups whose lines all share a key under which each pair of them is followed."""
+    lines = rows.select("h", "gid", "barred").distinct()
+    size = lines.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    most = lines.select("gid", F.explode("barred").alias("b")).groupBy("gid", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("gid").agg(F.max("n").alias("n"))
+    idle = saved(size.join(most, ["gid", "n"], "left_semi").select("gid"), "idle")
+    return looked_up(rows, idle, "gid", "left_anti")
+
+
 def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of hashes h of lines (h, line) that may be within their edits, none missed; and the lines h, line that met others.
 
     Lines may repeat. Under a key at most LARGE lines are compared with each of
     its lines; those of more have what is left of them, without the segment
-    that has met, cut again, which must be within the edits too. Of the pairs
-    compared, those stay whose words and characters differ no more than the edits
-    allow.
+    that has met, cut again, which must be within the edits too. A pair that
+    shares several large keys is looked for under the least of them alone, so
+    that a clique of lines isn't cut again in every order of its segments. Of
+    the pairs compared, those stay whose words and characters differ no more
+    than the edits allow.
     """
-    rows = lines.select("h", F.lit(0).cast("long").alias("gid"), F.lit(None).cast("int").alias("most"), F.col("line").alias("rest"))
+    rows = lines.select(F.col("h").alias("rid"), "h", F.lit(0).cast("long").alias("gid"), F.lit(None).cast("int").alias("most"), F.col("line").alias("rest"))
     depth, pairs, done, texts = 0, None, [], None
     while True:
         met = _met(rows, (edits, one_from, fuzzy_from), depth)
@@ -126,8 +137,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, f
         few = (F.col("n") <= LARGE) | (F.col("size") == 0)
         side = met.where(few)
         # a pair counts under the least of the keys that it shares, and one of the two is indexed under
-        keys = side.groupBy("h", "gid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owned"))
-        side = side.join(texts.select("h", "marks"), "h").join(keys, ["h", "gid"]).select("key", "h", "own", "most", "marks", "keys", "owned")
+        keys = side.groupBy("h", "gid", "most").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owned"))
+        side = side.join(texts.select("h", "marks"), "h").join(keys, ["h", "gid", "most"]).select("key", "h", "own", "most", "marks", "keys", "owned")
         each = lambda z: [F.col(c).alias(f"{c}_{z}") for c in ("h", "own", "marks", "keys", "owned")]
         x, y = side.where("own").select("key", F.col("h").alias("x"), F.col("marks").alias("mx"), *each("x")), side.select("key", "most", F.col("h").alias("y"), F.col("marks").alias("my"), *each("y"))
         near = (F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("own_y"))
@@ -141,15 +152,26 @@ def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, f
         many = met.where(~few)
         if many.isEmpty():
             break
+        # a pair is followed under the least large key that it shares, and under none if it shares one that was compared above
+        owned = met.where("own").groupBy("rid", "most").agg(F.collect_set(F.struct("key", few.alias("few"))).alias("owned"))
+        many = many.join(owned, ["rid", "most"], "left")
+        elsewhere = F.transform(F.filter(F.coalesce("owned", F.array()), lambda k: k["few"] | (k["key"] < F.col("key"))), lambda k: k["key"])
         if depth:
-            left = many.join(rows.select("h", "gid", "rest"), ["h", "gid"])
+            left = many.join(rows.select("rid", "rest", "barred"), "rid")
         else:
-            left = many.join(texts.select("h", F.col("line").alias("rest")), "h")
+            left = many.join(texts.select("h", F.col("line").alias("rest"), F.array().cast("array<long>").alias("barred")), "h")
+        # the rest shrinks by the segment, so the cuts end
         after = F.col("start") + F.col("size")
-        rest = F.concat(F.substring("rest", F.lit(1), F.col("start") - 1), F.lit("\u0000"), F.substring(F.col("rest"), after, F.length("rest")))
-        rows = saved(left.select("h", F.col("key").alias("gid"), "most", rest.alias("rest")).distinct(), f"rest-{depth}")
+        rest = F.concat(F.substring("rest", F.lit(1), F.col("start") - 1), F.substring(F.col("rest"), after, F.length("rest")))
+        barred = F.sort_array(F.array_union("barred", elsewhere))
+        cut = left.select("h", F.col("key").alias("gid"), "most", rest.alias("rest"), barred.alias("barred")).distinct()
+        cut = saved(cut.withColumn("rid", F.xxhash64("h", "gid", "rest", "barred")), f"cut-{depth}")
+        rows = saved(_not_followed_elsewhere(cut), f"rest-{depth}")
+        forget(cut)
         done.append(rows)
         depth += 1
+        if rows.isEmpty():
+            break
     out = saved(pairs.distinct(), "candidates")
     forget(*done)
     return out, texts
