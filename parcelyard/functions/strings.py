@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values, all lists down to MONTHS: spaces that don't break, as characters and as they come escaped; words that name no area; phrases of descriptions.
 NBSP = ("\u00a0", "\u202f", "\u2009", "\ufeff")
@@ -98,8 +102,20 @@ def geocode_key(address: Column, area: Column) -> Column:
     return F.concat(address, F.lit(", "), low)
 
 
+@F.arrow_udf(T.StringType())
+def without_accents(x: pa.Array) -> pa.Array:
+    """Lower case, compatibility forms taken apart (NFKD), combining marks left out; texts in ASCII only change case."""
+
+    def plain(t):
+        if t is None or t.isascii():
+            return t and t.lower()
+        return "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+
+    return pa.array([plain(t) for t in x.to_pylist()], pa.string())
+
+
 def plain_description(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(without_accents(x), "[^a-z0-9]+", " "))
 
 
 def any_phrase(x: Column, phrases: tuple[str, ...]) -> Column:

@@ -26,23 +26,69 @@ def near_points(df: DataFrame, points: Sequence[tuple[float, float]], radii: Seq
     return rows.withColumns(out).drop("_d")
 
 
-def cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
-    """A square grid; the parent of a cell is the cell of a coarser step."""
-    return F.floor(lat / step).cast("int"), F.floor(lon / step).cast("int")
+#: Metres a degree of latitude, and a degree of longitude at 59.3 degrees north.
+NORTH, EAST = 111_200.0, 56_800.0
+#: A cell's number holds its level (0 is the finest), q and r; q and r fit in 28 bits each.
+_BITS, _HALF = 28, 1 << 27
+#: The six steps to the cells next to one, in order round it.
+AROUND = ((1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1))
 
 
-def neighbor_stats(df: DataFrame, day: str, value: str, step: float, key: str = "listing_key") -> DataFrame:
-    """Count-weighted mean of the prior medians of the 8 adjacent cells: columns neighbor_p50 and neighbor_n.
+def hex_factors(edge: float, north: float = NORTH, east: float = EAST) -> tuple[float, float, float]:
+    """a, b, c with q = a * lon - b * lat and r = c * lat before rounding, for hexagons of that edge in metres, a corner to the north."""
+    return east * 3**0.5 / 3 / edge, north / 3 / edge, north * 2 / 3 / edge
+
+
+def _rounded(q: Column, r: Column) -> tuple[Column, Column]:
+    """The hexagon that holds a point: of the three rounded coordinates, which add up to 0, the one that moved most follows from the others."""
+    near = lambda x: F.floor(x + 0.5)
+    rq, rr, rs = near(q), near(r), near(-q - r)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs + q + r)
+    by_q = (dq > dr) & (dq > ds)
+    return F.when(by_q, -rr - rs).otherwise(rq), F.when(~by_q & (dr > ds), -rq - rs).otherwise(rr)
+
+
+def _numbered(level: Column | int, q: Column, r: Column) -> Column:
+    at = F.lit(level) if isinstance(level, int) else level
+    return F.shiftleft(at.cast("long"), 2 * _BITS) + F.shiftleft((q + _HALF).cast("long"), _BITS) + (r + _HALF).cast("long")
+
+
+def hex_parts(cell: Column) -> tuple[Column, Column, Column]:
+    """level, q and r of a cell's number."""
+    mask = (1 << _BITS) - 1
+    return F.shiftright(cell, 2 * _BITS), F.shiftright(cell, _BITS).bitwiseAND(mask) - _HALF, cell.bitwiseAND(mask) - _HALF
+
+
+def hex_cell(lat: Column, lon: Column, edge: float) -> Column:
+    """The number of the hexagon, in axial coordinates, that holds a place; null without a place."""
+    a, b, c = hex_factors(edge)
+    return _numbered(0, *_rounded(lon * a - lat * b, lat * c))
+
+
+def hex_parent(cell: Column, levels: int = 1) -> Column:
+    """The cell `levels` coarser: a parent is a cell and the six around it, seven times as large and turned by 19 degrees."""
+    for _ in range(levels):
+        level, q, r = hex_parts(cell)
+        cell = _numbered(level + 1, *_rounded((3 * q + r) / 7, (2 * r - q) / 7))
+    return cell
+
+
+def hex_ring(cell: Column) -> Column:
+    """The six cells next to a cell, in order."""
+    level, q, r = hex_parts(cell)
+    return F.array(*[_numbered(level, q + dq, r + dr) for dq, dr in AROUND])
+
+
+def neighbor_stats(df: DataFrame, day: str, value: str, edge: float, key: str = "listing_key") -> DataFrame:
+    """Count-weighted mean of the prior medians of the 6 adjacent cells: columns neighbor_p50 and neighbor_n.
 
     A cell's table has a row for each day on which it or a neighbour has a row;
-    rows meet it by equal cell and day.
+    rows meet it by equal cell and day. Rows without a place have no neighbours.
     """
-    x, y = cell(F.col("lat"), F.col("lon"), step)
-    rows = df.withColumn("_cx", x).withColumn("_cy", y)
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
-    asked = rows.select("_cx", "_cy", day).distinct().withColumn("_o", around).select((F.col("_cx") + F.col("_o.x")).alias("cx"), (F.col("_cy") + F.col("_o.y")).alias("cy"), day, F.lit(None).cast("double").alias(value))
-    facts = rows.select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), day, F.col(value).cast("double").alias(value))
-    got = window_quantiles(facts.unionByName(asked.distinct()), ["cx", "cy"], day, value, {"p": None}, [0.5]).where("p_n > 0")
-    shares = rows.select("_cx", "_cy", day).distinct().withColumn("_o", around).select("_cx", "_cy", day, (F.col("_cx") + F.col("_o.x")).alias("cx"), (F.col("_cy") + F.col("_o.y")).alias("cy"))
-    stats = shares.join(got, ["cx", "cy", day]).groupBy("_cx", "_cy", day).agg((F.sum(F.col("p_q0") * F.col("p_n")) / F.sum("p_n")).alias("neighbor_p50"), F.sum("p_n").alias("neighbor_n"))
-    return rows.join(stats, ["_cx", "_cy", day], "left").withColumn("neighbor_n", F.coalesce("neighbor_n", F.lit(0))).select(*df.columns, "neighbor_p50", "neighbor_n")
+    rows = df.withColumn("_cell", hex_cell(F.col("lat"), F.col("lon"), edge))
+    asked = rows.where("_cell is not null").select("_cell", day).distinct().withColumn("cell", F.explode(hex_ring(F.col("_cell"))))
+    facts = rows.select(F.col("_cell").alias("cell"), day, F.col(value).cast("double").alias(value))
+    wanted = asked.select("cell", day, F.lit(None).cast("double").alias(value)).distinct()
+    got = window_quantiles(facts.unionByName(wanted), ["cell"], day, value, {"p": None}, [0.5]).where("p_n > 0")
+    stats = asked.join(got, ["cell", day]).groupBy("_cell", day).agg((F.sum(F.col("p_q0") * F.col("p_n")) / F.sum("p_n")).alias("neighbor_p50"), F.sum("p_n").alias("neighbor_n"))
+    return rows.join(stats, ["_cell", day], "left").withColumn("neighbor_n", F.coalesce("neighbor_n", F.lit(0))).select(*df.columns, "neighbor_p50", "neighbor_n")

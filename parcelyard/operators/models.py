@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,62 @@ def best_weight(df: DataFrame, actual: str, base: str, other: str, steps: int =
     return rows.select((F.col("x.i") / steps).alias("weight"), "x.mae", "x.i").orderBy(F.round("mae", 6), "i").limit(1).select("weight", "mae")
 
 
+def compositions(units: int, parts: int) -> list[tuple[int, ...]]:
+    """All ways to share `units` among `parts`, in lexicographic order."""
+    if parts == 1:
+        return [(units,)]
+    return [(first, *rest) for first in range(units + 1) for rest in compositions(units - first, parts - 1)]
+
+
+def expert_errors(df: DataFrame, actual: str, experts: Sequence[str], units: int = 20, by: str | None = None) -> DataFrame:
+    """gate, candidate, err and n: of each way to weigh the experts in whole units, the sum of absolute errors times units.
+
+    Every task tries all weights on its rows in blocks and passes on one sum for
+    each, so rows are neither copied nor moved. Whole predictions give exact
+    sums. Rows with a null among the columns don't count.
+    """
+    grid = np.array(compositions(units, len(experts)), np.float64).T
+
+    def tried(batches):
+        sums: dict[str, np.ndarray] = {}
+        rows: dict[str, int] = {}
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in experts], 1)
+            y = b.column(actual).to_numpy(zero_copy_only=False) * units
+            gates = np.array(b.column("gate").to_pylist(), object)
+            for g in set(gates.tolist()):
+                at = np.flatnonzero(gates == g)
+                for first in range(0, len(at), 512):
+                    part = at[first : first + 512]
+                    err = np.abs(x[part] @ grid - y[part, None]).sum(0)
+                    sums[g] = sums[g] + err if g in sums else err
+                rows[g] = rows.get(g, 0) + len(at)
+        for g, err in sums.items():
+            yield pa.RecordBatch.from_pydict({"gate": [g], "err": [err.tolist()], "n": [rows[g]]}, pa.schema([("gate", pa.string()), ("err", pa.list_(pa.float64())), ("n", pa.int64())]))
+
+    known = df.select(F.coalesce(F.col(by), F.lit("")).alias("gate") if by else F.lit("all").alias("gate"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([actual, *experts])]).dropna()
+    summed = known.mapInArrow(tried, "gate string, err array<double>, n long")
+    return summed.select("gate", "n", F.posexplode("err").alias("candidate", "e")).groupBy("gate", "candidate").agg(F.sum("e").alias("err"), F.sum("n").alias("n"))
+
+
+def best_experts(df: DataFrame, actual: str, experts: Sequence[str], by: str, units: int = 20, least: int = 200, gates: Sequence[str] = ("low", "mid", "high")) -> DataFrame:
+    """A row for `all` and each gate: gate, units (an array, in order of experts), mae, n, fallback.
+
+    Of equal candidates the first in lexicographic order counts. A gate with
+    fewer than `least` rows takes the weights of all rows, and its own error with them.
+    """
+    errors = expert_errors(df, actual, experts, units, by)
+    both = errors.unionByName(errors.groupBy("candidate").agg(F.sum("err").alias("err"), F.sum("n").alias("n")).select(F.lit("all").alias("gate"), "candidate", "err", "n"))
+    best = both.groupBy("gate").agg(F.min_by("candidate", F.struct("err", "candidate")).alias("own"), F.max("n").alias("n"))
+    overall = best.where("gate = 'all'").select(F.col("own").alias("common"))
+    wanted = df.sparkSession.createDataFrame([(g,) for g in ("all", *gates)], "gate string")
+    picked = wanted.join(best, "gate", "left").crossJoin(F.broadcast(overall)).withColumn("n", F.coalesce("n", F.lit(0))).withColumn("fallback", (F.col("gate") != "all") & (F.col("n") < least))
+    picked = picked.withColumn("candidate", F.when(F.col("fallback"), F.col("common")).otherwise(F.col("own")))
+    table = F.array(*[F.array(*map(F.lit, c)) for c in compositions(units, len(experts))])
+    scored = picked.join(both.select("gate", "candidate", "err"), ["gate", "candidate"], "left")
+    return scored.select("gate", F.get(table, "candidate").alias("units"), (F.col("err") / F.col("n") / units).alias("mae"), "n", "fallback")
+
+
 def range_factors(df: DataFrame, day: str, actual: str, predicted: str, edges: Sequence[float], months: int = 3, least: int = 100) -> DataFrame:
     """q35 and q65 of actual / predicted by predicted bucket over the last months; thin buckets take the pooled ones."""
     last = df.agg(F.add_months(F.max(day), -months).alias("_from"))
@@ -77,6 +134,46 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, vif, strict=True)], "column_name string, vif double")
 
 
+def equal_count_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """value and bin of each distinct known value: floor(bins * smaller values / values), counts by value summed in two levels."""
+    number = F.col(value).cast("double")
+    counts = df.select(number.alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 20))
+    slots = counts.groupBy("slot").agg(F.sum("n").alias("m"))
+    before = slots.select("slot", F.coalesce(F.sum("m").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("m").over(W.partitionBy()).alias("total"))
+    own = F.coalesce(F.sum("n").over(W.partitionBy("slot").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("own", own).join(F.broadcast(before), "slot").select("v", F.expr(f"({bins} * (base + own)) div total").cast("int").alias("bin"))  # (some 2,000 slots at most)
+
+
+def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 20) -> DataFrame:
+    """column_name, n, mi: information in nats that a column has about the target, both cut into bins of equal counts.
+
+    Equal values share a bin. Rows where either is unknown don't count. Strings
+    are categories, each a bin of its own. Less the bias of so many filled cells
+    (Miller and Madow), and never below 0.
+    """
+    kinds = dict(df.dtypes)
+
+    def binned(rows: DataFrame, c: str, name: str) -> DataFrame:
+        if kinds[c] == "string":
+            return rows.withColumn(name, F.col(c)).where(F.col(name).isNotNull())
+        return rows.withColumn("v", F.col(c).cast("double")).join(equal_count_bins(rows, c, bins), "v").withColumnRenamed("bin", name).drop("v")
+
+    out = None
+    for c in columns:
+        known = df.select(F.col(c).alias(c), F.col(target).alias("_target")).where(F.col("_target").isNotNull() & F.col(c).isNotNull())
+        kinds["_target"] = kinds[target]
+        cells = binned(binned(known, c, "_bx"), "_target", "_by").groupBy("_bx", "_by").agg(F.count(F.lit(1)).alias("n"))
+        sides = lambda k, name: F.sum("n").over(W.partitionBy(k)).alias(name)
+        both = cells.select("n", sides("_bx", "nx"), sides("_by", "ny"), F.dense_rank().over(W.orderBy("_bx")).alias("ix"), F.dense_rank().over(W.orderBy("_by")).alias("iy"))
+        total = F.sum("n")
+        # sum n/N ln(n N / (nx ny)), with N taken out of the sum
+        plain = F.sum(F.col("n") * (F.log("n") - F.log("nx") - F.log("ny"))) / total + F.log(total)
+        bias = (F.count(F.lit(1)) - F.max("ix") - F.max("iy") + 1) / (2 * total)
+        got = both.agg(F.lit(c).alias("column_name"), total.alias("n"), F.greatest(F.lit(0.0), plain - bias).alias("mi"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def value_metrics(df: DataFrame, predicted: str, sold: str, key: str) -> DataFrame:
     """delta, delta_pct, is_undervalued and score: 50 + 15 * the normal quantile of the average rank / (n + 1).
 

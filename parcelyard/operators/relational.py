@@ -88,7 +88,15 @@ def merge_newer(old: DataFrame, new: DataFrame, key: str, value: str, at: str) -
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, insert_only: bool = False) -> DataFrame:
-    """MERGE for tables without it: source rows and the target's other rows; or only new keys are added."""
+    """MERGE for tables without it: source rows and the target's other rows; or only new keys are added.
+
+    A key that the source has twice is an error when the rows are made, as in a
+    MERGE. A null key equals none, so such source rows are always added.
+    """
+    w = W.partitionBy(key)
+    repeated = F.col(key).isNotNull() & (F.count(F.lit(1)).over(w) > 1)
+    checked = F.when(repeated, F.raise_error(F.concat(F.lit(f"the source has a {key} twice: "), F.col(key).cast("string")))).otherwise(F.col(key))
+    source = source.withColumn(key, checked.cast(source.schema[key].dataType))
     if insert_only:
         return target.unionByName(source.join(target.select(key), key, "left_anti"))
     return source.unionByName(target.join(source.select(key), key, "left_anti"))

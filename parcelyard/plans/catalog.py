@@ -154,11 +154,43 @@ def time_series_folds(l: DataFrame) -> DataFrame:
     return T.folds(l.select("listing_id", "listing_key", "sold_date"), "sold_date", "listing_key", 3).select("listing_id", "fold")
 
 
-@query(""", c AS (SELECT *, CAST(floor(lat / 0.02) AS INTEGER) AS cx, CAST(floor(lon / 0.02) AS INTEGER) AS cy FROM l), o AS (SELECT x.i AS dx, y.i AS dy FROM range(-1, 2) x(i), range(-1, 2) y(i) WHERE x.i <> 0 OR y.i <> 0),
-  k AS (SELECT c.listing_key, n.cx, n.cy, median(n.ppsqm) AS p, count(n.ppsqm) AS n FROM c, o, c n WHERE n.cx = c.cx + dx AND n.cy = c.cy + dy AND n.sold_date < c.sold_date GROUP BY ALL HAVING count(n.ppsqm) > 0)
+def hex_sql(source: str, out: str, edge: float, q: str = "q", r: str = "r") -> str:
+    """CTEs up to `out`: source with the axial coordinates of the hexagon of each place, as `geo.hex_cell` has them."""
+    a, b, c = (f"CAST('{x!r}' AS DOUBLE)" for x in G.hex_factors(edge))
+    return _rounded_sql(f"(SELECT *, lon * {a} - lat * {b} AS qf, lat * {c} AS rf FROM {source})", out, q, r)
+
+
+def hex_parent_sql(source: str, out: str, q: str, r: str, to_q: str, to_r: str) -> str:
+    return _rounded_sql(f"(SELECT *, (3 * {q} + {r}) / 7 AS qf, (2 * {r} - {q}) / 7 AS rf FROM {source})", out, to_q, to_r)
+
+
+def _rounded_sql(source: str, out: str, q: str, r: str) -> str:
+    near = f"(SELECT *, floor(qf + 0.5) AS rq, floor(rf + 0.5) AS rr, floor(-qf - rf + 0.5) AS rs FROM {source})"
+    moved = f"(SELECT *, abs(rq - qf) AS dq, abs(rr - rf) AS dr, abs(rs + qf + rf) AS ds FROM {near})"
+    by_q = "dq > dr AND dq > ds"
+    return f"{out} AS (SELECT * EXCLUDE (qf, rf, rq, rr, rs, dq, dr, ds), CASE WHEN {by_q} THEN -rr - rs ELSE rq END AS {q}, CASE WHEN NOT ({by_q}) AND dr > ds THEN -rq - rs ELSE rr END AS {r} FROM {moved})"
+
+
+AROUND_SQL = "o AS (SELECT * FROM (VALUES " + ", ".join(map(str, G.AROUND)) + ") x(dq, dr))"
+#: Edges in metres of the cells whose neighbours are looked at.
+NEIGHBOR_EDGE = 800.0
+
+
+@query(f""", {hex_sql("l", "c", NEIGHBOR_EDGE)}, {AROUND_SQL},
+  k AS (SELECT c.listing_key, n.q, n.r, median(n.ppsqm) AS p, count(n.ppsqm) AS n FROM c, o, c n WHERE n.q = c.q + dq AND n.r = c.r + dr AND n.sold_date < c.sold_date GROUP BY ALL HAVING count(n.ppsqm) > 0)
   SELECT l.listing_id, round(sum(p * n) / sum(n), 3) AS neighbor_p50, CAST(coalesce(sum(n), 0) AS BIGINT) AS neighbor_n FROM l LEFT JOIN k USING (listing_key) GROUP BY 1""")
 def neighbor_cells(l: DataFrame) -> DataFrame:
-    return G.neighbor_stats(l.select("listing_key", "listing_id", "lat", "lon", "sold_date", "ppsqm"), "sold_date", "ppsqm", 0.02).select("listing_id", F.round("neighbor_p50", 3).alias("neighbor_p50"), "neighbor_n")
+    return G.neighbor_stats(l.select("listing_key", "listing_id", "lat", "lon", "sold_date", "ppsqm"), "sold_date", "ppsqm", NEIGHBOR_EDGE).select("listing_id", F.round("neighbor_p50", 3).alias("neighbor_p50"), "neighbor_n")
+
+
+@query(f""", {hex_sql("l", "c", NEIGHBOR_EDGE)}, {hex_parent_sql("c", "p", "q", "r", "pq", "pr")}
+  SELECT CAST(pq AS BIGINT) AS q, CAST(pr AS BIGINT) AS r, count(DISTINCT (q, r)) AS cells, count(*) AS n, round(median(ppsqm) + 1e-7, 4) AS p50 FROM p GROUP BY 1, 2""".replace("count(DISTINCT (q, r))", "count(DISTINCT (p.q, p.r))"))
+def cell_parents(l: DataFrame) -> DataFrame:
+    """Sales by the parents of their cells."""
+    rows = l.withColumn("cell", G.hex_cell(F.col("lat"), F.col("lon"), NEIGHBOR_EDGE)).withColumn("parent", G.hex_parent(F.col("cell")))
+    t = rows.groupBy("parent").agg(F.countDistinct("cell").alias("cells"), count().alias("n"), r4(A.median("ppsqm")).alias("p50"))
+    _, q, r = G.hex_parts(F.col("parent"))
+    return t.select(q.alias("q"), r.alias("r"), "cells", "n", "p50")
 
 
 # ---- filters, deduplication, upserts, sets ----------------------------------------------------------------------------------
@@ -492,12 +524,11 @@ def temporal_fallback(l: DataFrame) -> DataFrame:
     return t.select("listing_id", *[r4(F.coalesce(*chain[i:])).alias(f"m{n}") for i, n in enumerate((1, 3, 6, 12))])
 
 
-@query(""", s AS (SELECT area, CAST(floor(lat / 0.01) AS INTEGER) AS cx, CAST(floor(lon / 0.01) AS INTEGER) AS cy, * EXCLUDE area FROM l), c AS (SELECT cx, cy, median(ppsqm) AS m, count(ppsqm) AS n FROM s GROUP BY ALL), a AS (SELECT area, median(ppsqm) AS m, count(ppsqm) AS n FROM s GROUP BY ALL), g AS (SELECT median(ppsqm) AS m, count(ppsqm) AS n FROM s)
+@query(f""", {hex_sql("l", "s", NEIGHBOR_EDGE, "cx", "cy")}, c AS (SELECT cx, cy, median(ppsqm) AS m, count(ppsqm) AS n FROM s GROUP BY ALL), a AS (SELECT area, median(ppsqm) AS m, count(ppsqm) AS n FROM s GROUP BY ALL), g AS (SELECT median(ppsqm) AS m, count(ppsqm) AS n FROM s)
   SELECT listing_id, CASE WHEN c.n >= 20 THEN 'cell' WHEN a.n > 0 THEN 'area' ELSE 'global' END AS scope, round(CASE WHEN c.n >= 20 THEN c.m WHEN a.n > 0 THEN a.m ELSE g.m END + 1e-7, 4) AS p50, round(coalesce(CASE WHEN c.n >= 20 THEN c.m WHEN a.n > 0 THEN a.m ELSE g.m END / a.m - 1, 0), 6) AS premium FROM s JOIN c USING (cx, cy) JOIN a USING (area), g""")
 def context_fit_apply(l: DataFrame) -> DataFrame:
-    x, y = G.cell(F.col("lat"), F.col("lon"), 0.01)
-    s = l.select("listing_id", "area", "ppsqm", x.alias("cx"), y.alias("cy"))
+    s = l.select("listing_id", "area", "ppsqm", G.hex_cell(F.col("lat"), F.col("lon"), NEIGHBOR_EDGE).alias("cell"))
     fit = lambda keys, p: s.groupBy(*keys).agg(F.struct(A.median("ppsqm").alias("p50")).alias(p), F.count("ppsqm").alias(f"{p}_n"))
-    rows = s.join(fit(["cx", "cy"], "c"), ["cx", "cy"]).join(F.broadcast(fit(["area"], "a")), "area").crossJoin(F.broadcast(fit([], "g")))
+    rows = s.join(fit(["cell"], "c"), "cell").join(F.broadcast(fit(["area"], "a")), "area").crossJoin(F.broadcast(fit([], "g")))
     got = tiered([("cell", F.col("c"), F.col("c_n"), 20), ("area", F.col("a"), F.col("a_n"), 1), ("global", F.col("g"), F.col("g_n"), 0)], ["p50"])
     return rows.select("listing_id", got["scope"].alias("scope"), r4(got["p50"]).alias("p50"), F.round(F.coalesce(M.safe_divide(got["p50"], F.col("a.p50")) - 1, F.lit(0.0)), 6).alias("premium"))

@@ -13,12 +13,12 @@ from parcelyard.operators import aggregates as A
 from parcelyard.operators import geo as G
 from parcelyard.operators import temporal as T
 from parcelyard.operators.fallback import tiered
-from parcelyard.plans.catalog import _BAND, count, query, r4, up4
+from parcelyard.plans.catalog import _BAND, AROUND_SQL, count, hex_parent_sql, hex_sql, query, r4, up4
 
 STATS = ("p50", "p75", "p90")
-#: Cells of the two resolutions in degrees, and earlier sales that a cell, a street, a street with a size, and an address need.
-FINE, COARSE = 0.01, 0.03
-CELL_LEAST, STREET_LEAST, STREET_SIZE_LEAST, ADDRESS_LEAST = 20, 5, 3, 3
+#: The edge of a fine cell in metres (a coarse one is its parent), and earlier sales that a cell, a street, a street with a size, an address, and a place with a size need.
+EDGE = 400.0
+CELL_LEAST, STREET_LEAST, STREET_SIZE_LEAST, ADDRESS_LEAST, SAME_SIZE_LEAST = 20, 5, 3, 3, 5
 
 
 def _level(rows: DataFrame, facts: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -40,11 +40,9 @@ def _complete(got: dict[str, Column]) -> dict[str, Column]:
 
 def micro_area(rows: DataFrame) -> DataFrame:
     """micro_p50, p75, p90, n, tail, resolution and premium over the area: the fine cell, the coarse one, the area, all sales, whichever has enough earlier sales first."""
-    for name, step in (("fine", FINE), ("coarse", COARSE)):
-        x, y = G.cell(F.col("lat"), F.col("lon"), step)
-        rows = rows.withColumns({f"_{name}_x": x, f"_{name}_y": y})
-    facts = rows = rows.withColumn("_all", F.lit(0))
-    keys = {"fine": ["_fine_x", "_fine_y"], "coarse": ["_coarse_x", "_coarse_y"], "area_level": ["area"], "global": ["_all"]}
+    fine = G.hex_cell(F.col("lat"), F.col("lon"), EDGE)
+    facts = rows = rows.withColumns({"_fine_cell": fine, "_coarse_cell": G.hex_parent(fine), "_all": F.lit(0)})
+    keys = {"fine": ["_fine_cell"], "coarse": ["_coarse_cell"], "area_level": ["area"], "global": ["_all"]}
     for name, own in keys.items():
         rows = _level(rows, facts, f"_{name}", own)
     least = {"fine": CELL_LEAST, "coarse": CELL_LEAST, "area_level": 1, "global": 1}
@@ -54,6 +52,29 @@ def micro_area(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**own, "micro_resolution": got["scope"], "micro_premium": F.coalesce(M.safe_divide(got["p50"], area) - 1, F.lit(0.0))}).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
+def same_size(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of homes of the same size band, same_size_p50, p75, p90, n, tail, scope and premium over the micro area.
+
+    rows have been through `micro_area`. The coarse cell, then the area (either
+    with SAME_SIZE_LEAST earlier sales), then all sales of the size; a size
+    without any takes the micro area's median, with a count of 0.
+    """
+    def keyed(df):
+        cell = G.hex_parent(G.hex_cell(F.col("lat"), F.col("lon"), EDGE))
+        return df.withColumns({"_cell": cell, "_area": F.coalesce("area", F.lit("unknown")), "_band": C.size_band(F.col("living_area"))})
+
+    rows, facts = keyed(rows), keyed(facts)
+    keys = {"cell_size": ["_cell", "_band"], "area_size": ["_area", "_band"], "size": ["_band"]}
+    for name, own in keys.items():
+        rows = _level(rows, facts, f"_{name}", own)
+    least = {"cell_size": SAME_SIZE_LEAST, "area_size": SAME_SIZE_LEAST, "size": 1}
+    got = tiered([(k, F.col(f"_{k}"), F.col(f"_{k}_n"), least[k]) for k in keys], STATS)
+    got["p50"] = F.coalesce(got["p50"], "micro_p50")
+    own = {f"same_size_{k}": v for k, v in _complete(got).items()}
+    premium = F.coalesce(M.safe_divide(got["p50"], F.col("micro_p50")) - 1, F.lit(0.0))
+    return rows.withColumns({**own, "same_size_scope": F.coalesce(got["scope"], F.lit("micro_area")), "same_size_premium": premium}).drop(*[c for c in rows.columns if c.startswith("_")])
+
+
 def _address_keys(rows: DataFrame) -> DataFrame:
     street, area = S.street_ml(F.col("address")), F.lower("area")
     key = S.compound_key(area, street)
@@ -79,7 +100,7 @@ def address_comparables(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 _BEFORE = "ORDER BY sold_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING"
 _q = lambda w: f"{{'p50': quantile_cont(ppsqm, 0.5) OVER {w}, 'p75': quantile_cont(ppsqm, 0.75) OVER {w}, 'p90': quantile_cont(ppsqm, 0.9) OVER {w}, 'n': count(ppsqm) OVER {w}}}"
-_MICRO_SQL = f""", s0 AS (SELECT *, lower(area) || '|' || regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '') AS street, lower(area) || '|' || lower(address) AS addr, {_BAND} AS band, floor(lat / {FINE}) AS fx, floor(lon / {FINE}) AS fy, floor(lat / {COARSE}) AS cx, floor(lon / {COARSE}) AS cy FROM l),
+_MICRO_SQL = f""", {hex_sql("l", "hf", EDGE, "fx", "fy")}, {hex_parent_sql("hf", "hc", "fx", "fy", "cx", "cy")}, s0 AS (SELECT *, lower(area) || '|' || regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '') AS street, lower(area) || '|' || lower(address) AS addr, {_BAND} AS band FROM hc),
   s1 AS (SELECT *, {_q('wf')} AS f, {_q('wc')} AS c, {_q('wa')} AS a, {_q('wg')} AS g, {_q('ws')} AS st, {_q('wz')} AS sz, {_q('wx')} AS ad FROM s0
   WINDOW wf AS (PARTITION BY fx, fy {_BEFORE}), wc AS (PARTITION BY cx, cy {_BEFORE}), wa AS (PARTITION BY area {_BEFORE}), wg AS ({_BEFORE}), ws AS (PARTITION BY street {_BEFORE}), wz AS (PARTITION BY street, band {_BEFORE}), wx AS (PARTITION BY addr {_BEFORE})),
   m AS (SELECT *, CASE WHEN f.n >= 20 THEN f WHEN c.n >= 20 THEN c WHEN a.n > 0 THEN a WHEN g.n > 0 THEN g END AS mi, CASE WHEN f.n >= 20 THEN 'fine' WHEN c.n >= 20 THEN 'coarse' WHEN a.n > 0 THEN 'area' WHEN g.n > 0 THEN 'global' END AS resolution FROM s1)"""
@@ -105,6 +126,15 @@ def address_comps(l: DataFrame) -> DataFrame:
     )
 
 
+@query(_MICRO_SQL + f""", z0 AS (SELECT *, {_q('wc')} AS zc, {_q('wa')} AS za, {_q('wg')} AS zg FROM m WINDOW wc AS (PARTITION BY cx, cy, band {_BEFORE}), wa AS (PARTITION BY area, band {_BEFORE}), wg AS (PARTITION BY band {_BEFORE})),
+  z1 AS (SELECT *, CASE WHEN zc.n >= 5 THEN zc WHEN za.n >= 5 THEN za WHEN zg.n >= 1 THEN zg END AS z, CASE WHEN zc.n >= 5 THEN 'cell_size' WHEN za.n >= 5 THEN 'area_size' WHEN zg.n >= 1 THEN 'size' ELSE 'micro_area' END AS scope FROM z0),
+  z2 AS (SELECT *, coalesce(z.p50, mi.p50) AS p50 FROM z1)
+  SELECT listing_id, scope, round(p50 + 1e-7, 4) AS p50, round(coalesce(z.p75, p50) + 1e-7, 4) AS p75, round(coalesce(z.p90, z.p75, p50) + 1e-7, 4) AS p90, coalesce(z.n, 0) AS n, round(coalesce(coalesce(z.p90, z.p75, p50) / p50, 1) + 1e-9, 6) AS tail, round(coalesce(p50 / mi.p50 - 1, 0) + 1e-9, 6) AS premium FROM z2""")
+def same_size_chain(l: DataFrame) -> DataFrame:
+    t = same_size(micro_area(l.select("listing_id", "area", "living_area", "sold_date", "ppsqm", "lat", "lon")), l)
+    return t.select("listing_id", F.col("same_size_scope").alias("scope"), *[r4(f"same_size_{c}").alias(c) for c in STATS], F.col("same_size_n").alias("n"), *[F.round(F.col(f"same_size_{c}") + 1e-9, 6).alias(c) for c in ("tail", "premium")])
+
+
 @query(f"SELECT listing_id, round(quantile_cont(ppsqm, 0.5) OVER w + 1e-7, 4) AS p50, round(quantile_cont(ppsqm, 0.75) OVER w + 1e-7, 4) AS p75, round(quantile_cont(ppsqm, 0.9) OVER w + 1e-7, 4) AS p90, count(ppsqm) OVER w AS n FROM l WINDOW w AS ({_BEFORE})")
 def prior_global(l: DataFrame) -> DataFrame:
     """All earlier sales: one key, which is cut into ranges of values where it is too large for a task."""
@@ -122,13 +152,13 @@ def address_context(l: DataFrame) -> DataFrame:
     return A.quad(rows, ["level", "key"], "ppsqm").select("level", "key", *[up4(c) for c in STATS], "n")
 
 
-@query(_MICRO_SQL + f""", o AS (SELECT x.i AS dx, y.i AS dy FROM range(-1, 2) x(i), range(-1, 2) y(i) WHERE x.i <> 0 OR y.i <> 0),
-  nb AS (SELECT s0.listing_key, n.fx, n.fy, median(n.ppsqm) AS p, count(n.ppsqm) AS n FROM s0, o, s0 n WHERE n.fx = s0.fx + dx AND n.fy = s0.fy + dy AND n.sold_date < s0.sold_date GROUP BY ALL HAVING count(n.ppsqm) > 0),
+@query(_MICRO_SQL + f""", {AROUND_SQL},
+  nb AS (SELECT s0.listing_key, n.fx, n.fy, median(n.ppsqm) AS p, count(n.ppsqm) AS n FROM s0, o, s0 n WHERE n.fx = s0.fx + dq AND n.fy = s0.fy + dr AND n.sold_date < s0.sold_date GROUP BY ALL HAVING count(n.ppsqm) > 0),
   nn AS (SELECT listing_key, sum(p * n) / sum(n) AS p, sum(n) AS n FROM nb GROUP BY 1) SELECT listing_id, round(coalesce(nn.p, mi.p50), 3) AS neighbor_p50, CAST(coalesce(nn.n, 0) AS BIGINT) AS neighbor_n FROM m LEFT JOIN nn USING (listing_key)""")
 def neighbors_or_micro_area(l: DataFrame) -> DataFrame:
     """The neighbouring cells' median, or that of the micro area."""
     t = micro_area(l.select("listing_key", "listing_id", "area", "sold_date", "ppsqm", "lat", "lon"))
-    near = G.neighbor_stats(l.select("listing_key", "lat", "lon", "sold_date", "ppsqm"), "sold_date", "ppsqm", FINE)
+    near = G.neighbor_stats(l.select("listing_key", "lat", "lon", "sold_date", "ppsqm"), "sold_date", "ppsqm", EDGE)
     t = t.join(near.select("listing_key", "neighbor_p50", "neighbor_n"), "listing_key")
     return t.select("listing_id", F.round(F.coalesce("neighbor_p50", "micro_p50"), 3).alias("neighbor_p50"), "neighbor_n")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import time
 import uuid
 from pathlib import Path
 
@@ -20,8 +21,9 @@ def staged_swap(df: DataFrame, table: str, expected: int | None = None) -> int:
     """Write to a staging table, verify its rows, then take the table's name for it.
 
     The old table keeps its name until the new one is whole, then a second name
-    until the new one has the first; both names go at the end. A reader between
-    the two renames finds no table, never half of one.
+    until the new one has the first; it is dropped only then, and takes its name
+    back if the new one can't have it. A reader between the two renames finds no
+    table, never half of one; `Versions` has no such moment.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
     staging, old = f"{table}_staging_{mark}", f"{table}_old_{mark}"
@@ -30,13 +32,89 @@ def staged_swap(df: DataFrame, table: str, expected: int | None = None) -> int:
         n = spark.table(staging).count()
         if expected is not None and n != expected:
             raise ValueError(f"{n} rows staged, {expected} expected")
-        if spark.catalog.tableExists(table):
-            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+        aside = spark.catalog.tableExists(table)
+        if aside:
+            _rename(spark, table, old)
+        try:
+            _rename(spark, staging, table)
+        except BaseException:
+            if aside:
+                _rename(spark, old, table)
+            raise
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    return n
+
+
+def _rename(spark: SparkSession, a: str, b: str) -> None:
+    spark.sql(f"ALTER TABLE {a} RENAME TO {b}")
+
+
+class Versions:
+    """A table as a folder of whole versions and one pointer to the current one, on any file system that Spark reads.
+
+    A commit writes a version under a name of its own, checks it, then renames a
+    new pointer over the old one, which is a single step: a reader finds the
+    version before or the one after. A commit that fails at any step leaves the
+    pointer as it was, and its version is deleted.
+    """
+
+    POINTER = "CURRENT"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs
+
+    def _at(self, name: str):
+        return self._fs.Path(f"{self.path}/{name}")
+
+    def _files(self):
+        return self._at(".").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def current(self) -> str | None:
+        """The name of the current version."""
+        if not self._files().exists(self._at(self.POINTER)):
+            return None
+        return self.spark.read.text(f"{self.path}/{self.POINTER}").first()[0]
+
+    def read(self) -> DataFrame:
+        version = self.current()
+        if version is None:
+            raise FileNotFoundError(f"{self.path} has no version")
+        return self.spark.read.parquet(f"{self.path}/{version}")
+
+    def commit(self, df: DataFrame, expected: int | None = None, keep: int = 2) -> int:
+        """Write df as the current version; expected: the rows that it must have. The last `keep` versions stay for readers that have begun. Gives the rows."""
+        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        try:
+            self._write(df, version)
+            n = self.spark.read.parquet(f"{self.path}/{version}").count()
+            if expected is not None and n != expected:
+                raise ValueError(f"{n} rows written, {expected} expected")
+            self._point(version)
+        except BaseException:
+            self._files().delete(self._at(version), True)
+            raise
+        versions = sorted(s.getPath().getName() for s in self._files().listStatus(self._at(".")) if s.getPath().getName().startswith("v-"))
+        for old in versions[: -keep or None]:
+            if old != version:
+                self._files().delete(self._at(old), True)
         return n
-    finally:
-        for name in (staging, old):
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _write(self, df: DataFrame, version: str) -> None:
+        df.write.parquet(f"{self.path}/{version}")
+
+    def _point(self, version: str) -> None:
+        fresh = self._at(f".{self.POINTER}-{uuid.uuid4().hex}")
+        out = self._files().create(fresh, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        context = self._fs.FileContext.getFileContext(fresh.toUri(), self.spark._jsc.hadoopConfiguration())
+        over = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        over[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fresh, self._at(self.POINTER), over)
 
 
 def feature_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -69,6 +147,13 @@ def json_lines(df: DataFrame, path: str, order: str, backup: bool = False) -> in
     return spark.read.schema(df.schema).json(path).count()
 
 
+def csv_file(df: DataFrame, path: str, order: str | None = None) -> int:
+    """A folder of CSV parts with a header, in order of a column if one is named; nulls are empty, quotes doubled. Returns the rows written."""
+    rows = df.orderBy(order) if order else df
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return df.sparkSession.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).count()
+
+
 def report_json(df: DataFrame, path: str, most: int = 10_000) -> int:
     """A small report (a row for each area or bucket) as one indented JSON array; more rows than `most` are an error."""
     rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
