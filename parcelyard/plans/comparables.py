@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from parcelyard.operators.fallback import tiered
 from parcelyard.plans.catalog import _BAND, AROUND_SQL, count, hex_parent_sql, hex_sql, query, r4, up4
 
 STATS = ("p50", "p75", "p90")
+#: Rows, the name of a level, and the columns that key it, to rows with a struct <name> of STATS and the count <name>_n.
+Look = Callable[[DataFrame, str, list[str]], DataFrame]
 #: The edge of a fine cell in metres (a coarse one is its parent), and earlier sales that a cell, a street, a street with a size, an address, and a place with a size need.
 EDGE = 400.0
 CELL_LEAST, STREET_LEAST, STREET_SIZE_LEAST, ADDRESS_LEAST, SAME_SIZE_LEAST = 20, 5, 3, 3, 5
@@ -38,13 +42,22 @@ def _complete(got: dict[str, Column]) -> dict[str, Column]:
     return {"p50": got["p50"], "p75": p75, "p90": p90, "n": F.coalesce(got["count"], F.lit(0)).cast("long"), "tail": F.coalesce(M.safe_divide(p90, got["p50"]), F.lit(1.0))}
 
 
-def micro_area(rows: DataFrame) -> DataFrame:
-    """micro_p50, p75, p90, n, tail, resolution and premium over the area: the fine cell, the coarse one, the area, all sales, whichever has enough earlier sales first."""
+def before(facts: DataFrame) -> Look:
+    """Statistics of the earlier sales among facts."""
+    return lambda rows, name, keys: _level(rows, facts, name, keys)
+
+
+def micro_area(rows: DataFrame, look: Look | None = None) -> DataFrame:
+    """micro_p50, p75, p90, n, tail, resolution and premium over the area: the fine cell, the coarse one, the area, all sales, whichever has enough earlier sales first.
+
+    look tells what a key's sales say; without one, the earlier rows among rows do.
+    """
     fine = G.hex_cell(F.col("lat"), F.col("lon"), EDGE)
-    facts = rows = rows.withColumns({"_fine_cell": fine, "_coarse_cell": G.hex_parent(fine), "_all": F.lit(0)})
+    rows = rows.withColumns({"_fine_cell": fine, "_coarse_cell": G.hex_parent(fine), "_all": F.lit(0)})
+    look = look or before(rows)
     keys = {"fine": ["_fine_cell"], "coarse": ["_coarse_cell"], "area_level": ["area"], "global": ["_all"]}
     for name, own in keys.items():
-        rows = _level(rows, facts, f"_{name}", own)
+        rows = look(rows, f"_{name}", own)
     least = {"fine": CELL_LEAST, "coarse": CELL_LEAST, "area_level": 1, "global": 1}
     got = tiered([(name.removesuffix("_level"), F.col(f"_{name}"), F.col(f"_{name}_n"), least[name]) for name in keys], STATS)
     own = {f"micro_{k}": v for k, v in _complete(got).items()}
@@ -52,21 +65,23 @@ def micro_area(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**own, "micro_resolution": got["scope"], "micro_premium": F.coalesce(M.safe_divide(got["p50"], area) - 1, F.lit(0.0))}).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def same_size(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def with_size(df: DataFrame) -> DataFrame:
+    cell = G.hex_parent(G.hex_cell(F.col("lat"), F.col("lon"), EDGE))
+    return df.withColumns({"_cell": cell, "_area": F.coalesce("area", F.lit("unknown")), "_band": C.size_band(F.col("living_area"))})
+
+
+def same_size(rows: DataFrame, facts: DataFrame | None = None, look: Look | None = None) -> DataFrame:
     """Of homes of the same size band, same_size_p50, p75, p90, n, tail, scope and premium over the micro area.
 
     rows have been through `micro_area`. The coarse cell, then the area (either
     with SAME_SIZE_LEAST earlier sales), then all sales of the size; a size
     without any takes the micro area's median, with a count of 0.
     """
-    def keyed(df):
-        cell = G.hex_parent(G.hex_cell(F.col("lat"), F.col("lon"), EDGE))
-        return df.withColumns({"_cell": cell, "_area": F.coalesce("area", F.lit("unknown")), "_band": C.size_band(F.col("living_area"))})
-
-    rows, facts = keyed(rows), keyed(facts)
+    look = look or before(with_size(facts))
+    rows = with_size(rows)
     keys = {"cell_size": ["_cell", "_band"], "area_size": ["_area", "_band"], "size": ["_band"]}
     for name, own in keys.items():
-        rows = _level(rows, facts, f"_{name}", own)
+        rows = look(rows, f"_{name}", own)
     least = {"cell_size": SAME_SIZE_LEAST, "area_size": SAME_SIZE_LEAST, "size": 1}
     got = tiered([(k, F.col(f"_{k}"), F.col(f"_{k}_n"), least[k]) for k in keys], STATS)
     got["p50"] = F.coalesce(got["p50"], "micro_p50")
@@ -75,21 +90,22 @@ def same_size(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.withColumns({**own, "same_size_scope": F.coalesce(got["scope"], F.lit("micro_area")), "same_size_premium": premium}).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def _address_keys(rows: DataFrame) -> DataFrame:
+def with_address_keys(rows: DataFrame) -> DataFrame:
     street, area = S.street_ml(F.col("address")), F.lower("area")
     key = S.compound_key(area, street)
     rows = rows.withColumns({"_k_street": key, "_k_street_size": F.concat_ws("|", key, C.size_band(F.col("living_area"))), "_k_address": S.compound_key(area, F.lower(F.trim(F.regexp_replace("address", r"\s+", " "))))})
     return rows.withColumn("_k_street_size", F.when(F.col("_k_street").isNotNull(), F.col("_k_street_size")))
 
 
-def address_comparables(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def address_comparables(rows: DataFrame, facts: DataFrame | None = None, look: Look | None = None) -> DataFrame:
     """Of street, street with size and address: p50, p75, p90, n, tail and scope, each falling back on the one before, the street on micro_area; and premiums."""
-    rows, facts = _address_keys(rows), _address_keys(facts)
-    before = {c: F.col(f"micro_{c}") for c in STATS}
+    look = look or before(with_address_keys(facts))
+    rows = with_address_keys(rows)
+    micro = {c: F.col(f"micro_{c}") for c in STATS}
     for name, own, least, scope in (("street_area", "_k_street", STREET_LEAST, "micro_area"), ("street_size", "_k_street_size", STREET_SIZE_LEAST, "street_area"), ("address", "_k_address", ADDRESS_LEAST, "street_area")):
-        rows = _level(rows, facts, f"_{name}", [own])
+        rows = look(rows, f"_{name}", [own])
         ok = F.col(own).isNotNull() & (F.coalesce(F.col(f"_{name}_n"), F.lit(0)) >= least)
-        base = before if name == "street_area" else {c: F.col(f"street_area_{c}") for c in STATS}
+        base = micro if name == "street_area" else {c: F.col(f"street_area_{c}") for c in STATS}
         n = F.lit(0) if name == "street_area" else F.col("street_area_n")
         got = {c: F.when(ok, F.col(f"_{name}.{c}")).otherwise(base[c]) for c in STATS} | {"count": F.when(ok, F.col(f"_{name}_n")).otherwise(n)}
         rows = rows.withColumns({**{f"{name}_{k}": v for k, v in _complete(got).items()}, f"{name}_scope": F.when(ok, name).otherwise(scope)})
