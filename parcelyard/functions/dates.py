@@ -21,6 +21,13 @@ def date10(x: Column) -> Column:
     return F.substring(x.cast("string"), 1, 10)
 
 
+def utc_naive(x: Column) -> Column:
+    """A timestamp without a zone: the UTC time of a text or timestamp with one; a text without one is taken as it is; dirty text is null."""
+    kept = F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(x.try_cast("timestamp"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    zoned = F.trim(x.cast("string")).rlike("(?i)(z|utc|[+-]\\d{2}(:?\\d{2})?)$") & F.trim(x.cast("string")).rlike("\\d:\\d")
+    return F.when(zoned, kept).otherwise(x.try_cast("timestamp_ntz"))
+
+
 def cyclic(d: Column) -> dict[str, Column]:
     """Month, quarter, weekday (Monday 0), weekend, and month and weekday on the circle."""
     m, w = F.month(d), F.weekday(d)

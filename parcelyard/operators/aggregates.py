@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,6 +59,29 @@ def histogram(df: DataFrame, value: str, bins: int, low: float = 0.01, high: flo
     return spine.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_report(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99, whole: bool = True) -> DataFrame:
+    """One row: n, least, most and bin_width of the window between two quantiles, p1, p25, p50, p75, p99 of all values, and counts, an array.
+
+    whole: numbers are rounded to whole ones, halves to the even one.
+    """
+    known = df.where(F.col(value).isNotNull())
+    r = (lambda x: F.bround(x, 0)) if whole else (lambda x: F.round(x + 1e-7, 4))
+    q = overall_quantiles(df, value, [0.01, 0.25, 0.5, 0.75, 0.99, low, high])
+    counts = histogram(df, value, bins, low, high).groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda b: b["n"]).alias("counts"))  # bins entries
+    n = known.agg(F.count(F.lit(1)).alias("n"))
+    width = (F.col("q")[6] - F.col("q")[5]) / bins
+    return q.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(n)).select("n", r(F.col("q")[5]).alias("least"), r(F.col("q")[6]).alias("most"), r(width).alias("bin_width"), *[r(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((1, 25, 50, 75, 99))], "counts")
+
+
+def sort_places(df: DataFrame, key: str, orders: Mapping[str, tuple[str, bool]]) -> DataFrame:
+    """df, a table of a row for each area, with the place of each row in each order (column, descending): texts without regard to case, nulls last, ties by key."""
+    kinds = dict(df.dtypes)
+    for name, (column, descending) in orders.items():
+        c = F.lower(column) if kinds[column] == "string" else F.col(column)
+        df = df.withColumn(name, F.row_number().over(W.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), key)))
+    return df
+
+
 def bucketed(df: DataFrame, bucket: Column, value: str, least: int = 1) -> DataFrame:
     """Median and count of value by bucket, for buckets with at least so many values."""
     rows = df.where(F.col(value).isNotNull()).select(bucket.alias("bucket"), value).where("bucket is not null")

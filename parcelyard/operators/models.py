@@ -209,6 +209,20 @@ def ks_drift(base: DataFrame, now: DataFrame, columns: Sequence[str]) -> DataFra
     return out
 
 
+def dataset_drift(drift: DataFrame, share: float = 0.5) -> DataFrame:
+    """Of columns' drift: columns, drifted, share, dataset_drift (whether that share is reached) and mean_score."""
+    n, d = F.count(F.lit(1)), F.count(F.when(F.col("drifted"), 1))
+    return drift.agg(n.alias("columns"), d.alias("drifted"), F.coalesce(F.try_divide(d, n), F.lit(0.0)).alias("share"), (F.coalesce(F.try_divide(d, n), F.lit(0.0)) >= share).alias("dataset_drift"), F.avg("ks").alias("mean_score"))
+
+
+def correlations(df: DataFrame, columns: Sequence[str], beyond: float = 0.0) -> DataFrame:
+    """a, b, r of each two columns whose correlation is beyond a limit, either way."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    r = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = r.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x"))
+    return rows.select("x.*").where(F.abs("r") > beyond)
+
+
 def js_drift(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """Jensen-Shannon distance of two categorical columns, base 2."""
     p = base.groupBy(column).agg(F.count(F.lit(1)).alias("b"))

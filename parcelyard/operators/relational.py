@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -25,6 +25,26 @@ def safe_name(name: str) -> str:
     return name
 
 
+#: What the parts of a table's full name may be, fixed values.
+_PROJECT, _PART, _COLUMN = re.compile(r"[a-z][a-z0-9-]{4,28}[a-z0-9]"), re.compile(r"[A-Za-z0-9_]{1,1024}"), re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,299}")
+
+
+def safe_reference(project: str, dataset: str, table: str, quote: bool = False) -> str:
+    """project.dataset.table of names that are safe in a statement, or ValueError that names the part."""
+    for kind, value, allowed in (("project", project, _PROJECT), ("dataset", dataset, _PART), ("table", table, _PART)):
+        if not isinstance(value, str) or not allowed.fullmatch(value):
+            raise ValueError(f"unsafe {kind}: {value!r}")
+    whole = f"{project}.{dataset}.{table}"
+    return f"`{whole}`" if quote else whole
+
+
+def quoted(name: str) -> str:
+    """A column's name in backticks, or ValueError."""
+    if not isinstance(name, str) or not _COLUMN.fullmatch(name):
+        raise ValueError(f"unsafe column: {name!r}")
+    return f"`{name}`"
+
+
 @dataclass(frozen=True)
 class Filter:
     """A column, one of = != < <= > >= IN, NOT IN, IS NULL, IS NOT NULL, and its value."""
@@ -54,10 +74,13 @@ def where_all(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, (f.condition() for f in filters), F.lit(True)))
 
 
-def valid_listings(df: DataFrame, least: float, require_listing: bool = False, known: Sequence[str] = ()) -> DataFrame:
+def valid_listings(df: DataFrame, least: float, require_listing: bool = False, known: Sequence[str] = (), area: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows whose price, and asking price where it is required, is at least so much and whose known columns are known; area names are normalised first, if a function is given for them."""
     missing = [c for c in ("sold_price", *(["listing_price"] if require_listing else []), *known) if c not in df.columns]
     if missing:
         raise KeyError(missing)
+    if area is not None and "area" in df.columns:
+        df = df.withColumn("area", area(F.col("area")))
     df = df.where(F.col("sold_price") >= least)
     df = df.where(F.col("listing_price") >= least) if require_listing else df
     return df.dropna(subset=list(known)) if known else df

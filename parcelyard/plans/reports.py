@@ -34,6 +34,10 @@ _TIER = "CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 65 THEN 'Great' WH
 _SCORED_SQL = _VALUE_SQL + f", sc AS (SELECT *, CASE WHEN rankable THEN greatest(1, least(100, 50 + pct)) END AS score FROM u), t AS (SELECT *, CASE WHEN rankable THEN {_TIER} END AS tier FROM sc)"
 
 
+#: Premiums above this are errors of the source, fixed value.
+MOST_PREMIUM = 75.0
+
+
 def scored(l: DataFrame) -> DataFrame:
     """A score between 1 and 100 straight from the per cent, which SQL can state, and its tier; both null where a row isn't to be ranked."""
     v = valued(l).withColumn("score", F.when(F.col("rankable"), M.clip(50 + F.col("pct"), 1.0, 100.0)))
@@ -52,9 +56,10 @@ def value_insights(l: DataFrame) -> DataFrame:
     )
 
 
-@query(_SCORED_SQL + " SELECT 'best_value' AS record, arg_max(listing_id, (pct, -listing_key)) FILTER (rankable) AS listing_id FROM t UNION ALL SELECT 'biggest_bid_up', arg_max(listing_id, ((sold_price - listing_price) * 100 / listing_price, -listing_key)) FILTER (listing_price > 0) FROM t")
+@query(_SCORED_SQL + " SELECT 'best_value' AS record, arg_max(listing_id, (pct, -listing_key)) FILTER (rankable) AS listing_id FROM t UNION ALL SELECT 'biggest_bid_up', arg_max(listing_id, ((sold_price - listing_price) * 100 / listing_price, -listing_key)) FILTER (listing_price > 0 AND (sold_price - listing_price) * 100 / listing_price <= 75) FROM t")
 def value_records(l: DataFrame) -> DataFrame:
     v = scored(l).withColumn("premium", F.when(F.col("listing_price") > 0, (F.col("sold_price") - F.col("listing_price")) * 100 / F.col("listing_price")))
+    v = v.withColumn("premium", F.when(F.col("premium") <= MOST_PREMIUM, F.col("premium")))
     top = lambda ok, c: F.max_by("listing_id", F.when(ok, F.struct(F.col(c), -F.col("listing_key"))))
     got = v.agg(top(F.col("rankable"), "pct").alias("best_value"), top(F.col("premium").isNotNull(), "premium").alias("biggest_bid_up"))
     return got.unpivot([], list(got.columns), "record", "listing_id")
@@ -88,10 +93,10 @@ def bias_by_area(l: DataFrame) -> DataFrame:
     return b.withColumn("side", F.when(e > 5000, "over").when(e < -5000, "under").otherwise("neither"))
 
 
-@query(", a AS (SELECT area, count(*) AS n, round(median(ppsqm) + 1e-7, 4) AS median_ppsqm FROM l WHERE sold_date < DATE '1995-05-01' GROUP BY 1) SELECT area, n, median_ppsqm, CAST(row_number() OVER (ORDER BY median_ppsqm DESC) AS INTEGER) AS rank FROM a WHERE n >= 30 OR NOT EXISTS (FROM a WHERE n >= 30)")
+@query(", a AS (SELECT area, count(*) AS n, round(median(ppsqm) + 1e-7, 4) AS median_ppsqm FROM l GROUP BY 1) SELECT area, n, median_ppsqm, CAST(row_number() OVER (ORDER BY median_ppsqm DESC) AS INTEGER) AS rank FROM a WHERE n >= 60 OR NOT EXISTS (FROM a WHERE n >= 60)")
 def ranked_areas(l: DataFrame) -> DataFrame:
-    a = l.where(F.col("sold_date") < F.lit("1995-05-01").cast("date")).groupBy("area").agg(count().alias("n"), r4(A.median("ppsqm")).alias("median_ppsqm"))
-    return R.ranked_if_enough(a, "n", 30, F.desc("median_ppsqm"))
+    a = l.groupBy("area").agg(count().alias("n"), r4(A.median("ppsqm")).alias("median_ppsqm"))
+    return R.ranked_if_enough(a, "n", 60, F.desc("median_ppsqm"))
 
 
 @query("SELECT listing_id, area FROM l ORDER BY md5(listing_id || '|42'), listing_id LIMIT 2000")

@@ -112,10 +112,11 @@ def _value(*keys: str) -> Column:
     return F.coalesce(*found)
 
 
-def map_record(df: DataFrame, source: str | None = None, site: str = "") -> DataFrame:
+def map_record(df: DataFrame, source: str | None = None, site: str = "", home: str = "/bostad/") -> DataFrame:
     """Source records (a JSON text in value) to the raw listing's columns: the first known of alternative fields, and what follows from them.
 
-    site goes before urls that begin with a slash. Records without an id go.
+    site goes before urls that begin with a slash, and before home and the id
+    where a record has no url. Records without an id go.
     """
     text = lambda *keys: F.nullif(F.trim(_value(*keys)), F.lit(""))
     whole, number = (lambda *keys: S.to_int(_value(*keys))), (lambda *keys: S.to_float(_value(*keys)))
@@ -124,8 +125,10 @@ def map_record(df: DataFrame, source: str | None = None, site: str = "") -> Data
     null = lambda kind: F.lit(None).cast(kind)
     url = text("url", "soldUrl", "listingUrl")
     # fixed values: the fields' alternatives
+    own = text("booliId", "id", "listingId", "residenceId")
+    url = F.coalesce(F.when(url.startswith("/"), F.concat(F.lit(site), url)).otherwise(url), F.concat(F.lit(site + home), own))
     out = df.select(
-        text("booliId", "id", "listingId", "residenceId").alias("listing_id"), F.when(url.startswith("/"), F.concat(F.lit(site), url)).otherwise(url).alias("url"), F.current_timestamp().alias("scraped_at"),
+        own.alias("listing_id"), url.alias("url"), F.current_timestamp().alias("scraped_at"),
         whole("listPrice", "listingPrice", "price").cast("double").alias("listing_price"), whole("soldPrice", "sold.price").cast("double").alias("sold_price"), text("location.streetAddress", "address", "streetAddress").alias("address"), area.alias("area"),
         text("location.region.municipalityName", "location.municipalityName", "municipality").alias("municipality"), number("livingArea", "size", "soldSize").alias("living_area"), whole("rooms", "roomCount").alias("rooms"), text("objectType", "propertyType", "type").alias("property_type"),
         whole("constructionYear", "buildYear", "yearBuilt").alias("construction_year"), whole("rent", "monthlyFee", "fee").alias("monthly_fee"), whole("soldSqmPrice", "sqmPrice", "pricePerSqm").alias("given_sqm"), whole("floor").alias("floor"),

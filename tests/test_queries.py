@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from parcelyard.plans import catalog, insights, valuation  # noqa: F401
+from parcelyard.plans import catalog, insights, market, valuation  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
