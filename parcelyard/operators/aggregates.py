@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelyard.tables import written
+
 
 def median(x: str | Column) -> Column:
     return F.percentile(x, F.lit(0.5))
@@ -30,6 +32,7 @@ def overall_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFra
     which ranges hold the wanted ranks, and only there counts are run up.
     """
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "value-counts")  # read for the edges, the ranges and the wanted ones
     edges = counts.agg(F.coalesce(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("e"))
     cut = counts.crossJoin(F.broadcast(edges)).select("v", "n", F.size(F.filter("e", lambda e: e < F.col("v"))).alias("r"))
     w = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # (RANGES rows)
@@ -45,6 +48,15 @@ def overall_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFra
     return found.select(F.array(*[F.col(f"x{2 * i}") + (F.col(f"x{2 * i + 1}") - F.col(f"x{2 * i}")) * part(q) for i, q in enumerate(qs)]).alias("q"))
 
 
+def overall_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the exact median of each column over all rows, under its own name; no task holds all values of one."""
+    out = None
+    for c in columns:
+        m = overall_quantiles(df.select(c), c, [0.5]).select(F.col("q")[0].alias(c))
+        out = m if out is None else out.crossJoin(F.broadcast(m))  # one row each
+    return out
+
+
 def histogram(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Equal bins between two quantiles of all values: bin, left edge, count; the last bin holds its right edge.
 

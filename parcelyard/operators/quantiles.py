@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counted values of a key above which it is cut; a key with less than this share of all is never cut, so that at most 1 / SHARE are.
-SPLIT, SHARE = 1_000_000, 0.001
-#: Ranges into which the values of a key are cut.
-RANGES = 64
+from parcelyard.tables import written
+
+#: Counted values of a key above which it is cut, whatever its share of all; so many large keys are joined by broadcast, more by a shuffle.
+SPLIT, BROADCAST_KEYS = 1_000_000, 10_000
+#: Ranges into which the values of a large key are cut.
+RANGES = 256
 #: Counted values that are searched at once in a task.
 BATCH = 500_000
 
@@ -105,20 +107,18 @@ def window_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str, w
     """
     kinds = dict(df.dtypes)
     counted = df.where(F.col(day).isNotNull()).select(F.struct(*keys).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.col(value).cast("double").alias("v"))
-    counted = counted.groupBy("k", "d", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"))
-    least = split
-    if least is None:
-        total = sizes.agg(F.max("m"), F.sum("m")).first()
-        least = max(SPLIT, int((total[1] or 0) * SHARE))
-        hot = sizes.where(F.col("m") > least) if (total[0] or 0) > least else None
-    else:
-        hot = sizes.where(F.col("m") > least)
-    if hot is None:
+    # written once: what df is made of isn't worked out again for sizes, edges, and keys of either kind
+    counted = written(counted.groupBy("k", "d", "v").agg(F.count(F.lit(1)).alias("n")), "counted")
+    large = counted.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > (SPLIT if split is None else split)).select("k")
+    large = written(large, "large-keys")
+    n_large = large.count()
+    near = F.broadcast if n_large <= BROADCAST_KEYS else lambda t: t
+    if not n_large:
         rest, out = counted, None
     else:
-        rest = counted.join(F.broadcast(hot.select("k")), "k", "left_anti")
-        out = _split(counted.join(F.broadcast(hot.select("k", "edges")), "k"), windows, qs)
+        edges = counted.join(near(large), "k").groupBy("k").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"))
+        rest = counted.join(near(large), "k", "left_anti")
+        out = _split(counted.join(near(edges), "k"), windows, qs)
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

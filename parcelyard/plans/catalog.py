@@ -299,7 +299,9 @@ def area_means_latest(l: DataFrame) -> DataFrame:
 
 @query("""SELECT round(median(living_area) + 1e-7, 4) AS living_area, round(median(rooms) + 1e-7, 4) AS rooms, round(median(listing_price) + 1e-7, 4) AS listing_price, (SELECT area FROM l GROUP BY area ORDER BY count(*) DESC, area LIMIT 1) AS area FROM l""")
 def fill_values(l: DataFrame) -> DataFrame:
-    return l.agg(*[r4(A.median(c)).alias(c) for c in ("living_area", "rooms", "listing_price")], F.mode("area", True).alias("area"))
+    columns = ("living_area", "rooms", "listing_price")
+    medians = A.overall_medians(l, columns)
+    return medians.crossJoin(F.broadcast(l.agg(F.mode("area", True).alias("area")))).select(*[r4(c).alias(c) for c in columns], "area")
 
 
 def _hist_sql(value: str, bins: int) -> str:
@@ -509,7 +511,7 @@ def trailing_change(l: DataFrame) -> DataFrame:
 def impute_dom(l: DataFrame) -> DataFrame:
     sane = l.where("days_on_market <= 1000")
     by_area = sane.groupBy("area").agg(A.median("days_on_market").alias("am"))
-    overall = sane.agg(F.coalesce(A.median("days_on_market"), F.lit(30.0)).alias("om"))
+    overall = A.overall_medians(sane, ["days_on_market"]).select(F.coalesce("days_on_market", F.lit(30.0)).alias("om"))
     rows = l.select("listing_id", "area", "days_on_market").join(F.broadcast(by_area), "area", "left").crossJoin(F.broadcast(overall))
     high = F.col("days_on_market") > 1000
     return rows.select("listing_id", F.col("days_on_market").alias("original"), F.when(high, F.bround(F.coalesce("am", "om"), 0).cast("long")).otherwise(F.col("days_on_market")).alias("days_on_market"), F.coalesce(high, F.lit(False)).alias("imputed"))

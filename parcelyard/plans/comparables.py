@@ -16,6 +16,7 @@ from parcelyard.operators import geo as G
 from parcelyard.operators import temporal as T
 from parcelyard.operators.fallback import tiered
 from parcelyard.plans.catalog import _BAND, AROUND_SQL, count, hex_parent_sql, hex_sql, query, r4, up4
+from parcelyard.tables import written
 
 STATS = ("p50", "p75", "p90")
 #: Rows, the name of a level, and the columns that key it, to rows with a struct <name> of STATS and the count <name>_n.
@@ -193,9 +194,9 @@ def area_market_filled(l: DataFrame) -> DataFrame:
     """Unknown market figures are the median over all rows, or the default; and the indicators that follow."""
     rows = l.select("listing_id", "area", "sold_date", "listing_price", "days_on_market", (F.col("sold_price") - F.col("listing_price")).alias("change"))
     t = T.prior_market(rows, "area", "sold_date", "listing_price", "days_on_market", "change")
-    known = t
-    for c, default in zip(MARKET, MARKET_DEFAULTS, strict=True):
-        t = t.crossJoin(F.broadcast(known.agg(A.median(c).alias("_d")))).withColumn(c, F.coalesce(F.col(c).cast("double"), "_d", F.lit(default))).drop("_d")
+    t = written(t, "area-market")  # five medians read it
+    medians = A.overall_medians(t, MARKET).select(*[F.col(c).alias(f"_{c}") for c in MARKET])
+    t = t.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"_{c}", F.lit(d)) for c, d in zip(MARKET, MARKET_DEFAULTS, strict=True)})
     t = t.withColumn("price_change_count", F.coalesce(F.col("price_change_count").cast("double"), F.lit(CHANGES_DEFAULT)))
     shares = {"liquidity": (M.safe_divide(F.col("inventory"), F.col("dom_median")), 4), "relative_price": (M.safe_divide(F.col("listing_price"), F.col("price_median")), 6), "volatility_score": (M.safe_divide(F.col("price_volatility"), F.col("price_median")), 6)}
     return t.select("listing_id", *[F.round(F.col(c) + 1e-5, 2).alias(c) for c in (*MARKET, "price_change_count")], *[F.round(v + (1e-7 if d == 4 else 1e-9), d).alias(k) for k, (v, d) in shares.items()])

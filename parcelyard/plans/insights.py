@@ -39,7 +39,9 @@ def undervalued_share(l: DataFrame) -> DataFrame:
 @query(_VALUE_SQL + " SELECT count(*) AS n, round(avg(pct) + 1e-7, 4) AS mean, round(median(pct) + 1e-7, 4) AS median, round(min(pct) + 1e-7, 4) AS least, round(max(pct) + 1e-7, 4) AS most, round(stddev_samp(pct) + 1e-7, 4) AS std, count(DISTINCT area) AS n_areas FROM u WHERE rankable")
 def value_summary(l: DataFrame) -> DataFrame:
     v = valued(l).where("rankable")
-    return v.agg(count().alias("n"), r4(F.avg("pct")).alias("mean"), r4(A.median("pct")).alias("median"), r4(F.min("pct")).alias("least"), r4(F.max("pct")).alias("most"), r4(F.stddev_samp("pct")).alias("std"), F.countDistinct("area").alias("n_areas"))
+    middle = A.overall_medians(v, ["pct"]).select(r4("pct").alias("median"))
+    stats = v.agg(count().alias("n"), r4(F.avg("pct")).alias("mean"), r4(F.min("pct")).alias("least"), r4(F.max("pct")).alias("most"), r4(F.stddev_samp("pct")).alias("std"), F.countDistinct("area").alias("n_areas"))
+    return stats.crossJoin(F.broadcast(middle))  # one row
 
 
 @query(_VALUE_SQL + " SELECT area, count(*) AS n FROM u WHERE rankable GROUP BY 1 ORDER BY n DESC, area LIMIT 10")
@@ -62,7 +64,7 @@ def consolidate_sparse(spark: SparkSession, d: str) -> DataFrame:
   SELECT listing_id, CAST(q AS INTEGER) AS quality, round(pps / pm * (living_area / am) * (q / 10) + 1e-9, 6) AS luxury_score, round(CASE WHEN living_area IS NULL THEN 0 ELSE greatest(0, least(1, (living_area - 70) / 70)) END + 1e-9, 6) AS size_score FROM x, m""")
 def luxury_scores(l: DataFrame) -> DataFrame:
     x = l.select("listing_id", "living_area", M.safe_divide(F.col("listing_price"), F.col("living_area")).alias("pps"), C.quality(C.era(F.col("construction_year"))).alias("quality"))
-    m = x.agg(A.median("pps").alias("pm"), A.median(F.when(F.col("living_area") > 0, F.col("living_area"))).alias("am"))
+    m = A.overall_medians(x.select("pps", F.when(F.col("living_area") > 0, F.col("living_area")).alias("am")), ["pps", "am"]).withColumnRenamed("pps", "pm")
     score = M.safe_divide(F.col("pps"), F.col("pm")) * M.safe_divide(F.col("living_area"), F.col("am")) * (F.col("quality") / 10)
     return x.crossJoin(F.broadcast(m)).select("listing_id", "quality", F.round(score + 1e-9, 6).alias("luxury_score"), F.round(F.coalesce(M.clip((F.col("living_area") - 70) / 70, 0.0, 1.0), F.lit(0.0)) + 1e-9, 6).alias("size_score"))
 

@@ -99,8 +99,9 @@ def _metric_columns(v: DataFrame) -> list:
 
 @query(_PRED_SQL + f", e AS (SELECT predicted - sold_price AS e, abs(predicted - sold_price) / abs(sold_price) AS a FROM v) SELECT {_METRICS} FROM e")
 def regression_metrics(l: DataFrame) -> DataFrame:
-    v = predicted(l)
-    return v.agg(*_metric_columns(v))
+    v = predicted(l).withColumn("ape", F.try_divide(F.abs(F.col("predicted") - F.col("sold_price")), F.abs(F.nullif("sold_price", F.lit(0.0)))))
+    rest = v.agg(*[c for c, name in zip(_metric_columns(v), A.errors(F.col("sold_price"), F.col("predicted")), strict=True) if name != "median_ape"])
+    return rest.crossJoin(F.broadcast(A.overall_medians(v, ["ape"]).select(F.round("ape", 6).alias("median_ape"))))  # one row
 
 
 @query(_PRED_SQL + f", e AS (SELECT area, predicted - sold_price AS e, abs(predicted - sold_price) / abs(sold_price) AS a FROM v) SELECT area, {_METRICS} FROM e GROUP BY area HAVING count(*) >= 10")
