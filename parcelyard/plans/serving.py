@@ -21,6 +21,7 @@ from parcelyard.plans import comparables as K
 from parcelyard.plans import features as X
 from parcelyard.plans import registry as R
 from parcelyard.plans import tiers
+from parcelyard.plans.catalog import _BAND, hex_parent_sql, hex_sql, query
 from parcelyard.sources.sinks import Versions
 
 #: Levels of the frozen table, and the columns that key them.
@@ -136,3 +137,19 @@ def predict(rows: DataFrame, table: DataFrame, models: Mapping[str, tiers.Tiered
         got = got.select(F.col("listing_key").alias(key), F.lit(name).alias("model"), "predicted")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+_id = lambda level, q, r: f"CAST({level} * 72057594037927936 + CAST({q} + 134217728 AS BIGINT) * 268435456 + CAST({r} + 134217728 AS BIGINT) AS VARCHAR)"
+_STREET = "lower(area) || '|' || regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '')"
+_KEYS_SQL = {
+    "fine": _id(0, "fx", "fy"), "coarse": _id(1, "cx", "cy"), "area_level": "area", "global": "'0'", "street_area": _STREET, "street_size": f"{_STREET} || '|' || band", "address": "lower(area) || '|' || lower(address)",
+    "cell_size": _id(1, "cx", "cy") + " || '|' || band", "area_size": "area || '|' || band", "size": "band",
+}
+
+
+@query(f", {hex_sql('l', 'hf', K.EDGE, 'fx', 'fy')}, {hex_parent_sql('hf', 'hc', 'fx', 'fy', 'cx', 'cy')}, b AS (SELECT *, {_BAND} AS band FROM hc), k AS ({' UNION ALL '.join(f"SELECT '{level}' AS level, {key} AS key, ppsqm FROM b" for level, key in _KEYS_SQL.items())})"
+  " SELECT level, key, round(quantile_cont(ppsqm, 0.5) + 1e-7, 4) AS p50, round(quantile_cont(ppsqm, 0.75) + 1e-7, 4) AS p75, round(quantile_cont(ppsqm, 0.9) + 1e-7, 4) AS p90, CAST(count(ppsqm) AS BIGINT) AS n FROM k GROUP BY ALL")
+def frozen_levels(l: DataFrame) -> DataFrame:
+    """What is frozen of every cell, area, street, address and size: statistics of all their sales."""
+    t = _levels(l)
+    return t.select("level", "key", *[F.round(F.col("v")[c] + 1e-7, 4).alias(c) for c in K.STATS], F.col("v")["n"].cast("long").alias("n"))
