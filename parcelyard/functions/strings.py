@@ -9,13 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values, all lists down to MONTHS: spaces that don't break, as characters and as they come escaped; words that name no area; phrases of descriptions.
+# Fixed values, all lists down to MONTHS: spaces that don't break, as characters and as they come escaped; words that name no area; names that go together, and names that take sparse ones; phrases of descriptions.
 NBSP = ("\u00a0", "\u202f", "\u2009", "\ufeff")
 NBSP_ESCAPED = ("\\xa0", "\\u202f", "\\u00a0", "&nbsp;")
 GENERIC = ("stockholm", "stockholms län", "stockholms kommun", "stockholms stad", "län", "kommun", "stad", "lägenhet", "villa", "radhus", "bostadsrätt")
 CONSOLIDATED = {"Solna kommun": "Solna", "Frösunda": "Solna", "Sundbyberg/Duvbo": "Sundbyberg", "Sundbybergs kommun": "Sundbyberg", "Rissne/Ursvik": "Sundbyberg", "Kristineberg": "Kungsholmen"}
 SPELLING = {"Vasasatan": "Vasastan", "Kungholmen": "Kungsholmen", "Östemalm": "Östermalm", "Strockholm": "Stockholm", "Hagastan": "Hagastaden"}
 DISTRICTS = ("Vasastan", "Kungsholmen", "Södermalm", "Östermalm", "Norrmalm")
+TOGETHER = {
+    "Vasastan Birkastan": "Birkastan", "Maria": "Södermalm Maria", "Sofia": "Södermalm Sofia", "Stockholm Södermalm": "Södermalm", "Gärdet Östermalm": "Gärdet", "Nedre Gärdet": "Gärdet", "Nedre Gärdet Östermalm": "Gärdet",
+    "Nacka Kommun": "Nacka", "Fridhemsplan": "Kungsholmen Fridhemsplan", "Mariaberget": "Södermalm", "Nytorget": "Södermalm", "Sofo": "Södermalm Sofia", "Thorildsplan": "Kungsholmen", "City": "Norrmalm", "Hägersten-Liljeholmen": "Liljeholmen",
+    "Kungsholmstorg": "Kungsholmen", "Mariatorget": "Södermalm Maria", "Katarina": "Södermalm Katarina", "Norr Mälarstrand": "Kungsholmen", "Odenplan": "Vasastan Odenplan", "Alvik": "Bromma", "Rådhusparken": "Kungsholmen", "Årstaberg": "Årsta",
+    "Traneberg": "Bromma", "Minneberg": "Bromma", "Gullmarsplan": "Johanneshov", "Atlas": "Vasastan", "Globen": "Årsta", "Hjorthagen": "Gärdet", "Högst Upp": "Södermalm", "Högalid": "Södermalm Högalid", "Kronobergsparken": "Kungsholmen",
+    "Lindhagen": "Kungsholmen", "Mosebacke": "Södermalm", "Norra Djurgården": "Gärdet", "Norra Djurgårdstaden": "Norra Djurgårdsstaden", "Nybodahöjden": "Södermalm", "Ruddammen": "Bromma", "Rådhuset": "Kungsholmen", "Röda Bergen": "Vasastan",
+    "Rödabergen": "Vasastan", "Vasastan Rödabergen": "Vasastan", "Rörstrand": "Vasastan", "Sibirien": "Vasastan", "Sibrien": "Vasastan", "Eget": "Hammarby Sjöstad", "Centrum": "Norrmalm", "Stadshagen": "Kungsholmen", "Sveakvarteren": "Vasastan",
+    "Södra Station": "Södermalm", "Stockholm": "Stockholms län", "Kungsholmen Kungsholms Strand": "Kungsholmen", "Kungsholmen Nedre": "Kungsholmen", "Nedre Kungsholmen": "Kungsholmen",
+}
+PARENTS = ("Vasastan", "Kungsholmen", "Södermalm", "Östermalm", "Norrmalm", "Bromma", "Gärdet", "Hammarby Sjöstad")
 RENOVATED = ("nyrenoverad", "nyrenoverat", "renoverad", "renoverat", "totalrenoverad", "totalrenoverat", "newly renovated", "renovated", "updated")
 KITCHEN = ("nytt kok", "nyrenoverat kok", "renoverat kok", "modernt kok", "modern kitchen", "new kitchen", "renovated kitchen")
 BATH = ("nytt badrum", "nyrenoverat badrum", "renoverat badrum", "modernt badrum", "modern bathroom", "new bathroom", "renovated bathroom")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -199,3 +199,19 @@ def ranked_if_enough(df: DataFrame, count: str, least: int, order: Column) -> Da
     some = df.agg(F.coalesce(F.max(F.col(count) >= least), F.lit(False)).alias("_any"))
     rows = df.crossJoin(F.broadcast(some)).where(~F.col("_any") | (F.col(count) >= least)).drop("_any")
     return rows.withColumn("rank", F.row_number().over(W.orderBy(order)))
+
+
+def consolidated(df: DataFrame, name: str, together: Mapping[str, str], parents: Sequence[str], least: int = 5) -> DataFrame:
+    """df with names replaced: those of an explicit map by their entry, others with fewer than `least` rows by the first of the parents, in order, that they contain.
+
+    Counts are of the names as they come. A name that contains no parent stays.
+    """
+    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    to = F.lit(None).cast("string")
+    for p in reversed(parents):
+        to = F.when(F.contains(F.col(name), F.lit(p)) & (F.col(name) != p), p).otherwise(to)
+    to = F.when(F.col("_n") < least, to)
+    for k, v in together.items():
+        to = F.when(F.col(name) == k, v).otherwise(to)
+    moved = counts.select(name, to.alias("_to")).where("_to is not null")
+    return df.join(moved, name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")

@@ -12,6 +12,7 @@ from parcelyard.functions import math as M
 from parcelyard.operators import aggregates as A
 from parcelyard.operators import geo as G
 from parcelyard.operators import models as P
+from parcelyard.operators import relational as R
 from parcelyard.operators import temporal as T
 from parcelyard.plans.catalog import _BAND, _PREM, _WINDOWS, count, query, r4
 from parcelyard.plans.comparables import _MICRO_SQL, EDGE, micro_area, same_size
@@ -133,3 +134,30 @@ def area_table_sorted(l: DataFrame) -> DataFrame:
     return A.sort_places(t, "area", {"up": ("mean_dom", False), "down": ("mean_dom", True), "by_name": ("area", False)})
 
 
+
+
+_ROOM_STATS = {"median_price": "median(sold_price)", "mean_price": "avg(sold_price)", "median_ppsqm": "median(ppsqm)", "median_size": "median(living_area)", "median_dom": "median(days_on_market)", "mean_fee": "avg(monthly_fee)", "std_price": "stddev_samp(sold_price)"}
+_ROOM_SQL = "CASE WHEN rooms >= 4 THEN '4+' WHEN rooms IN (1, 2, 3) THEN CAST(CAST(rooms AS INTEGER) AS VARCHAR) END"
+
+
+@query(f", r AS (SELECT *, {_ROOM_SQL} AS room FROM l) SELECT area, CASE WHEN grouping(room) = 1 THEN 'all' ELSE room END AS room, " + ", ".join(f"round({v} + 1e-6, 3) AS {k}" for k, v in _ROOM_STATS.items())
+  + ", count(*) AS n, count(*) FILTER (elevator) AS n_elevator, count(*) < 10 AS limited FROM r GROUP BY GROUPING SETS ((area, room), (area)) HAVING grouping(room) = 1 OR room IS NOT NULL")
+def room_reports(l: DataFrame) -> DataFrame:
+    """The report of each area over all its sales and over those of 1, 2, 3 and 4 or more rooms; sales of an unknown number count among all."""
+    rows = l.withColumn("room", C.room_bucket(F.col("rooms")))
+    g = rows.groupingSets([["area", "room"], ["area"]], "area", "room")
+    value = {"median_price": A.median("sold_price"), "mean_price": F.avg("sold_price"), "median_ppsqm": A.median("ppsqm"), "median_size": A.median("living_area"), "median_dom": A.median("days_on_market"), "mean_fee": F.avg("monthly_fee"), "std_price": F.stddev_samp("sold_price")}
+    t = g.agg(F.grouping("room").alias("_all"), *[F.round(v + 1e-6, 3).alias(k) for k, v in value.items()], count().alias("n"), F.count(F.when(F.col("elevator"), 1)).alias("n_elevator"))
+    return t.where("_all = 1 or room is not null").select("area", F.when(F.col("_all") == 1, "all").otherwise(F.col("room")).alias("room"), *value, "n", "n_elevator", (F.col("n") < 10).alias("limited"))
+
+
+#: Names that go together whatever their counts, names that take sparse ones, and rows below which a name is sparse.
+_TOGETHER, _PARENTS, _SPARSE = {"STANDARD BRUSHED TIN": "STANDARD TIN", "PROMO PLATED TIN": "PROMO TIN"}, ("ECONOMY", "LARGE", "MEDIUM", "TIN"), 5
+
+
+@query(f"""WITH s AS (SELECT p_type AS area, count(*) AS n FROM part GROUP BY 1)
+  SELECT p_partkey, CASE p_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TOGETHER.items())} ELSE CASE WHEN n < {_SPARSE} THEN CASE {' '.join(f"WHEN contains(p_type, '{p}') AND p_type <> '{p}' THEN '{p}'" for p in _PARENTS)} ELSE p_type END ELSE p_type END END AS area FROM part JOIN s ON s.area = p_type""", on_listings=False)
+def consolidated_areas(spark, d: str) -> DataFrame:
+    """Names by an explicit map, then sparse ones to the first parent that they contain."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_type").alias("area"))
+    return R.consolidated(part, "area", _TOGETHER, _PARENTS, _SPARSE).select("p_partkey", "area")

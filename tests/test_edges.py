@@ -99,3 +99,10 @@ def test_interactions_of_what_is_missing_are_null(spark):
     assert (a.rooms_per_sqm, a.fee_efficiency, a.area_squared, a.area_age_interaction) == (0.04, 20.0, 2500.0, 1500.0)
     assert a.total_cost_per_sqm == (12_000 + 2e6) / 50 and a.property_desirability_score is None and a.luxury_score is None and a.enhancement_potential == 0
     assert b.rooms_per_sqm is None and b.value_score is None and "_price_norm" not in df.columns
+
+
+def test_sparse_areas_go_to_their_parents(spark):
+    names = ["Nytorget", "Alvik", "Vasastan Norra", "Bromma Vasastan", "Nowhere", "Bromma", *["Södermalm Sofia"] * 5, *["Södermalm Katarina"] * 4]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, area string")
+    got = [r.area for r in R.consolidated(df, "area", S.TOGETHER, S.PARENTS).orderBy("i").collect()]
+    assert got == ["Södermalm", "Bromma", "Vasastan", "Vasastan", "Nowhere", "Bromma", *["Södermalm Sofia"] * 5, *["Södermalm"] * 4]
