@@ -281,9 +281,9 @@ def _told(places: DataFrame, known: DataFrame) -> DataFrame:
     if known.count() <= KNOWN_ROWS:
         return places.join(F.broadcast(known), ["h", "h2"], "left")
     hot = F.col("n") > max(1, int(total * HOT))
-    marked = places.join(F.broadcast(known.where(hot)), ["h", "h2"], "left")
-    other = marked.where("n is null").select(*places.columns).join(known.where(~hot), ["h", "h2"], "left")
-    return marked.where("n is not null").unionByName(other)
+    often = F.broadcast(known.where(hot))
+    other = places.join(often, ["h", "h2"], "left_anti").join(known.where(~hot), ["h", "h2"], "left")
+    return places.join(often, ["h", "h2"]).unionByName(other)
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
