@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import TypeVar
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,24 @@ def by_chars(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[lis
         yield part
 
 
+def in_slices(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in lists of so many characters, or of one longer text, so that a batch is never all Python's at once."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        end, held = at, 0
+        while end < len(sizes) and (end == at or held + sizes[end] <= most):
+            held += sizes[end]
+            end += 1
+        yield column.slice(at, end - at).to_pylist()
+        at = end
+
+
+def give_back() -> None:
+    """Return what Arrow holds in reserve to the system, when a task ends; its worker stays and waits beside other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

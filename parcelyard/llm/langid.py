@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import kept_in_worker
+from parcelyard.llm.common import give_back, in_slices, kept_in_worker
 
 #: The labelled sample: at most so many languages (those with most rows), documents of each, and characters of each document.
 SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_DOC_CHARS = 100, 100, 400
@@ -235,23 +235,18 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text")
     repeated rows are each judged; an empty table gives an empty result.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = _parser(samples)
         for texts in batches:
             langs: list[str] = []
             scores: list[float] = []
-            part: list[str | None] = []
-            held = 0
-            for t in chain(texts, [None]):
-                part.append(t)
-                held += len(t or "")
-                if held > BATCH_CHARS:
-                    a, b = parser.predict(part)
-                    langs, scores, part, held = langs + a, scores + b, [], 0
-            a, b = parser.predict(part)
-            n = len(texts)
-            yield pd.DataFrame({"lang_pred": (langs + a)[:n], "score": (scores + b)[:n]})
+            for part in in_slices(texts, BATCH_CHARS):
+                a, b = parser.predict(part)
+                langs += a
+                scores += b
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.select(*[F.col(f"`{c}`") for c in own], predicted(F.col(text)).alias("_parcelyard_p")).select(*[F.col(f"`{c}`") for c in own], "_parcelyard_p.lang_pred", "_parcelyard_p.score")
