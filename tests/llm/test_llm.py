@@ -149,10 +149,138 @@ def test_lm_base_counts_and_held_out_gain(docs, empty, spark):
     assert hpy_lm.score(empty).count() == 0
 
 
-def test_seating_keeps_bounds():
-    n = np.array([0, 1, 2, 50, 5000])
-    t = hpy_lm._seat(n, np.full(5, 0.5), 0.7, np.random.default_rng(1))
-    assert (t <= n).all() and t[0] == 0 and t[1] == 1 and t[4] > 3
+def test_first_seats_hold_all_customers():
+    for n in (1, 2, 3, 50, 5000, 10**7):
+        sizes = hpy_lm.first_seats(n, 0.7)
+        assert sizes.sum() == n and (sizes >= 1).all() and (n < 3 or 1 < len(sizes) < n)
+
+
+def seated(n, mass, discount):
+    """Chances of 1 to n tables for a dish's n customers, by summing over all ways to seat them one after another."""
+    ways = {1: 1.0}
+    for k in range(1, n):
+        after = collections.Counter()
+        for t, w in ways.items():
+            after[t] += w * (k - discount * t)
+            after[t + 1] += w * mass(t)
+        ways = after
+    whole = sum(ways.values())
+    return [ways.get(t, 0) / whole for t in range(1, n + 1)]
+
+
+def test_reseating_samples_the_posterior():
+    d, others, parent, each = 0.6, 5, 0.11, 40_000
+    for n in (2, 3, 5, 9):
+        sizes = np.tile(np.array([n]), each)
+        seeds = np.arange(each, dtype=np.uint64)
+        tables = np.ones(each, np.int64)
+        for sweep in range(12):
+            sizes, tables = hpy_lm.reseat(sizes, np.cumsum(tables) - tables, np.full(each, others), lambda i, t: np.full(len(i), parent), d, hpy_lm._mixed(seeds), sweep)
+            assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all() and (sizes >= 1).all()
+        want = seated(n, lambda t: (hpy_lm.STRENGTH + d * (others + t)) * parent, d)
+        got = np.bincount(tables, minlength=n + 1)[1:] / each
+        assert np.abs(got - want).max() < 0.012, n
+
+
+def test_reseating_of_many_customers_and_mixed_dishes():
+    n = np.array([1, 2, 70, 3, 50_000, 65, 64])
+    made = [hpy_lm.first_seats(int(k), 0.5) for k in n]
+    sizes, tables = np.concatenate(made), np.array([len(m) for m in made])
+    for sweep in range(3):
+        sizes, tables = hpy_lm.reseat(sizes, np.cumsum(tables) - tables, np.full(len(n), 9), lambda i, t: np.full(len(i), 0.01), 0.5, np.arange(len(n), dtype=np.uint64), sweep)
+        assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all() and len(sizes) == tables.sum()
+
+
+def plain_model(train, words, sweeps, d, dw):
+    """A sequential Gibbs sampler of the two levels, a customer at a time; the chance of each (context, word), averaged."""
+    own = random.Random(5)
+    strength, known = hpy_lm.STRENGTH, len(words)
+    inner, outer, total, count = collections.defaultdict(list), collections.defaultdict(list), 0, 0
+    tables_of, seen = collections.Counter(), collections.Counter()
+
+    def pick(sizes, new, discount):
+        x = own.random() * (sum(s - discount for s in sizes) + new)
+        for i, s in enumerate(sizes):
+            x -= s - discount
+            if x < 0:
+                return i
+        return len(sizes)
+
+    def root(w):
+        return (sum(outer[w]) - dw * len(outer[w]) + (strength + dw * total) / (known + 1)) / (strength + count)
+
+    def sit(sizes, i):
+        sizes.append(1) if i == len(sizes) else sizes.__setitem__(i, sizes[i] + 1)
+
+    def leave(sizes):
+        i = own.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    kept = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in train:
+            sizes = inner[u, w]
+            if sweep and leave(sizes):
+                tables_of[u] -= 1
+                count -= 1
+                total -= leave(outer[w])
+            i = pick(sizes, (strength + d * tables_of[u]) * root(w), d)
+            if i == len(sizes):
+                tables_of[u] += 1
+                j = pick(outer[w], (strength + dw * total) / (known + 1), dw)
+                total += j == len(outer[w])
+                sit(outer[w], j)
+                count += 1
+            sit(sizes, i)
+            seen[u] += not sweep
+        if sweep >= sweeps // 2:
+            for u in words:
+                for w in words:
+                    s = inner[u, w]
+                    kept[u, w] += (sum(s) - d * len(s) + (strength + d * tables_of[u]) * root(w)) / (strength + seen[u]) / (sweeps - sweeps // 2)
+    return kept
+
+
+def test_lm_agrees_with_a_plain_sampler(spark, monkeypatch):
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (1 + (i * 7 + k) % 12) for i in range(12)], k=25)) for k in range(80)]
+    monkeypatch.setattr(hpy_lm, "_discount", lambda one, two: 0.5)
+    got = {r.doc_id: r for r in hpy_lm.score(table(spark, texts)).collect()}
+    train = []
+    for i, t in enumerate(texts):
+        w = [*t.split(), "\n"]
+        if not got[i].held_out:
+            train += list(zip(["\n", *w], w, strict=False))
+    chance = plain_model(train, [*vocabulary, "\n"], 40, 0.5, 0.5)
+    for i, t in enumerate(texts):
+        w = [*t.split(), "\n"]
+        want = sum(np.log10(chance[p]) for p in zip(["\n", *w], w, strict=False))
+        assert abs(got[i].score - want) < 0.02 * abs(want)
+
+
+def test_lm_scores_do_not_depend_on_the_cut(spark, monkeypatch):
+    texts = [*TEXTS, "Only here", "only HERE"]
+    ids = [*range(len(TEXTS)), None, 7]
+    rows = lambda df: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in hpy_lm.score(df).collect())
+    want = rows(table(spark, texts, ids).coalesce(1))
+    assert len(want) == len(texts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(hpy_lm, "MATRIX", 64)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert rows(table(spark, texts, ids).repartition(5)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lm_gathers_from_held_out_texts_alone(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = hpy_lm.score(table(spark, ["a b"] * len(ids), ids)).collect()
+    assert {(r.n_known, r.train_tokens, r.score, r.base_score) for r in got} == {(0, 0, 0.0, 0.0)}
 
 
 def brute_groups(x, most=3):
