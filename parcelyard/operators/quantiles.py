@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.tables import written
@@ -21,36 +21,36 @@ from parcelyard.tables import written
 SPLIT, BROADCAST_KEYS = 1_000_000, 10_000
 #: Ranges into which the values of a large key are cut.
 RANGES = 256
-#: Counted values that are searched at once in a task.
-BATCH = 500_000
+#: Edges between two that are compared first.
+STEP = 16
+#: Counted values that are searched at once in a task, or those of one key.
+BATCH = 100_000
 
 
 class Ranked:
-    """A wavelet matrix over weighted values: the value of a rank among any run of them."""
+    """A wavelet matrix over weighted values: the value of a rank among any run of them. Its levels are made one after the other, so that one at a time is held."""
 
     def __init__(self, values: np.ndarray, weights: np.ndarray):
         self.known, code = np.unique(values, return_inverse=True)
-        self.levels = []
+        self.code, self.weights = code.astype(np.int32), weights
+
+    def at(self, first: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The values at ranks (from 0, by weight) among the values of positions first to last."""
+        code, weights, found = self.code, self.weights, np.zeros(len(rank), np.int64)
         for bit in reversed(range(max(1, int(len(self.known) - 1).bit_length()))):
             one = (code >> bit & 1).astype(bool)
             zeros = np.concatenate([[0], np.cumsum(~one)])
             weight = np.concatenate([[0], np.cumsum(np.where(one, 0, weights))])
-            self.levels.append((bit, zeros, weight))
-            order = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
-            code, weights = code[order], weights[order]
-
-    def at(self, first: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The values at ranks (from 0, by weight) among the values of positions first to last."""
-        first, last, rank, code = first.copy(), last.copy(), rank.copy(), np.zeros(len(rank), np.int64)
-        for bit, zeros, weight in self.levels:
-            low = weight[last] - weight[first]
-            up = rank >= low
-            rank -= np.where(up, low, 0)
-            code |= up.astype(np.int64) << bit
+            here = weight[last] - weight[first]
+            up = rank >= here
+            found |= up.astype(np.int64) << bit
+            rank = rank - np.where(up, here, 0)
             total = zeros[-1]
             first = np.where(up, total + first - zeros[first], zeros[first])
             last = np.where(up, total + last - zeros[last], zeros[last])
-        return self.known[np.minimum(code, len(self.known) - 1)]
+            order = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+            code, weights = code[order], weights[order]
+        return self.known[np.minimum(found, len(self.known) - 1)]
 
 
 def _spans(group: np.ndarray, day: np.ndarray, at_group: np.ndarray, at_day: np.ndarray, days: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +82,55 @@ def _answers(group: np.ndarray, day: np.ndarray, value: np.ndarray, n: np.ndarra
         count = total[last] - total[first]
         out[f"{name}_rows"], out[f"{name}_n"] = seen[last] - seen[first], count
         some = count > 0
-        for k, q in enumerate(qs):
+        ends = [_ends(count[some], q) for q in qs]
+        if ranked is not None and some.any():
+            ranks = [x for low, high, _ in ends for x in (low, high)]
+            found = ranked.at(np.tile(upto[first[some]], len(ranks)), np.tile(upto[last[some]], len(ranks)), np.concatenate(ranks)).reshape(len(ranks), -1)
+        for k, (_, _, part) in enumerate(ends):
             x = np.full(len(heads), np.nan)
-            if ranked is not None and some.any():
-                low, high, part = _ends(count[some], q)
-                a, b = upto[first[some]], upto[last[some]]
-                at_low, at_high = ranked.at(a, b, low), ranked.at(a, b, high)
-                x[some] = at_low + (at_high - at_low) * part
+            if some.any():
+                x[some] = found[2 * k] + (found[2 * k + 1] - found[2 * k]) * part
             out[f"{name}_q{k}"] = x
     return heads, out
 
 
+def _numbers(t: pa.Table, c: str, kind: type = np.int64) -> np.ndarray:
+    return t[c].to_numpy().astype(kind, copy=False)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, and the number of each row's group in its table."""
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in keys:
+            code = t[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    size, enough = 0, BATCH
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= enough:
+            t = pa.Table.from_batches(held).combine_chunks()
+            group = numbered(t)
+            at = int(np.searchsorted(group, group[-1]))
+            if at:
+                yield t.slice(0, at), group[:at]
+            held = t.slice(at).to_batches()
+            size -= at
+            enough = max(BATCH, 2 * size)  # (a large group isn't looked through at each of its batches)
+    if size:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, numbered(t)
+
+
+def _sorted_rows(rows: DataFrame, group: Sequence[str], order: Sequence[str] = ("d",)) -> DataFrame:
+    return rows.repartition(*group).sortWithinPartitions(*group, *order)
+
+
 def _columns(windows: Mapping[str, int | None], qs: Sequence[float]) -> str:
     return ", ".join(f"{w}_rows long, {w}_n long, " + ", ".join(f"{w}_q{k} double" for k in range(len(qs))) for w in windows)
 
@@ -106,7 +144,9 @@ def window_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str, w
     value). Rows with a null day have no part in it; null keys are a key.
     """
     kinds = dict(df.dtypes)
-    counted = df.where(F.col(day).isNotNull()).select(F.struct(*keys).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.col(value).cast("double").alias("v"))
+    own = [f"k{i}" for i in range(len(keys))]
+    key_columns = ", ".join(f"{k} {kinds[c]}" for k, c in zip(own, keys, strict=True))
+    counted = df.where(F.col(day).isNotNull()).select(F.struct(*[F.col(c).alias(k) for k, c in zip(own, keys, strict=True)]).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.col(value).cast("double").alias("v"))
     # written once: what df is made of isn't worked out again for sizes, edges, and keys of either kind
     counted = written(counted.groupBy("k", "d", "v").agg(F.count(F.lit(1)).alias("n")), "counted")
     large = counted.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > (SPLIT if split is None else split)).select("k")
@@ -118,108 +158,98 @@ def window_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str, w
     else:
         edges = counted.join(near(large), "k").groupBy("k").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"))
         rest = counted.join(near(large), "k", "left_anti")
-        out = _split(counted.join(near(edges), "k"), windows, qs)
-
-    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def told(rows: pd.DataFrame) -> pd.DataFrame:
-            group = rows["g"].ne(rows["g"].shift()).cumsum().to_numpy(np.int64)
-            heads, got = _answers(group, rows["d"].to_numpy(np.int64), rows["v"].to_numpy(np.float64), rows["n"].to_numpy(np.int64), windows, qs)
-            return pd.DataFrame({"g": rows["g"].to_numpy()[heads], "d": rows["d"].to_numpy()[heads], **got})
-
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= BATCH:
-                rows = pd.concat(held)
-                last = rows["g"].iloc[-1]
-                ready = rows["g"] != last
-                if ready.any():
-                    yield told(rows[ready])
-                    rows = rows[~ready]
-                held, size = [rows], len(rows)
-        if size:
-            yield told(pd.concat(held))
-
-    # a key as text, so that one column sorts and names it
-    rows = rest.select(F.to_json("k", {"ignoreNullFields": "false"}).alias("g"), "d", "v", "n").repartition("g").sortWithinPartitions("g", "d")
-    got = rows.mapInPandas(answered, f"g string, d int, {_columns(windows, qs)}")
-    got = got.withColumn("k", F.from_json("g", ", ".join(f"`{c}` {kinds[c]}" for c in keys))).drop("g")
+        out = _split(counted.join(near(written(edges, "edges")), "k"), key_columns, windows, qs)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in _whole_groups(batches, own):
+            heads, got = _answers(group, _numbers(t, "d"), _numbers(t, "v", np.float64), _numbers(t, "n"), windows, qs)
+            first = t.select([*own, "d"]).take(pa.array(heads))
+            yield from pa.table([*first.columns, *map(pa.array, got.values())], names=[*first.column_names, *got]).to_batches()
+
+    got = _sorted_rows(rest.select("k.*", "d", "v", "n"), own).mapInArrow(answered, f"{key_columns}, d int, {_columns(windows, qs)}")
     got = got if out is None else got.unionByName(out)
-    stats = [c for c in got.columns if c not in ("k", "d")]
-    return got.select(*[F.col("k")[c].alias(c) for c in keys], F.date_from_unix_date("d").cast(kinds[day]).alias(day), *[F.when(~F.isnan(c), F.col(c)).alias(c) if "_q" in c else c for c in stats])
+    stats = [c for c in got.columns if c not in (*own, "d")]
+    return got.select(*[F.col(k).alias(c) for k, c in zip(own, keys, strict=True)], F.date_from_unix_date("d").cast(kinds[day]).alias(day), *[F.when(~F.isnan(c), F.col(c)).alias(c) if "_q" in c else c for c in stats])
+
 
+def _range() -> Column:
+    """How many edges are at most v, by every sixteenth edge first."""
+    upto = lambda a: F.size(F.filter(a, lambda e: e <= F.col("v")))
+    coarse = upto(F.transform(F.sequence(F.lit(STEP), F.lit(RANGES - STEP), F.lit(STEP)), lambda i: F.get("edges", i - 1)))
+    return coarse * STEP + upto(F.slice("edges", coarse * STEP + 1, STEP - 1))
 
-def _split(rows: DataFrame, windows: Mapping[str, int | None], qs: Sequence[float]) -> DataFrame:
-    """The answers of keys that are cut into ranges: rows of k, d, v, n and edges."""
-    above = F.size(F.filter("edges", lambda e: e <= F.col("v")))
-    cut = rows.withColumn("r", F.when(F.col("v").isNull(), -1).otherwise(above)).drop("edges")
+
+def _split(rows: DataFrame, key_columns: str, windows: Mapping[str, int | None], qs: Sequence[float]) -> DataFrame:
+    """The answers of keys that are cut into ranges: rows of k, d, v, n and edges. No task holds more than a key's counts by day and range, or a range's values."""
+    own = [x.split(" ")[0] for x in key_columns.split(", ")]
+    cut = rows.withColumn("r", F.when(F.col("v").isNull(), -1).otherwise(_range())).select("k.*", "d", "v", "n", "r")
     # at most (ranges + 1) x days numbers for each key
-    daily = cut.groupBy("k", "d", "r").agg(F.sum("n").alias("n")).groupBy("k").agg(F.collect_list(F.struct("d", "r", "n")).alias("x"))
+    daily = _sorted_rows(cut.groupBy(*own, "d", "r").agg(F.sum("n").alias("n")), own)
     names = list(windows)
+    backs = [windows[w] for w in names]
 
-    @F.pandas_udf("struct<plan: array<struct<d: int, w: int, rows: long, n: long>>, wanted: array<struct<d: int, w: int, q: int, high: boolean, part: double, r: int, rank: long>>>")
-    def planned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            plans, wants = [], []
-            for x in batch:
-                d, r, n = (np.array([row[c] for row in x], np.int64) for c in ("d", "r", "n"))
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each key, day and window: how many rows (q null); and which rank of which range is wanted."""
+        for t, group in _whole_groups(batches, own):
+            heads = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+            for a, b in zip(heads, heads[1:], strict=False):
+                d, r, n = (_numbers(t.slice(a, b - a), c) for c in ("d", "r", "n"))
                 days, at = np.unique(d, return_inverse=True)
                 grid = np.zeros((len(days) + 1, RANGES + 1), np.int64)
                 np.add.at(grid, (at + 1, r + 1), n)
                 grid = grid.cumsum(axis=0)
-                plan, want = [], []
-                for w, name in enumerate(names):
-                    back = windows[name]
+                for w, back in enumerate(backs):
                     first = np.zeros(len(days), np.int64) if back is None else np.searchsorted(days, days - back, "left")
                     here = grid[np.arange(len(days))] - grid[first]
-                    count = here[:, 1:].sum(axis=1)
-                    plan += [{"d": int(a), "w": w, "rows": int(b), "n": int(c)} for a, b, c in zip(days, here.sum(axis=1), count, strict=True)]
                     runs = np.concatenate([np.zeros((len(days), 1), np.int64), here[:, 1:].cumsum(axis=1)], axis=1)
+                    count = runs[:, -1]
+                    yield _plan(t, a, own, d=days, w=w, rows=here.sum(axis=1), n=count)
+                    some = np.flatnonzero(count > 0)
                     for k, q in enumerate(qs):
-                        low, high, part = _ends(count, q)
+                        low, high, part = _ends(count[some], q)
                         for is_high, rank in ((False, low), (True, high)):
-                            at_range = (runs[:, 1:] <= rank[:, None]).sum(axis=1)
-                            for i in np.flatnonzero(count > 0).tolist():
-                                want.append({"d": int(days[i]), "w": w, "q": k, "high": is_high, "part": float(part[i]), "r": int(at_range[i]), "rank": int(rank[i] - runs[i, at_range[i]])})
-                plans.append(plan)
-                wants.append(want)
-            yield pd.DataFrame({"plan": plans, "wanted": wants})
-
-    told = daily.select("k", planned("x").alias("p"))
-    wanted = told.select("k", F.explode("p.wanted").alias("x")).select("k", "x.*")
-    null = lambda kind: F.lit(None).cast(kind)
-    asked = wanted.select("k", "r", "d", null("double").alias("v"), F.lit(0).cast("long").alias("n"), "w", "q", "high", "part", "rank")
-    facts = cut.where("r >= 0").select("k", "r", "d", "v", "n", null("int").alias("w"), null("int").alias("q"), null("boolean").alias("high"), null("double").alias("part"), null("long").alias("rank"))
-    backs = [windows[w] for w in names]
+                            at_range = (runs[some, 1:] <= rank[:, None]).sum(axis=1)
+                            yield _plan(t, a, own, d=days[some], w=w, q=k, high=is_high, part=part, r=at_range, rank=rank - runs[some, at_range])
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows["w"].isna().to_numpy()
-        facts, asked = rows[mine].sort_values("d"), rows[~mine]
-        out = asked[["d", "w", "q", "high", "part"]].copy()
-        day, ranked = facts["d"].to_numpy(np.int64), Ranked(facts["v"].to_numpy(np.float64), facts["n"].to_numpy(np.int64))
-        value = np.zeros(len(asked))
-        at, which, rank = asked["d"].to_numpy(np.int64), asked["w"].to_numpy(np.int64), asked["rank"].to_numpy(np.int64)
-        for w, back in enumerate(backs):
-            own = which == w
-            if own.any():
-                first, last = _spans(np.zeros(len(day), np.int64), day, np.zeros(int(own.sum()), np.int64), at[own], back)
-                value[own] = ranked.at(first, last, rank[own])
-        out["v"] = value
-        out["g"] = rows["g"].iloc[0]
-        return out[["g", "d", "w", "q", "high", "part", "v"]]
-
-    both = facts.unionByName(asked).withColumn("g", F.to_json("k", {"ignoreNullFields": "false"}))
-    got = both.groupBy("g", "r").applyInPandas(found, "g string, d int, w int, q int, high boolean, part double, v double")
-    keyed = rows.select("k").distinct().withColumn("g", F.to_json("k", {"ignoreNullFields": "false"}))
-    got = got.join(F.broadcast(keyed), "g")
+    plans = written(daily.mapInArrow(planned, f"{key_columns}, " + ", ".join(f"{c} {kind}" for c, kind in _PLAN.items())), "plans")
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = plans.where("q is not null").select(*own, "r", "d", null("double").alias("v"), F.lit(0).cast("long").alias("n"), "w", "q", "high", "part", "rank")
+    facts = cut.where("r >= 0").select(*own, "r", "d", "v", "n", null("int").alias("w"), null("int").alias("q"), null("boolean").alias("high"), null("double").alias("part"), null("long").alias("rank"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in _whole_groups(batches, [*own, "r"]):
+            mine = t["w"].is_null().to_numpy()
+            asked, facts = t.filter(pa.array(~mine)), t.filter(pa.array(mine)).select(["d", "v", "n"])
+            if not asked.num_rows:
+                continue
+            day, ranked = _numbers(facts, "d"), Ranked(_numbers(facts, "v", np.float64), _numbers(facts, "n"))
+            at, which, rank, among = _numbers(asked, "d"), _numbers(asked, "w"), _numbers(asked, "rank"), group[~mine]
+            value = np.zeros(len(at))
+            for w, back in enumerate(backs):
+                some = which == w
+                if some.any():
+                    first, last = _spans(group[mine], day, among[some], at[some], back)
+                    value[some] = ranked.at(first, last, rank[some])
+            kept = asked.select([*own, "d", "w", "q", "high", "part"])
+            yield from kept.append_column("v", pa.array(value)).to_batches()
+
+    got = _sorted_rows(facts.unionByName(asked), [*own, "r"]).mapInArrow(found, f"{key_columns}, d int, w int, q int, high boolean, part double, v double")
     end = lambda high, w, k: F.max(F.when((F.col("w") == w) & (F.col("q") == k) & (F.col("high") == F.lit(high)), F.col("v")))
     part = lambda w, k: F.max(F.when((F.col("w") == w) & (F.col("q") == k) & F.col("high"), F.col("part")))
     values = [(end(False, w, k) + (end(True, w, k) - end(False, w, k)) * part(w, k)).alias(f"{name}_q{k}") for w, name in enumerate(names) for k in range(len(qs))]
-    values = got.groupBy("k", "d").agg(*values)
-    counts = told.select("k", F.explode("p.plan").alias("x")).select("k", "x.*")
-    number = lambda c, w: F.max(F.when(F.col("w") == w, F.col(c)))
-    counts = counts.groupBy("k", "d").agg(*[number(c, w).alias(f"{name}_{c}") for w, name in enumerate(names) for c in ("rows", "n")])
-    return counts.join(values, ["k", "d"], "left")
+    number = lambda c, w: F.max(F.when((F.col("w") == w) & F.col("q").isNull(), F.col(c)))
+    counts = [number(c, w).alias(f"{name}_{c}") for w, name in enumerate(names) for c in ("rows", "n")]
+    told = plans.where("q is null").select(*own, "d", "w", "q", "rows", "n", null("boolean").alias("high"), null("double").alias("part"), null("double").alias("v"))
+    both = told.unionByName(got.select("*", null("long").alias("rows"), null("long").alias("n")))
+    return both.groupBy(*own, "d").agg(*counts, *values)
+
+
+_PLAN = {"d": "int", "w": "int", "rows": "long", "n": "long", "q": "int", "high": "boolean", "part": "double", "r": "int", "rank": "long"}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def _plan(t: pa.Table, row: int, own: Sequence[str], **columns: object) -> pa.RecordBatch:
+    """Rows of a plan under the key of a row: columns or single values, what isn't given is null."""
+    size = len(columns["d"])
+    made = [pa.array(np.broadcast_to(columns[c], size), _ARROW[kind]) if c in columns else pa.nulls(size, _ARROW[kind]) for c, kind in _PLAN.items()]
+    return pa.RecordBatch.from_arrays([*(pa.repeat(t[k][row], size) for k in own), *made], names=[*own, *_PLAN])

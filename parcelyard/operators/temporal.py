@@ -10,6 +10,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from parcelyard.operators.quantiles import window_quantiles
+from parcelyard.tables import met
 
 
 def prior(keys: Sequence[str], day: str, days: int | None = None) -> WindowSpec:
@@ -25,11 +26,16 @@ def _seen(name: str) -> Column:
 def trailing(df: DataFrame, key: str, day: str, value: str, windows: Sequence[int]) -> DataFrame:
     """Median and count of value over the trailing days, the row's own day excluded."""
     t = window_quantiles(df, [key], day, value, {f"w{n}": n for n in windows}, [0.5])
-    return df.join(t.select(key, day, *[c for n in windows for c in (F.col(f"w{n}_q0").alias(f"median_{n}"), _seen(f"w{n}").alias(f"count_{n}"))]), [key, day], "left")
+    return met(df, t.select(key, day, *[c for n in windows for c in (F.col(f"w{n}_q0").alias(f"median_{n}"), _seen(f"w{n}").alias(f"count_{n}"))]), [key, day])
 
 
 def prior_market(df: DataFrame, key: str, day: str, price: str, dom: str, change: str) -> DataFrame:
-    """What the days before tell of a key: inventory (prices), median and deviation of price, median days on market, mean and count of price changes.
+    """df with what the days before tell of a key: inventory (prices), median and deviation of price, median days on market, mean and count of price changes."""
+    return met(df, market_by_day(df, key, day, price, dom, change), [key, day])
+
+
+def market_by_day(df: DataFrame, key: str, day: str, price: str, dom: str, change: str) -> DataFrame:
+    """The columns that `prior_market` adds, for each key and day once.
 
     Sums are taken by day first, so that a large key has a row a day in its window.
     """
@@ -42,7 +48,7 @@ def prior_market(df: DataFrame, key: str, day: str, price: str, dom: str, change
     t = t.select(key, day, F.sqrt(F.when(var < 0, 0.0).otherwise(var)).alias("price_volatility"), F.when(F.col("cn") > 0, F.col("cs") / F.col("cn")).alias("price_change_mean"), F.col("cn").alias("price_change_count"))
     medians = window_quantiles(df, [key], day, price, {"p": None}, [0.5]).select(key, day, _seen("p").alias("inventory"), F.col("p_q0").alias("price_median"))
     doms = window_quantiles(df, [key], day, dom, {"d": None}, [0.5]).select(key, day, F.col("d_q0").alias("dom_median"))
-    return df.join(medians, [key, day], "left").join(t, [key, day], "left").join(doms, [key, day], "left")
+    return medians.join(t, [key, day], "left").join(doms, [key, day], "left")
 
 
 def prior_quantiles(df: DataFrame, keys: str | Sequence[str], day: str, value: str) -> DataFrame:
@@ -62,12 +68,16 @@ def native_prior_quantiles(df: DataFrame, keys: Sequence[str], day: str, value:
 
 def target_mean(df: DataFrame, key: str, day: str, target: str, smoothing: float = 10.0) -> DataFrame:
     """(prior sum + smoothing * overall mean) / (prior count + smoothing), by daily sums."""
+    return df.join(target_mean_by_day(df, key, day, target, smoothing), [key, day], "left")
+
+
+def target_mean_by_day(df: DataFrame, key: str, day: str, target: str, smoothing: float = 10.0) -> DataFrame:
+    """The column encoded that `target_mean` adds, for each key and day once."""
     mean = df.agg(F.avg(target).alias("mu"))
     daily = df.groupBy(key, day).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     w = W.partitionBy(key).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     t = daily.select(key, day, F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"))
-    t = t.crossJoin(F.broadcast(mean)).select(key, day, ((F.col("s") + smoothing * F.col("mu")) / (F.col("n") + smoothing)).alias("encoded"))
-    return df.join(t, [key, day], "left")
+    return t.crossJoin(F.broadcast(mean)).select(key, day, ((F.col("s") + smoothing * F.col("mu")) / (F.col("n") + smoothing)).alias("encoded"))
 
 
 def month_spine(df: DataFrame, day: str) -> DataFrame:

@@ -16,7 +16,7 @@ from parcelyard.operators import geo as G
 from parcelyard.operators import temporal as T
 from parcelyard.operators.fallback import tiered
 from parcelyard.plans.catalog import _BAND, AROUND_SQL, count, hex_parent_sql, hex_sql, query, r4, up4
-from parcelyard.tables import written
+from parcelyard.tables import met, written
 
 STATS = ("p50", "p75", "p90")
 #: Rows, the name of a level, and the columns that key it, to rows with a struct <name> of STATS and the count <name>_n.
@@ -33,7 +33,7 @@ def _level(rows: DataFrame, facts: DataFrame, name: str, keys: list[str]) -> Dat
     """
     t = T.prior_quantiles(facts.select(*keys, "sold_date", "ppsqm"), keys, "sold_date", "ppsqm")
     t = t.select(*keys, "sold_date", F.struct(*STATS).alias(name), F.coalesce("n", F.lit(0)).alias(f"{name}_n"))
-    return rows.join(t, [*keys, "sold_date"], "left")
+    return met(rows, t, [*keys, "sold_date"])
 
 
 def _complete(got: dict[str, Column]) -> dict[str, Column]:
@@ -125,7 +125,7 @@ _MICRO_SQL = f""", {hex_sql("l", "hf", EDGE, "fx", "fy")}, {hex_parent_sql("hf",
 
 @query(_MICRO_SQL + " SELECT listing_id, resolution, round(mi.p50 + 1e-7, 4) AS p50, round(mi.p75 + 1e-7, 4) AS p75, round(mi.p90 + 1e-7, 4) AS p90, coalesce(mi.n, 0) AS n, round(coalesce(mi.p90 / mi.p50, 1) + 1e-9, 6) AS tail, round(coalesce(mi.p50 / coalesce(a.p50, mi.p50) - 1, 0) + 1e-9, 6) AS premium FROM m")
 def micro_area_chain(l: DataFrame) -> DataFrame:
-    t = micro_area(l.select("listing_id", "area", "sold_date", "ppsqm", "lat", "lon"))
+    t = micro_area(written(l.select("listing_id", "area", "sold_date", "ppsqm", "lat", "lon"), "listings"))
     return t.select("listing_id", F.col("micro_resolution").alias("resolution"), *[r4(f"micro_{c}").alias(c) for c in STATS], F.col("micro_n").alias("n"), F.round(F.col("micro_tail") + 1e-9, 6).alias("tail"), F.round(F.col("micro_premium") + 1e-9, 6).alias("premium"))
 
 
@@ -136,7 +136,8 @@ _CHOSEN_SQL = ", k AS (SELECT *, CASE WHEN st.n >= 5 THEN st ELSE {'p50': mi.p50
   round(s.p50 + 1e-7, 4) AS street_p50, s.n AS street_n, round(z.p50 + 1e-7, 4) AS size_p50, z.n AS size_n, round(x.p50 + 1e-7, 4) AS address_p50, round(x.p90 + 1e-7, 4) AS address_p90, x.n AS address_n,
   round(coalesce(s.p50 / mi.p50 - 1, 0) + 1e-9, 6) AS street_premium, round(coalesce(z.p50 / s.p50 - 1, 0) + 1e-9, 6) AS size_premium, round(coalesce(x.p50 / s.p50 - 1, 0) + 1e-9, 6) AS address_premium FROM k2""")
 def address_comps(l: DataFrame) -> DataFrame:
-    t = address_comparables(micro_area(l.select("listing_id", "area", "address", "living_area", "sold_date", "ppsqm", "lat", "lon")), l)
+    l = written(l.select("listing_id", "area", "address", "living_area", "sold_date", "ppsqm", "lat", "lon"), "listings")
+    t = address_comparables(micro_area(l), l)
     return t.select(
         "listing_id", F.col("street_area_scope").alias("street_scope"), F.col("street_size_scope").alias("size_scope"), "address_scope", r4("street_area_p50").alias("street_p50"), F.col("street_area_n").alias("street_n"), r4("street_size_p50").alias("size_p50"), F.col("street_size_n").alias("size_n"),
         up4("address_p50"), up4("address_p90"), "address_n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("street_premium", "size_premium", "address_premium")],
@@ -148,15 +149,17 @@ def address_comps(l: DataFrame) -> DataFrame:
   z2 AS (SELECT *, coalesce(z.p50, mi.p50) AS p50 FROM z1)
   SELECT listing_id, scope, round(p50 + 1e-7, 4) AS p50, round(coalesce(z.p75, p50) + 1e-7, 4) AS p75, round(coalesce(z.p90, z.p75, p50) + 1e-7, 4) AS p90, coalesce(z.n, 0) AS n, round(coalesce(coalesce(z.p90, z.p75, p50) / p50, 1) + 1e-9, 6) AS tail, round(coalesce(p50 / mi.p50 - 1, 0) + 1e-9, 6) AS premium FROM z2""")
 def same_size_chain(l: DataFrame) -> DataFrame:
-    t = same_size(micro_area(l.select("listing_id", "area", "living_area", "sold_date", "ppsqm", "lat", "lon")), l)
+    l = written(l.select("listing_id", "area", "living_area", "sold_date", "ppsqm", "lat", "lon"), "listings")
+    t = same_size(micro_area(l), l)
     return t.select("listing_id", F.col("same_size_scope").alias("scope"), *[r4(f"same_size_{c}").alias(c) for c in STATS], F.col("same_size_n").alias("n"), *[F.round(F.col(f"same_size_{c}") + 1e-9, 6).alias(c) for c in ("tail", "premium")])
 
 
 @query(f"SELECT listing_id, round(quantile_cont(ppsqm, 0.5) OVER w + 1e-7, 4) AS p50, round(quantile_cont(ppsqm, 0.75) OVER w + 1e-7, 4) AS p75, round(quantile_cont(ppsqm, 0.9) OVER w + 1e-7, 4) AS p90, count(ppsqm) OVER w AS n FROM l WINDOW w AS ({_BEFORE})")
 def prior_global(l: DataFrame) -> DataFrame:
     """All earlier sales: one key, which is cut into ranges of values where it is too large for a task."""
+    l = written(l.select("listing_id", "sold_date", "ppsqm"), "listings")
     t = T.prior_quantiles(l.select(F.lit(0).alias("all"), "sold_date", "ppsqm"), ["all"], "sold_date", "ppsqm")
-    return l.select("listing_id", "sold_date").join(t, "sold_date", "left").select("listing_id", *[up4(c) for c in STATS], F.coalesce("n", F.lit(0)).alias("n"))
+    return met(l.drop("ppsqm"), t, ["sold_date"]).select("listing_id", *[up4(c) for c in STATS], F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(", a AS (SELECT lower(area) || '|' || regexp_replace(lower(address), '\\s+\\d+\\w?.*$', '') AS street, lower(area) || '|' || lower(address) AS addr, " + f"{_BAND} AS band, ppsqm FROM l), k AS (SELECT 'street' AS level, street AS key, ppsqm FROM a UNION ALL SELECT 'street_size', street || '|' || band, ppsqm FROM a UNION ALL SELECT 'address', addr, ppsqm FROM a)"
@@ -174,7 +177,8 @@ def address_context(l: DataFrame) -> DataFrame:
   nn AS (SELECT listing_key, sum(p * n) / sum(n) AS p, sum(n) AS n FROM nb GROUP BY 1) SELECT listing_id, round(coalesce(nn.p, mi.p50), 3) AS neighbor_p50, CAST(coalesce(nn.n, 0) AS BIGINT) AS neighbor_n FROM m LEFT JOIN nn USING (listing_key)""")
 def neighbors_or_micro_area(l: DataFrame) -> DataFrame:
     """The neighbouring cells' median, or that of the micro area."""
-    t = micro_area(l.select("listing_key", "listing_id", "area", "sold_date", "ppsqm", "lat", "lon"))
+    l = written(l.select("listing_key", "listing_id", "area", "sold_date", "ppsqm", "lat", "lon"), "listings")
+    t = micro_area(l)
     near = G.neighbor_stats(l.select("listing_key", "lat", "lon", "sold_date", "ppsqm"), "sold_date", "ppsqm", EDGE)
     t = t.join(near.select("listing_key", "neighbor_p50", "neighbor_n"), "listing_key")
     return t.select("listing_id", F.round(F.coalesce("neighbor_p50", "micro_p50"), 3).alias("neighbor_p50"), "neighbor_n")
@@ -193,7 +197,7 @@ CHANGES_DEFAULT = 10.0
 def area_market_filled(l: DataFrame) -> DataFrame:
     """Unknown market figures are the median over all rows, or the default; and the indicators that follow."""
     rows = l.select("listing_id", "area", "sold_date", "listing_price", "days_on_market", (F.col("sold_price") - F.col("listing_price")).alias("change"))
-    t = T.prior_market(rows, "area", "sold_date", "listing_price", "days_on_market", "change")
+    t = T.prior_market(written(rows, "listings"), "area", "sold_date", "listing_price", "days_on_market", "change")
     t = written(t, "area-market")  # five medians read it
     medians = A.overall_medians(t, MARKET).select(*[F.col(c).alias(f"_{c}") for c in MARKET])
     t = t.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"_{c}", F.lit(d)) for c, d in zip(MARKET, MARKET_DEFAULTS, strict=True)})

@@ -16,6 +16,7 @@ from parcelyard.operators import aggregates as A
 from parcelyard.operators import temporal as T
 from parcelyard.plans.catalog import query
 from parcelyard.sources.listings import listings
+from parcelyard.tables import met, written
 
 NUMERIC = ("living_area", "rooms", "construction_year", "floor", "monthly_fee", "area_p50", "area_n", "encoded_area", "price_median", "price_volatility", "dom_median", "energy", "quality", "month_sin", "month_cos", "timing")
 CATEGORICAL = ("area", "size_band", "era", "season")
@@ -42,13 +43,14 @@ def calendar(df: DataFrame) -> DataFrame:
 
 def priors(df: DataFrame) -> DataFrame:
     """What earlier days tell of the area: quantiles, market sums and the smoothed mean."""
+    df = written(df, "chain")  # read for each kind of statistics
     facts = df.withColumn("price_change", F.col("sold_price") - F.col("listing_price")).select("area", "sold_date", "observed_ppsqm", "listing_price", "sold_price", "days_on_market", "price_change")
     q = T.prior_quantiles(facts, "area", "sold_date", "observed_ppsqm").select("area", "sold_date", F.col("p50").alias("area_p50"), F.col("n").cast("double").alias("area_n"))
-    df = df.join(q, ["area", "sold_date"], "left")
-    market = T.prior_market(facts.select("area", "sold_date", "listing_price", "days_on_market", "price_change"), "area", "sold_date", "listing_price", "days_on_market", "price_change")
-    market = market.select("area", "sold_date", "price_median", "price_volatility", "dom_median").distinct()
-    encoded = T.target_mean(facts.select("area", "sold_date", "sold_price"), "area", "sold_date", "sold_price").select("area", "sold_date", F.col("encoded").alias("encoded_area")).distinct()
-    return df.join(market, ["area", "sold_date"], "left").join(encoded, ["area", "sold_date"], "left")
+    market = T.market_by_day(facts, "area", "sold_date", "listing_price", "days_on_market", "price_change").select("area", "sold_date", "price_median", "price_volatility", "dom_median")
+    encoded = T.target_mean_by_day(facts, "area", "sold_date", "sold_price").select("area", "sold_date", F.col("encoded").alias("encoded_area"))
+    for stats in (q, market, encoded):
+        df = met(df, stats, ["area", "sold_date"])
+    return df
 
 
 def features(df: DataFrame) -> DataFrame:

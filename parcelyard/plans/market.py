@@ -19,6 +19,7 @@ from parcelyard.plans.comparables import _MICRO_SQL, EDGE, micro_area, same_size
 from parcelyard.plans.insights import valued
 from parcelyard.plans.reports import _SCORED_SQL, TIERS, scored
 from parcelyard.sources.listings import LISTINGS_SQL
+from parcelyard.tables import written
 
 _PCT = (0.01, 0.25, 0.5, 0.75, 0.99)
 
@@ -85,7 +86,7 @@ _VOL = ", ".join(f"CASE WHEN count(*) OVER w{n} > 0 THEN count(sold_price) OVER
 @query(f", x AS (SELECT listing_id, {_VOL} FROM l WINDOW " + ", ".join(f"w{n} AS (PARTITION BY area ORDER BY sold_date RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)" for n in _WINDOWS) + ") SELECT listing_id, CAST(coalesce(v30, v90, v180, v365, 0) AS BIGINT) AS volume_1m, CAST(coalesce(v90, v180, v365, 0) AS BIGINT) AS volume_3m, CAST(coalesce(v180, v365, 0) AS BIGINT) AS volume_6m, CAST(coalesce(v365, 0) AS BIGINT) AS volume_12m FROM x")
 def temporal_volumes(l: DataFrame) -> DataFrame:
     """Sales of the area over 1, 3, 6 and 12 months before; a window without a row takes the next longer one, then 0."""
-    t = T.trailing(l.select("listing_id", "area", "sold_date", "sold_price"), "area", "sold_date", "sold_price", _WINDOWS)
+    t = T.trailing(written(l.select("listing_id", "area", "sold_date", "sold_price"), "listings"), "area", "sold_date", "sold_price", _WINDOWS)
     chain = [F.col(f"count_{n}") for n in _WINDOWS] + [F.lit(0)]
     return t.select("listing_id", *[F.coalesce(*chain[i:]).cast("long").alias(f"volume_{m}m") for i, m in enumerate((1, 3, 6, 12))])
 
@@ -120,7 +121,8 @@ _part = lambda x: f"CASE WHEN {x} IS NULL THEN 0 ELSE greatest(0, least(1, ({x}
   SELECT listing_id, round(score + 1e-9, 6) AS score, CASE WHEN score >= 0.65 THEN 1 ELSE 0 END AS flag, CASE WHEN score <= 0.25 THEN 'standard' WHEN score <= 0.5 THEN 'strong' WHEN score <= 0.75 THEN 'premium' ELSE 'luxury' END AS tier FROM s""")
 def luxury_tiers(l: DataFrame) -> DataFrame:
     """The composite of micro area, same size, neighbours (here the micro area again), central areas and size; its flag and tiers."""
-    rows = same_size(micro_area(l.select("listing_id", "area", "living_area", "sold_date", "ppsqm", "lat", "lon")), l)
+    l = written(l.select("listing_id", "area", "living_area", "sold_date", "ppsqm", "lat", "lon"), "listings")
+    rows = same_size(micro_area(l), l)
     market = A.overall_quantiles(l, "ppsqm", [0.5]).select(F.col("q")[0].alias("market"))
     rows = rows.crossJoin(F.broadcast(market))  # one row
     got = N.luxury(F.col("micro_p50"), F.col("same_size_p50"), F.col("micro_p50"), F.col("market"), F.col("area").isin(*_CENTRAL), F.col("living_area"))

@@ -23,6 +23,7 @@ from parcelyard.plans import registry as R
 from parcelyard.plans import tiers
 from parcelyard.plans.catalog import _BAND, hex_parent_sql, hex_sql, query
 from parcelyard.sources.sinks import Versions
+from parcelyard.tables import written
 
 #: Levels of the frozen table, and the columns that key them.
 LEVELS: Mapping[str, Sequence[str]] = {
@@ -47,6 +48,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def _levels(l: DataFrame) -> DataFrame:
     """level, key, v of all levels at once: a row a level and key, however many sales a key has."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), _key(c).alias("key")) for k, c in LEVELS.items()]))
+    l = written(l.select("area", "address", "living_area", "lat", "lon", "ppsqm"), "listings")
     tall = _keyed(l).select("ppsqm", each.alias("x")).select("x.level", "x.key", F.lit(SOLD).alias("day"), F.col("ppsqm").cast("double").alias("ppsqm")).where("key is not null")
     asked = tall.select("level", "key", F.lit(ASKED).alias("day"), F.lit(None).cast("double").alias("ppsqm")).distinct()
     t = Q.window_quantiles(tall.unionByName(asked), ["level", "key"], "day", "ppsqm", {"p": None}, [0.5, 0.75, 0.9]).where(F.col("day") == F.lit(ASKED))

@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Rows of a table that is handed to every task.
+SMALL_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +30,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def met(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows left-joined with stats, which is written first: where it has few rows, whatever their number is in rows, no row is shuffled for it."""
+    stats = written(stats, "stats")
+    return rows.join(F.broadcast(stats) if stats.count() <= SMALL_ROWS else stats, list(keys), "left")
