@@ -156,7 +156,11 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     def binned(rows: DataFrame, c: str, name: str) -> DataFrame:
         if kinds[c] == "string":
             return rows.withColumn(name, F.col(c)).where(F.col(name).isNotNull())
-        return rows.withColumn("v", F.col(c).cast("double")).join(equal_count_bins(rows, c, bins), "v").withColumnRenamed("bin", name).drop("v")
+        # a bin begins at its least value: at most so many numbers, so that rows aren't shuffled to find theirs
+        starts = equal_count_bins(rows, c, bins).groupBy("bin").agg(F.min("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("v", "bin"))).alias("_starts"))
+        v = F.col(c).cast("double")
+        held = rows.where(~F.isnan(v)).crossJoin(F.broadcast(starts))
+        return held.withColumn(name, F.get("_starts", F.size(F.filter("_starts", lambda s: s["v"] <= v)) - 1)["bin"]).drop("_starts")
 
     out = None
     for c in columns:

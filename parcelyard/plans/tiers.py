@@ -304,7 +304,7 @@ _MI_SQL = " UNION ALL ".join(
 @query(", d AS (SELECT 1) " + _MI_SQL)
 def mutual_information(l: DataFrame) -> DataFrame:
     """What each column tells of the price, over bins of equal counts."""
-    return P.mutual_information(l, _MI, "sold_price").withColumn("mi", F.round(F.col("mi") + 1e-9, 6))
+    return P.mutual_information(written(l.select(*_MI, "sold_price"), "listings"), _MI, "sold_price").withColumn("mi", F.round(F.col("mi") + 1e-9, 6))
 
 
 _WHOLE = {"by_global": "round(predicted)", "by_low": "round(0.9 * listing_price)", "by_mid": "round(other)", "by_high": "round(listing_price)", "actual": "round(sold_price)"}
