@@ -321,6 +321,7 @@ _GRID_SQL = (
 @query(_PRED_SQL + _GRID_SQL + " SELECT g.gate, CAST(g.u.a AS INTEGER) AS w_global, CAST(g.u.b AS INTEGER) AS w_low, CAST(g.u.c AS INTEGER) AS w_mid, CAST(g.u.d AS INTEGER) AS w_high, round(f.err / f.n / 20 + 1e-7, 4) AS mae, CAST(g.n AS BIGINT) AS n, g.fallback FROM g LEFT JOIN f ON f.gate = g.gate AND f.a = g.u.a AND f.b = g.u.b AND f.c = g.u.c AND f.d = g.u.d")
 def expert_weights_by_gate(l: DataFrame) -> DataFrame:
     """The best of all ways to weigh four experts in twentieths, overall and by gate, by exact sums of errors."""
+    l = written(l.select("area", "living_area", "listing_price", "sold_price", "ppsqm"), "listings")
     v = predicted(l).withColumn("gate", P.gate(F.col("predicted"), 100_000.0, 200_000.0)).where("listing_price is not null")
     v = v.select("gate", *[F.expr(x).alias(k) for k, x in _WHOLE.items()])
     best = P.best_experts(v, "actual", [f"by_{e}" for e in EXPERTS], "gate")

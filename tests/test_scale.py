@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from parcelyard.operators import quantiles as Q
-from parcelyard.plans import catalog, comparables, features, market, reports, serving  # noqa: F401
+from parcelyard.plans import catalog, comparables, features, market, reports, serving, tiers  # noqa: F401
 from parcelyard.sources.listings import listings
 
 DATA = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_ranks_hold_one_level_at_a_time():
     assert most < 24 * 8 * len(values)
 
 
-@pytest.mark.parametrize("name", ["prior_area_quad", "prior_address_native", "prior_global", "temporal_volumes", "area_market_prior", "prior_area_size_fallback"])
+@pytest.mark.parametrize("name", ["prior_area_quad", "prior_address_native", "prior_global", "temporal_volumes", "area_market_prior", "prior_area_size_fallback", "mutual_information", "expert_weights_by_gate"])
 def test_listings_are_made_once(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
