@@ -79,6 +79,7 @@ def feature_chain(l: DataFrame) -> DataFrame:
 @query(on_listings=False)
 def ml_gbt_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Rows only: errors on the later fifth of a model trained on the days before."""
-    df = T.temporal_split(features(listings(spark, d)), "sold_date").persist()  # (each tree reads it)
+    df = T.temporal_split(features(listings(spark, d)), "sold_date")
+    df = written(df.select("sold_price", "is_train", *NUMERIC, *CATEGORICAL), "holdout")  # each step of training reads it
     got = predict(train(df.where("is_train"), trees=5), df.where("not is_train"))
     return got.agg(*[c.alias(k) for k, c in A.errors(F.col("sold_price"), F.col("predicted")).items()])
