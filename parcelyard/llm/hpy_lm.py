@@ -6,7 +6,7 @@ word; each customer of a context is a training token, each table of a context a
 customer of the word restaurant. Gibbs sampling removes customers and seats
 them again one at a time; probabilities are averaged over the last sweeps.
 
-A sweep runs in parts, as in distributed Gibbs sampling for topic models
+Every customer of both levels moves once in a sweep. A sweep runs in parts, as in distributed Gibbs sampling for topic models
 (Newman et al., 2009): within a dish of a restaurant every move sees the one
 before, and what other parts hold (tables of the restaurant, probability in the
 parent) is that of the sweep before. Parts are of (context, word) by hash, so
@@ -21,9 +21,11 @@ Pairs seen once have one table whatever happens and take no part in sweeps.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,18 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import forget, saved, shuffle_parts
+from parcelyard.llm.common import forget, saved
 from parcelyard.llm.langid import remainder
 
 #: Sweeps, of which the last SAMPLES count; strength of both levels; seed.
 SWEEPS, SAMPLES, STRENGTH, SEED = 5, 2, 1.0, 7
-#: Moves of a dish with more customers than this in a sweep; others move as many as they have, or up to twice that.
-MOVES = 64
+#: Customers of a dish up to which table sizes alone are kept in a sweep; dishes that move together, fewer go on one by one; draws made at once for one of these.
+FEW, TOGETHER, DRAWS = 8, 40, 1_024
+#: splitmix64's step.
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Characters at which a block of texts is closed.
 BLOCK_CHARS = 7_000_000
-#: Blocks for each part, where that makes more parts than the session's shuffles have.
-BLOCKS = 3
-#: Numbers in a matrix of table sizes.
+#: Characters of texts for each part, and parts at least. Parts follow from the texts alone: whatever the session's shuffles have, messages are as many.
+PART_CHARS, PARTS = 10_000_000, 8
+#: Customers that are moved in one call.
 MATRIX = 2_000_000
 #: The end of a text; no word has white space.
 END = b"\n"
@@ -88,7 +92,7 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             words = list(number)
             return pd.DataFrame({
                 "block": [task << 32 | next(seq)], "keys": [keys], "held": [held], "sizes": [_planes(np.array([len(t) for t in tokens]))],
-                "tokens": [_planes(rank[ids])], "words": [b" ".join([words[i] for i in by_use.tolist()])],
+                "tokens": [_planes(rank[ids])], "words": [b" ".join([words[i] for i in by_use.tolist()])], "chars": [chars],
             })
 
         for batch in batches:
@@ -107,7 +111,7 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield block()
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.col(key).isNull().alias("is_null"), (remainder(F.col(key), 7) == 2).alias("held"), F.col(text).alias("text"))
-    return saved(rows.mapInPandas(cut, "block long, keys array<long>, held array<boolean>, sizes binary, tokens binary, words binary"), "lm-blocks")
+    return saved(rows.mapInPandas(cut, "block long, keys array<long>, held array<boolean>, sizes binary, tokens binary, words binary, chars long"), "lm-blocks")
 
 
 def _each(make):
@@ -257,53 +261,221 @@ def first_seats(n: int, discount: float) -> np.ndarray:
     return sizes
 
 
+def _mass(own: np.ndarray, t: np.ndarray, others: np.ndarray, parent: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float) -> np.ndarray:
+    """What a new table weighs for dishes `own` that have t tables."""
+    return (STRENGTH + discount * (others[own] + t)) * parent(own, t)
+
+
+def _draw(base: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return (_mixed(base + nth * GOLDEN) >> np.uint64(11)) * 2.0**-53
+
+
+def _drawn(base: np.uint64, nth: int) -> Iterator[float]:
+    """The draws of one dish from the nth on."""
+    while True:
+        yield from _draw(base, np.arange(nth, nth + DRAWS, dtype=np.uint64)).tolist()
+        nth += DRAWS
+
+
+class _Masses(dict):
+    """What a new table weighs for one dish, by its tables; worked out some at a time."""
+
+    def __init__(self, own: int, *rest):
+        self.own, self.rest = own, rest
+
+    def __missing__(self, t: int) -> float:
+        first = t // 64 * 64
+        ts = np.arange(first, first + 64)
+        self.update(zip(ts.tolist(), _mass(np.full(64, self.own), ts, *self.rest).tolist(), strict=True))
+        return self[t]
+
+
+def _few(n: int, own: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tables: np.ndarray, base: np.ndarray, rest: tuple) -> np.ndarray:
+    """A sweep over dishes of n customers each: table sizes, a column for each dish."""
+    discount, each = rest[-1], np.arange(len(own))
+    s, t = np.zeros((n, len(own)), np.int64), tables[own].copy()
+    for k in range(n):
+        some = np.flatnonzero(t > k)
+        s[k, some] = sizes[heads[own[some]] + k]
+    left, nth = s.copy(), np.zeros(len(own), np.uint64)  # left: customers not moved yet
+    for i in range(n):
+        gone = (np.cumsum(left, axis=0) <= (_draw(base, nth + np.uint64(2 * i)) * (n - i)).astype(np.int64)).sum(axis=0)
+        left[gone, each] -= 1
+        s[gone, each] -= 1
+        t -= s[gone, each] == 0
+        joined = np.cumsum(np.where(s > 0, s - discount, 0.0), axis=0)
+        x = _draw(base, nth + np.uint64(2 * i + 1)) * (joined[-1] + _mass(own, t, *rest))
+        opens = x >= joined[-1]
+        to = np.where(opens, (s == 0).argmax(axis=0), (joined <= x).sum(axis=0))
+        s[to, each] += 1
+        t += opens
+    return s
+
+
+def _many(own: np.ndarray, n: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tables: np.ndarray, base: np.ndarray, rest: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep over dishes, those with most customers first: sizes of tables (0: closed) and where each dish's begin.
+
+    The tables that customers sit at are kept one by one. To sit down, one
+    follows a customer chosen evenly to a table of s with the chance 1 -
+    discount / s, or opens a table, or draws again. Table t + i is that opened
+    in move i. Dishes move together while there are many of them, the longest
+    ones then go on alone; moves and draws are the same either way.
+    """
+    discount, t = rest[-1], tables[own].copy()
+    at, room = _heads(n), _heads(n + t)
+    within = np.arange(t.sum()) - np.repeat(_heads(t), t)
+    own_sizes = sizes[np.repeat(heads[own], t) + within]
+    z = np.repeat(within, own_sizes)
+    s = np.zeros(int((n + t).sum()), np.int64)
+    s[np.repeat(room, t) + within] = own_sizes
+    first_free, nth, live, i = t.copy(), np.zeros(len(own), np.uint64), len(own), 0
+    one = np.uint64(1)
+    while live >= TOGETHER:
+        own_, n_, at_, room_, base_, nth_, t_ = own[:live], n[:live], at[:live], room[:live], base[:live], nth[:live], t[:live]
+        here = at_ + i
+        there = here + (_draw(base_, nth_) * (n_ - i)).astype(np.int64)
+        nth_ += one
+        k = z[there]
+        z[there] = z[here]
+        place = room_ + k
+        left = s[place] - 1
+        s[place] = left
+        t_ -= left == 0
+        whole = (n_ - 1) + _mass(own_, t_, *rest)
+        x = _draw(base_, nth_) * whole
+        nth_ += one
+        to = x.astype(np.int64)
+        opens = to >= n_ - 1
+        k = z[at_ + np.where(opens, 0, to + (to >= i))]
+        seats = s[room_ + k]
+        again = np.flatnonzero(~(opens | (seats * (1 - (x - to)) > discount)))
+        k[opens] = first_free[:live][opens] + i
+        while len(again):
+            x = _draw(base_[again], nth_[again]) * whole[again]
+            nth_[again] += one
+            to = x.astype(np.int64)
+            new = to >= n_[again] - 1
+            k_ = z[at_[again] + np.where(new, 0, to + (to >= i))]
+            done = new | (s[room_[again] + k_] * (1 - (x - to)) > discount)
+            k[again] = np.where(new, first_free[again] + i, k_)
+            opens[again[new]] = True
+            again = again[~done]
+        z[here] = k
+        s[room_ + k] += 1
+        t_ += opens
+        i += 1
+        live = int(np.searchsorted(-n, -i, "left"))
+    for dish in range(live):
+        a, b, c, d = at[dish], at[dish] + n[dish], room[dish], room[dish] + n[dish] + first_free[dish]
+        s[c:d] = _alone(array("q", z[a:b].tobytes()), array("q", s[c:d].tobytes()), i, int(first_free[dish]), int(t[dish]), _drawn(base[dish], int(nth[dish])), _Masses(own[dish], *rest), discount)
+    return s, room
+
+
+def _alone(z: array, s: array, i: int, first_free: int, t: int, drawn: Iterator[float], mass: _Masses, discount: float) -> array:
+    """The moves of one dish from the ith on, as in _many."""
+    n = len(z)
+    others = n - 1
+    for i in range(i, n):
+        j = i + int(next(drawn) * (n - i))
+        k = z[j]
+        z[j] = z[i]
+        left = s[k] - 1
+        s[k] = left
+        if not left:
+            t -= 1
+        whole = others + mass[t]
+        while True:
+            x = next(drawn) * whole
+            to = int(x)
+            if to >= others:
+                k = first_free + i
+                s[k] = 1
+                t += 1
+                break
+            k = z[to + (to >= i)]
+            seats = s[k]
+            if seats * (1 - (x - to)) > discount:
+                s[k] = seats + 1
+                break
+        z[i] = k
+    return s
+
+
 def reseat(sizes: np.ndarray, heads: np.ndarray, others: np.ndarray, parent: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, seeds: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
     """One sweep over dishes: the new table sizes and tables of each dish.
 
     sizes: of all tables, dish after dish, dish i from heads[i] on. others:
     tables of other dishes in its restaurant. parent(i, t): the probability in
-    the parent of dishes i that have t tables here. A move takes one customer, chosen evenly, from its table and seats it
-    at a table of its dish, by size less the discount, or at a new one, by
-    (strength + discount * tables of the restaurant) * parent.
+    the parent of dishes i that have t tables here. Every customer of a dish
+    moves once, one after the other in random order: it is taken from its table
+    and seated at a table of its dish, by size less the discount, or at a new
+    one, by (strength + discount * tables of the restaurant) * parent.
     """
     tables = np.diff(np.append(heads, len(sizes)))
-    customers = np.add.reduceat(sizes, heads) if len(heads) else tables
-    moves = np.minimum(MOVES, 1 << np.ceil(np.log2(np.maximum(customers, 1))).astype(np.int64))
-    width = np.minimum(customers, tables + moves)
-    width = 1 << np.ceil(np.log2(width)).astype(np.int64)
-    new_tables = tables.copy()
+    if not len(heads):
+        return sizes, tables
+    customers, rest = np.add.reduceat(sizes, heads), (others, parent, discount)
+    base = _mixed(seeds + np.uint64((SEED * 1_000 + sweep) * int(GOLDEN) % 2**64))
     flat_at, flat_sizes = [], []
-    for w, m in sorted(set(zip(width.tolist(), moves.tolist(), strict=True))):
-        among = np.flatnonzero((width == w) & (moves == m))
-        step = max(1, MATRIX // w)
+    single = np.flatnonzero(customers == 1)
+    flat_at.append(single)
+    flat_sizes.append(np.ones(len(single), np.int64))
+    for n in range(2, FEW + 1):
+        among = np.flatnonzero(customers == n)
+        step = max(1, MATRIX // 16 // n)
         for a in range(0, len(among), step):
             own = among[a : a + step]
-            s = np.zeros((len(own), w), np.int64)
-            t = tables[own].copy()
-            at = np.repeat(np.arange(len(own)), t)
-            within = np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
-            s[at, within] = sizes[np.repeat(heads[own], t) + within]
-            each, n, seed, beside = np.arange(len(own)), customers[own], seeds[own], others[own]
-            for i in range(m):
-                draw = lambda k: (_mixed(seed + np.uint64((SEED * 1_000 + sweep) * 1_000 + 2 * i + k)) >> np.uint64(11)) * 2.0**-53  # noqa: E731, B023
-                gone = (np.cumsum(s, axis=1) <= (draw(0) * n)[:, None]).sum(axis=1)
-                s[each, gone] -= 1
-                t -= s[each, gone] == 0
-                new = (STRENGTH + discount * (beside + t)) * parent(own, t)
-                joined = np.cumsum(np.where(s > 0, s - discount, 0.0), axis=1)
-                x = draw(1) * (joined[:, -1] + new)
-                opens = x >= joined[:, -1]
-                to = np.where(opens, (s == 0).argmax(axis=1), (joined <= x[:, None]).sum(axis=1))
-                s[each, to] += 1
-                t += opens
-            new_tables[own] = t
+            s = _few(n, own, sizes, heads, tables, base[own], rest).T
             row, col = np.nonzero(s)
             flat_at.append(own[row])
             flat_sizes.append(s[row, col])
-    if not flat_at:
-        return sizes, tables
+    large = np.flatnonzero(customers > FEW)
+    large = large[np.argsort(-customers[large], kind="stable")]
+    group = np.cumsum(customers[large]) // MATRIX
+    for own in np.split(large, np.flatnonzero(np.diff(group)) + 1):
+        if len(own):
+            s, room = _many(own, customers[own], sizes, heads, tables, base[own], rest)
+            some = np.flatnonzero(s)
+            flat_at.append(own[np.searchsorted(room, some, "right") - 1])
+            flat_sizes.append(s[some])
     at = np.concatenate(flat_at)
-    return np.concatenate(flat_sizes)[np.argsort(at, kind="stable")], new_tables
+    return np.concatenate(flat_sizes)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(heads))
+
+
+def come_and_go(sizes: np.ndarray, tables: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: float, discount: float, seeds: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dishes after as many customers have come or gone as make up `customers`, one after the other: those that go are chosen evenly, those that come sit down as in `reseat`."""
+    if not len(tables):
+        return sizes, tables
+    heads = _heads(tables)
+    change = customers - np.add.reduceat(sizes, heads)
+    base = _mixed(seeds + np.uint64((SEED * 1_000 + sweep) * int(GOLDEN) % 2**64))
+    out = np.split(sizes, heads[1:])
+    for i in np.flatnonzero(change).tolist():
+        s, more = out[i].tolist(), int(change[i])
+        upto = list(accumulate(s))
+        n, drawn = upto[-1], _drawn(base[i], 0)
+        swapped: dict[int, int] = {}
+        for k in range(-more):
+            j = k + int(next(drawn) * (n - k))
+            s[bisect_right(upto, swapped.get(j, j))] -= 1
+            swapped[j] = swapped.get(k, k)
+        came: list[int] = []
+        for k in range(more):
+            whole = n + k + (STRENGTH + discount * (int(others[i]) + len(s))) * parent
+            while True:
+                x = next(drawn) * whole
+                to = int(x)
+                if to >= n + k:
+                    came.append(len(s))
+                    s.append(1)
+                    break
+                at = bisect_right(upto, to) if to < n else came[to - n]
+                if s[at] * (1 - (x - to)) > discount:
+                    s[at] += 1
+                    came.append(at)
+                    break
+        out[i] = np.array([x for x in s if x], np.int64)
+    return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
 def _heads(tables: np.ndarray) -> np.ndarray:
@@ -381,7 +553,7 @@ def _report(t: Totals, starts: np.ndarray, part_of: np.ndarray):
 
 
 def _word_side(t: Totals, starts: dict[int, int], sweep: int):
-    """The word restaurant's dishes of a part of the vocabulary, seated anew, and answers to all who reported."""
+    """A sweep over the word restaurant's dishes of a part of the vocabulary, once the contexts' new tables have come and closed ones gone; and answers to all who reported."""
 
     def side(row) -> list[dict]:
         start, customers, tables = starts[row.part], _ints(row.ones_word).copy(), _ints(row.ones_context).copy()
@@ -390,20 +562,26 @@ def _word_side(t: Totals, starts: dict[int, int], sweep: int):
             (customers if kind == "word" else tables)[ids] += n
         own = np.zeros(len(customers), np.int64)
         served = np.flatnonzero(customers)
-        sizes, seats = _firsts(customers[served], t.word_discount)
-        others = np.maximum(t.tables - seats, 0)
-        seeds = _mixed(served.astype(np.uint64) + np.uint64(start))
-        _, own[served] = reseat(sizes, _heads(seats), others, lambda i, _: np.full(len(i), 1 / (t.known + 1)), t.word_discount, seeds, 500 + sweep)
-        out = [{"part": row.part, "frm": -1, "side": "all", "ids": None, "customers": _planes(customers), "tables": _planes(own), "contexts": _planes(tables), "sum_customers": customers.sum(), "sum_tables": own.sum()}]
+        seeds, base = _mixed(served.astype(np.uint64) + np.uint64(start)), 1 / (t.known + 1)
+        if row.sizes is None:
+            sizes, seats = _firsts(customers[served], t.word_discount)
+            others = np.maximum(t.tables - seats, 0)
+        else:
+            # a trained word is in some context at any time, so the same words are served
+            sizes, seats = _ints(row.sizes), _ints(row.seats)[served]
+            others = np.maximum(t.tables - seats, 0)
+            sizes, seats = come_and_go(sizes, seats, customers[served], others, base, t.word_discount, seeds, 250 + sweep)
+        sizes, own[served] = reseat(sizes, _heads(seats), others, lambda i, _: np.full(len(i), base), t.word_discount, seeds, 500 + sweep)
+        out = [{"part": row.part, "frm": -1, "side": "all", "ids": None, "sizes": _planes(sizes), "customers": _planes(customers), "tables": _planes(own), "contexts": _planes(tables), "sum_customers": customers.sum(), "sum_tables": own.sum()}]
         for frm, kind, ids, at, _ in asked:
             word = kind == "word"
-            out.append({"part": row.part, "frm": frm, "side": kind, "ids": ids, "customers": _planes(customers[at]) if word else None, "tables": _planes(own[at]) if word else None, "contexts": None if word else _planes(tables[at]), "sum_customers": 0, "sum_tables": 0})
+            out.append({"part": row.part, "frm": frm, "side": kind, "ids": ids, "sizes": None, "customers": _planes(customers[at]) if word else None, "tables": _planes(own[at]) if word else None, "contexts": None if word else _planes(tables[at]), "sum_customers": 0, "sum_tables": 0})
         return out
 
     return _each(side)
 
 
-_WORD_SIDE = "part int, frm int, side string, ids binary, customers binary, tables binary, contexts binary, sum_customers long, sum_tables long"
+_WORD_SIDE = "part int, frm int, side string, ids binary, sizes binary, customers binary, tables binary, contexts binary, sum_customers long, sum_tables long"
 
 
 def _sweep(t: Totals, nth: int):
@@ -501,7 +679,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     out = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     cut = blocks(docs, key, text)
-    parts = max(shuffle_parts(spark), -(-cut.count() // BLOCKS))
+    parts = max(PARTS, -(-(cut.agg(F.sum("chars")).first()[0] or 0) // PART_CHARS))
     sent = _by_part(cut.mapInPandas(_send_words(parts), "part int, block long, words binary, n binary"), "part", parts)
     vocabulary = saved(sent.mapInPandas(_each(_vocabulary), "part int, size long, tokens long, known long, end long, word_n binary, places array<struct<block: long, ranks: binary>>"), "lm-vocabulary")
     ranges = vocabulary.select("part", "size", "tokens", "known", "end").orderBy("part").collect()  # a row a part
@@ -526,9 +704,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     state = saved(merged.select("part", "pairs", "n").mapInPandas(_seated(t), _STATE), "lm-state")
     samples: list[tuple[Totals, DataFrame, DataFrame]] = []
+    null, side = F.lit(None).cast("binary"), None
     for nth in range(SWEEPS + 1):
         told = _by_part(state.mapInPandas(_report(t, starts, part_of), _TALLY), "part", parts)
-        side = saved(base.join(told, "part", "left").mapInPandas(_word_side(t, start_of, nth), _WORD_SIDE), "lm-side")
+        before = side
+        asked = base.join(told, "part", "left")
+        asked = asked.withColumns({"sizes": null, "seats": null}) if before is None else asked.join(before.where("frm = -1").select("part", "sizes", F.col("tables").alias("seats")), "part")
+        side = saved(asked.mapInPandas(_word_side(t, start_of, nth), _WORD_SIDE), "lm-side")
         sums = side.where("frm = -1").agg(F.sum("sum_customers").alias("c"), F.sum("sum_tables").alias("t")).first()
         t = t._replace(customers=float(sums.c), tables=float(sums.t))
         if nth > SWEEPS - SAMPLES:
@@ -537,8 +719,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             break
         answers = _by_part(side.where("frm >= 0").select(F.col("frm").alias("to"), "part", "side", "ids", "customers", "tables", "contexts"), "to", parts)
         after = saved(state.join(answers.withColumnRenamed("to", "part"), "part", "left").mapInPandas(_sweep(t, nth), _STATE), "lm-state")
+        if before is not None and nth - 1 <= SWEEPS - SAMPLES:
+            forget(before)
         if nth <= SWEEPS - SAMPLES:
-            forget(state, side)
+            forget(state)
         state = after
 
     tables, restaurant = merged.select("part", "places"), vocabulary.select("part", "places", "word_n")

@@ -191,6 +191,44 @@ def test_reseating_of_many_customers_and_mixed_dishes():
         assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all() and len(sizes) == tables.sum()
 
 
+def test_every_customer_moves_in_a_sweep(monkeypatch):
+    n, flat = np.array([3_000, 500, 500, 90, 9, 8, 2, 1]), lambda i, t: np.full(len(i), 1e-9)
+    sweep = lambda: hpy_lm.reseat(np.ones(n.sum(), np.int64), np.cumsum(n) - n, np.zeros(len(n), np.int64), flat, 0.5, np.arange(len(n), dtype=np.uint64), 0)
+    sizes, tables = sweep()
+    assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all()
+    # nearly no table is opened, and a customer who leaves one of 3,000 tables of one closes it
+    assert tables[0] < 2_000 and (tables[1:3] < 350).all() and tables[-1] == 1
+    monkeypatch.setattr(hpy_lm, "TOGETHER", 2)
+    assert all((a == b).all() for a, b in zip(sweep(), (sizes, tables), strict=True))
+
+
+def test_reseating_of_larger_dishes_samples_the_posterior():
+    d, others, parent, each, n = 0.6, 5, 0.11, 4_000, 20
+    sizes, tables = np.tile(hpy_lm.first_seats(n, d), each), np.full(each, len(hpy_lm.first_seats(n, d)))
+    for sweep in range(60):
+        sizes, tables = hpy_lm.reseat(sizes, np.cumsum(tables) - tables, np.full(each, others), lambda i, t: np.full(len(i), parent), d, hpy_lm._mixed(np.arange(each, dtype=np.uint64)), sweep)
+    want = seated(n, lambda t: (hpy_lm.STRENGTH + d * (others + t)) * parent, d)
+    assert np.abs(np.bincount(tables, minlength=n + 1)[1:] / each - want).max() < 0.03
+
+
+def test_customers_come_and_go():
+    each, d, mass = 20_000, 0.6, lambda t: (hpy_lm.STRENGTH + 0.6 * (5 + t)) * 0.11
+    seeds, others = hpy_lm._mixed(np.arange(each, dtype=np.uint64)), np.full(each, 5)
+    sizes, tables = hpy_lm.come_and_go(np.ones(each, np.int64), np.ones(each, np.int64), np.full(each, 3), others, 0.11, d, seeds, 0)
+    want = {1: 1.0}
+    for k in (1, 2):
+        after = collections.Counter()
+        for t, w in want.items():
+            new = mass(t) / (mass(t) + k - d * t)
+            after[t] += w * (1 - new)
+            after[t + 1] += w * new
+        want = after
+    assert all(abs((tables == t).mean() - w) < 0.015 for t, w in want.items())
+    less, fewer = hpy_lm.come_and_go(np.tile([3, 1], each), np.full(each, 2), np.full(each, 3), others, 0.11, d, seeds, 1)
+    assert (np.add.reduceat(less, np.cumsum(fewer) - fewer) == 3).all() and abs((fewer == 1).mean() - 0.25) < 0.015
+    assert all(len(x) == 0 for x in hpy_lm.come_and_go(*[np.zeros(0, np.int64)] * 4, 0.11, d, seeds[:0], 2))
+
+
 def plain_model(train, words, sweeps, d, dw):
     """A sequential Gibbs sampler of the two levels, a customer at a time; the chance of each (context, word), averaged."""
     own = random.Random(5)
