@@ -158,7 +158,7 @@ def window_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str, w
     else:
         edges = counted.join(near(large), "k").groupBy("k").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"))
         rest = counted.join(near(large), "k", "left_anti")
-        out = _split(counted.join(near(written(edges, "edges")), "k"), key_columns, windows, qs)
+        out = _split(_ranged(counted, written(edges.withColumn("id", F.monotonically_increasing_id()), "edges"), key_columns, n_large), key_columns, windows, qs)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in _whole_groups(batches, own):
@@ -179,10 +179,34 @@ def _range() -> Column:
     return coarse * STEP + upto(F.slice("edges", coarse * STEP + 1, STEP - 1))
 
 
-def _split(rows: DataFrame, key_columns: str, windows: Mapping[str, int | None], qs: Sequence[float]) -> DataFrame:
-    """The answers of keys that are cut into ranges: rows of k, d, v, n and edges. No task holds more than a key's counts by day and range, or a range's values."""
+def _ranged(counted: DataFrame, edges: DataFrame, key_columns: str, n_large: int) -> DataFrame:
+    """The keys' columns, d, v, n and the range r of v (-1: null) of all large keys, written once.
+
+    Edges of up to BROADCAST_KEYS keys are handed to the tasks, which look values
+    up in them; those of more keys go with the rows.
+    """
+    if n_large > BROADCAST_KEYS:
+        at = F.when(F.col("v").isNull(), -1).otherwise(_range())
+        return written(counted.join(edges, "k").select("k.*", "d", "v", "n", at.alias("r")), "ranged")
+    of = {row.id: np.array(row.edges or [], np.float64) for row in edges.select("id", "edges").collect()}  # RANGES numbers a large key
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            v, key, r = t["v"].to_numpy(zero_copy_only=False), t["id"].to_numpy(), np.zeros(t.num_rows, np.int32)
+            for i in np.unique(key).tolist():
+                own = np.flatnonzero(key == i)
+                r[own] = np.searchsorted(of[i], v[own], "right")
+            r[t["v"].is_null().to_numpy(zero_copy_only=False)] = -1
+            names = [c for c in t.schema.names if c != "id"]
+            yield pa.RecordBatch.from_arrays([*(t[c] for c in names), pa.array(r)], names=[*names, "r"])
+
+    rows = counted.join(F.broadcast(edges.select("k", "id")), "k").select("k.*", "d", "v", "n", "id")
+    return written(rows.mapInArrow(ranged, f"{key_columns}, d int, v double, n long, r int"), "ranged")
+
+
+def _split(cut: DataFrame, key_columns: str, windows: Mapping[str, int | None], qs: Sequence[float]) -> DataFrame:
+    """The answers of keys that are cut into ranges: rows of keys, d, v, n and r. No task holds more than a key's counts by day and range, or a range's values."""
     own = [x.split(" ")[0] for x in key_columns.split(", ")]
-    cut = rows.withColumn("r", F.when(F.col("v").isNull(), -1).otherwise(_range())).select("k.*", "d", "v", "n", "r")
     # at most (ranges + 1) x days numbers for each key
     daily = _sorted_rows(cut.groupBy(*own, "d", "r").agg(F.sum("n").alias("n")), own)
     names = list(windows)

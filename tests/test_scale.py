@@ -51,3 +51,20 @@ def test_many_large_keys_of_two_columns(spark, monkeypatch):
             assert (r[f"{name}_rows"], r[f"{name}_n"]) == (len(own), len(known))
             for i, p in enumerate((0.1, 0.75)):
                 assert r[f"{name}_q{i}"] == (pytest.approx(np.quantile(known, p)) if known else None)
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_ranges_of_large_keys_are_found_and_written_once(spark, monkeypatch, most):
+    """Ties, nulls, a NaN and a key without values, by edges that tasks hold or that go with the rows."""
+    monkeypatch.setattr(Q, "BROADCAST_KEYS", most)
+    rows = [(k, i, None if k == "c" or i % 50 == 0 else float("nan") if i == 7 else float(i % 600) / 3) for k in "abc" for i in range(2_000)]
+    counted = spark.createDataFrame(rows, "k0 string, d int, v double").selectExpr("struct(k0) k", "d", "v", "1L n")
+    edges = {"a": [1.0, 5.0, 5.0, 90.0], "b": [i / 3 for i in range(255)], "c": None}
+    table = spark.createDataFrame([(k, e, i * 7) for i, (k, e) in enumerate(edges.items())], "k0 string, edges array<double>, id long").selectExpr("struct(k0) k", "edges", "id")
+    cut = Q._ranged(counted, table, "k0 string", 3)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k0, r.d): (r.v, r.r) for r in cut.collect()}
+    assert len(got) == len(rows)
+    for k, d, v in rows:
+        r = got[k, d][1]
+        assert r == (-1 if v is None else sum(e <= v or v != v for e in edges[k])), (k, d, v)
