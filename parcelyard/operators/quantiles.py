@@ -120,11 +120,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
             if at:
                 yield t.slice(0, at), group[:at]
             held = t.slice(at).to_batches()
+            del t, group
+            pa.default_memory_pool().release_unused()
             size -= at
             enough = max(BATCH, 2 * size)  # (a large group isn't looked through at each of its batches)
     if size:
         t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         yield t, numbered(t)
+        del t
+    # the worker stays and waits beside those of other stages
+    pa.default_memory_pool().release_unused()
 
 
 def _sorted_rows(rows: DataFrame, group: Sequence[str], order: Sequence[str] = ("d",)) -> DataFrame:

@@ -68,3 +68,13 @@ def test_ranges_of_large_keys_are_found_and_written_once(spark, monkeypatch, mos
     for k, d, v in rows:
         r = got[k, d][1]
         assert r == (-1 if v is None else sum(e <= v or v != v for e in edges[k])), (k, d, v)
+
+
+def test_tasks_give_arrows_reserve_back(monkeypatch):
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(Q.pa, "default_memory_pool", lambda: pool)
+    batches = [Q.pa.RecordBatch.from_pydict({"k0": [k] * 10, "d": list(range(10))}) for k in "aabbc"]
+    monkeypatch.setattr(Q, "BATCH", 15)
+    assert sum(t.num_rows for t, _ in Q._whole_groups(iter(batches), ["k0"])) == 50
+    assert len(calls) >= 2
