@@ -3,10 +3,17 @@
 Restaurants: one for each previous word, all with the word restaurant as
 parent, whose base is uniform over the known words and one unknown. A dish is a
 word; each customer of a context is a training token, each table of a context a
-customer of the word restaurant. Gibbs sampling removes customers and seats
-them again one at a time; probabilities are averaged over the last sweeps.
+customer of the word restaurant. Gibbs sampling seats customers again;
+probabilities are averaged over the last sweeps.
 
-Every customer of both levels moves once in a sweep. A sweep runs in parts, as in distributed Gibbs sampling for topic models
+Every customer of both levels is seated again in a sweep. No score depends on
+how many sit at which table, so the customers of a dish are seated all at once:
+the number of their tables is drawn from its exact distribution, in which t
+tables weigh as much as all ways to seat them at t tables (generalized Stirling
+numbers; Buntine and Hutter, 2010). Dishes of contexts with over SMALL customers
+move them one at a time instead, and keep the sizes of their tables.
+
+A sweep runs in parts, as in distributed Gibbs sampling for topic models
 (Newman et al., 2009): within a dish of a restaurant every move sees the one
 before, and what other parts hold (tables of the restaurant, probability in the
 parent) is that of the sweep before. Parts are of (context, word) by hash, so
@@ -21,6 +28,8 @@ Pairs seen once have one table whatever happens and take no part in sweeps.
 
 from __future__ import annotations
 
+import functools
+import math
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
@@ -42,6 +51,8 @@ from parcelyard.llm.langid import remainder
 SWEEPS, SAMPLES, STRENGTH, SEED = 5, 2, 1.0, 7
 #: Customers of a dish up to which table sizes alone are kept in a sweep; dishes that move together, fewer go on one by one; draws made at once for one of these.
 FEW, TOGETHER, DRAWS = 8, 40, 1_024
+#: Customers of a dish up to which ways to seat them are tabled; tables up to which a sum of few terms gives them for more customers, and the most that its terms may cancel; logarithm of what is too unlikely to be drawn.
+SMALL, TERMS, CANCELLED, UNLIKELY = 1_000, 64, 1e6, -40.0
 #: splitmix64's step.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Characters at which a block of texts is closed.
@@ -442,8 +453,116 @@ def reseat(sizes: np.ndarray, heads: np.ndarray, others: np.ndarray, parent: Cal
     return np.concatenate(flat_sizes)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(heads))
 
 
+@functools.lru_cache(2)
+def _ways(discount: float) -> np.ndarray:
+    """Logarithms of the ways to seat n customers at t tables, up to SMALL of both: row n - 1, column t - 1."""
+    out = np.full((SMALL, SMALL), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(1, SMALL):
+        out[n] = _next_ways(out[n - 1], n, discount)
+    return out
+
+
+def _next_ways(row: np.ndarray, n: int, discount: float) -> np.ndarray:
+    """Those of n + 1 customers, from those of n: the last one sits down with others or alone."""
+    t = min(len(row), n + 1)
+    out = np.full(len(row), -np.inf)
+    out[:t] = row[:t] + np.log(np.maximum(n - discount * np.arange(1, t + 1), 1e-300))
+    out[1:t] = np.logaddexp(out[1:t], row[: t - 1])
+    return out
+
+
+@functools.lru_cache(2)
+def _terms(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """For `_ways_of_many`: the factors 1 / gamma(-j * discount) with their signs, and the binomials of t and j."""
+    j = range(1, TERMS + 1)
+    # by reflection; a discount of j parts has a factor of nearly 0
+    factor = [(-1) ** (i + 1) * math.gamma(1 + i * discount) * math.sin(math.pi * i * discount) / math.pi for i in j]
+    return np.array(factor), np.array([[math.comb(t, i) for i in j] for t in j], np.float64)
+
+
+def _ways_of_many(n: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of the ways to seat each n (over SMALL) at 1 to TERMS tables, less that of gamma(n); -inf from where terms cancel too much.
+
+    By the sum of (-1)^j binomial(t, j) gamma(n - j * discount) / gamma(-j * discount) over j, divided by discount^t * t!.
+    """
+    factor, binomial = _terms(discount)
+    a, x = discount * np.arange(1, TERMS + 1), n[:, None].astype(np.float64)
+    y = x - a
+    # the logarithm of gamma(n - a) / gamma(n), by Stirling's series
+    ratio = (y - 0.5) * np.log1p(-a / x) - a * np.log(x) + a + (1 / y - 1 / x) / 12 - (1 / y**3 - 1 / x**3) / 360
+    each = factor * np.exp(ratio)
+    ways, whole = each @ binomial.T, np.abs(each) @ binomial.T
+    good = np.logical_and.accumulate(ways * CANCELLED > whole, axis=1)
+    t = np.arange(1, TERMS + 1)
+    with np.errstate(divide="ignore"):
+        out = np.log(np.where(good, ways, 0.0))
+    return out - t * math.log(discount) - np.cumsum(np.log(t))
+
+
+def _log_masses(own: np.ndarray, width: int, rest: tuple) -> np.ndarray:
+    """For 1 to `width` tables of dishes `own`, the logarithm of what all but the first weigh."""
+    out = np.zeros((len(own), width))
+    np.cumsum(np.log(_mass(own[:, None], np.arange(1, width), *rest)), axis=1, out=out[:, 1:])
+    return out
+
+
+def _picked(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many tables a number in [0, 1) picks by the logarithms of weights of 1, 2 and more of them."""
+    upto = np.exp(weights - weights.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return 1 + (upto <= (u * upto[:, -1])[:, None]).sum(axis=1)
+
+
+def draw_tables(n: np.ndarray, others: np.ndarray, parent: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, seeds: np.ndarray, sweep: int) -> np.ndarray:
+    """The tables of dishes of n customers, all of a dish seated anew at once.
+
+    others and parent are those of `reseat`, whose moves, again and again, have
+    these chances in the end; parent is given dishes in a column and tables in a
+    row. For any n, but meant for dishes of few tables, or of up to SMALL
+    customers.
+    """
+    u = _draw(_mixed(seeds + np.uint64((SEED * 1_000 + sweep) * int(GOLDEN) % 2**64)), np.zeros(len(n), np.uint64))
+    out, rest = np.ones(len(n), np.int64), (others, parent, discount)
+    order = np.argsort(n, kind="stable")
+    ascending = n[order]
+    # dishes of nearly as many customers share a matrix
+    edges = np.unique(np.floor(1.15 ** np.arange(math.log(SMALL, 1.15) + 1)).astype(np.int64))
+    heads = np.searchsorted(ascending, [*edges[edges < SMALL], SMALL], "right").tolist()
+    for a, b in zip(heads, heads[1:], strict=False):
+        width = int(ascending[b - 1]) if a < b else 1
+        step = max(1, MATRIX // 4 // width)
+        for at in range(a, b, step):
+            own = order[at : min(b, at + step)]
+            out[own] = _picked(_ways(discount)[n[own] - 1, :width] + _log_masses(own, width, rest), u[own])
+    left: list[int] = []
+    for at in range(heads[-1], len(n), max(1, MATRIX // 4 // TERMS)):
+        own = order[at : at + max(1, MATRIX // 4 // TERMS)]
+        weights = _ways_of_many(n[own], discount) + _log_masses(own, TERMS, rest)
+        last = np.isfinite(weights).sum(axis=1) - 1
+        done = weights[np.arange(len(own)), last] < weights.max(axis=1) + UNLIKELY
+        out[own[done]] = _picked(weights[done], u[own[done]])
+        left += own[~done].tolist()
+    width = TERMS
+    while left:
+        # as many tables as matter, by the rule of one customer more
+        width, row, k, more = width * 8, None, SMALL, []
+        row = np.full(width, -np.inf)
+        row[: min(width, SMALL)] = _ways(discount)[SMALL - 1, :width]
+        for i in left:
+            for k in range(k, int(n[i])):
+                row = _next_ways(row, k, discount)
+            k = int(n[i])
+            weights = row[: min(width, k)] + _log_masses(np.array([i]), min(width, k), rest)[0]
+            if width < k and weights[-1] >= weights.max() + UNLIKELY:
+                more.append(i)
+            else:
+                out[i] = _picked(weights[None], u[i : i + 1])[0]
+        left = more
+    return out
+
+
 def come_and_go(sizes: np.ndarray, tables: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: float, discount: float, seeds: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dishes after as many customers have come or gone as make up `customers`, one after the other: those that go are chosen evenly, those that come sit down as in `reseat`."""
+    """Dishes after as many customers have come or gone as make up `customers`, one after the other: those that go are chosen evenly, those that come sit down as in `reseat`. (No part of `score`, which draws the word restaurant's tables anew.)"""
     if not len(tables):
         return sizes, tables
     heads = _heads(tables)
@@ -527,17 +646,24 @@ def _merge(words: int, starts: np.ndarray, part_of: np.ndarray):
     return _each(merge)
 
 
+def _first_tables(n: np.ndarray, discount: float) -> np.ndarray:
+    """As many as `first_seats` has."""
+    return np.minimum(n, np.round(n**discount).astype(np.int64))
+
+
 def _seated(t: Totals):
-    """The first state of a part: pairs seen at least twice and their tables."""
+    """The first state of a part: pairs seen at least twice, their counts and tables, and the sizes of the tables of those with over SMALL customers."""
 
     def seated(row) -> list[dict]:
-        sizes, tables = _firsts(_ints(row.n), t.discount)
-        return [{"part": row.part, "pairs": row.pairs, "sizes": _planes(sizes), "tables": _planes(tables)}]
+        n = _ints(row.n)
+        tables = _first_tables(n, t.discount)
+        sizes, tables[n > SMALL] = _firsts(n[n > SMALL], t.discount)
+        return [{"part": row.part, "pairs": row.pairs, "n": row.n, "sizes": _planes(sizes), "tables": _planes(tables)}]
 
     return _each(seated)
 
 
-_STATE = "part int, pairs binary, sizes binary, tables binary"
+_STATE = "part int, pairs binary, n binary, sizes binary, tables binary"
 
 
 def _pair_keys(data: bytes) -> np.ndarray:
@@ -553,7 +679,7 @@ def _report(t: Totals, starts: np.ndarray, part_of: np.ndarray):
 
 
 def _word_side(t: Totals, starts: dict[int, int], sweep: int):
-    """A sweep over the word restaurant's dishes of a part of the vocabulary, once the contexts' new tables have come and closed ones gone; and answers to all who reported."""
+    """A sweep over the word restaurant's dishes of a part of the vocabulary, whose customers are the contexts' new tables; and answers to all who reported."""
 
     def side(row) -> list[dict]:
         start, customers, tables = starts[row.part], _ints(row.ones_word).copy(), _ints(row.ones_context).copy()
@@ -563,30 +689,24 @@ def _word_side(t: Totals, starts: dict[int, int], sweep: int):
         own = np.zeros(len(customers), np.int64)
         served = np.flatnonzero(customers)
         seeds, base = _mixed(served.astype(np.uint64) + np.uint64(start)), 1 / (t.known + 1)
-        if row.sizes is None:
-            sizes, seats = _firsts(customers[served], t.word_discount)
-            others = np.maximum(t.tables - seats, 0)
-        else:
-            # a trained word is in some context at any time, so the same words are served
-            sizes, seats = _ints(row.sizes), _ints(row.seats)[served]
-            others = np.maximum(t.tables - seats, 0)
-            sizes, seats = come_and_go(sizes, seats, customers[served], others, base, t.word_discount, seeds, 250 + sweep)
-        sizes, own[served] = reseat(sizes, _heads(seats), others, lambda i, _: np.full(len(i), base), t.word_discount, seeds, 500 + sweep)
-        out = [{"part": row.part, "frm": -1, "side": "all", "ids": None, "sizes": _planes(sizes), "customers": _planes(customers), "tables": _planes(own), "contexts": _planes(tables), "sum_customers": customers.sum(), "sum_tables": own.sum()}]
+        # a trained word is in some context at any time, so the same words are served
+        seats = _first_tables(customers[served], t.word_discount) if row.seats is None else _ints(row.seats)[served]
+        own[served] = draw_tables(customers[served], np.maximum(t.tables - seats, 0), lambda _, t: np.full(t.shape, base), t.word_discount, seeds, 500 + sweep)
+        out = [{"part": row.part, "frm": -1, "side": "all", "ids": None, "customers": _planes(customers), "tables": _planes(own), "contexts": _planes(tables), "sum_customers": customers.sum(), "sum_tables": own.sum()}]
         for frm, kind, ids, at, _ in asked:
             word = kind == "word"
-            out.append({"part": row.part, "frm": frm, "side": kind, "ids": ids, "sizes": None, "customers": _planes(customers[at]) if word else None, "tables": _planes(own[at]) if word else None, "contexts": None if word else _planes(tables[at]), "sum_customers": 0, "sum_tables": 0})
+            out.append({"part": row.part, "frm": frm, "side": kind, "ids": ids, "customers": _planes(customers[at]) if word else None, "tables": _planes(own[at]) if word else None, "contexts": None if word else _planes(tables[at]), "sum_customers": 0, "sum_tables": 0})
         return out
 
     return _each(side)
 
 
-_WORD_SIDE = "part int, frm int, side string, ids binary, sizes binary, customers binary, tables binary, contexts binary, sum_customers long, sum_tables long"
+_WORD_SIDE = "part int, frm int, side string, ids binary, customers binary, tables binary, contexts binary, sum_customers long, sum_tables long"
 
 
 def _sweep(t: Totals, nth: int):
     def sweep(row) -> list[dict]:
-        keys, sizes, tables = _pair_keys(row.pairs), _ints(row.sizes), _ints(row.tables)
+        keys, n, tables = _pair_keys(row.pairs), _ints(row.n), _ints(row.tables)
         got = sorted(row.got if row.got is not None else [], key=lambda g: g["part"])
         joined = lambda kind, name, read=_ints: np.concatenate([read(g[name]) for g in got if g["side"] == kind] or [np.zeros(0, np.int64)])
         read_ids = lambda data: np.cumsum(_ints(data))
@@ -601,8 +721,11 @@ def _sweep(t: Totals, nth: int):
             return t.probability(there, np.minimum(seats[i], there))
 
         seeds = _seed(keys // np.uint64(t.words), keys % np.uint64(t.words))
-        sizes, tables = reseat(sizes, _heads(tables), others, parent, t.discount, seeds, nth)
-        return [{"part": row.part, "pairs": row.pairs, "sizes": _planes(sizes), "tables": _planes(tables)}]
+        small, large = np.flatnonzero(n <= SMALL), np.flatnonzero(n > SMALL)
+        sizes, seats_of_large = reseat(_ints(row.sizes), _heads(tables[large]), others[large], lambda i, own: parent(large[i], own), t.discount, seeds[large], nth)
+        tables[small] = draw_tables(n[small], others[small], lambda i, own: parent(small[i], own), t.discount, seeds[small], nth)
+        tables[large] = seats_of_large
+        return [{"part": row.part, "pairs": row.pairs, "n": row.n, "sizes": _planes(sizes), "tables": _planes(tables)}]
 
     return _each(sweep)
 
@@ -709,7 +832,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         told = _by_part(state.mapInPandas(_report(t, starts, part_of), _TALLY), "part", parts)
         before = side
         asked = base.join(told, "part", "left")
-        asked = asked.withColumns({"sizes": null, "seats": null}) if before is None else asked.join(before.where("frm = -1").select("part", "sizes", F.col("tables").alias("seats")), "part")
+        asked = asked.withColumn("seats", null) if before is None else asked.join(before.where("frm = -1").select("part", F.col("tables").alias("seats")), "part")
         side = saved(asked.mapInPandas(_word_side(t, start_of, nth), _WORD_SIDE), "lm-side")
         sums = side.where("frm = -1").agg(F.sum("sum_customers").alias("c"), F.sum("sum_tables").alias("t")).first()
         t = t._replace(customers=float(sums.c), tables=float(sums.t))

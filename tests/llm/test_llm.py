@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -229,6 +230,43 @@ def test_customers_come_and_go():
     assert all(len(x) == 0 for x in hpy_lm.come_and_go(*[np.zeros(0, np.int64)] * 4, 0.11, d, seeds[:0], 2))
 
 
+def test_tables_are_drawn_from_the_posterior():
+    d, each = 0.6, 40_000
+    for n, others, parent in ((1, 5, 0.11), (2, 5, 0.11), (8, 500, 0.9), (20, 5, 0.11), (300, 40, 0.01), (hpy_lm.SMALL + 200, 40, 0.01), (hpy_lm.SMALL + 200, 900, 0.05)):
+        seeds = hpy_lm._mixed(np.arange(each, dtype=np.uint64))
+        tables = hpy_lm.draw_tables(np.full(each, n), np.full(each, others), lambda i, t: np.full(t.shape, parent), d, seeds, 0)
+        # (masses in units of n, so that ways stay within floating point)
+        ways = {1: 0.0}
+        for k in range(1, n):
+            after = {t: w + np.log(k - d * t) for t, w in ways.items()}
+            for t, w in ways.items():
+                after[t + 1] = np.logaddexp(after.get(t + 1, -np.inf), w + np.log((hpy_lm.STRENGTH + d * (others + t)) * parent))
+            ways = after if n <= 300 else {t: w for t, w in after.items() if w > max(after.values()) - 60}
+        logs = np.array([ways.get(t, -np.inf) for t in range(1, n + 1)])
+        want = np.exp(logs - logs.max())
+        got = np.bincount(tables, minlength=n + 1)[1:] / each
+        assert np.abs(got - want / want.sum()).max() < 0.012, n
+
+
+def test_ways_of_many_customers_equal_the_rule_of_one_more():
+    for d in (0.05, 0.5, 0.78, 0.95):
+        row, n = hpy_lm._ways(d)[-1, : hpy_lm.TERMS], hpy_lm.SMALL
+        for n in range(hpy_lm.SMALL, hpy_lm.SMALL + 3_000):
+            row = hpy_lm._next_ways(row, n, d)
+        got = hpy_lm._ways_of_many(np.array([n + 1]), d)[0] + math.lgamma(n + 1)
+        some = np.isfinite(got)
+        assert some.any() and np.abs(got - row)[some].max() < 1e-5, d
+
+
+def test_hot_dishes_of_few_tables_take_no_steps(monkeypatch):
+    monkeypatch.setattr(hpy_lm, "_next_ways", None)  # (would be called for each customer)
+    monkeypatch.setattr(hpy_lm, "_ways", lambda discount: None)
+    n = np.array([10**9, 30_000, 5_000])
+    tables = np.array([hpy_lm.draw_tables(n, np.full(3, 1_000_000), lambda i, t: np.full(t.shape, 1e-6), 0.6, np.arange(3, dtype=np.uint64), sweep) for sweep in range(2_000)])
+    # one and a number that is nearly Poisson of the mean mass / discount
+    assert np.abs(tables.mean(axis=0) - 2).max() < 0.12
+
+
 def plain_model(train, words, sweeps, d, dw):
     """A sequential Gibbs sampler of the two levels, a customer at a time; the chance of each (context, word), averaged."""
     own = random.Random(5)
