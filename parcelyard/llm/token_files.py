@@ -9,13 +9,18 @@ any block can be decoded alone.
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,9 +30,10 @@ from parcelyard.llm.common import kept_in_worker, saved, shuffle_parts
 
 #: Longest code in bits (or what the number of ids in use needs), ids in a block, ids in a chunk at which it is closed.
 LIMIT, BLOCK, CHUNK_IDS = 16, 256, 500_000
-#: Words that a worker keeps the ids of, and words that are encoded in one text.
-CACHE_WORDS, JOINED = 600_000, 100
-BATCH_CHARS = 1_000_000
+#: Words that a worker keeps the ids of, words that are encoded in one text, and words of letters whose tokens are read together.
+CACHE_WORDS, JOINED, TOGETHER = 600_000, 100, 5_000
+BATCH_CHARS = 3_000_000
+PUNCTUATION = string.punctuation.encode()
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -136,22 +142,31 @@ class WordTokenizer:
         other = [b for b in range(256) if b not in plain]
         self.written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """A word of letters that the normalizer leaves alone is one pre-token and goes straight to the model.
 
         Others are encoded many to a text and told apart by their tokens' offsets.
         """
-        out: dict[bytes, bytes] = {}
+        own: list[bytes] = []
+        letters: list[str] = []
         rest: list[tuple[bytes, str]] = []
-        tokenize, written = self.model.tokenize, self.written
         for w in words:
+            if w.isalpha():  # ASCII letters alone
+                own.append(w)
+                letters.append(w.decode())
+                continue
             t = w.decode()
-            if t.isascii() and t.isalpha():
-                out[w] = array("I", [x.id for x in tokenize(t)]).tobytes()
-            elif t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
-                out[w] = array("I", [x.id for x in tokenize(w.decode("latin-1").translate(written))]).tobytes()
+            if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
+                own.append(w)
+                letters.append(w.decode("latin-1").translate(self.written))
             else:
                 rest.append((w, t))
+        out: dict[bytes, bytes] = {}
+        for part in range(0, len(own), TOGETHER):
+            tokens = list(map(self.model.tokenize, letters[part : part + TOGETHER]))
+            data = array("I", map(attrgetter("id"), chain.from_iterable(tokens))).tobytes()
+            ends = [4 * n for n in accumulate(map(len, tokens))]
+            out.update(zip(own[part : part + TOGETHER], [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for part in range(0, len(rest), JOINED):
             own = rest[part : part + JOINED]
             ends = np.cumsum([len(t) + 1 for _, t in own])
@@ -163,34 +178,41 @@ class WordTokenizer:
                 at = c
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Keep the ids of words that aren't kept yet.
+    def _learn(self, new: set[bytes]) -> None:
+        """Keep the ids of words that weren't kept.
 
-        A point or comma after an ASCII letter or digit is a pre-token of its
-        own, so the word without it is what needs encoding.
+        ASCII punctuation that ends a word after an ASCII letter or digit is a
+        pre-token of its own, so what needs encoding is the word without it.
         """
         cache = self.cache
-        new = [w for w in words if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list(words)
-        ending = [w for w in new if w[-1:] in b".," and w[-2:-1].isalnum()]
-        stems = {w[:-1] for w in ending}
-        stems.update(new, (b".", b","))
-        stems.difference_update(ending)
-        stems = [w for w in stems if w not in cache]
+        ending = {w: (s, w[len(s) :]) for w in new if not w[-1:].isalnum() and (s := w.rstrip(PUNCTUATION)) != w and s[-1:].isalnum()}
+        stems = set(chain.from_iterable(ending.values())).difference(cache)
+        stems.update(new.difference(ending))
         cache.update(self._encode_words(stems))
-        for w in ending:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        cache.update((w, cache[s] + cache[e]) for w, (s, e) in ending.items())
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         # the tokenizer lower-cases, so A-Z may be lower-cased before
         low = [t.encode().lower() for t in texts]
         whole = {i: t for i, (t, b) in enumerate(zip(texts, low, strict=True)) if any(x in b for x in self.added)}
-        found = [[] if i in whole else b.split() for i, b in enumerate(low)]
-        self._learn(set().union(*found))
-        known, tail = self.cache.__getitem__, int(end).to_bytes(4, "little")
-        out = [np.frombuffer(b"".join(map(known, own)) + tail, "<u4") for own in found]
+        found = pc.ascii_split_whitespace(pa.array([b"" if i in whole else b for i, b in enumerate(low)], pa.large_binary()).cast(pa.large_string()))
+        # different words are looked up, and their ids spread over where they occur
+        distinct = found.values.dictionary_encode()
+        words, which = distinct.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
+        known = list(map(self.cache.get, words))
+        missing = [i for i, x in enumerate(known) if x is None]
+        self._learn({words[i] for i in missing} - {b""})
+        for i in missing:
+            known[i] = self.cache.get(words[i], b"")  # white space at the edges leaves an empty word
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds, tail = ends[found.offsets.to_numpy()].tolist(), np.array([end], "<u4")
+        out = [np.concatenate((ids[a:b], tail)) for a, b in zip(bounds, bounds[1:], strict=False)]
         for i, t in whole.items():
             out[i] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4")
         return out
@@ -243,8 +265,10 @@ def count_ids(rows: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                n = np.bincount(_ids(ids), minlength=len(total))
+            ends = np.cumsum(batch["ids"].str.len().to_numpy(np.int64))
+            # as many texts at a time as a chunk holds; counting costs as much as the vocabulary each time
+            for own in np.split(batch["ids"].to_numpy(), np.flatnonzero(np.diff(ends // (4 * CHUNK_IDS))) + 1):
+                n = np.bincount(np.concatenate([np.zeros(0, np.uint32), *map(_ids, own)]), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         used = np.flatnonzero(total)

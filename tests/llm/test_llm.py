@@ -124,6 +124,30 @@ def test_token_files_round_trip(spark, docs, empty):
     assert [r.doc_id for r in nulls] == [None, 7, 7]
 
 
+def test_words_are_looked_up_once_in_a_batch(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    texts = ["", " ", "  a  b ", "\x0b\x0ca\x1cb\x85c d e", "it's a.b, c.,. 5. x,", "\u0130 \u00c9 e\u0301 \u1e9e", "a<|endoftext|> b", "\x1f a\x00b", "a b " * 50, "on!! b'' c_ d's' 1.'s 2!' e\u0301!? x'!~ .. ''s a\u00df. <|end|> q<=\u0338", *[t or "" for t in TEXTS]]
+    for most in (token_files.CACHE_WORDS, 3):
+        monkeypatch.setattr(token_files, "CACHE_WORDS", most)
+        words, looked = token_files.WordTokenizer(WORDS), []
+
+        class Kept(dict):
+            def get(self, w, *default):
+                looked.append(w)
+                return dict.get(self, w, *default)
+
+        words.cache = Kept()
+        for _ in range(2):
+            looked.clear()
+            for ids, t in zip(words.encode(texts, 1), texts, strict=True):
+                assert ids.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1]
+        if most > 3:
+            assert looked and len(looked) <= len(set(looked)) + 1  # (an empty word is looked up twice)
+    assert words.encode([], 1) == []
+
+
 def test_code_lengths_are_optimal_under_the_limit():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34])
     free, tight = token_files.code_lengths(counts, 16), token_files.code_lengths(counts, 4)
