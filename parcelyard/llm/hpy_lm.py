@@ -216,6 +216,8 @@ class Pairs(NamedTuple):
 
     context: np.ndarray
     word: np.ndarray
+    context_at: np.ndarray  # the place among the block's ids, ascending
+    word_at: np.ndarray
     part: np.ndarray
     n: np.ndarray  # training tokens
     at: np.ndarray
@@ -226,17 +228,23 @@ def _seed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _pairs(row, parts: int, end: int) -> Pairs:
-    ids, tokens, sizes = _ints(row.ids), _ints(row.tokens), _ints(row.sizes)
+    own, sizes = _ints(row.ids), _ints(row.sizes)
+    by_id = np.argsort(own)
+    ids, place = own[by_id], np.empty(len(own), np.int64)
+    place[by_id] = np.arange(len(own))
+    tokens = place[_ints(row.tokens)]
     before = np.concatenate([[0], tokens[:-1]])
-    before[np.cumsum(sizes) - sizes] = np.flatnonzero(ids == end)[0]
-    found, at = np.unique(before * len(ids) + tokens, return_inverse=True)
-    context, word = ids[found // len(ids)], ids[found % len(ids)]
-    part = (_seed(context.astype(np.uint64), word) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((word, context, part))
+    before[np.cumsum(sizes) - sizes] = np.searchsorted(ids, end)
+    found, at = np.unique(before << 32 | tokens, return_inverse=True)
+    context_at, word_at = found >> 32, found & 0xFFFFFFFF
+    part = (_seed(ids[context_at].astype(np.uint64), ids[word_at]) % np.uint64(parts)).astype(np.int64)
+    # those found are by context and word already; few parts are sorted by radix
+    order = np.argsort(part.astype(np.uint16) if parts < 2**16 else part, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     n = np.bincount(at[np.repeat(~np.asarray(row.held, bool), sizes)], minlength=len(found))
-    return Pairs(context[order], word[order], part[order], n[order], rank[at])
+    context_at, word_at = context_at[order], word_at[order]
+    return Pairs(ids[context_at], ids[word_at], context_at, word_at, part[order], n[order], rank[at])
 
 
 def _steps(x: np.ndarray) -> bytes:
@@ -760,10 +768,10 @@ def _scores(known: list[Totals], parts: int, end: int, train: int, key: str):
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                x, ids = _pairs(row, parts, end), np.sort(_ints(row.ids))
+                x = _pairs(row, parts, end)
                 by = lambda got: sorted(got, key=lambda g: g["part"])
                 words, pairs = by(row.words), by(row.pairs)
-                word_at, context_at = np.searchsorted(ids, x.word), np.searchsorted(ids, x.context)
+                word_at, context_at = x.word_at, x.context_at
                 word_n, pair_n = (np.concatenate([_ints(g["n"]) for g in got]) for got in (words, pairs))
                 p = np.zeros(len(pair_n))
                 for s, t in enumerate(known):
