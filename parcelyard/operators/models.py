@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelyard.functions.math import clip, interpolated_normal_quantile, safe_divide
+from parcelyard.tables import written
 
 
 def market_normalized(price: Column, index: Column, reference: Column) -> Column:
@@ -88,16 +89,16 @@ def best_experts(df: DataFrame, actual: str, experts: Sequence[str], by: str, un
     Of equal candidates the first in lexicographic order counts. A gate with
     fewer than `least` rows takes the weights of all rows, and its own error with them.
     """
-    errors = expert_errors(df, actual, experts, units, by)
+    errors = written(expert_errors(df, actual, experts, units, by), "errors")  # (a row for each candidate of a gate) read five times
     both = errors.unionByName(errors.groupBy("candidate").agg(F.sum("err").alias("err"), F.sum("n").alias("n")).select(F.lit("all").alias("gate"), "candidate", "err", "n"))
     best = both.groupBy("gate").agg(F.min_by("candidate", F.struct("err", "candidate")).alias("own"), F.max("n").alias("n"))
     overall = best.where("gate = 'all'").select(F.col("own").alias("common"))
     wanted = df.sparkSession.createDataFrame([(g,) for g in ("all", *gates)], "gate string")
     picked = wanted.join(best, "gate", "left").crossJoin(F.broadcast(overall)).withColumn("n", F.coalesce("n", F.lit(0))).withColumn("fallback", (F.col("gate") != "all") & (F.col("n") < least))
     picked = picked.withColumn("candidate", F.when(F.col("fallback"), F.col("common")).otherwise(F.col("own")))
-    table = F.array(*[F.array(*map(F.lit, c)) for c in compositions(units, len(experts))])
-    scored = picked.join(both.select("gate", "candidate", "err"), ["gate", "candidate"], "left")
-    return scored.select("gate", F.get(table, "candidate").alias("units"), (F.col("err") / F.col("n") / units).alias("mae"), "n", "fallback")
+    table = df.sparkSession.createDataFrame(list(enumerate(map(list, compositions(units, len(experts))))), "candidate int, units array<int>")
+    scored = picked.join(both.select("gate", "candidate", "err"), ["gate", "candidate"], "left").join(F.broadcast(table), "candidate", "left")
+    return scored.select("gate", "units", (F.col("err") / F.col("n") / units).alias("mae"), "n", "fallback")
 
 
 def range_factors(df: DataFrame, day: str, actual: str, predicted: str, edges: Sequence[float], months: int = 3, least: int = 100) -> DataFrame:

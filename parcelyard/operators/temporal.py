@@ -10,7 +10,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from parcelyard.operators.quantiles import window_quantiles
-from parcelyard.tables import met
+from parcelyard.tables import met, written
 
 
 def prior(keys: Sequence[str], day: str, days: int | None = None) -> WindowSpec:
@@ -119,11 +119,16 @@ def temporal_split(df: DataFrame, day: str, test: float = 0.2) -> DataFrame:
 def folds(df: DataFrame, day: str, tie: str, k: int) -> DataFrame:
     """fold 0..k of expanding splits by day, then tie: fold i tests on its rows and trains on all before; 0 only trains.
 
-    A row's place is its day's first place plus its place within the day, so no window spans all rows.
+    A row's place is its day's first place plus its place within the day. Most
+    days lie in one fold; only rows of the up to k days in which a fold begins
+    are sorted, and no other row is shuffled.
     """
-    by_day = df.groupBy(day).count()
     before = W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    starts = by_day.select(day, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"), F.sum("count").over(W.partitionBy()).alias("_n"))
-    rows = df.join(starts, day).withColumn("_r", F.col("_first") + F.row_number().over(W.partitionBy(day).orderBy(tie)))
+    runs = df.groupBy(day).count().select(day, "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"), F.sum("count").over(W.partitionBy()).alias("_n"))
     size = F.greatest(F.floor(F.col("_n") / (k + 1)), F.lit(1))
-    return rows.withColumn("fold", F.greatest(F.lit(0), k - F.floor((F.col("_n") - F.col("_r")) / size)).cast("int")).drop("_r", "_n", "_first")
+    at = lambda place: F.greatest(F.lit(0), k - F.floor((F.col("_n") - place) / size)).cast("int")
+    starts = written(runs.select("*", at(F.col("_first") + 1).alias("fold"), at(F.col("_first") + F.col("count")).alias("_last")), "days")  # a row a day
+    whole = df.join(F.broadcast(starts.where("fold = _last").select(day, "fold")), day)
+    cut = df.join(F.broadcast(starts.where("fold < _last").select(day, "_first", "_n")), day)
+    cut = cut.withColumn("fold", at(F.col("_first") + F.row_number().over(W.partitionBy(day).orderBy(tie)))).drop("_first", "_n")
+    return whole.unionByName(cut)

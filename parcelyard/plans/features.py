@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -32,7 +34,7 @@ def basic(df: DataFrame) -> DataFrame:
     """The observed price per square metre is kept before the asking one takes its name."""
     year, age = F.col("construction_year"), F.year("sold_date") - F.col("construction_year")
     return df.withColumns({"observed_ppsqm": M.observed_ppsqm(F.col("sold_price"), F.col("living_area")), "price_per_sqm": M.safe_divide(F.col("listing_price"), F.col("living_area")), "property_age": age}).withColumns({
-        "size_band": C.size_band(F.col("living_area")), "era": C.era(year), "quality": C.quality(C.era(year)), "energy": C.energy(year, F.col("living_area")), "renovation": C.renovation(age), "street": S.street_ml(F.col("address"))
+        "size_band": C.size_band(F.col("living_area")), "era": C.era(year), "quality": C.quality_of_year(year), "energy": C.energy(year, F.col("living_area")), "renovation": C.renovation(age), "street": S.street_ml(F.col("address"))
     })
 
 
@@ -41,20 +43,22 @@ def calendar(df: DataFrame) -> DataFrame:
     return df.withColumns({"month_sin": c["month_sin"], "month_cos": c["month_cos"], "season": C.in_sets(m, C.SEASONS), "timing": C.timing_score(m, F.year("sold_date"))})
 
 
-def priors(df: DataFrame) -> DataFrame:
-    """What earlier days tell of the area: quantiles, market sums and the smoothed mean."""
+def priors(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """What earlier days tell of the area: quantiles, market sums and the smoothed mean, joined to the rows at once. keep: the columns of df that are wanted (None: all)."""
+    asked = df.columns if keep is None else [c for c in df.columns if c in keep]
+    df = df.select(*dict.fromkeys([*asked, "area", "sold_date", "observed_ppsqm", "listing_price", "sold_price", "days_on_market"]))
     df = written(df, "chain")  # read for each kind of statistics
     facts = df.withColumn("price_change", F.col("sold_price") - F.col("listing_price")).select("area", "sold_date", "observed_ppsqm", "listing_price", "sold_price", "days_on_market", "price_change")
     q = T.prior_quantiles(facts, "area", "sold_date", "observed_ppsqm").select("area", "sold_date", F.col("p50").alias("area_p50"), F.col("n").cast("double").alias("area_n"))
     market = T.market_by_day(facts, "area", "sold_date", "listing_price", "days_on_market", "price_change").select("area", "sold_date", "price_median", "price_volatility", "dom_median")
     encoded = T.target_mean_by_day(facts, "area", "sold_date", "sold_price").select("area", "sold_date", F.col("encoded").alias("encoded_area"))
-    for stats in (q, market, encoded):
-        df = met(df, stats, ["area", "sold_date"])
-    return df
+    on = ["area", "sold_date"]
+    return met(df.select(*dict.fromkeys([*asked, *on])), q.join(market, on, "left").join(encoded, on, "left"), on)
 
 
-def features(df: DataFrame) -> DataFrame:
-    return priors(calendar(basic(df)))
+def features(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """The whole chain, or of the columns before the last step those in keep."""
+    return priors(calendar(basic(df)), keep)
 
 
 def train(df: DataFrame, target: str = "sold_price", trees: int = 20, seed: int = 7) -> PipelineModel:
@@ -73,13 +77,13 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 @query()
 def feature_chain(l: DataFrame) -> DataFrame:
     """Rows only: the whole chain."""
-    return features(l).select("listing_id", *[F.round(c, 4).alias(c) for c in NUMERIC], *[c for c in CATEGORICAL])
+    return features(l, ["listing_id", *NUMERIC, *CATEGORICAL]).select("listing_id", *[F.round(c, 4).alias(c) for c in NUMERIC], *[c for c in CATEGORICAL])
 
 
 @query(on_listings=False)
 def ml_gbt_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Rows only: errors on the later fifth of a model trained on the days before."""
-    df = T.temporal_split(features(listings(spark, d)), "sold_date")
+    df = T.temporal_split(features(listings(spark, d), ["sold_price", "sold_date", *NUMERIC, *CATEGORICAL]), "sold_date")
     df = written(df.select("sold_price", "is_train", *NUMERIC, *CATEGORICAL), "holdout")  # each step of training reads it
     got = predict(train(df.where("is_train"), trees=5), df.where("not is_train"))
-    return got.agg(*[c.alias(k) for k, c in A.errors(F.col("sold_price"), F.col("predicted")).items()])
+    return A.overall_errors(got, "sold_price", "predicted")

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.operators import aggregates as A
+
 NUMERIC = ("living_area", "rooms", "construction_year", "floor", "monthly_fee", "area_p50", "area_n", "encoded_area", "price_median", "price_volatility", "dom_median", "energy", "quality", "month_sin", "month_cos", "timing", "property_age", "listing_price", "price_per_sqm")
 CATEGORICAL = ("area", "size_band", "era", "season")
 #: Features that follow from the asking price; a model for homes without one must not take them.
@@ -85,14 +87,14 @@ class Context:
     categorical: Mapping[str, str] = field(default_factory=dict)
 
 
-def fit_context(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], accuracy: int = 100_000) -> Context:
-    """Medians of the numeric features that df has (to 1 / accuracy of the ranks, in a summary of bounded size), and `unknown` for categories."""
+def fit_context(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Context:
+    """Exact medians (the lower of two) of the numeric features that df has, and `unknown` for categories."""
     here = [c for c in numeric if c in df.columns]
     if not here:
         return Context({}, {c: "unknown" for c in categorical})
     number = lambda c: F.nanvl(F.expr(f"try_cast(`{c}` AS double)"), F.lit(None))
-    row = df.agg(*[F.percentile_approx(number(c), 0.5, accuracy).alias(c) for c in here]).first()
-    return Context({c: row[c] for c in here if row[c] is not None}, {c: "unknown" for c in categorical})
+    found = {r.column_name: r.middle for r in A.middles(df.select(*[number(c).alias(c) for c in here]), here).collect()}
+    return Context({c: found[c] for c in here if c in found}, {c: "unknown" for c in categorical})
 
 
 def matrix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], context: Context, keep: Sequence[str] = ()) -> DataFrame:

@@ -34,8 +34,8 @@ from parcelyard.tables import written
 FOLDS, UNITS, LEAST_ROWS, LEAST_GATE = 3, 20, 100, 200
 #: The acceptance gate on the median absolute percentage error.
 MOST_MEDIAN_APE = 0.08
-#: Models that are fitted at a time.
-AT_ONCE = 8
+#: Models that are fitted at a time, and rows that all of these hold in memory (some 300 bytes each); a larger model is fitted alone.
+AT_ONCE, ROWS_HELD = 8, 20_000_000
 
 EXPERTS = ("global", "low", "mid", "high")
 MODELS = ("base", "market", "low", "mid", "high")
@@ -97,13 +97,17 @@ def table(l: DataFrame, spec: G.Spec, k: int = FOLDS) -> tuple[DataFrame, Pipeli
     spec.check()
     numeric, categorical = G.subset(spec.subset)
     rows = l if spec.asking else l.withColumn("listing_price", F.lit(None).cast("double"))
-    made = features(rows).where((F.col("sold_price") > 0) & F.col("sold_date").isNotNull() & (F.col("living_area") > 0))
+    wanted = ["listing_key", "sold_date", "sold_price", "living_area", "observed_ppsqm", *numeric, *categorical]
+    made = features(rows, wanted).where((F.col("sold_price") > 0) & F.col("sold_date").isNotNull() & (F.col("living_area") > 0))
     made = made if spec.asking else mask_asking(made)
-    made = made.withColumn("month", F.trunc("sold_date", "MM")).join(F.broadcast(market_index(made)), "month", "left").drop("month")
     made = written(T.folds(made, "sold_date", "listing_key", k), "tier-features")
+    index = written(market_index(made), "market-index")
+    made = made.withColumn("month", F.trunc("sold_date", "MM")).join(F.broadcast(index), "month", "left").drop("month")  # (a row a month)
     context = G.fit_context(made.where("fold = 0"), numeric, categorical)
     prepare = preparation(G.matrix(made, numeric, categorical, context), numeric, categorical)
-    return written(prepared(made, prepare, spec, context), "tier-table"), prepare, context
+    # a training set opens its own folds, and of their files the pages with its prices
+    rows = prepared(made, prepare, spec, context).sortWithinPartitions("fold", "sold_price")
+    return written(rows, "tier-table", ["fold"]), prepare, context
 
 
 def preparation(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
@@ -121,17 +125,24 @@ def prepared(made: DataFrame, prepare: PipelineModel, spec: G.Spec, context: G.C
     return rows.select(*keep, *[F.col(f"own_{c}").alias(c) for c in ("living_area", "area", "size_band", "area_p50")], "_x")
 
 
-def _in_parallel(spark: SparkSession, jobs: Mapping[Any, Callable[[], Any]]) -> dict[Any, Any]:
+def _at_once(rows: int) -> int:
+    """How many models of up to so many rows are fitted side by side."""
+    return max(1, min(AT_ONCE, ROWS_HELD // max(rows, 1)))
+
+
+def _in_parallel(spark: SparkSession, jobs: Mapping[Any, Callable[[], Any]], at_once: int) -> dict[Any, Any]:
     """The results of jobs that a pool of threads hands to Spark."""
-    with ThreadPool(AT_ONCE) as pool:
-        return dict(zip(jobs, pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs.values()), strict=True))
+    with ThreadPool(at_once) as pool:
+        return dict(zip(jobs, pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs.values(), chunksize=1), strict=True))
 
 
 def _fit_all(rows: DataFrame, segments: Segments, sets: Mapping[int, Column], trees: int) -> dict[int, tuple[dict[str, GBTRegressionModel | None], float]]:
     """The models of each training set, and the median of its market index; thin segments have no model."""
     index = {i: A.median(F.when(c & (F.col("idx") > 0), F.col("idx"))).alias(f"ref{i}") for i, c in sets.items()}
     sizes = {(i, k): F.count(F.when(c & m & (F.col("idx") > 0), 1)).alias(f"{k}{i}") for i, c in sets.items() for k, m in segments.masks(F.col("sold_price")).items()}
-    facts = rows.agg(*index.values(), *sizes.values()).first()
+    whole = {i: F.count(F.when(c, 1)).alias(f"rows{i}") for i, c in sets.items()}
+    facts = rows.agg(*index.values(), *sizes.values(), *whole.values()).first()
+    most = max(facts[f"rows{i}"] for i in sets)
     jobs: dict[tuple[int, str], Callable[[], GBTRegressionModel]] = {}
 
     def job(own: DataFrame, label: Column) -> Callable[[], GBTRegressionModel]:
@@ -147,7 +158,7 @@ def _fit_all(rows: DataFrame, segments: Segments, sets: Mapping[int, Column], tr
         normal = P.market_normalized(price, F.col("idx"), F.lit(facts[f"ref{i}"]))
         jobs[i, "market"] = job(indexed, normal)
         jobs |= {(i, k): job(indexed.where(m), normal) for k, m in segments.masks(price).items() if facts[f"{k}{i}"] >= LEAST_ROWS}
-    done = _in_parallel(rows.sparkSession, jobs)
+    done = _in_parallel(rows.sparkSession, jobs, _at_once(most))
     return {i: ({k: done.get((i, k)) for k in MODELS}, facts[f"ref{i}"] or 1.0) for i in sets}
 
 
@@ -249,7 +260,7 @@ def fit_table(rows: DataFrame, prepare: PipelineModel, context: G.Context, spec:
     gated = blended(t, oof)
     for r in P.best_experts(gated, "sold_price", [f"by_{e}" for e in EXPERTS], "gate", UNITS, LEAST_GATE).collect():
         t.weights[r.gate] = tuple(r.units) if r.units else unit["all"]
-    oof = written(blended(t, oof), "tier-blended")
+    oof = written(blended(t, oof), "tier-blended", ["fold"])
     if not spec.asking:
         t.calibrator = proven_calibrator(oof, segments, k, 2 * trees)
     return t, oof
@@ -342,4 +353,4 @@ def ml_tiered_holdout(spark: SparkSession, d: str) -> DataFrame:
     seen = rows.where(F.col("fold") < FOLDS)
     t, _ = fit_table(seen, prepare, context, G.NO_LIST, None, FOLDS - 1, trees=4)
     got = apply(t, rows.where(F.col("fold") == FOLDS))
-    return accepted(got.agg(*[c.alias(k) for k, c in A.errors(F.col("sold_price"), F.col("predicted")).items()]))
+    return accepted(A.overall_errors(got, "sold_price", "predicted"))

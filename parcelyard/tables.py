@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="parcelyard-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder: its plan ends there, and lost executors don't bring it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df as a Parquet table of the shared folder: its plan ends there, and lost executors don't bring it back. by: few values each, of which a reader opens only those that it asks for.
+
+    Many columns at once make methods that HotSpot doesn't compile (over 8,000
+    bytes); such steps are made of small methods instead.
+    """
+    spark, huge = df.sparkSession, "spark.sql.codegen.hugeMethodLimit"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(huge, "65535")
+    spark.conf.set(huge, "8000")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(huge, before)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def met(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
