@@ -112,6 +112,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df, which the join it is handed to sorts and shuffles, and so the other side, whatever sizes Spark takes them for.
+
+    Spark broadcasts a side unasked by a guess: an explode counts as one row
+    for each that it is given, and a table's rows as its compressed files.
+    """
+    return df.hint("merge")
+
+
 def looked_up(rows: DataFrame, wanted: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """rows joined with a saved table of a few numbers a row, which is broadcast if its counted rows are few."""
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on, how)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import BROADCAST_ROWS, by_chars, forget, looked_up, once, saved
+from parcelyard.llm.common import BROADCAST_ROWS, by_chars, by_shuffle, forget, looked_up, once, saved
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints under one key that are compared there; above it the key is refined by the other half.
@@ -141,7 +141,7 @@ def _buckets(fps: DataFrame) -> DataFrame:
     """Arrays of fingerprints that share a signature; every pair within 3 bits shares one."""
     rows = _signatures(fps)
     sizes = rows.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, ["key", "bit"])
+    met = rows.join(by_shuffle(sizes), ["key", "bit"])
     own = F.collect_list("fp").alias("fp")
     small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key", "bit").agg(own).select("fp")
     large = _refined(met.where(F.col("n") > SMALL_BUCKET)).groupBy("key", "bit", "sub_key", "sub").agg(own).where(F.size("fp") > 1).select("fp")
@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     # only nodes with links can have another component than their own least key
     moved = saved(member.join(least, "root").where(~F.col("component_id").eqNullSafe(F.col("least")) | (F.col("root") != F.col("fp"))).select("fp", "component_id"), "moved")
-    alone = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    alone = nodes.join(by_shuffle(moved), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(alone, "fp").select(key, digits.alias("fingerprint"), "component_id")
+    return rows.join(by_shuffle(alone), "fp").select(key, digits.alias("fingerprint"), "component_id")
 
 
 #: Documents sampled to find common shingles, those in how many of them are common, and how many are told at most.
