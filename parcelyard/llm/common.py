@@ -122,8 +122,8 @@ def by_shuffle(df: DataFrame) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, wanted: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """rows joined with a saved table of a few numbers a row, which is broadcast if its counted rows are few."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on, how)
+    """rows joined with a saved table of a few numbers a row, which is broadcast if its counted rows are few; else nothing is."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else by_shuffle(wanted), on, how)
 
 
 def once(docs: DataFrame, key: str, text: str) -> DataFrame:

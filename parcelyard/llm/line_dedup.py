@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import forget, looked_up, once, saved, shuffle_parts
+from parcelyard.llm.common import by_shuffle, forget, looked_up, once, saved, shuffle_parts
 from parcelyard.llm.simhash import components
 
 EDITS = 2
@@ -157,7 +157,7 @@ def candidates(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, f
         many = many.join(owned, ["rid", "most"], "left")
         elsewhere = F.transform(F.filter(F.coalesce("owned", F.array()), lambda k: k["few"] | (k["key"] < F.col("key"))), lambda k: k["key"])
         if depth:
-            left = many.join(rows.select("rid", "rest", "barred"), "rid")
+            left = many.join(by_shuffle(rows.select("rid", "rest", "barred")), "rid")
         else:
             left = many.join(texts.select("h", F.col("line").alias("rest"), F.array().cast("array<long>").alias("barred")), "h")
         # the rest shrinks by the segment, so the cuts end
@@ -241,7 +241,8 @@ def links(lines: DataFrame, edits: int = EDITS, one_from: int = ONE_FROM, fuzzy_
     """Pairs (a, b), a < b, of hashes of distinct lines (h, line) within the edits that the shorter one's length allows."""
     pairs, text = candidates(lines, edits, one_from, fuzzy_from)
     pairs = pairs.repartition(shuffle_parts(lines.sparkSession))
-    both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+    of = lambda z: by_shuffle(text.select(F.col("h").alias(z), F.col("line").alias(f"t{z}")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     n = F.least(F.length("ta"), F.length("tb"))
     both = both.withColumn("most", F.when(n >= fuzzy_from, edits).when(n >= one_from, F.least(F.lit(1), F.lit(edits))).otherwise(0))
     both = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
@@ -282,7 +283,7 @@ def _told(places: DataFrame, known: DataFrame) -> DataFrame:
         return places.join(F.broadcast(known), ["h", "h2"], "left")
     hot = F.col("n") > max(1, int(total * HOT))
     often = F.broadcast(known.where(hot))
-    other = places.join(often, ["h", "h2"], "left_anti").join(known.where(~hot), ["h", "h2"], "left")
+    other = places.join(often, ["h", "h2"], "left_anti").join(by_shuffle(known.where(~hot)), ["h", "h2"], "left")
     return places.join(often, ["h", "h2"]).unionByName(other)
 
 

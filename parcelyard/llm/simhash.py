@@ -452,9 +452,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     # texts that may be similar by their fingerprints, with the first of those that have the same
     fps = kept_for_now(made.groupBy("fp").agg(F.min("id").alias("one")), "fps")
-    twins = made.join(fps, "fp").where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b"))
+    twins = made.join(by_shuffle(fps), "fp").where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b"))
     near_fps = links(fps.select("fp"))
-    near_fps = near_fps.join(fps.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    near_fps = near_fps.join(by_shuffle(fps.select(F.col("fp").alias("a"), F.col("one").alias("x"))), "a").join(by_shuffle(fps.select(F.col("fp").alias("b"), F.col("one").alias("y"))), "b")
     first = kept_for_now(twins.unionByName(near_fps.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct(), "signature-pairs")
 
     named = kept_for_now(met.select("id").union(first.select(F.explode(F.array("a", "b")))).distinct(), "met-ids")
@@ -492,7 +492,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         group = roots()
     # of two texts under a key one was the leader, so that they have been compared
     rows, keys = unlike(LEADERS, 3 if LEADERS else 2)
-    rest = _chunks(kept_for_now(rows.join(keys.select("key"), "key"), "unlike")).join(known.select("id", "size", "sketch"), "id")
+    rest = _chunks(kept_for_now(rows.join(keys.select("key"), "key"), "unlike")).join(by_shuffle(known.select("id", "size", "sketch")), "id")
     rest = rest.repartition("key", "chunks").sortWithinPartitions("key", "chunks")
     found = rest.select("key", "chunks", "id", "label", "size", "sketch", "side").mapInPandas(near, "a long, b array<long>")
     found = kept_for_now(found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "near")
@@ -512,7 +512,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     hot = F.col("n") > max(1, total // 1000)
     rows = hashed.select(key, "h", "h2")
     marked = rows.join(F.broadcast(told.where(hot)), ["h", "h2"], "left")
-    other = marked.where("n is null").select(key, "h", "h2").join(told.where(~hot), ["h", "h2"], "left")
+    other = marked.where("n is null").select(key, "h", "h2").join(by_shuffle(told.where(~hot)), ["h", "h2"], "left")
     out = marked.where("n is not null").unionByName(other)
     alone = F.col("n").isNull()
     kept = alone | ((F.col("h") == F.col("head_h")) & (F.col("h2") == F.col("head_h2")) & F.col(key).eqNullSafe(F.col("group_id")))
@@ -530,6 +530,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     gone = saved(similar_groups(rows, key, text, words, least).where("not kept").select(F.col(key).alias("key"), "h", "h2"), "copies-gone")
     own, value = F.col("row"), F.coalesce(F.col("row")[text], F.lit(""))
     marked = rows.select(F.struct(*rows.columns).alias("row"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else by_shuffle(gone)
     same = (F.xxhash64(value) == F.col("h")) & (F.xxhash64(F.lit(1), value) == F.col("h2")) & own[key].eqNullSafe(F.col("key"))
     return marked.join(gone, same, "left_anti").select("row.*")
