@@ -9,10 +9,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import kept_in_worker
+from parcelyard.llm.common import give_back, in_slices, kept_in_worker
 
 #: A worker's memory of encoded pre-tokens: entries, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
@@ -212,6 +213,16 @@ def loaded(path: str, pattern: str) -> ByteBPE:
     return kept_in_worker(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
+def id_lists(codec: ByteBPE, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text, none of a null one. Texts are Python's for BATCH_CHARS at a time, ids lie in one buffer."""
+    flat, sizes = bytearray(), [0]
+    for part in in_slices(texts, BATCH_CHARS):
+        for ids in codec.encode([t or "" for t in part]):
+            flat += ids
+            sizes.append(len(ids) // 4)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Every column of docs and the ids of its whole text as array<int> in column out.
 
@@ -221,11 +232,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     rows stay; a column already named like out is replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = loaded(path, pattern)
         for texts in batches:
-            yield pd.Series([np.frombuffer(x, "<i4") for x in codec.encode_all(texts)])
+            yield id_lists(codec, texts)
+        give_back()
 
     return docs.withColumn(out, ids(F.col(text)))
 
