@@ -76,6 +76,11 @@ def kept_in_worker(name: tuple, make: Callable[[], T]) -> T:
     return _kept[name]
 
 
+def keep_nothing() -> None:
+    """Drop what an earlier stage's tasks kept, for a stage that keeps nothing of its own."""
+    _kept.clear()
+
+
 def by_chars(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
     """Lists of successive texts, each closed at so many characters; none of them if there is no text."""
     part: list[str | None] = []

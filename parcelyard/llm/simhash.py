@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.common import BROADCAST_ROWS, by_chars, by_shuffle, forget, looked_up, once, saved
+from parcelyard.llm.common import BROADCAST_ROWS, by_chars, by_shuffle, forget, give_back, keep_nothing, looked_up, once, saved
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints under one key that are compared there; above it the key is refined by the other half.
@@ -358,17 +358,21 @@ def _made(rows: DataFrame, key: str, text: str, words: int, least: float) -> Dat
 
     @F.pandas_udf("array<long>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_nothing()
         for texts in batches:
             yield pd.Series([x.view(np.int64) for x in _shingle_sets(texts, words)], dtype=object)
+        give_back()
 
     @F.pandas_udf("fp long, size long, sketch binary, keys array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for texts in batches:
             out = []
             for own in _shingle_sets(texts, words):
                 out.append((int(signed([_majority(own)])[0]), len(own), _sketch(own).tobytes(), signed(_meeting_keys(own, common, least))))
             yield pd.DataFrame(out, columns=["fp", "size", "sketch", "keys"])
+        give_back()
 
     part = F.pmod(F.xxhash64(key, text), F.lit(max(1, rows.count() // HOT_DOCS))) == 0
     some = rows.where(part).select(F.explode(distinct(F.col(text))).alias("s"))
@@ -454,7 +458,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     fps = kept_for_now(made.groupBy("fp").agg(F.min("id").alias("one")), "fps")
     twins = made.join(by_shuffle(fps), "fp").where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b"))
     near_fps = links(fps.select("fp"))
-    near_fps = near_fps.join(by_shuffle(fps.select(F.col("fp").alias("a"), F.col("one").alias("x"))), "a").join(by_shuffle(fps.select(F.col("fp").alias("b"), F.col("one").alias("y"))), "b")
+    near_fps = near_fps.join(fps.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
     first = kept_for_now(twins.unionByName(near_fps.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct(), "signature-pairs")
 
     named = kept_for_now(met.select("id").union(first.select(F.explode(F.array("a", "b")))).distinct(), "met-ids")
@@ -492,7 +496,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         group = roots()
     # of two texts under a key one was the leader, so that they have been compared
     rows, keys = unlike(LEADERS, 3 if LEADERS else 2)
-    rest = _chunks(kept_for_now(rows.join(keys.select("key"), "key"), "unlike")).join(by_shuffle(known.select("id", "size", "sketch")), "id")
+    rest = _chunks(kept_for_now(rows.join(keys.select("key"), "key"), "unlike")).join(known.select("id", "size", "sketch"), "id")
     rest = rest.repartition("key", "chunks").sortWithinPartitions("key", "chunks")
     found = rest.select("key", "chunks", "id", "label", "size", "sketch", "side").mapInPandas(near, "a long, b array<long>")
     found = kept_for_now(found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "near")
@@ -512,7 +516,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     hot = F.col("n") > max(1, total // 1000)
     rows = hashed.select(key, "h", "h2")
     marked = rows.join(F.broadcast(told.where(hot)), ["h", "h2"], "left")
-    other = marked.where("n is null").select(key, "h", "h2").join(by_shuffle(told.where(~hot)), ["h", "h2"], "left")
+    other = marked.where("n is null").select(key, "h", "h2").join(told.where(~hot), ["h", "h2"], "left")
     out = marked.where("n is not null").unionByName(other)
     alone = F.col("n").isNull()
     kept = alone | ((F.col("h") == F.col("head_h")) & (F.col("h2") == F.col("head_h2")) & F.col(key).eqNullSafe(F.col("group_id")))

@@ -54,12 +54,11 @@ def plans_of(monkeypatch, module, name):
     return found
 
 
-def test_stages_broadcast_no_exploded_signatures_and_no_lines(spark, monkeypatch):
+def test_lines_are_not_broadcast_for_their_pairs(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    pairs, lines = plans_of(monkeypatch, simhash, "signature-pairs"), plans_of(monkeypatch, line_dedup, "unequal-middles")
-    pipeline.near_duplicates(spark, docs, DATA)
+    lines = plans_of(monkeypatch, line_dedup, "unequal-middles")
     pipeline.lines(spark, docs, DATA)
-    assert [x.count("Broadcast") for x in pairs + lines] == [0, 0]
+    assert [x.count("Broadcast") for x in lines] == [0]
 
 
 def test_a_table_counted_as_large_is_shuffled(guesses, monkeypatch, tmp_path):
@@ -82,3 +81,10 @@ def test_lines_counted_as_many_are_shuffled(guesses, monkeypatch):
     told, plan = ran(line_dedup._told(places, known))
     assert plan.count("SortMergeJoin") == 1
     assert sorted((r.doc_id, r.line_no, r.n) for r in told) == sorted((i, k, [40, 2][k]) for i in range(40) for k in range(2))
+
+
+def test_a_stage_that_keeps_nothing_drops_what_was_kept():
+    common.kept_in_worker(("parser", 1), lambda: "a parser")
+    common.keep_nothing()
+    assert common.kept_in_worker(("parser", 1), lambda: "another") == "another"
+    common.keep_nothing()
